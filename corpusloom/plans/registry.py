@@ -1,7 +1,7 @@
 """All registered queries and their SQL."""
 
-from corpusloom.plans import catalog_queries
+from corpusloom.plans import catalog_queries, retrieval_queries
 
-_MODULES = (catalog_queries,)
+_MODULES = (catalog_queries, retrieval_queries)
 QUERIES = {name: query for m in _MODULES for name, query in m.QUERIES.items()}
 ORACLE = {name: text for m in _MODULES for name, text in m.ORACLE.items()}
