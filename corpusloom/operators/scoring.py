@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from corpusloom.functions.text import tokenize
 from corpusloom.functions.vectors import cosine
@@ -175,19 +175,34 @@ def side_by_side(means: DataFrame, configs: list[str]) -> DataFrame:
     return long.groupBy("metric").pivot("config", configs).agg(F.first("value"))
 
 
-def evaluation_run(means: DataFrame, details: DataFrame, kb_id: str, timestamp: Column) -> DataFrame:
-    """One nested row for the archive: timestamp, kb_id, test_size, results[].
+def evaluation_runs(scored: DataFrame) -> DataFrame:
+    """(run, timestamp, kb_id, test_size, results[]): one nested row per archived run.
 
-    Details are grouped per configuration; a run holds one test set, so this is for
-    question sets, not corpora.
+    ``scored``: run, timestamp, kb_id, config, top_k, query_id and the metrics. ``results``
+    has one entry per configuration; per-question scores stay rows of their own, so the
+    size of a run's row does not grow with its test set.
     """
-    per_config = details.groupBy("config").agg(F.array_sort(F.collect_list(F.struct(
-        "query_id", F.struct(*METRICS).alias("scores")))).alias("details"))
-    rows = means.join(per_config, "config", "left").select(F.col("test_size"), F.struct(
+    means = mean_metrics(scored, ["run", "timestamp", "kb_id", "config", "top_k"])
+    result = F.struct(
         F.col("config").alias("name"), F.struct("top_k").alias("config"),
-        F.struct(*METRICS).alias("metrics"), "details").alias("result"))
-    return rows.agg(
+        F.struct(*METRICS).alias("metrics"))
+    return means.groupBy("run", "timestamp", "kb_id").agg(
         F.max("test_size").alias("test_size"),
-        F.array_sort(F.collect_list("result")).alias("results"),
-    ).select(F.date_format(timestamp, "yyyy-MM-dd HH:mm:ss").alias("timestamp"),
-             F.lit(kb_id).alias("kb_id"), "test_size", "results")
+        F.array_sort(F.collect_list(result)).alias("results"))
+
+
+def demo_questions(spark: SparkSession) -> DataFrame:
+    """A small built-in test set: question_id, question, reference."""
+    rows = [
+        (1, "What is the use of splitting a text before it is indexed?",
+         "Short passages fit a prompt and keep unrelated text out of the ranking."),
+        (2, "When does keyword search find what vectors miss?",
+         "Names and rare terms match exactly by keyword, vectors match by meaning."),
+        (3, "How are two ranked lists merged without comparing scores?",
+         "Reciprocal rank fusion adds one over a constant plus the rank in each list."),
+        (4, "Why is the answer cache emptied when documents change?",
+         "Cached answers may rest on text that is no longer there."),
+        (5, "How does the reader know that a cited source is real?",
+         "Numbers in the answer are mapped back to the retrieved passages."),
+    ]
+    return spark.createDataFrame(rows, "question_id long, question string, reference string")

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from corpusloom.functions.text import tokenize
 from corpusloom.functions.vectors import unit
 from corpusloom.operators.scan import BLOCK_BYTES, row_slices, scan_top_k
+from corpusloom.session import materialize
 
 VECTOR_WIDTH = 256
 
@@ -153,8 +154,8 @@ def dense_top_k(rows: DataFrame, queries: DataFrame, k: int = 5, row_id: str = "
 class CellIndex:
     """Inverted file: vectors grouped into cells around centres, questions probe a few.
 
-    The approximate answer is exact inside the probed cells. A hot cell is only more rows
-    for the scan, spread over as many tasks as its files give.
+    The approximate answer is exact inside the probed cells. Rows are stored by cell, so
+    cells nobody probes are not read; a hot cell is only more files for the scan.
     """
 
     def __init__(self, rows: DataFrame, n_cells: int = 16, seed: int = 7, max_iter: int = 10):
@@ -162,7 +163,7 @@ class CellIndex:
         self.model = KMeans(featuresCol="_v", predictionCol="cell", k=n_cells, seed=seed,
                             maxIter=max_iter, distanceMeasure="cosine").fit(normal)
         self.centres = _unit_rows(np.array(self.model.clusterCenters()))
-        self.rows = self.model.transform(normal).drop("_v")
+        self.rows = materialize(self.model.transform(normal).drop("_v"), "cells", ["cell"])
 
     def with_probes(self, queries: DataFrame, n_probes: int) -> DataFrame:
         """Add the cells whose centres lie closest to each question."""
@@ -187,10 +188,11 @@ class CellIndex:
                 entry["n_cells"] = n_cells
             return packed
 
-        slim = self.rows.select("kb_id", F.col(row_id).cast("string").alias("row_id"),
-                                "embedding", "cell")
         asked = self.with_probes(queries, n_probes).select(
             "query_id", "kb_id", "embedding", "probes")
+        probed = [r[0] for r in asked.select(F.explode("probes")).distinct().collect()]
+        slim = self.rows.filter(F.col("cell").isin(*probed)).select(
+            "kb_id", F.col(row_id).cast("string").alias("row_id"), "embedding", "cell")
         found = scan_top_k(slim, asked, F.size("embedding") * 8 + 128, k, pack,
                            _score_vectors, block_bytes)
         return found.withColumnRenamed("row_id", row_id)

@@ -22,7 +22,9 @@ class ChunkStore:
 
     @staticmethod
     def _rows(chunks: DataFrame) -> DataFrame:
-        return stored_form(chunks).withColumn("doc_id", F.col("doc_id").cast("string"))
+        # One kb lands in few files; AQE splits a large kb over tasks and merges small ones.
+        rows = stored_form(chunks).withColumn("doc_id", F.col("doc_id").cast("string"))
+        return rows.hint("rebalance", "kb_id")
 
     def append(self, chunks: DataFrame) -> DataFrame:
         """Add chunks; returns the kb ids whose cached answers are now stale."""
