@@ -10,7 +10,6 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
 from corpusloom.functions.text import tokenize
-from corpusloom.operators.ranking import top_k_per_group
 from corpusloom.operators.scan import BLOCK_BYTES, row_slices, scan_top_k
 from corpusloom.session import materialize
 
@@ -108,32 +107,26 @@ def _score_terms(entry: dict, kb: str, batch: pa.RecordBatch, rows: np.ndarray)
         yield part, scores.reshape(n, n_q), hits.reshape(n, n_q) > 0
 
 
+def _score_all(entry: dict, kb: str, batch: pa.RecordBatch, rows: np.ndarray) -> Iterator[tuple]:
+    for part, scores, _ in _score_terms(entry, kb, batch, rows):
+        yield part, scores, None
+
+
 def bm25_top_k(chunks: DataFrame, queries: DataFrame, terms: DataFrame, corpus: DataFrame,
                k: int = 10, pad_zero: bool = False,
                block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """Best chunks per question within its kb: query_id, chunk_id, score, rank.
 
-    Only chunks sharing a term with the question are ranked. With ``pad_zero`` questions with
-    fewer than ``k`` such chunks are filled up with the kb's first other chunks at score 0.
+    Only chunks sharing a term with the question are ranked. With ``pad_zero`` every other
+    chunk of the kb is ranked too, at score 0.
     """
-    weights = materialize(question_weights(queries, terms, corpus), "question-weights")
+    weights = question_weights(queries, terms, corpus)
+    if pad_zero:
+        # A term no text has brings in questions without any known term.
+        weights = weights.unionByName(queries.join(corpus, "kb_id").select(
+            "query_id", "kb_id", F.lit("").alias("term"), F.lit(0.0).alias("weight"), "avg_len"))
+    weights = materialize(weights, "question-weights")
     rows = with_tokens(chunks).select("kb_id", F.col("chunk_id").alias("row_id"), "tokens")
-    hits = scan_top_k(rows, weights, F.length("term") + 48, k, _pack_weights, _score_terms,
+    score = _score_all if pad_zero else _score_terms
+    return scan_top_k(rows, weights, F.length("term") + 48, k, _pack_weights, score,
                       block_bytes).withColumnRenamed("row_id", "chunk_id")
-    if not pad_zero:
-        return hits
-    ids = queries.select(F.col("query_id").cast(hits.schema["query_id"].dataType)
-                         .alias("query_id"), "kb_id")
-    hits = materialize(hits, "bm25-hits")
-    # The first 2k chunks of a kb hold at least k that a question with under k hits lacks.
-    first = top_k_per_group(chunks.select("kb_id", "chunk_id"), ["kb_id"],
-                            [F.col("chunk_id")], 2 * k, ["chunk_id"]).drop("rank")
-    short = ids.join(hits.groupBy("query_id").count(), "query_id", "left").filter(
-        F.coalesce("count", F.lit(0)) < k)
-    filler = (
-        short.join(first, "kb_id").select("query_id", "chunk_id")
-        .join(hits, ["query_id", "chunk_id"], "left_anti")
-        .withColumn("score", F.lit(0.0))
-    )
-    return top_k_per_group(hits.drop("rank").unionByName(filler), ["query_id"],
-                           [F.desc("score"), F.col("chunk_id")], k, ["chunk_id"])

@@ -161,8 +161,8 @@ class CellIndex:
     def __init__(self, rows: DataFrame, n_cells: int = 16, seed: int = 7, max_iter: int = 10):
         normal = rows.withColumn("_v", array_to_vector(unit(F.col("embedding"))))
         self.model = KMeans(featuresCol="_v", predictionCol="cell", k=n_cells, seed=seed,
-                            maxIter=max_iter, distanceMeasure="cosine").fit(normal)
-        self.centres = _unit_rows(np.array(self.model.clusterCenters()))
+                            maxIter=max_iter).fit(normal)
+        self.centres = np.array(self.model.clusterCenters())
         self.rows = materialize(self.model.transform(normal).drop("_v"), "cells", ["cell"])
 
     def with_probes(self, queries: DataFrame, n_probes: int) -> DataFrame:
@@ -171,8 +171,9 @@ class CellIndex:
 
         @F.arrow_udf("array<int>")
         def nearest(vectors: pa.Array) -> pa.Array:
-            near = np.argsort(-(_matrix(vectors, centres.shape[1]) @ centres.T), axis=1,
-                              kind="stable")[:, :n_probes]
+            asked = _unit_rows(_matrix(vectors, centres.shape[1]))
+            far = (centres ** 2).sum(axis=1) - 2 * asked @ centres.T
+            near = np.argsort(far, axis=1, kind="stable")[:, :n_probes]
             return pa.array(near.astype(np.int32).tolist(), pa.list_(pa.int32()))
 
         return queries.withColumn("probes", nearest("embedding"))
