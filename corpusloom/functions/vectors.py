@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, functions as F
 
 
@@ -31,3 +33,18 @@ def unit(a: Column) -> Column:
     sizes = F.array_repeat(norm(a), F.size(a))
     return F.zip_with(a, sizes, lambda x, n: F.when(n == 0.0, F.lit(0.0))
                       .otherwise(x.cast("double") / n))
+
+
+def matrix_of(lists: pa.Array, width: int) -> np.ndarray:
+    """Rows of equal width as one double matrix, for use inside tasks."""
+    lengths = lists.value_lengths().fill_null(-1).to_numpy(zero_copy_only=False)
+    if (lengths != width).any():
+        raise ValueError(f"vectors must all be {width} wide; see width_report()")
+    flat = lists.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+    return flat.reshape(len(lists), width)
+
+
+def unit_rows(matrix: np.ndarray) -> np.ndarray:
+    """Rows scaled to length one; zero rows stay zero."""
+    size = np.linalg.norm(matrix, axis=1, keepdims=True)
+    return np.divide(matrix, size, out=np.zeros_like(matrix), where=size > 0)

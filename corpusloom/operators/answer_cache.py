@@ -10,10 +10,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
-from pyspark.sql.types import (DoubleType, LongType, StringType, StructField, StructType)
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import (BooleanType, DoubleType, LongType, StringType, StructField,
+                               StructType)
 
-from corpusloom.functions.vectors import cosine
+from corpusloom.functions.vectors import matrix_of, unit_rows
 from corpusloom.operators.ranking import running_sum, top_k_per_group
 
 # Similarity that counts as the same question, rows kept per kb.
@@ -41,32 +44,89 @@ def invalidate(cache: DataFrame, changed_kbs: DataFrame) -> DataFrame:
     return cache.join(changed_kbs.select("kb_id"), "kb_id", "left_anti")
 
 
+def _match_groups(asked: list[str], carried: list[str], threshold: float, out: pa.Schema):
+    """Function for ``mapInArrow`` over rows sorted by group, cache rows before questions."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, pieces, cached, known = None, [], None, None
+        for batch in batches:
+            kbs = batch.column("kb_id").dictionary_encode()
+            kb_at = kbs.indices.to_numpy(zero_copy_only=False)
+            part_at = batch.column("_part").to_numpy(zero_copy_only=False)
+            tag_at = batch.column("_asked").to_numpy(zero_copy_only=False)
+            turns = np.nonzero((np.diff(kb_at) != 0) | (np.diff(part_at) != 0)
+                               | (np.diff(tag_at) != 0))[0] + 1
+            starts = [0, *turns.tolist()]
+            for start, stop in zip(starts, [*starts[1:], batch.num_rows]):
+                if start == stop:
+                    continue
+                rows = batch.slice(start, stop - start)
+                here = (kbs.dictionary[int(kb_at[start])].as_py(), int(part_at[start]))
+                if here != group:
+                    group, pieces, cached = here, [], None
+                if tag_at[start] == 0:
+                    pieces.append(rows.select(["_cached", "seq", *carried]))
+                    continue
+                if cached is None and pieces:
+                    cached = pa.Table.from_batches(pieces).combine_chunks()
+                    lists = cached.column("_cached").combine_chunks()
+                    known = unit_rows(matrix_of(lists, len(lists[0]))).T.copy()
+                best = np.full(rows.num_rows, -np.inf)
+                at = np.zeros(rows.num_rows, dtype=np.int64)
+                if cached is not None:
+                    vectors = matrix_of(rows.column("embedding"), len(known))
+                    scores = np.round(unit_rows(vectors) @ known, _DIGITS) + 0.0
+                    # Cache rows come in seq order, so the last maximum is the latest row.
+                    at = scores.shape[1] - 1 - np.argmax(scores[:, ::-1], axis=1)
+                    best = scores[np.arange(len(at)), at]
+                hit = best >= threshold
+                picked = pa.array(at, mask=~hit)
+                columns = [rows.column(c).cast(out.field(c).type) for c in asked]
+                columns += [pa.array(hit), pa.array(best, mask=~hit)]
+                for name in ("seq", *carried):
+                    kind = out.field(name).type
+                    columns.append(pa.nulls(len(at), kind) if cached is None else
+                                   cached.column(name).combine_chunks().take(picked).cast(kind))
+                yield pa.RecordBatch.from_arrays(columns, schema=out)
+
+    return run
+
+
 def lookup(cache: DataFrame, questions: DataFrame, threshold: float = THRESHOLD,
-           capacity: int = CAPACITY) -> DataFrame:
+           capacity: int = CAPACITY, rows_per_part: int = 100_000) -> DataFrame:
     """Every question with the most similar cached answer of its kb, or nulls on a miss.
 
-    Of equally similar rows the later one wins. A kb's vectors are packed into one array,
-    at most ``capacity`` long after eviction, so a question meets one row of its kb rather
-    than one per cached answer, and a hot kb splits on the question side. Works on a
-    streaming question table too: its joins are stream-static.
+    Of equally similar rows the later one wins. Cached rows and questions are shuffled to
+    the same tasks and sorted so that a kb's cache, at most ``capacity`` rows, comes first;
+    its questions then stream past it in batches. No pair of question and cached row ever
+    becomes a row. A kb with many questions is split into parts of about ``rows_per_part``,
+    each with its own copy of that kb's cache.
 
-    ``questions``: query_id, kb_id, embedding. Output adds hit, similarity, seq, answer and,
-    if the cache has them, sources.
+    ``questions``: query_id, kb_id, embedding and more. Output adds hit, similarity, seq,
+    answer and, if the cache has them, sources.
     """
-    live = evict(cache, capacity)
-    packed = live.groupBy("kb_id").agg(
-        F.collect_list(F.struct("seq", "embedding")).alias("_rows"))
-    best = F.array_max(F.transform("_rows", lambda r: F.struct(
-        F.round(cosine(F.col("embedding"), r["embedding"]), _DIGITS).alias("similarity"),
-        r["seq"].alias("seq"))))
-    scored = questions.join(packed, "kb_id", "left").withColumn("_best", best).drop("_rows")
-    passed = scored.withColumn(
-        "_best", F.when(F.col("_best.similarity") >= threshold, F.col("_best")))
-    marked = passed.select(
-        *questions.columns, F.col("_best").isNotNull().alias("hit"),
-        F.col("_best.similarity").alias("similarity"), F.col("_best.seq").alias("seq"))
-    carried = [c for c in ("answer", "sources") if c in live.columns]
-    return marked.join(live.select("kb_id", "seq", *carried), ["kb_id", "seq"], "left")
+    carried = [c for c in ("answer", "sources") if c in cache.columns]
+    parts = questions.groupBy("kb_id").agg(
+        F.ceil(F.count("*") / rows_per_part).cast("int").alias("_parts"))
+    one = F.coalesce("_parts", F.lit(1))
+    asked = questions.join(parts, "kb_id").select(
+        *questions.columns, F.lit(1).alias("_asked"),
+        F.pmod(F.xxhash64("query_id"), one).cast("int").alias("_part"))
+    live = evict(cache, capacity).join(parts, "kb_id").select(
+        "kb_id", F.col("embedding").cast("array<double>").alias("_cached"),
+        F.col("seq").cast("long").alias("seq"), *carried, F.lit(0).alias("_asked"),
+        F.explode(F.sequence(F.lit(0), one - 1)).alias("_part"))
+    out = StructType([*questions.schema.fields, StructField("hit", BooleanType()),
+                      StructField("similarity", DoubleType()), StructField("seq", LongType())])
+    for name in carried:
+        out = out.add(name, cache.schema[name].dataType)
+    keys = ("kb_id", "_part")
+    return (
+        live.unionByName(asked, allowMissingColumns=True)
+        .repartition(*keys).sortWithinPartitions(*keys, "_asked", "seq")
+        .mapInArrow(_match_groups(questions.columns, carried, threshold,
+                                  to_arrow_schema(out)), out)
+    )
 
 
 def route(cache: DataFrame, questions: DataFrame, threshold: float = THRESHOLD,

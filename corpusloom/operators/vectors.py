@@ -12,7 +12,7 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame, functions as F
 
 from corpusloom.functions.text import tokenize
-from corpusloom.functions.vectors import unit
+from corpusloom.functions.vectors import matrix_of, unit, unit_rows
 from corpusloom.operators.scan import BLOCK_BYTES, row_slices, scan_top_k
 from corpusloom.session import materialize
 
@@ -55,8 +55,8 @@ def weighted_slots(tokens: Column, weights: Column, width: int = VECTOR_WIDTH) -
 
     @F.arrow_udf("array<float>")
     def vectors(lists: pa.Array, slot_idf: pa.Array) -> pa.Array:
-        raw = _slot_counts(lists, width) * _matrix(slot_idf, width)
-        return _to_lists(_unit_rows(raw).astype(np.float32))
+        raw = _slot_counts(lists, width) * matrix_of(slot_idf, width)
+        return _to_lists(unit_rows(raw).astype(np.float32))
 
     return vectors(tokens, weights)
 
@@ -95,19 +95,6 @@ def vectorize(texts: DataFrame, weights: DataFrame, content: str = "content",
     )
 
 
-def _matrix(lists: pa.Array, width: int) -> np.ndarray:
-    lengths = lists.value_lengths().fill_null(-1).to_numpy(zero_copy_only=False)
-    if (lengths != width).any():
-        raise ValueError(f"vectors must all be {width} wide; see width_report()")
-    flat = lists.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
-    return flat.reshape(len(lists), width)
-
-
-def _unit_rows(matrix: np.ndarray) -> np.ndarray:
-    size = np.linalg.norm(matrix, axis=1, keepdims=True)
-    return np.divide(matrix, size, out=np.zeros_like(matrix), where=size > 0)
-
-
 def _pack_vectors(table: pa.Table) -> dict:
     out = {}
     kbs = np.array(table.column("kb_id").to_pylist(), dtype=object)
@@ -118,7 +105,7 @@ def _pack_vectors(table: pa.Table) -> dict:
         lists = vectors.take(pa.array(at))
         width = len(lists[0])
         out[kb] = {"ids": [ids[i] for i in at], "width": width,
-                   "matrix": _unit_rows(_matrix(lists, width)).T.copy()}
+                   "matrix": unit_rows(matrix_of(lists, width)).T.copy()}
         if "probes" in table.column_names:
             out[kb]["probes"] = [table.column("probes")[int(i)].as_py() for i in at]
     return out
@@ -126,7 +113,7 @@ def _pack_vectors(table: pa.Table) -> dict:
 
 def _score_vectors(entry: dict, kb: str, batch: pa.RecordBatch, rows: np.ndarray) -> Iterator[tuple]:
     vectors = batch.column("embedding").take(pa.array(rows))
-    unit_rows = _unit_rows(_matrix(vectors, entry["width"]))
+    normal = unit_rows(matrix_of(vectors, entry["width"]))
     probed = None
     if "probes" in entry:
         cells = batch.column("cell").to_numpy(zero_copy_only=False)[rows].astype(int)
@@ -135,7 +122,7 @@ def _score_vectors(entry: dict, kb: str, batch: pa.RecordBatch, rows: np.ndarray
             table[wanted, q] = True
         probed = table[cells]
     for part in row_slices(len(rows), len(entry["ids"])):
-        yield part, unit_rows[part] @ entry["matrix"], None if probed is None else probed[part]
+        yield part, normal[part] @ entry["matrix"], None if probed is None else probed[part]
 
 
 def dense_top_k(rows: DataFrame, queries: DataFrame, k: int = 5, row_id: str = "chunk_id",
@@ -171,7 +158,7 @@ class CellIndex:
 
         @F.arrow_udf("array<int>")
         def nearest(vectors: pa.Array) -> pa.Array:
-            asked = _unit_rows(_matrix(vectors, centres.shape[1]))
+            asked = unit_rows(matrix_of(vectors, centres.shape[1]))
             far = (centres ** 2).sum(axis=1) - 2 * asked @ centres.T
             near = np.argsort(far, axis=1, kind="stable")[:, :n_probes]
             return pa.array(near.astype(np.int32).tolist(), pa.list_(pa.int32()))

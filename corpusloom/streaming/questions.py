@@ -10,12 +10,16 @@ from corpusloom.operators.answer_cache import CAPACITY, THRESHOLD, lookup
 
 def start_lookup(questions: DataFrame, cache: DataFrame, target: str, checkpoint: str,
                  threshold: float = THRESHOLD, capacity: int = CAPACITY) -> StreamingQuery:
-    """Append every question with its cached answer, or nulls, to a parquet folder.
+    """Write every question with its cached answer, or nulls, below ``target``.
 
-    The cache is the static side: both joins are stream-static, so the query keeps no state.
+    Each batch overwrites its own ``batch_id`` folder, so a batch that runs again after a
+    failure leaves the same rows.
     """
+    def answer(batch: DataFrame, batch_id: int) -> None:
+        lookup(cache, batch, threshold, capacity).write.mode("overwrite").parquet(
+            f"{target}/batch_id={batch_id}")
+
     return (
-        lookup(cache, questions, threshold, capacity).writeStream.format("parquet")
-        .option("path", target).option("checkpointLocation", checkpoint)
-        .outputMode("append").trigger(availableNow=True).start()
+        questions.writeStream.foreachBatch(answer)
+        .option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     )

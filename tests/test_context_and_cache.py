@@ -161,3 +161,25 @@ def test_replay_equals_a_step_by_step_run(spark):
     want = replay_model(log, changes, 0.999, 5)
     assert {(r.kb_id, r.seq): (r.outcome, r.matched_seq) for r in got} == want
     assert {o for o, _ in want.values()} == {"hit", "miss", "bypass"}
+
+
+def test_a_hot_kb_splits_into_parts_with_the_same_answers(spark):
+    rng = np.random.default_rng(1)
+    rows = [("hot" if i % 4 else f"k{i % 3}", i, "q", rng.normal(size=3).tolist(), f"A{i}")
+            for i in range(60)]
+    asked = [(i, "hot" if i % 5 else f"k{i % 4}", rng.normal(size=3).tolist()) for i in range(300)]
+    table, queries = spark.createDataFrame(rows, CACHE), spark.createDataFrame(asked, ASK)
+
+    def found(**kw):
+        return {r.query_id: (r.seq, r.similarity, r.answer) for r in cache.lookup(
+            table, queries, 0.95, **kw).collect()}
+
+    want = {}
+    for qid, kb, q in asked:
+        q = np.array(q)
+        best = max(((round(float(np.dot(v, q) / np.linalg.norm(v) / np.linalg.norm(q)), 6), s, a)
+                    for b, s, _, v, a in rows if b == kb), default=(-2, None, None))
+        want[qid] = (best[1], pytest.approx(best[0], abs=2e-6), best[2]) if best[0] >= 0.95 \
+            else (None, None, None)
+    assert found() == want
+    assert found(rows_per_part=20) == want
