@@ -53,10 +53,10 @@ def term_statistics(chunks: DataFrame, corpus: DataFrame) -> DataFrame:
 
 def question_weights(queries: DataFrame, terms: DataFrame, corpus: DataFrame) -> DataFrame:
     """(query_id, kb_id, term, weight, avg_len): a repeated question term counts repeatedly."""
-    asked = (
+    # Stored first: with its size known, the vocabulary is scanned rather than shuffled.
+    asked = materialize(
         queries.select("query_id", "kb_id", F.explode(tokenize(F.col("text"))).alias("term"))
-        .groupBy("query_id", "kb_id", "term").agg(F.count("*").alias("qf"))
-    )
+        .groupBy("query_id", "kb_id", "term").agg(F.count("*").alias("qf")), "question-terms")
     return (
         asked.join(terms, ["kb_id", "term"]).join(corpus, "kb_id")
         .select("query_id", "kb_id", "term",

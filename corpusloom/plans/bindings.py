@@ -138,7 +138,7 @@ def hybrid_hits(spark: SparkSession, sf: str, vector_weight: float = 1.0,
                 keyword_weight: float = 1.0) -> DataFrame:
     both = vector_hits(spark, sf).withColumn("side", F.lit("v")).unionByName(
         keyword_hits(spark, sf).withColumn("side", F.lit("k")))
-    bodies = with_bodies(both, chunks(spark, sf))
+    bodies = materialize(with_bodies(both, chunks(spark, sf)), "hit-bodies")
     return fuse(bodies.filter(F.col("side") == "v"), bodies.filter(F.col("side") == "k"),
                 TOP_K, vector_weight, keyword_weight)
 
