@@ -11,13 +11,14 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
-from pyspark.sql.types import (BooleanType, DoubleType, LongType, StringType, StructField,
+from pyspark.sql.types import (ArrayType, BooleanType, DoubleType, LongType, StringType, StructField,
                                StructType)
 
 from corpusloom.functions.vectors import matrix_of, unit_rows
-from corpusloom.operators.ranking import running_sum, top_k_per_group
+from corpusloom.operators.ranking import running_sums, top_k_per_group
+from corpusloom.session import materialize
 
 # Similarity that counts as the same question, rows kept per kb.
 THRESHOLD = 0.90
@@ -142,75 +143,133 @@ def route(cache: DataFrame, questions: DataFrame, threshold: float = THRESHOLD,
     return asked.drop("hit").unionByName(bypass, allowMissingColumns=True)
 
 
-def _replay_stretches(threshold: float, capacity: int):
-    """Function for ``mapInPandas`` over rows sorted by (kb_id, epoch, seq)."""
+_SEGMENT = ["kb_id", "epoch", "segment"]
+
+
+def _replay_segments(threshold: float, capacity: int):
+    """Function for ``mapInPandas`` over rows sorted by segment, start state before questions.
+
+    Yields one row per question and, after a segment's last question, the cache it ends with.
+    """
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        current, vectors, owners, at, size = None, None, None, 0, 0
+        current, vectors, owners, count = None, None, None, 0
+
+        def ending() -> list[tuple]:
+            held = range(max(0, count - capacity), count)
+            return [(*current, int(owners[i % capacity]), None, None, None,
+                     vectors[i % capacity].tolist()) for i in held]
+
         for frame in frames:
-            outcomes, matched, sims = [], [], []
-            for kb, epoch, seq, vector, answered in zip(
-                    frame["kb_id"], frame["epoch"], frame["seq"], frame["embedding"],
-                    frame["answered"]):
+            rows = []
+            for *key, asked, seq, vector, answered in zip(
+                    *[frame[c] for c in _SEGMENT], frame["asked"], frame["seq"],
+                    frame["embedding"], frame["answered"]):
                 unit = np.asarray(vector, dtype=np.float64)
-                if current != (kb, epoch, len(unit)):
-                    current, at, size = (kb, epoch, len(unit)), 0, 0
+                if key != current:
+                    if current is not None:
+                        rows += ending()
+                    current, count = key, 0
                     vectors = np.zeros((capacity, len(unit)))
                     owners = np.zeros(capacity, dtype=np.int64)
                 length = np.linalg.norm(unit)
                 unit = unit / length if length > 0 else unit
-                hit_seq, sim = None, None
-                if size:
+                hit, sim = None, None
+                if asked:
+                    size = min(count, capacity)
                     scores = np.round(vectors[:size] @ unit, _DIGITS)
-                    top = scores.max()
-                    if top >= threshold:
-                        hit_seq = int(owners[:size][scores == top].max())
-                        sim = float(top)
-                outcomes.append("miss" if hit_seq is None else "hit")
-                matched.append(hit_seq)
-                sims.append(sim)
-                if hit_seq is None and answered:
-                    vectors[at], owners[at] = unit, seq
-                    at, size = (at + 1) % capacity, min(capacity, size + 1)
-            yield pd.DataFrame({
-                "kb_id": frame["kb_id"], "seq": frame["seq"], "outcome": outcomes,
-                "matched_seq": pd.array(matched, dtype="Int64"), "similarity": sims})
+                    if size and scores.max() >= threshold:
+                        sim = float(scores.max())
+                        hit = int(owners[:size][scores == sim].max())
+                    rows.append((*key, seq, "miss" if hit is None else "hit", hit, sim, None))
+                if hit is None and (answered or not asked):
+                    vectors[count % capacity], owners[count % capacity] = unit, seq
+                    count += 1
+            if rows:
+                yield _replay_frame(rows)
+        if current is not None and count:
+            yield _replay_frame(ending())
 
     return run
 
 
+def _replay_frame(rows: list[tuple]) -> pd.DataFrame:
+    frame = pd.DataFrame(rows, columns=[
+        *_SEGMENT, "seq", "outcome", "matched_seq", "similarity", "embedding"])
+    frame["matched_seq"] = frame["matched_seq"].astype("Int64")
+    frame["similarity"] = frame["similarity"].astype("Float64")
+    return frame
+
+
 def replay(log: DataFrame, changes: DataFrame, threshold: float = THRESHOLD,
-           capacity: int = CAPACITY) -> DataFrame:
+           capacity: int = CAPACITY, segment_rows: int = 20_000) -> DataFrame:
     """What a question log would have hit: look up, insert on a miss, evict, clear on change.
 
     ``log``: kb_id, seq, embedding, answer, has_history. ``changes``: kb_id, seq of document
-    changes, each clearing the kb's cache. Output: kb_id, seq, outcome (hit, miss, bypass),
-    matched_seq, similarity.
+    changes, each clearing the kb's cache; one at the seq of a question comes first. Output:
+    kb_id, seq, outcome (hit, miss, bypass), matched_seq, similarity.
 
-    A change empties the cache, so the stretches between changes do not depend on each other
-    and run in parallel; questions with history never touch the cache and skip the ordered
-    part. Within a stretch each question depends on the ones before it; its rows stream
-    through one task in order with at most ``capacity`` vectors in memory.
+    Each question depends on the ones before it, yet no kb is walked by one task: its log is
+    cut at changes, which empty the cache, and into segments of ``segment_rows``. All
+    segments first run from an empty cache; then every segment whose predecessor ended with
+    another cache than assumed runs again from that cache, until nothing changes. The first
+    segment is right at once and each round settles at least the next one, so the result is
+    that of the sequential run. As a cache holds only its newest rows, what a segment ends
+    with hardly depends on its start, and few rounds are needed.
     """
-    steps = log.select("kb_id", "seq", F.lit(0).alias("change")).unionByName(
-        changes.select("kb_id", "seq", F.lit(1).alias("change")))
-    # A change at the same seq as a question comes first.
-    ordered = running_sum(steps.groupBy("kb_id", "seq").agg(
-        F.max("change").alias("change")), "kb_id", "seq", F.col("change"), "epoch")
-    marked = log.select("kb_id", "seq", "embedding", "has_history",
-                        F.coalesce(F.length("answer") > 0, F.lit(False)).alias("answered")) \
-        .join(ordered.select("kb_id", "seq", "epoch"), ["kb_id", "seq"])
+    alone = log.filter(~F.col("has_history"))
+    marks = alone.select("kb_id", "seq", F.lit(0).alias("change"), F.lit(1).alias("row")) \
+        .unionByName(changes.select("kb_id", "seq", F.lit(1).alias("change"), F.lit(0).alias("row"))) \
+        .groupBy("kb_id", "seq").agg(F.max("change").alias("change"), F.max("row").alias("row"))
+    placed = running_sums(marks, "kb_id", "seq", {"epoch": F.col("change"), "n": F.col("row")})
+    spot = placed.select("kb_id", "seq", "epoch",
+                         F.floor((F.col("n") - 1) / segment_rows).alias("segment"))
+    rows = materialize(alone.join(spot, ["kb_id", "seq"]).select(
+        *_SEGMENT, F.lit(1).alias("asked"), "seq",
+        F.col("embedding").cast("array<double>").alias("embedding"),
+        F.coalesce(F.length("answer") > 0, F.lit(False)).alias("answered")), "replay-log")
+    previous = Window.partitionBy("kb_id", "epoch").orderBy("segment")
+    chain = materialize(rows.select(*_SEGMENT).distinct().withColumn(
+        "before", F.lag("segment").over(previous)), "replay-segments")
+
+    kinds = {c: log.schema["kb_id"].dataType if c == "kb_id" else LongType() for c in _SEGMENT}
     out = StructType([
-        StructField("kb_id", log.schema["kb_id"].dataType), StructField("seq", LongType()),
+        *[StructField(c, kind) for c, kind in kinds.items()], StructField("seq", LongType()),
         StructField("outcome", StringType()), StructField("matched_seq", LongType()),
-        StructField("similarity", DoubleType())])
-    alone = (
-        marked.filter(~F.col("has_history"))
-        .select("kb_id", "epoch", "seq", "embedding", "answered")
-        .repartition("kb_id", "epoch").sortWithinPartitions("kb_id", "epoch", "seq")
-    )
-    bypass = marked.filter(F.col("has_history")).select(
+        StructField("similarity", DoubleType()),
+        StructField("embedding", ArrayType(DoubleType()))])
+    walk = _replay_segments(threshold, capacity)
+    start = rows.limit(0).drop("answered")
+    active = chain.select(*_SEGMENT)
+    done = None
+    while True:
+        todo = rows.join(active, _SEGMENT, "left_semi").unionByName(
+            start.join(active, _SEGMENT, "left_semi"), allowMissingColumns=True)
+        ran = materialize(
+            todo.repartition(*_SEGMENT).sortWithinPartitions(*_SEGMENT, "asked", "seq")
+            .mapInPandas(walk, out), "replay-round")
+        done = ran if done is None else materialize(
+            done.join(active, _SEGMENT, "left_anti").unionByName(ran), "replay-done")
+        ends = done.filter(F.col("outcome").isNull())
+        following = chain.filter(F.col("before").isNotNull()).select(
+            "kb_id", "epoch", F.col("before").alias("segment"), F.col("segment").alias("next"))
+        fresh = ends.join(following, _SEGMENT).select(
+            "kb_id", "epoch", F.col("next").alias("segment"), F.lit(0).alias("asked"), "seq",
+            "embedding")
+        moved = _contents(fresh).join(_contents(start).withColumnRenamed("seqs", "old"),
+                                      _SEGMENT, "full_outer")
+        active = materialize(moved.filter(~F.col("seqs").eqNullSafe(F.col("old"))).select(
+            *_SEGMENT), "replay-moved")
+        if active.isEmpty():
+            break
+        start = materialize(fresh, "replay-start")
+    bypass = log.filter(F.col("has_history")).select(
         "kb_id", "seq", F.lit("bypass").alias("outcome"),
         F.lit(None).cast("long").alias("matched_seq"),
         F.lit(None).cast("double").alias("similarity"))
-    return alone.mapInPandas(_replay_stretches(threshold, capacity), out).unionByName(bypass)
+    return done.filter(F.col("outcome").isNotNull()).select(bypass.columns).unionByName(bypass)
+
+
+def _contents(states: DataFrame) -> DataFrame:
+    """The ids a cache holds, one array of at most its capacity per segment."""
+    return states.groupBy(*_SEGMENT).agg(F.sort_array(F.collect_list("seq")).alias("seqs"))

@@ -148,7 +148,8 @@ def replay_model(log, changes, threshold, capacity):
     return out
 
 
-def test_replay_equals_a_step_by_step_run(spark):
+@pytest.mark.parametrize("segment_rows", [10_000, 40, 7])
+def test_replay_equals_a_step_by_step_run(spark, segment_rows):
     rng = np.random.default_rng(4)
     log = []
     for i in range(400):
@@ -157,7 +158,7 @@ def test_replay_equals_a_step_by_step_run(spark):
     changes = [("hot", 100), ("hot", 250), ("k0", 12), ("hot", 251)]
     got = cache.replay(
         spark.createDataFrame(log, "kb_id string, seq long, embedding array<double>, answer string, has_history boolean"),
-        spark.createDataFrame(changes, "kb_id string, seq long"), 0.999, 5).collect()
+        spark.createDataFrame(changes, "kb_id string, seq long"), 0.999, 5, segment_rows).collect()
     want = replay_model(log, changes, 0.999, 5)
     assert {(r.kb_id, r.seq): (r.outcome, r.matched_seq) for r in got} == want
     assert {o for o, _ in want.values()} == {"hit", "miss", "bypass"}
