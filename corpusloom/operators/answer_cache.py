@@ -28,7 +28,7 @@ _DIGITS = 6
 
 def evict(cache: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """Keep the newest ``capacity`` rows of each kb by insertion order."""
-    return top_k_per_group(cache, ["kb_id"], [F.desc("seq")], capacity, ["seq"], "_age").drop("_age")
+    return top_k_per_group(cache, ["kb_id"], [F.desc("seq")], capacity, "_age").drop("_age")
 
 
 def insert(cache: DataFrame, entries: DataFrame, enabled: bool = True,

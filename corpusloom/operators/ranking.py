@@ -6,21 +6,21 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 
 def top_k_per_group(df: DataFrame, group: list[str], order: list[Column], k: int,
-                    salt_on: list[str], rank: str = "rank", salts: int = 32) -> DataFrame:
-    """Exact first ``k`` rows per group, ranked 1..k.
+                    rank: str = "rank", slices: int = 32) -> DataFrame:
+    """Exact first ``k`` rows per group, ranked 1..k. ``order`` must end in a unique column.
 
-    Ranks within salted slices of each group first, so no task ever sorts a whole hot
-    group: the second step receives at most ``k * salts`` rows per group. Spark also puts a
-    group limit in front of both shuffles. ``order`` must end in a unique column.
+    Each task cuts its own rows to ``k`` per group before the first shuffle. What is left of
+    a group goes to as many tasks as there are slices, by the task it came from, is cut
+    again, and the last step ranks at most ``k * slices`` rows per group. Any slicing gives
+    the same answer, so a rerun task does no harm.
     """
-    salted = df.withColumn("_slice", F.pmod(F.xxhash64(*salt_on), F.lit(salts)))
     inner = Window.partitionBy(*group, "_slice").orderBy(*order)
     outer = Window.partitionBy(*group).orderBy(*order)
-    kept = salted.withColumn("_rank", F.row_number().over(inner)).filter(F.col("_rank") <= k)
     return (
-        kept.drop("_slice", "_rank")
-        .withColumn(rank, F.row_number().over(outer))
-        .filter(F.col(rank) <= k)
+        df.withColumn("_slice", F.spark_partition_id() % slices)
+        .withColumn("_rank", F.row_number().over(inner)).filter(F.col("_rank") <= k)
+        .drop("_slice", "_rank")
+        .withColumn(rank, F.row_number().over(outer)).filter(F.col(rank) <= k)
     )
 
 

@@ -23,6 +23,8 @@ from corpusloom.session import materialize, new_path
 
 SCORE_DIGITS = 6
 BLOCK_BYTES = 64 << 20
+# Up to this many kbs are named in a filter, which prunes partitions and row groups.
+MAX_KB_FILTER = 1000
 _CELLS = 2_000_000
 
 
@@ -140,8 +142,11 @@ def scan_top_k(rows: DataFrame, questions: DataFrame, row_bytes: Column, k: int,
     n_blocks = max(1, math.ceil(total / block_bytes))
 
     def scan(part: DataFrame) -> tuple[DataFrame, Broadcast]:
-        block = spark.sparkContext.broadcast(pack(part.toArrow()))
-        return rows.mapInArrow(best_per_task(block, score, k, arrow_schema), schema), block
+        entries = pack(part.toArrow())
+        block = spark.sparkContext.broadcast(entries)
+        asked = rows if len(entries) > MAX_KB_FILTER else rows.filter(
+            F.col("kb_id").isin(*entries))
+        return asked.mapInArrow(best_per_task(block, score, k, arrow_schema), schema), block
 
     if n_blocks == 1:
         found, _ = scan(questions)
@@ -155,5 +160,4 @@ def scan_top_k(rows: DataFrame, questions: DataFrame, row_bytes: Column, k: int,
             best.write.mode("append").parquet(path)
             block.destroy()
         found = spark.read.schema(schema).parquet(path)
-    return top_k_per_group(found, ["query_id"], [F.desc("score"), F.col("row_id")], k,
-                           salt_on=["row_id"])
+    return top_k_per_group(found, ["query_id"], [F.desc("score"), F.col("row_id")], k)

@@ -18,7 +18,7 @@ def summarize_runs(steps: DataFrame, max_steps: int = MAX_STEPS) -> DataFrame:
     tool calls; an empty one becomes the fixed reply.
     """
     calls = top_k_per_group(steps.filter(F.col("node") == "call_model"), ["session"],
-                            [F.col("step")], max_steps, ["step"], "_n")
+                            [F.col("step")], max_steps, "_n")
     final = F.when(~F.col("has_tool_calls"), F.struct("step", "content"))
     ran = calls.groupBy("session").agg(
         F.count("*").alias("steps"), F.max(final)["content"].alias("answer"))

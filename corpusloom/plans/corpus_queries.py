@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.operators import corpus_search, path_policy, traces
 from corpusloom.plans import bindings as b, sql
+from corpusloom.session import spread
 
 KEYWORDS = ["the", "EN", "tion", "python", "é"]
 
@@ -32,7 +33,8 @@ def _searchable(spark, sf):
     folders = F.array(*[F.lit(d) for d in (
         "docs", ".git", "src/venv", "my.github", "node_modules/x", "a/__pycache__", "lib")])
     ends = F.array(*[F.lit(e) for e in (".md", ".py", ".html", ".json", ".csv")])
-    return b.table(spark, sf, "documents").select(
+    docs = spread(b.table(spark, sf, "documents").select("doc_id", "text"), "doc_id")
+    return docs.select(
         F.concat(F.lit("/work/"), F.get(folders, (F.col("doc_id") % 7).cast("int")),
                  F.lit("/f"), F.col("doc_id").cast("string"),
                  F.get(ends, (F.col("doc_id") % 5).cast("int"))).alias("path"), "text")

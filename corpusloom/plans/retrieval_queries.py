@@ -8,7 +8,7 @@ from corpusloom.functions.text import tokenize
 from corpusloom.functions.vectors import cosine
 from corpusloom.operators import chunking, context, fusion, keyword, vectors
 from corpusloom.plans import bindings as b, sql
-from corpusloom.session import materialize
+from corpusloom.session import materialize, spread
 
 SWEEP = [(500, 0), (500, 50), (300, 30), (200, 50)]
 
@@ -33,7 +33,8 @@ def chunk_identity(spark, sf):
 
 def word_tokens(spark, sf):
     tokens = tokenize(F.col("text"))
-    return b.table(spark, sf, "documents").select("doc_id", tokens.alias("t")).select(
+    docs = spread(b.table(spark, sf, "documents").select("doc_id", "text"), "doc_id")
+    return docs.select("doc_id", tokens.alias("t")).select(
         "doc_id", F.size("t").alias("n_tokens"), F.size(F.array_distinct("t")).alias("n_distinct"),
         F.md5(F.array_join("t", " ")).alias("tokens_md5"))
 

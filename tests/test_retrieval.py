@@ -167,7 +167,7 @@ def test_top_k_of_a_hot_group_is_exact(spark):
     rows = spark.range(5000).select(
         F.when(F.col("id") % 3 == 0, F.col("id") % 50).otherwise(-1).alias("g"),
         (F.col("id") * 37 % 101).alias("v"), "id")
-    got = ranking.top_k_per_group(rows, ["g"], [F.desc("v"), F.col("id")], 4, ["id"]).collect()
+    got = ranking.top_k_per_group(rows, ["g"], [F.desc("v"), F.col("id")], 4).collect()
     data = {}
     for r in rows.collect():
         data.setdefault(r.g, []).append((-r.v, r.id))
