@@ -12,7 +12,7 @@ import time
 
 from corpusloom.plans import bindings
 from corpusloom.plans.registry import QUERIES
-from corpusloom.session import build_session
+from corpusloom.session import build_session, remove_stored
 
 # Indexes first: each is built once and read by the queries after it.
 INDEXES = {
@@ -51,6 +51,7 @@ def main() -> None:
     print(json.dumps({
         "metric": "total_seconds", "value": round(sum(times.values()), 3), "unit": "sec",
         "queries": times, "sf": os.path.basename(sf.rstrip("/")).removeprefix("sf")}))
+    remove_stored(spark)
     spark.stop()
 
 

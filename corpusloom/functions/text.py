@@ -42,6 +42,10 @@ def tokenize(text: Column) -> Column:
 
 def count_occurrences(text: Column, needle: Column) -> Column:
     """Non-overlapping, case-insensitive occurrences of ``needle``."""
-    hay, pin = F.lower(text), F.lower(needle)
-    gone = F.length(hay) - F.length(F.replace(hay, pin, F.lit("")))
-    return F.when(F.length(pin) > 0, (gone / F.length(pin)).cast("long")).otherwise(F.lit(0))
+    return count_exact(F.lower(text), F.lower(needle))
+
+
+def count_exact(text: Column, needle: Column) -> Column:
+    """Non-overlapping occurrences of ``needle``, case as given."""
+    gone = F.length(text) - F.length(F.replace(text, needle, F.lit("")))
+    return F.when(F.length(needle) > 0, (gone / F.length(needle)).cast("long")).otherwise(F.lit(0))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from corpusloom.functions.text import count_occurrences
+from corpusloom.functions.text import count_exact
 
 # Preview limits, searchable suffixes, skipped directories.
 PREVIEW_LIMIT = 100
@@ -66,7 +66,9 @@ def search_keywords(files: DataFrame, keywords: list[str], strict: bool = False)
     fits = F.lit(False)
     for suffix in SEARCHABLE:
         fits = fits | F.col("path").endswith(suffix)
-    counted = files.filter(fits & ~skip).select("path", F.filter(F.array(*[
-        F.struct(F.lit(k).alias("keyword"), count_occurrences(F.col("text"), F.lit(k))
-                 .alias("hits")) for k in keywords]), lambda c: c["hits"] > 0).alias("found"))
-    return counted.select("path", F.explode("found").alias("f")).select("path", "f.*")
+    lowered = files.filter(fits & ~skip).select("path", F.lower("text").alias("_text"))
+    counted = lowered.select("path", F.array(*[
+        F.struct(F.lit(k).alias("keyword"), count_exact(F.col("_text"), F.lit(k.lower()))
+                 .alias("hits")) for k in keywords]).alias("found"))
+    return counted.select("path", F.explode("found").alias("f")).select("path", "f.*").filter(
+        F.col("hits") > 0)

@@ -73,14 +73,21 @@ def materialize(df: DataFrame, name: str, partition_by: list[str] | None = None)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def remove_stored(spark: SparkSession) -> None:
+    """Delete everything this application wrote to the shared folder, once it is done."""
+    folder = os.path.join(shared_dir(spark), "corpusloom", spark.sparkContext.applicationId)
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def spread(df: DataFrame, *keys: str) -> DataFrame:
-    """Repartition a scan only when it has fewer splits than the cluster has slots.
+    """Repartition a scan only when it has few splits for the slots of the cluster.
 
     A few large row groups would leave most cores idle in front of the Python stage of the
     chunker. A corpus with enough splits is left as it is: no shuffle of whole texts.
     Call this on a plain scan only.
     """
     slots = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() >= 4 * slots:
+    if df.rdd.getNumPartitions() > 2 * slots:
         return df
     return df.repartition(slots * 2, *keys)

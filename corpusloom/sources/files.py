@@ -55,7 +55,7 @@ def parse(files: DataFrame) -> DataFrame:
     Text files are stripped and skipped when empty. Images become a placeholder that keeps
     the image path. Unknown suffixes, and pdf and docx when no extracted text is given in a
     ``text`` column, never fail: unknown ones become a placeholder, the others pass through
-    with the text they came with.
+    with the text they came with, one row per ``page`` if that column is there.
     """
     kind = suffix()
     is_text, is_image = kind.isin(*TEXT_SUFFIXES), kind.isin(*IMAGE_SUFFIXES)
@@ -65,10 +65,11 @@ def parse(files: DataFrame) -> DataFrame:
         .when(is_image, F.lit(IMAGE_PLACEHOLDER))
         .otherwise(F.concat(F.lit(UNSUPPORTED_PREFIX), kind, F.lit("]")))
     )
+    extracted = F.col("page") if "page" in files.columns else F.lit(None)
     blocks = files.select(
-        *[c for c in files.columns if c not in ("text", "length")],
+        *[c for c in files.columns if c not in ("text", "length", "page")],
         file_name().alias("source"), body.alias("text"),
-        F.when(is_text | is_codec, F.lit(None)).otherwise(F.lit(1)).cast("int").alias("page"),
+        F.when(is_codec, extracted).when(~is_text, F.lit(1)).cast("int").alias("page"),
         F.when(is_image, "image").otherwise("text").alias("type"),
         F.when(is_image, F.col("path")).alias("image"))
     return blocks.filter(has_text(F.col("text")))

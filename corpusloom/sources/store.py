@@ -41,6 +41,10 @@ class ChunkStore:
         (self._rows(chunks).write.mode("overwrite")
          .option("partitionOverwriteMode", "dynamic").partitionBy("kb_id").parquet(self.path))
 
+    def create(self, kb_ids: list[str]) -> None:
+        """Start collections over: whatever they held is gone, the next append fills them."""
+        self.drop(kb_ids)
+
     def drop(self, kb_ids: list[str]) -> None:
         """Remove whole kb partitions; ids without a partition are ignored. Reads no data."""
         jvm = self.spark._jvm

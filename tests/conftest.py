@@ -5,7 +5,7 @@ import pytest
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
-from corpusloom.session import build_session  # noqa: E402
+from corpusloom.session import build_session, remove_stored  # noqa: E402
 
 
 @pytest.fixture(scope="session")
@@ -15,4 +15,5 @@ def spark():
         spark__ui__showConsoleProgress="false")
     session.sparkContext.setLogLevel("ERROR")
     yield session
+    remove_stored(session)
     session.stop()

@@ -33,6 +33,13 @@ def test_files_are_read_whole_and_parsed_by_suffix(spark, tmp_path):
     assert listed.count() == 6 and "content" not in listed.columns
 
 
+def test_extracted_pages_keep_their_numbers(spark):
+    rows = spark.createDataFrame([("/a.pdf", " one ", 1), ("/a.pdf", "two", 2), ("/b.docx", None, None),
+                                  ("/c.md", "x", 9)], "path string, text string, page int")
+    got = [(r.source, r.text, r.page) for r in files.parse(rows).orderBy("source", "page").collect()]
+    assert got == [("a.pdf", "one", 1), ("a.pdf", "two", 2), ("c.md", "x", None)]
+
+
 def test_uploads_are_admitted_by_suffix_and_size(spark):
     rows = spark.createDataFrame([("/a.md", 20971520), ("/b.md", 20971521), ("/c.exe", 1),
                                   ("/d.PDF", 1)], "path string, length long")
@@ -63,6 +70,9 @@ def test_store_appends_replaces_and_drops(spark):
     assert counts() == {"007": 1, "a/b c": 2}
     store.drop(["a/b c", "missing"])
     assert counts() == {"007": 1}
+    store.append(chunk_rows(spark, "z", 1))
+    store.create(["007"])
+    assert counts() == {"z": 1}
 
 
 def test_catalog_rules(spark):
