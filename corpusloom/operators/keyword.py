@@ -20,7 +20,13 @@ EPSILON = 0.25
 
 
 def with_tokens(chunks: DataFrame) -> DataFrame:
-    """Add ``tokens``."""
+    """Add ``tokens``, unless the chunks were stored with them.
+
+    Statistics, vectors and every search read tokens; storing them once saves each of these
+    the regular expression.
+    """
+    if "tokens" in chunks.columns:
+        return chunks
     return chunks.withColumn("tokens", tokenize(F.col("content")))
 
 

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
+from hashlib import md5
 
 import numpy as np
 import pyarrow as pa
@@ -19,15 +19,24 @@ from corpusloom.session import materialize
 VECTOR_WIDTH = 256
 
 
+def _slots_of(words: pa.Array, width: int) -> np.ndarray:
+    """Slot of every word: the first four bytes of its MD5, modulo ``width``."""
+    words = words.cast(pa.binary())
+    ends = np.frombuffer(words.buffers()[1], np.int32)[words.offset:words.offset + len(words) + 1]
+    data = words.buffers()[2].to_pybytes() if len(words) and words.buffers()[2] else b""
+    at = ends.tolist()
+    digests = b"".join([md5(data[i:j]).digest() for i, j in zip(at, at[1:])])
+    return np.frombuffer(digests, ">u4")[::4].astype(np.int64) % width
+
+
 def _slot_counts(lists: pa.Array, width: int) -> np.ndarray:
     """Texts x slots token counts. Each distinct token of an Arrow batch is hashed once."""
     tokens = lists.flatten().dictionary_encode()
-    slots = np.array([int(hashlib.md5(t.encode()).hexdigest()[:8], 16) % width
-                      for t in tokens.dictionary.to_pylist()], dtype=np.int64)
     row_of = np.repeat(np.arange(len(lists)),
                        lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))
     cell = row_of * width
     if len(cell):
+        slots = _slots_of(tokens.dictionary, width)
         cell = cell + slots[tokens.indices.to_numpy(zero_copy_only=False)]
     return np.bincount(cell, minlength=len(lists) * width).reshape(len(lists), width)
 
@@ -37,17 +46,34 @@ def _to_lists(matrix: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(matrix.ravel()))
 
 
-def present_slots(tokens: Column, width: int = VECTOR_WIDTH) -> Column:
-    """Distinct slots the tokens of a text fall into; a token's slot comes from its MD5."""
+def _slot_frequencies(width: int, held_kbs: int = 10_000):
+    """Function for ``mapInArrow``: per task and kb, how many texts fall into each slot."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: dict[str, tuple[np.ndarray, int]] = {}
 
-    @F.arrow_udf("array<int>")
-    def slots(lists: pa.Array) -> pa.Array:
-        counts = _slot_counts(lists, width)
-        rows, found = np.nonzero(counts)
-        offsets = np.concatenate([[0], np.cumsum((counts > 0).sum(axis=1))]).astype(np.int32)
-        return pa.ListArray.from_arrays(pa.array(offsets), pa.array(found.astype(np.int32)))
+        def flush() -> pa.RecordBatch:
+            out = pa.RecordBatch.from_pydict({
+                "kb_id": pa.array(list(found), pa.string()),
+                "dfs": _to_lists(np.array([df for df, _ in found.values()], dtype=np.int64)),
+                "n_texts": pa.array([n for _, n in found.values()], pa.int64())})
+            found.clear()
+            return out
 
-    return slots(tokens)
+        for batch in batches:
+            present = _slot_counts(batch.column("tokens"), width) > 0
+            kbs = batch.column("kb_id").dictionary_encode()
+            codes = kbs.indices.to_numpy(zero_copy_only=False)
+            for code, kb in enumerate(kbs.dictionary.to_pylist()):
+                mine = present[codes == code]
+                df, n = found.get(kb, (0, 0))
+                found[kb] = (df + mine.sum(axis=0), n + len(mine))
+            if len(found) > held_kbs:
+                yield flush()
+        if found:
+            yield flush()
+
+    return run
 
 
 def weighted_slots(tokens: Column, weights: Column, width: int = VECTOR_WIDTH) -> Column:
@@ -61,25 +87,26 @@ def weighted_slots(tokens: Column, weights: Column, width: int = VECTOR_WIDTH) -
     return vectors(tokens, weights)
 
 
+def _tokens(texts: DataFrame, content: str) -> Column:
+    return F.col("tokens") if "tokens" in texts.columns else tokenize(F.col(content))
+
+
 def slot_weights(texts: DataFrame, content: str = "content",
                  width: int = VECTOR_WIDTH) -> DataFrame:
     """(kb_id, slot_idf): inverse document frequency of every slot, one array per kb.
 
-    Frequencies are kept per slot, so the table has at most ``width`` numbers per kb however
-    large the vocabulary grows, and partial aggregation shrinks it before the shuffle.
+    Frequencies are kept per slot, so there are ``width`` numbers per kb however large the
+    vocabulary grows, and each task hands on only its own sums per kb.
     """
-    found = texts.select(
-        "kb_id", present_slots(tokenize(F.col(content)), width).alias("slots"))
-    n_texts = found.groupBy("kb_id").agg(F.count("*").alias("n_texts"))
-    df = found.select("kb_id", F.explode("slots").alias("slot")).groupBy("kb_id", "slot").agg(
-        F.count("*").alias("df"))
-    per_kb = df.groupBy("kb_id").agg(
-        F.map_from_entries(F.collect_list(F.struct("slot", "df"))).alias("dfs"))
-    return n_texts.join(per_kb, "kb_id", "left").select("kb_id", F.transform(
-        F.sequence(F.lit(0), F.lit(width - 1)),
-        lambda s: F.log((F.col("n_texts") + 1.0)
-                        / (F.coalesce(F.try_element_at("dfs", s), F.lit(0)) + 1.0)) + 1.0,
-    ).alias("slot_idf"))
+    counted = texts.select("kb_id", _tokens(texts, content).alias("tokens")).mapInArrow(
+        _slot_frequencies(width), "kb_id string, dfs array<bigint>, n_texts bigint")
+    slots = counted.select("kb_id", "n_texts", F.posexplode("dfs").alias("slot", "df"))
+    per_slot = slots.groupBy("kb_id", "slot").agg(
+        F.sum("df").alias("df"), F.sum("n_texts").alias("n_texts"))
+    idf = F.log((F.col("n_texts") + 1.0) / (F.col("df") + 1.0)) + 1.0
+    return per_slot.groupBy("kb_id").agg(F.transform(
+        F.array_sort(F.collect_list(F.struct("slot", idf.alias("idf")))),
+        lambda s: s["idf"]).alias("slot_idf"))
 
 
 def vectorize(texts: DataFrame, weights: DataFrame, content: str = "content",
@@ -90,7 +117,7 @@ def vectorize(texts: DataFrame, weights: DataFrame, content: str = "content",
     """
     return (
         texts.join(weights, "kb_id")
-        .withColumn("embedding", weighted_slots(tokenize(F.col(content)), F.col("slot_idf"), width))
+        .withColumn("embedding", weighted_slots(_tokens(texts, content), F.col("slot_idf"), width))
         .drop("slot_idf")
     )
 

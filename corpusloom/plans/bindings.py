@@ -70,8 +70,8 @@ def blocks(spark: SparkSession, sf: str) -> DataFrame:
 
 @built_once
 def chunks(spark: SparkSession, sf: str) -> DataFrame:
-    """The chunk store: kb_id is the document source."""
-    return materialize(stored_form(chunk_blocks(blocks(spark, sf))), "chunks")
+    """The chunk store with tokens: kb_id is the document source."""
+    return materialize(keyword.with_tokens(stored_form(chunk_blocks(blocks(spark, sf)))), "chunks")
 
 
 def corpus_chunks(spark: SparkSession, sf: str) -> DataFrame:
@@ -113,7 +113,7 @@ def corpus_vectors(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     """(chunk_id, kb_id, embedding) of all chunks, and the slot weights behind them."""
     rows = corpus_chunks(spark, sf)
     weights = materialize(vectors.slot_weights(rows), "slot-weights")
-    vecs = vectors.vectorize(rows.select("kb_id", "chunk_id", "content"), weights)
+    vecs = vectors.vectorize(rows.select("kb_id", "chunk_id", "tokens"), weights)
     return materialize(vecs.select("kb_id", "chunk_id", "embedding"), "vectors"), weights
 
 

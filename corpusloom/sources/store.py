@@ -12,6 +12,8 @@ STORE_SCHEMA = (
     "page int, source string, type string, image string, kb_id string"
 )
 
+_COLUMNS = [field.split(" ")[0] for field in STORE_SCHEMA.split(", ")]
+
 
 class ChunkStore:
     """Append, scan, replace and drop the chunks of knowledge bases below one path."""
@@ -24,7 +26,7 @@ class ChunkStore:
     def _rows(chunks: DataFrame) -> DataFrame:
         # One kb lands in few files; AQE splits a large kb over tasks and merges small ones.
         rows = stored_form(chunks).withColumn("doc_id", F.col("doc_id").cast("string"))
-        return rows.hint("rebalance", "kb_id")
+        return rows.select(*_COLUMNS).hint("rebalance", "kb_id")
 
     def append(self, chunks: DataFrame) -> DataFrame:
         """Add chunks; returns the kb ids whose cached answers are now stale."""
