@@ -74,8 +74,8 @@ def stream_ingest(spark, sf):
     target = new_path(spark, "stream-chunks")
     ingest.start_ingest(ingest.document_stream(spark, sf), target,
                         new_path(spark, "state")).awaitTermination()
-    return spark.read.parquet(target).select(
-        F.col("kb_id").cast("string").alias("kb_id"), "doc_id", "chunk_id", "chunk_index",
+    return ingest.read_chunks(spark, target).select(
+        "kb_id", F.col("doc_id").cast("long").alias("doc_id"), "chunk_id", "chunk_index",
         F.md5("content").alias("content_md5"))
 
 

@@ -15,6 +15,15 @@ STORE_SCHEMA = (
 _COLUMNS = [field.split(" ")[0] for field in STORE_SCHEMA.split(", ")]
 
 
+def store_rows(chunks: DataFrame) -> DataFrame:
+    """Chunks in the store's columns, balanced for writing by kb.
+
+    One kb lands in few files; AQE splits a large kb over tasks and merges small ones.
+    """
+    rows = stored_form(chunks).withColumn("doc_id", F.col("doc_id").cast("string"))
+    return rows.select(*_COLUMNS).hint("rebalance", "kb_id")
+
+
 class ChunkStore:
     """Append, scan, replace and drop the chunks of knowledge bases below one path."""
 
@@ -22,15 +31,9 @@ class ChunkStore:
         self.spark = spark
         self.path = path.rstrip("/")
 
-    @staticmethod
-    def _rows(chunks: DataFrame) -> DataFrame:
-        # One kb lands in few files; AQE splits a large kb over tasks and merges small ones.
-        rows = stored_form(chunks).withColumn("doc_id", F.col("doc_id").cast("string"))
-        return rows.select(*_COLUMNS).hint("rebalance", "kb_id")
-
     def append(self, chunks: DataFrame) -> DataFrame:
         """Add chunks; returns the kb ids whose cached answers are now stale."""
-        self._rows(chunks).write.mode("append").partitionBy("kb_id").parquet(self.path)
+        store_rows(chunks).write.mode("append").partitionBy("kb_id").parquet(self.path)
         return chunks.select("kb_id").distinct()
 
     def scan(self, kb_ids: list[str] | None = None) -> DataFrame:
@@ -40,7 +43,7 @@ class ChunkStore:
 
     def replace(self, chunks: DataFrame) -> None:
         """Overwrite the kbs present in ``chunks`` and leave all others alone."""
-        (self._rows(chunks).write.mode("overwrite")
+        (store_rows(chunks).write.mode("overwrite")
          .option("partitionOverwriteMode", "dynamic").partitionBy("kb_id").parquet(self.path))
 
     def create(self, kb_ids: list[str]) -> None:

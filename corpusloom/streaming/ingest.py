@@ -8,6 +8,7 @@ from pyspark.sql.streaming import StreamingQuery
 from corpusloom.functions.text import has_text, strip
 from corpusloom.operators.catalog import EMPTY, READY
 from corpusloom.operators.chunking import chunk_blocks, split_text
+from corpusloom.sources.store import STORE_SCHEMA, store_rows
 
 DOCUMENT_SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -31,14 +32,27 @@ def to_blocks(documents: DataFrame) -> DataFrame:
 
 
 def start_ingest(documents: DataFrame, target: str, checkpoint: str) -> StreamingQuery:
-    """Chunk a document stream into a parquet folder; the file sink commits each batch once."""
+    """Chunk a document stream into ``target``, each batch into its own folder.
+
+    A batch that runs again after a failure overwrites its folder, so every document counts
+    once. Within a batch, rows are balanced by kb: few files per small kb, several for a
+    large one.
+    """
+    def write(batch: DataFrame, batch_id: int) -> None:
+        (store_rows(chunk_blocks(to_blocks(batch))).write.mode("overwrite")
+         .partitionBy("kb_id").parquet(f"{target}/batch_id={batch_id}"))
+
     return (
-        chunk_blocks(to_blocks(documents)).writeStream.format("parquet")
-        .option("path", target).option("checkpointLocation", checkpoint)
-        .partitionBy("kb_id").outputMode("append").trigger(availableNow=True).start()
+        documents.writeStream.foreachBatch(write)
+        .option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     )
 
 
+def read_chunks(spark: SparkSession, target: str) -> DataFrame:
+    """The chunks a stream has written so far."""
+    return spark.read.schema(STORE_SCHEMA + ", batch_id long").parquet(target)
+
+
 def start_registry(documents: DataFrame, log: str, checkpoint: str) -> StreamingQuery:
     """Write one registry update per arriving document to ``log``.
 

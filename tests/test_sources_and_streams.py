@@ -156,7 +156,7 @@ def test_streamed_ingest_equals_batch_and_runs_once(spark, tmp_path):
     docs.filter("doc_id >= 6").write.mode("append").parquet(folder)
     run()
     want = chunking.chunk_blocks(ingest.to_blocks(docs))
-    got = spark.read.parquet(target)
+    got = ingest.read_chunks(spark, target)
     cols = ["kb_id", "chunk_id", "content"]
     assert sorted(map(tuple, got.select(cols).collect())) == sorted(map(tuple, want.select(cols).collect()))
     log = ingest.read_log(spark, log_path)
