@@ -130,3 +130,14 @@ def shingle_sets(column: pa.Array, width: int) -> Iterator[tuple[int, np.ndarray
 
 def list_array(values: pa.Array, bounds: np.ndarray) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), values)
+
+
+def small_slices(batch: pa.RecordBatch, column: int = 1,
+                 size: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+    """A batch cut by about ``size`` bytes of one string column, one row at least."""
+    if len(batch):
+        starts, _ = string_buffers(batch.column(column))
+        group = (starts[1:] - starts[0]) // size
+        cuts = np.concatenate([[0], np.nonzero(np.diff(group))[0] + 1, [len(batch)]])
+        for lo, hi in zip(cuts, cuts[1:]):
+            yield batch.slice(int(lo), int(hi - lo))

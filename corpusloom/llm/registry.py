@@ -6,6 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 from corpusloom.llm.common import table
 from corpusloom.llm.exact_dedup import exact_duplicates
+from corpusloom.llm.packing import pack
+from corpusloom.llm.token_files import read_token_files, write_token_files
+from corpusloom.session import new_path
 
 
 def op1_exact_dedup(spark: SparkSession, sf: str) -> DataFrame:
@@ -20,8 +23,21 @@ SELECT doc_id, min(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
 FROM d WINDOW w AS (PARTITION BY t)
 """
 
+
+def op5_token_files(spark: SparkSession, sf: str) -> DataFrame:
+    path = new_path(spark, "token-files")
+    write_token_files(table(spark, sf, "documents"), path)
+    return read_token_files(spark, path)
+
+
+def op9_packing(spark: SparkSession, sf: str) -> DataFrame:
+    return pack(table(spark, sf, "documents"))
+
+
 QUERIES = {
     "op1_exact_dedup": op1_exact_dedup,
+    "op5_token_files": op5_token_files,
+    "op9_packing": op9_packing,
 }
 ORACLE = {
     "op1_exact_dedup": _OP1,
