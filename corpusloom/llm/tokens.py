@@ -10,12 +10,13 @@ from __future__ import annotations
 import json
 import os
 import re
+from array import array
 from collections.abc import Callable, Iterable
 
 import numpy as np
 
-#: Pieces a worker remembers, about 70 MB. Beyond it the newer half is forgotten.
-MEMORY = 400_000
+#: Pieces a worker remembers, about 200 MB. Beyond it the newer half is forgotten.
+MEMORY = 1_000_000
 _CHUNK_CHARS = 1 << 20
 _BATCH = 4096
 
@@ -85,11 +86,12 @@ class PieceEncoder:
                 for t, p in zip(texts, pieces)]
 
     def _learn(self, fresh: list[str]) -> None:
+        code = "H" if self.dtype.itemsize == 2 else "I"
         for at in range(0, len(fresh), _BATCH):
             batch = fresh[at:at + _BATCH]
             made = self.tokenizer.encode_batch_fast(batch, add_special_tokens=False)
             for piece, one in zip(batch, made):
-                self.known[piece] = np.array(one.ids, self.dtype).tobytes()
+                self.known[piece] = array(code, one.ids).tobytes()
 
     def _whole(self, text: str) -> bytes:
         ids = self.tokenizer.encode(text, add_special_tokens=False).ids
