@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 from corpusloom.llm.common import table
 from corpusloom.llm.exact_dedup import exact_duplicates
+from corpusloom.llm.mixing import mix
+from corpusloom.llm.near_dedup import near_duplicates
 from corpusloom.llm.packing import pack
 from corpusloom.llm.token_files import read_token_files, write_token_files
 from corpusloom.session import new_path
@@ -24,21 +26,74 @@ FROM d WINDOW w AS (PARTITION BY t)
 """
 
 
+def op3_mixing(spark: SparkSession, sf: str) -> DataFrame:
+    return mix(table(spark, sf, "documents"))
+
+
 def op5_token_files(spark: SparkSession, sf: str) -> DataFrame:
     path = new_path(spark, "token-files")
     write_token_files(table(spark, sf, "documents"), path)
     return read_token_files(spark, path)
 
 
+def op6_near_dedup(spark: SparkSession, sf: str) -> DataFrame:
+    return near_duplicates(table(spark, sf, "documents"), width=2)
+
+
 def op9_packing(spark: SparkSession, sf: str) -> DataFrame:
     return pack(table(spark, sf, "documents"))
 
 
+_OP3 = r"""
+WITH d AS (SELECT doc_id, source, coalesce(text, '') AS t,
+    len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size FROM documents),
+k AS (SELECT doc_id, source, size, -ln((('0x' || substr(md5(doc_id::VARCHAR), 1, 12))::BIGINT + 0.5::DOUBLE)
+    / 281474976710656.0::DOUBLE) / greatest(0.05::DOUBLE, 1 - 3 * ((length(t) - length(translate(t, '#$%&*|!', '')))
+    / greatest(length(t), 1)::DOUBLE)) AS key FROM d),
+s AS (SELECT source, sum(size)::BIGINT AS source_size, row_number() OVER (ORDER BY source NULLS LAST) AS rank
+  FROM d GROUP BY source),
+c AS (SELECT *, [5, 2, 1][(rank - 1) % 3 + 1]::DOUBLE AS weight, 2.0::DOUBLE * source_size AS cap,
+    1.5::DOUBLE * sum(source_size) OVER ()::DOUBLE AS wanted FROM s),
+l AS (SELECT *, cap / weight AS ratio, (wanted - coalesce(sum(cap) OVER b, 0)) /
+    (sum(weight) OVER () - coalesce(sum(weight) OVER b, 0)) AS level FROM c
+  WINDOW b AS (ORDER BY cap / weight, rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+t AS (SELECT source, source_size, least(cap, coalesce((SELECT arg_min(level, (ratio, rank)) FROM l
+    WHERE ratio > level) * weight, cap)) AS target FROM l),
+e AS (SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size)::BIGINT ELSE 0 END AS epochs FROM t)
+SELECT doc_id, size, source_size, target, (epochs * size + greatest(0, least(size,
+    floor(target)::BIGINT - epochs * source_size - coalesce(sum(size) OVER (PARTITION BY k.source
+      ORDER BY key, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))))::BIGINT AS taken
+FROM k JOIN e ON k.source IS NOT DISTINCT FROM e.source
+"""
+
+_OP6 = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+    'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS words FROM documents),
+s AS (SELECT doc_id, CASE WHEN len(words) = 0 THEN [] WHEN len(words) = 1 THEN [words[1]]
+    ELSE list_distinct(list_transform(range(1, len(words)), lambda i: words[i] || ' ' || words[i + 1]))
+  END AS grams FROM w),
+g AS (SELECT doc_id, len(grams) AS n, unnest(grams) AS gram FROM s),
+l AS (SELECT a.doc_id AS x, b.doc_id AS y FROM g a JOIN g b USING (gram)
+  WHERE a.doc_id <> b.doc_id AND 100 * a.n >= 80 * b.n AND 100 * b.n >= 80 * a.n
+  GROUP BY a.doc_id, b.doc_id HAVING 100 * count(*) >= 80 * (any_value(a.n) + any_value(b.n) - count(*))),
+r(doc_id, other) AS (SELECT doc_id, doc_id FROM s
+  UNION SELECT r.doc_id, l.y FROM r JOIN l ON l.x = r.other)
+SELECT s.doc_id, len(any_value(s.grams)) AS n_shingles, min(other) AS component_id,
+  s.doc_id = min(other) AS kept
+FROM s JOIN r USING (doc_id) GROUP BY s.doc_id
+"""
+
+
 QUERIES = {
     "op1_exact_dedup": op1_exact_dedup,
+    "op3_mixing": op3_mixing,
     "op5_token_files": op5_token_files,
+    "op6_near_dedup": op6_near_dedup,
     "op9_packing": op9_packing,
 }
 ORACLE = {
     "op1_exact_dedup": _OP1,
+    "op3_mixing": _OP3,
+    "op6_near_dedup": _OP6,
 }
