@@ -9,6 +9,7 @@ from corpusloom.llm.exact_dedup import exact_duplicates
 from corpusloom.llm.mixing import mix
 from corpusloom.llm.near_dedup import near_duplicates
 from corpusloom.llm.packing import pack
+from corpusloom.llm.quality import classify_quality
 from corpusloom.llm.token_files import read_token_files, write_token_files
 from corpusloom.session import new_path
 
@@ -40,6 +41,10 @@ def op6_near_dedup(spark: SparkSession, sf: str) -> DataFrame:
     return near_duplicates(table(spark, sf, "documents"), width=2)
 
 
+def op7_quality(spark: SparkSession, sf: str) -> DataFrame:
+    return classify_quality(table(spark, sf, "documents"), table(spark, sf, "labels"))
+
+
 def op9_packing(spark: SparkSession, sf: str) -> DataFrame:
     return pack(table(spark, sf, "documents"))
 
@@ -85,11 +90,18 @@ FROM s JOIN r USING (doc_id) GROUP BY s.doc_id
 """
 
 
+def pipeline(spark: SparkSession, sf: str) -> DataFrame:
+    import corpus_pipeline
+    return corpus_pipeline.run(spark, sf)
+
+
 QUERIES = {
+    "pipeline": pipeline,
     "op1_exact_dedup": op1_exact_dedup,
     "op3_mixing": op3_mixing,
     "op5_token_files": op5_token_files,
     "op6_near_dedup": op6_near_dedup,
+    "op7_quality": op7_quality,
     "op9_packing": op9_packing,
 }
 ORACLE = {
