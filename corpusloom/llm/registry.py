@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from corpus_pipeline import ORACLE_SQL, run as pipeline
 from corpusloom.llm.common import table
 from corpusloom.llm.exact_dedup import exact_duplicates
 from corpusloom.llm.mixing import mix
 from corpusloom.llm.near_dedup import near_duplicates
 from corpusloom.llm.packing import pack
 from corpusloom.llm.quality import classify_quality
+from corpusloom.llm.secrets import scan_secrets
 from corpusloom.llm.token_files import read_token_files, write_token_files
 from corpusloom.session import new_path
 
@@ -27,6 +29,10 @@ FROM d WINDOW w AS (PARTITION BY t)
 """
 
 
+def op2_secrets(spark: SparkSession, sf: str) -> DataFrame:
+    return scan_secrets(table(spark, sf, "documents"))
+
+
 def op3_mixing(spark: SparkSession, sf: str) -> DataFrame:
     return mix(table(spark, sf, "documents"))
 
@@ -90,14 +96,10 @@ FROM s JOIN r USING (doc_id) GROUP BY s.doc_id
 """
 
 
-def pipeline(spark: SparkSession, sf: str) -> DataFrame:
-    import corpus_pipeline
-    return corpus_pipeline.run(spark, sf)
-
-
 QUERIES = {
     "pipeline": pipeline,
     "op1_exact_dedup": op1_exact_dedup,
+    "op2_secrets": op2_secrets,
     "op3_mixing": op3_mixing,
     "op5_token_files": op5_token_files,
     "op6_near_dedup": op6_near_dedup,
@@ -109,3 +111,5 @@ ORACLE = {
     "op3_mixing": _OP3,
     "op6_near_dedup": _OP6,
 }
+if ORACLE_SQL:
+    ORACLE["pipeline"] = ORACLE_SQL
