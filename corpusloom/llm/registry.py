@@ -10,6 +10,7 @@ from corpusloom.llm.exact_dedup import exact_duplicates
 from corpusloom.llm.mixing import mix
 from corpusloom.llm.near_dedup import near_duplicates
 from corpusloom.llm.packing import pack
+from corpusloom.llm.pivot_search import top_inner_products
 from corpusloom.llm.quality import classify_quality
 from corpusloom.llm.secrets import scan_secrets
 from corpusloom.llm.token_files import read_token_files, write_token_files
@@ -51,6 +52,10 @@ def op7_quality(spark: SparkSession, sf: str) -> DataFrame:
     return classify_quality(table(spark, sf, "documents"), table(spark, sf, "labels"))
 
 
+def op8_exact_top_k(spark: SparkSession, sf: str) -> DataFrame:
+    return top_inner_products(table(spark, sf, "embeddings"))
+
+
 def op9_packing(spark: SparkSession, sf: str) -> DataFrame:
     return pack(table(spark, sf, "documents"))
 
@@ -96,6 +101,15 @@ FROM s JOIN r USING (doc_id) GROUP BY s.doc_id
 """
 
 
+_OP8 = """
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)) AS f FROM embeddings),
+p AS (SELECT q.vec_id AS query_id, c.vec_id AS vec_id, list_inner_product(q.f, c.f)::BIGINT AS score
+  FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 100 = 0),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM p)
+SELECT query_id, rank::INTEGER AS rank, vec_id, score FROM r WHERE rank <= 10
+"""
+
+
 QUERIES = {
     "pipeline": pipeline,
     "op1_exact_dedup": op1_exact_dedup,
@@ -104,12 +118,14 @@ QUERIES = {
     "op5_token_files": op5_token_files,
     "op6_near_dedup": op6_near_dedup,
     "op7_quality": op7_quality,
+    "op8_exact_top_k": op8_exact_top_k,
     "op9_packing": op9_packing,
 }
 ORACLE = {
     "op1_exact_dedup": _OP1,
     "op3_mixing": _OP3,
     "op6_near_dedup": _OP6,
+    "op8_exact_top_k": _OP8,
 }
 if ORACLE_SQL:
     ORACLE["pipeline"] = ORACLE_SQL
