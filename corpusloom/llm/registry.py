@@ -8,6 +8,7 @@ from corpus_pipeline import ORACLE_SQL, run as pipeline
 from corpusloom.llm.chat import as_replies, format_chats, read_back
 from corpusloom.llm.common import table
 from corpusloom.llm.exact_dedup import exact_duplicates
+from corpusloom.llm.html_extract import extract_main_text
 from corpusloom.llm.mixing import mix
 from corpusloom.llm.near_dedup import near_duplicates
 from corpusloom.llm.packing import pack
@@ -22,6 +23,10 @@ def op1_exact_dedup(spark: SparkSession, sf: str) -> DataFrame:
     return exact_duplicates(table(spark, sf, "documents"))
 
 
+def op10_main_text(spark: SparkSession, sf: str) -> DataFrame:
+    return extract_main_text(table(spark, sf, "pages"))
+
+
 _OP1 = r"""
 WITH d AS (SELECT doc_id, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g')) AS h,
   regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS t FROM documents)
@@ -130,6 +135,7 @@ QUERIES = {
     "op7_quality": op7_quality,
     "op8_exact_top_k": op8_exact_top_k,
     "op9_packing": op9_packing,
+    "op10_main_text": op10_main_text,
 }
 ORACLE = {
     "op1_exact_dedup": _OP1,
