@@ -22,7 +22,9 @@ from corpusloom.session import materialize
 SOURCE_WEIGHTS = (5, 2, 1)
 SHARE = 1.5
 MAX_EPOCHS = 2
-ROWS_PER_BUCKET = 20_000
+ROWS_PER_BUCKET = 2_000
+#: Up to this many sources their few numbers are sent to all tasks, else joined by shuffle.
+SMALL = 50_000
 #: Marks that prose seldom has; their share lowers a document's quality weight.
 JUNK_MARKS = "#$%&*|!"
 
@@ -95,11 +97,16 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         F.sort_array(F.collect_list(F.struct("w", "n"))).alias("classes"))
     # Stored once: all that follows sees the same targets.
     targets = materialize(source_targets(sizes), "mix-targets")
+    few = targets.count() <= SMALL
+
+    def per_source(df: DataFrame) -> DataFrame:
+        return F.broadcast(df) if few else df
 
     place = F.aggregate("classes", F.lit(0.0), lambda total, c: total + c["n"] * (
         1 - F.exp(-F.col("key") * c["w"]))) / F.col("docs")
     buckets = F.ceil(F.col("docs") / ROWS_PER_BUCKET)
-    same = rows.join(targets.withColumnRenamed("source", "of"), F.col("source").eqNullSafe(F.col("of")))
+    same = rows.join(per_source(targets.withColumnRenamed("source", "of")),
+                     F.col("source").eqNullSafe(F.col("of")))
     placed = same.withColumn("bucket", F.least(F.floor(place * buckets), buckets - 1)).select(
         "id", "source", "size", "key", "source_size", "target", "bucket")
 
@@ -116,7 +123,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         .groupBy("source").agg(F.min(F.struct(
             "bucket", (F.col("sum") - F.col("words")).alias("before"), "rest")).alias("edge"))
         .select(F.col("source").alias("of"), "edge.*").withColumnRenamed("bucket", "edge"))
-    cut = placed.join(edges, F.col("source").eqNullSafe(F.col("of")), "left").withColumn(
+    cut = placed.join(per_source(edges), F.col("source").eqNullSafe(F.col("of")), "left").withColumn(
         "epochs", epochs)
     columns = [F.col("id").alias(id_col), "size", "source_size", "target"]
     whole = F.when(F.col("bucket") < F.col("edge"), F.col("size")).otherwise(0)
