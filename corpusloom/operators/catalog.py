@@ -11,7 +11,7 @@ PROCESSING, READY, EMPTY, ERROR = "processing", "ready", "empty", "error"
 DEFAULT_KB = "agent"
 LOOSE_SOURCE = "agent_"
 BULK_PREFIX = "seed_"
-ID_CHARS = 8
+ID_CHARS = 32
 
 
 def short_id(*parts: Column) -> Column:
@@ -20,9 +20,14 @@ def short_id(*parts: Column) -> Column:
 
 
 def create_kbs(kbs: DataFrame, requests: DataFrame) -> DataFrame:
-    """Append requested kbs (name, description, created_at) with generated ids."""
-    fresh = requests.select(
-        short_id(F.col("name"), F.col("created_at").cast("string")).alias("kb_id"),
+    """Append requested kbs (request_id, name, description, created_at) with generated ids.
+
+    An id hashes the request's own id too, so equal names at equal times stay apart; a request
+    handed in twice is one kb.
+    """
+    fresh = requests.dropDuplicates(["request_id"]).select(
+        short_id(F.col("request_id").cast("string"), F.col("name"),
+                 F.col("created_at").cast("string")).alias("kb_id"),
         "name", F.coalesce("description", F.lit("")).alias("description"), "created_at")
     return kbs.unionByName(fresh)
 
@@ -44,8 +49,9 @@ def delete_kbs(tables: dict[str, DataFrame], dropped: DataFrame) -> dict[str, Da
 
 
 def default_kb(kbs: DataFrame) -> DataFrame:
-    """One row (kb_id, is_new): the newest kb, or the default one when there is none."""
-    newest = kbs.agg(F.max_by("kb_id", F.struct("created_at", "kb_id")).alias("kb_id"))
+    """One row (kb_id, is_new): the head of ``list_kbs``, or the default kb when there is none."""
+    newest = kbs.groupBy("created_at").agg(F.min("kb_id").alias("kb_id")).agg(
+        F.max_by("kb_id", "created_at").alias("kb_id"))
     return newest.select(F.coalesce("kb_id", F.lit(DEFAULT_KB)).alias("kb_id"),
                          F.col("kb_id").isNull().alias("is_new"))
 
@@ -129,9 +135,9 @@ def bulk_import(registry: DataFrame, files: DataFrame, size: int = CHUNK_SIZE,
         F.col("filename").alias("source"), F.lit("text").alias("type"),
         F.lit(None).cast("string").alias("image"))
     chunks = chunk_blocks(blocks, size, overlap)
-    counts = chunks.groupBy("doc_id").agg(F.count("*").alias("n"))
+    counts = chunks.groupBy("kb_id", "doc_id").agg(F.count("*").alias("n"))
     n = F.coalesce(F.col("n"), F.lit(0))
-    rows = fresh.drop("text").join(counts, "doc_id", "left").select(
+    rows = fresh.drop("text").join(counts, ["kb_id", "doc_id"], "left").select(
         "doc_id", "kb_id", F.concat(F.lit(BULK_PREFIX), F.col("filename")).alias("filename"),
         "file_size", n.alias("chunk_count"),
         F.when(F.col("error").isNotNull(), ERROR).when(n > 0, READY).otherwise(EMPTY)

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import re
+from bisect import bisect_right
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
@@ -13,6 +14,9 @@ CHUNK_OVERLAP = 50
 BOUNDARY_MARKS = ("\n\n", "\n", "。", "；", "，", ".", ";", ",")
 LOOK_BACK = 100
 
+# Overlapping places count, as in "\n\n\n".
+_MARK_PATTERNS = [(mark, re.compile(f"(?={re.escape(mark)})")) for mark in BOUNDARY_MARKS]
+
 
 def check_window(size: int, overlap: int) -> None:
     """Refuse windows that might not move forward."""
@@ -20,30 +24,44 @@ def check_window(size: int, overlap: int) -> None:
         raise ValueError(f"chunk size {size} with overlap {overlap} cannot make progress")
 
 
-def _window_end(text: str, start: int, size: int) -> int:
-    full = start + size
-    if full >= len(text):
-        return full
-    floor = max(start, full - LOOK_BACK)
-    hits = ((text.rfind(mark, floor, full), len(mark)) for mark in BOUNDARY_MARKS)
-    return next((at + width for at, width in hits if at >= 0), full)
-
-
-def windows(text: str, size: int, overlap: int, drop_contained_tail: bool) -> Iterator[str]:
-    """Chunks of one text. The first mark found in the look-back range wins over closer ones."""
-    if len(text) <= size:
-        if text.strip():
-            yield text
-        return
-    start = 0
-    while start < len(text):
-        end = _window_end(text, start, size)
-        piece = text[start:end].strip()
-        if piece:
-            yield piece
-        if drop_contained_tail and end >= len(text):
-            return
-        start = end - overlap
+class _Marks:
+    """Where each mark stands in a text, found once, so that a cut is a few binary searches."""
+
+    def __init__(self, text: str):
+        self.places = [(len(mark), [m.start() for m in pattern.finditer(text)])
+                       for mark, pattern in _MARK_PATTERNS]
+
+    def cut_before(self, low: int, high: int) -> int:
+        """End of the last preferred mark lying wholly in [low, high), or ``high``."""
+        for width, places in self.places:
+            at = bisect_right(places, high - width) - 1
+            if at >= 0 and places[at] >= low:
+                return places[at] + width
+        return high
+
+
+def windows(text: str, size: int, overlap: int, drop_contained_tail: bool) -> list[str]:
+    """Chunks of one text: bounds of all windows first, then their stripped texts.
+
+    A window that does not reach the end stops at the best mark of its last LOOK_BACK
+    characters, where the first kind of mark found there wins over closer ones. A text that
+    fits one window is kept as it is.
+    """
+    n = len(text)
+    if n <= size:
+        return [text] if text.strip() else []
+    marks = _Marks(text)
+    begins, ends = [0], []
+    while True:
+        full = begins[-1] + size
+        ends.append(full if full >= n else marks.cut_before(
+            max(begins[-1], full - LOOK_BACK), full))
+        following = ends[-1] - overlap
+        if following >= n or drop_contained_tail and ends[-1] >= n:
+            break
+        begins.append(following)
+    pieces = (text[a:b].strip() for a, b in zip(begins, ends))
+    return [piece for piece in pieces if piece]
 
 
 def split_text(text: Column, size: int = CHUNK_SIZE, overlap: int = CHUNK_OVERLAP,
@@ -59,7 +77,7 @@ def split_text(text: Column, size: int = CHUNK_SIZE, overlap: int = CHUNK_OVERLA
     @F.arrow_udf("array<string>")
     def parts(texts: pa.Array) -> pa.Array:
         return pa.array(
-            [None if t is None else list(windows(t, size, overlap, drop_contained_tail))
+            [None if t is None else windows(t, size, overlap, drop_contained_tail)
              for t in texts.to_pylist()], type=kind)
 
     return parts(text)
@@ -70,7 +88,7 @@ def chunk_blocks(blocks: DataFrame, size: int = CHUNK_SIZE, overlap: int = CHUNK
     """One row per chunk; ``chunk_index`` starts over in every block.
 
     ``blocks``: kb_id, doc_id, text, page, source, type, image. ``chunk_id`` is unique as
-    long as (doc_id, page) names one block; ``chunk_label`` is the short form for display.
+    long as (kb_id, doc_id, page) names one block; ``chunk_label`` is the short form for display.
     """
     kept = ("kb_id", "doc_id", "page", "source", "type", "image")
     split = blocks.select(
@@ -80,7 +98,7 @@ def chunk_blocks(blocks: DataFrame, size: int = CHUNK_SIZE, overlap: int = CHUNK
     ).withColumn("type", F.coalesce("type", F.lit("text")))
     return exploded.select(
         "kb_id", "doc_id",
-        F.concat_ws("#", F.col("doc_id").cast("string"),
+        F.concat_ws("#", F.col("kb_id"), F.col("doc_id").cast("string"),
                     F.coalesce(F.col("page"), F.lit(0)).cast("string"),
                     F.col("chunk_index").cast("string")).alias("chunk_id"),
         chunk_label().alias("chunk_label"),

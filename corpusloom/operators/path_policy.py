@@ -24,6 +24,10 @@ REASON_SENSITIVE = "敏感文件禁止访问: 包含 '"
 REASON_OUTSIDE = "路径不在允许范围内，仅允许访问用户目录和项目目录"
 REASON_PROTECTED = "禁止覆盖配置文件: "
 
+# A scheme has two letters or more; one letter is a drive.
+_SCHEME = "^([A-Za-z][A-Za-z0-9+.-]+):"
+KNOWN_SCHEMES = ("file", "hdfs", "viewfs")
+
 
 @dataclass(frozen=True)
 class PathRules:
@@ -40,9 +44,14 @@ def normalize(path: Column, base: str = "/home") -> Column:
     """Absolute form with ``/`` between segments and without ``.``, ``..`` or empty ones.
 
     Relative paths start at ``base``. A drive letter counts as the root. Links are not
-    resolved: the path is judged as text.
+    resolved: the path is judged as text. Of a URI with a known scheme the path is judged,
+    whatever its host; one with another scheme stays as it is, so no root allows it.
     """
-    slashed = F.replace(path, F.lit("\\"), F.lit("/"))
+    given = F.replace(path, F.lit("\\"), F.lit("/"))
+    scheme = F.lower(F.regexp_extract(given, _SCHEME, 1))
+    bare = F.regexp_replace(F.regexp_replace(given, _SCHEME + "(//[^/]*)?", ""), "^/([A-Za-z]:)", "$1")
+    foreign = (scheme != "") & ~scheme.isin(*KNOWN_SCHEMES)
+    slashed = F.when(scheme == "", given).otherwise(bare)
     drive = slashed.rlike("^[A-Za-z]:")
     rooted = F.when(drive | slashed.startswith("/"), slashed).otherwise(
         F.concat(F.lit(base.replace("\\", "/") + "/"), slashed))
@@ -54,7 +63,8 @@ def normalize(path: Column, base: str = "/home") -> Column:
         lambda acc, x: F.when(x.isin("", "."), acc)
         .when(x == "..", F.slice(acc, F.lit(1), F.greatest(F.size(acc) - 1, root_size)))
         .otherwise(F.concat(acc, F.array(x))))
-    return F.concat(F.when(has_drive, F.lit("")).otherwise(F.lit("/")), F.array_join(kept, "/"))
+    whole = F.concat(F.when(has_drive, F.lit("")).otherwise(F.lit("/")), F.array_join(kept, "/"))
+    return F.when(foreign, given).otherwise(whole)
 
 
 def _clean(rule: str) -> str:
@@ -113,3 +123,10 @@ def classify(paths: DataFrame, rules: PathRules = PathRules(), for_write: bool =
     return normal.withColumn("_r", judge(F.col("normalized"), rules)).select(
         *normal.columns, F.col("_r").isNull().alias("allowed"),
         F.coalesce("_r", F.lit("")).alias("reason"))
+
+
+def gate(files: DataFrame, rules: PathRules = PathRules()) -> tuple[DataFrame, DataFrame]:
+    """(rows that may be read, (path, reason) of the others): to go in front of every file tool."""
+    judged = classify(files, rules)
+    return (judged.filter("allowed").select(*files.columns),
+            judged.filter(~F.col("allowed")).select("path", "reason"))

@@ -23,8 +23,6 @@ from corpusloom.session import materialize, new_path
 
 SCORE_DIGITS = 6
 BLOCK_BYTES = 64 << 20
-# Up to this many kbs are named in a filter, which prunes partitions and row groups.
-MAX_KB_FILTER = 1000
 _CELLS = 2_000_000
 
 
@@ -122,10 +120,10 @@ def scan_top_k(rows: DataFrame, questions: DataFrame, row_bytes: Column, k: int,
                block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """(query_id, row_id, score, rank): exact top ``k`` of ``rows`` per question.
 
-    The size of the question side is measured first. If it fits ``block_bytes`` it is
-    broadcast and the scan stays lazy. Otherwise the rows are scanned once per block of
-    questions, one block in memory at a time, each block's best rows going to the shared
-    folder.
+    The size of the question side is measured first and cut into blocks of ``block_bytes``. The
+    rows are scanned once per block, one block in memory at a time, and each block's best
+    rows go to the shared folder; all of that happens when this is called. A semi-join with the
+    block's kbs, no larger than the block itself, keeps other kbs' partitions unread.
     """
     spark = rows.sparkSession
     id_type = questions.schema["query_id"].dataType
@@ -141,23 +139,15 @@ def scan_top_k(rows: DataFrame, questions: DataFrame, row_bytes: Column, k: int,
     total = questions.agg(F.sum(row_bytes)).first()[0] or 0
     n_blocks = max(1, math.ceil(total / block_bytes))
 
-    def scan(part: DataFrame) -> tuple[DataFrame, Broadcast]:
-        entries = pack(part.toArrow())
-        block = spark.sparkContext.broadcast(entries)
-        asked = rows if len(entries) > MAX_KB_FILTER else rows.filter(
-            F.col("kb_id").isin(*entries))
-        return asked.mapInArrow(best_per_task(block, score, k, arrow_schema), schema), block
-
-    if n_blocks == 1:
-        found, _ = scan(questions)
-    else:
-        path = new_path(spark, "scan")
-        block_of = F.pmod(F.xxhash64("query_id"), F.lit(n_blocks))
-        stored = materialize(questions.withColumn("_block", block_of), "questions", ["_block"])
-        for i in range(n_blocks):
-            part = stored.filter(F.col("_block") == i).drop("_block")
-            best, block = scan(part)
-            best.write.mode("append").parquet(path)
-            block.destroy()
-        found = spark.read.schema(schema).parquet(path)
+    path = new_path(spark, "scan")
+    block_of = F.pmod(F.xxhash64("query_id"), F.lit(n_blocks))
+    stored = materialize(questions.withColumn("_block", block_of), "questions", ["_block"])
+    for i in range(n_blocks):
+        part = stored.filter(F.col("_block") == i).drop("_block")
+        block = spark.sparkContext.broadcast(pack(part.toArrow()))
+        asked = rows.join(F.broadcast(part.select("kb_id").distinct()), "kb_id", "left_semi")
+        best = asked.mapInArrow(best_per_task(block, score, k, arrow_schema), schema)
+        best.write.mode("append").parquet(path)
+        block.unpersist()
+    found = spark.read.schema(schema).parquet(path)
     return top_k_per_group(found, ["query_id"], [F.desc("score"), F.col("row_id")], k)

@@ -56,10 +56,10 @@ def parse_judgements(responses: DataFrame) -> DataFrame:
     fenced = F.element_at(F.split(after, "```"), 1)
 
     def read(text: Column) -> Column:
-        whole = F.when(text.rlike(r"(?s)^\s*\{.*\}\s*$"), text)
-        parsed = F.from_json(whole, _SCORES + ", _bad string",
-                             {"columnNameOfCorruptRecord": "_bad", "mode": "PERMISSIVE"})
-        return F.when(parsed.isNotNull() & parsed["_bad"].isNull(), parsed)
+        # Read as a list of one: whatever follows the object makes the list unreadable or longer.
+        whole = F.when(text.rlike(r"(?s)^\s*\{.*\}\s*$"), F.concat(F.lit("["), text, F.lit("]")))
+        parsed = F.from_json(whole, f"array<struct<{_SCORES}>>")
+        return F.when(F.size(parsed) == 1, F.element_at(parsed, 1))
 
     found = responses.withColumn("_s", F.coalesce(read(raw), read(fenced)))
     bad = F.col("_s").isNull()

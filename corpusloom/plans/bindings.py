@@ -209,7 +209,10 @@ def judge_responses(spark: SparkSession, sf: str) -> DataFrame:
         F.lit(', "answer_relevancy": '), number(F.col("doc_id") % 5 + 1),
         F.lit(', "comment": "doc '), number(F.col("doc_id")), F.lit('"}'))
     raw = (
-        F.when(F.col("doc_id") % 4 == 0, body)
+        F.when(F.col("doc_id") % 12 == 0, F.concat(body, F.lit(" "), body))
+        .when(F.col("doc_id") % 20 == 0, F.concat(body, F.lit("}")))
+        .when(F.col("doc_id") % 28 == 0, F.concat(body, F.lit(", "), body))
+        .when(F.col("doc_id") % 4 == 0, body)
         .when(F.col("doc_id") % 4 == 1, F.concat(F.lit("Here:\n```json\n"), body, F.lit("\n```\nend")))
         .when(F.col("doc_id") % 4 == 2, F.concat(F.lit("```\n"), body, F.lit("\n```")))
         .otherwise(F.concat(F.lit("no verdict for "), number(F.col("doc_id")), F.lit(" "),

@@ -68,8 +68,10 @@ def collection_drop(spark, sf):
 
 
 def kb_create(spark, sf):
-    """One new kb per document language, next to the existing ones."""
+    """Two new kbs per document language, of equal name and time, next to the existing ones."""
     wanted = b.table(spark, sf, "documents").groupBy("lang").agg(F.min("doc_id").alias("m")).select(
+        F.explode(F.array(*[F.concat(F.col("lang"), F.lit(f"-{i}")) for i in (1, 2)]))
+        .alias("request_id"),
         F.col("lang").alias("name"), F.lit(None).cast("string").alias("description"),
         b.minutes_after_start(F.col("m")).alias("created_at"))
     return catalog.create_kbs(b.kbs(spark, sf), wanted)
@@ -132,13 +134,18 @@ def kb_statistics(spark, sf):
 
 
 def bulk_import(spark, sf):
-    """Import all documents into kbs by language; English holds a ready import already."""
+    """Import all documents into kbs by language, and every fifth into one more kb as well.
+
+    English holds a ready import already.
+    """
     docs = b.table(spark, sf, "documents")
+    places = F.when(F.col("doc_id") % 5 == 0, F.array(F.col("lang"), F.lit("extra"))).otherwise(
+        F.array("lang"))
     done = docs.filter("lang = 'en'").agg(F.min("doc_id").alias("doc_id")).select(
         "doc_id", F.lit("en").alias("kb_id"), F.lit("seed_first.md").alias("filename"),
         F.lit("ready").alias("status"))
     incoming = docs.select(
-        F.col("lang").alias("kb_id"), "doc_id",
+        F.explode(places).alias("kb_id"), "doc_id",
         F.concat(F.lit("doc_"), F.col("doc_id").cast("string"), F.lit(".md")).alias("filename"),
         F.when(F.col("doc_id") % 17 == 0, F.lit("  \n ")).otherwise(F.col("text")).alias("text"),
         F.col("n_chars").alias("file_size"),
@@ -149,7 +156,9 @@ def bulk_import(spark, sf):
 
 
 def default_kb(spark, sf):
-    return catalog.default_kb(b.kbs(spark, sf))
+    """The newest kb where creation times are whole weeks, so that many are equal."""
+    return catalog.default_kb(b.kbs(spark, sf).withColumn(
+        "created_at", F.date_trunc("week", "created_at")))
 
 
 def loose_texts(spark, sf):
@@ -164,12 +173,14 @@ def loose_texts(spark, sf):
 
 def guarded_load(spark, sf):
     """Load documents from paths of which the policy blocks some."""
-    spots = F.array(*[F.lit(s) for s in ("/home/u", "/etc", "/home/u/secret", "/srv")])
+    spots = F.array(*[F.lit(s) for s in ("/home/u", "file:/etc", "hdfs://nn:8020/home/u/secret", "s3x://b/home")])
+    kinds = F.when(F.col("doc_id") % 12 == 0, ".pdf").otherwise(".md")
     paths = b.table(spark, sf, "documents").select(
         F.col("source").alias("kb_id"), "doc_id",
         F.concat(F.get(spots, (F.col("doc_id") % 4).cast("int")), F.lit("/doc_"),
-                 F.col("doc_id").cast("string"), F.lit(".md")).alias("path"),
-        F.when(F.col("doc_id") % 40 == 0, F.lit(" ")).otherwise(F.col("text")).alias("text"))
+                 F.col("doc_id").cast("string"), kinds).alias("path"),
+        F.when(F.col("doc_id") % 40 == 0, F.lit(" ")).when(F.col("doc_id") % 24 == 0, F.lit(None))
+        .otherwise(F.col("text")).alias("text"))
     chunks, rejected = files.guarded_load(paths, PathRules())
     loaded = chunks.groupBy("source").agg(F.count("*").alias("n_chunks")).select(
         F.concat(F.lit("/home/u/"), F.col("source")).alias("path"),
@@ -190,7 +201,8 @@ _PATHS = """paths AS (
          lower(['.md', '.TXT', '.csv', '.png', '.xyz', '.pdf', ''][doc_id % 7 + 1]) AS suffix
   FROM documents)"""
 
-_ID = "substr(sha256(name || chr(31) || strftime(created_at, '%Y-%m-%d %H:%M:%S')), 1, 8)"
+_ID = ("substr(sha256(name || '-' || n || chr(31) || name || chr(31) || "
+       "strftime(created_at, '%Y-%m-%d %H:%M:%S')), 1, 32)")
 
 ORACLE = {
     "corpus_scan": sql.with_(sql.DOCS, then="""
@@ -236,7 +248,7 @@ ORACLE = {
         SELECT {_ID} AS kb_id, name, '' AS description, created_at
         FROM (SELECT lang AS name,
                      {sql.START} + to_minutes(CAST(min(doc_id) AS INTEGER)) AS created_at
-              FROM documents GROUP BY lang)"""),
+              FROM documents GROUP BY lang), range(1, 3) AS g(n)"""),
     "kb_list": sql.with_(sql.KBS, then="SELECT * FROM kbs ORDER BY created_at DESC, kb_id"),
     "kb_lookup": sql.with_(sql.KBS, then="SELECT * FROM kbs WHERE kb_id = 'src7'"),
     "kb_delete_cascade": sql.with_(sql.CHUNKS, sql.KBS, sql.REGISTRY, then="""
@@ -270,19 +282,21 @@ ORACLE = {
     "bulk_import": sql.with_(
         f"""docs AS (
           SELECT doc_id, lang AS kb_id, 'doc_' || doc_id || '.md' AS source, text
-          FROM documents WHERE lang <> 'en' AND doc_id % 17 <> 0 AND doc_id % 29 <> 0
+          FROM documents WHERE (lang <> 'en' OR doc_id % 5 = 0) AND doc_id % 17 <> 0
+            AND doc_id % 29 <> 0
             AND length(trim(text, {sql.BLANKS})) > 0)""",
         sql.windows(), then=f"""
-        SELECT d.doc_id, d.lang AS kb_id, 'seed_doc_' || d.doc_id || '.md' AS filename,
+        SELECT d.doc_id, d.kb_id, 'seed_doc_' || d.doc_id || '.md' AS filename,
                d.n_chars AS file_size, coalesce(c.n, 0) AS chunk_count,
                CASE WHEN d.doc_id % 29 = 0 THEN 'error' WHEN c.n > 0 THEN 'ready'
                     ELSE 'empty' END AS status,
                {sql.START} + to_minutes(CAST(d.doc_id AS INTEGER)) AS created_at
-        FROM documents d
-        LEFT JOIN (SELECT doc_id, count(*) AS n FROM chunks GROUP BY doc_id) c USING (doc_id)
-        WHERE d.lang <> 'en'"""),
+        FROM (SELECT *, lang AS kb_id FROM documents WHERE lang <> 'en'
+              UNION ALL SELECT *, 'extra' FROM documents WHERE doc_id % 5 = 0) d
+        LEFT JOIN (SELECT doc_id, count(*) AS n FROM chunks GROUP BY doc_id) c USING (doc_id)"""),
     "default_kb": sql.with_(sql.KBS, then="""
-        SELECT kb_id, false AS is_new FROM kbs ORDER BY created_at DESC, kb_id DESC LIMIT 1"""),
+        SELECT kb_id, false AS is_new FROM kbs
+        ORDER BY date_trunc('week', created_at) DESC, kb_id LIMIT 1"""),
     "loose_texts": sql.with_(
         f"""docs AS (
           SELECT conv_id || '-' || turn AS doc_id, 'src' || (conv_id % 20) AS kb_id,
@@ -293,10 +307,13 @@ ORACLE = {
                md5(content) AS content_md5 FROM chunks"""),
     "guarded_load": sql.with_(
         f"""paths AS (
-          SELECT doc_id, source AS kb_id, ['/home/u', '/etc', '/home/u/secret', '/srv'][doc_id % 4 + 1]
-                   || '/doc_' || doc_id || '.md' AS path, 'doc_' || doc_id || '.md' AS source,
-                 trim(CASE WHEN doc_id % 40 = 0 THEN ' ' ELSE text END, {sql.BLANKS}) AS text
-          FROM documents)""",
+          SELECT doc_id, source AS kb_id,
+                 ['/home/u', 'file:/etc', 'hdfs://nn:8020/home/u/secret', 's3x://b/home'][doc_id % 4 + 1]
+                   || '/' || name AS path, name AS source,
+                 trim(CASE WHEN doc_id % 40 = 0 THEN ' ' WHEN doc_id % 24 = 0 THEN '' ELSE text END,
+                      {sql.BLANKS}) AS text
+          FROM (SELECT *, 'doc_' || doc_id || CASE WHEN doc_id % 12 = 0 THEN '.pdf' ELSE '.md' END
+                  AS name FROM documents))""",
         "docs AS (SELECT * FROM paths WHERE doc_id % 4 = 0 AND length(text) > 0)",
         sql.windows(), then="""
         SELECT '/home/u/' || source AS path, '' AS reason, count(*) AS n_chunks

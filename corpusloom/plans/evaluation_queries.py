@@ -176,10 +176,13 @@ QUERIES = {f.__name__: f for f in (
     demo_questions, archive_list, archive_load, archive_details)}
 
 _RAW = """raws AS (
-  SELECT doc_id, CASE doc_id % 4
-           WHEN 0 THEN body
-           WHEN 1 THEN 'Here:' || chr(10) || '```json' || chr(10) || body || chr(10) || '```' || chr(10) || 'end'
-           WHEN 2 THEN '```' || chr(10) || body || chr(10) || '```'
+  SELECT doc_id, CASE
+           WHEN doc_id % 12 = 0 THEN body || ' ' || body
+           WHEN doc_id % 20 = 0 THEN body || '}'
+           WHEN doc_id % 28 = 0 THEN body || ', ' || body
+           WHEN doc_id % 4 = 0 THEN body
+           WHEN doc_id % 4 = 1 THEN 'Here:' || chr(10) || '```json' || chr(10) || body || chr(10) || '```' || chr(10) || 'end'
+           WHEN doc_id % 4 = 2 THEN '```' || chr(10) || body || chr(10) || '```'
            ELSE 'no verdict for ' || doc_id || ' ' || repeat('x', CAST(doc_id % 300 AS INTEGER)) END AS raw
   FROM (SELECT doc_id, '{"context_recall": ' || (1 + quality * 4 - toxic) ||
                ', "context_precision": ' || (2 + quality * 3 - toxic) || ', "faithfulness": ' ||

@@ -54,7 +54,7 @@ def windows(size: int = 500, overlap: int = 50, docs: str = "docs", name: str =
 {name} AS MATERIALIZED (
   SELECT d.doc_id, d.kb_id, d.source, p.content,
          row_number() OVER (PARTITION BY d.doc_id ORDER BY p.k) - 1 AS chunk_index,
-         d.doc_id || '#0#' || (row_number() OVER (PARTITION BY d.doc_id ORDER BY p.k) - 1)
+         d.kb_id || '#' || d.doc_id || '#0#' || (row_number() OVER (PARTITION BY d.doc_id ORDER BY p.k) - 1)
            AS chunk_id
   FROM {name}_p p JOIN {docs} d USING (doc_id) WHERE length(p.content) > 0)"""
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 
@@ -16,7 +17,7 @@ def build_session(app_name: str = "corpusloom", master: str | None = None,
     """A session with the settings the operators are tested under.
 
     Nothing here fixes the size of the cluster: partition counts come from AQE and from
-    the caller.
+    the caller. Where executors do not have this package, call ``ship_package`` next.
     """
     builder = (
         SparkSession.builder.appName(app_name)
@@ -28,6 +29,9 @@ def build_session(app_name: str = "corpusloom", master: str | None = None,
     )
     if master:
         builder = builder.master(master)
+        local = re.fullmatch(r"local\[(\d+)\]", master)
+        if local:
+            builder = builder.config(TEXT_PARTITIONS, str(2 * int(local[1])))
     if shuffle_partitions:
         builder = builder.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
     for key, value in conf.items():
@@ -73,6 +77,14 @@ def materialize(df: DataFrame, name: str, partition_by: list[str] | None = None)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def read_or_empty(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """A parquet table, without rows where nothing was written yet."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if not folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder):
+        return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).parquet(path)
+
+
 def remove_stored(spark: SparkSession) -> None:
     """Delete everything this application wrote to the shared folder, once it is done."""
     folder = os.path.join(shared_dir(spark), "corpusloom", spark.sparkContext.applicationId)
@@ -80,14 +92,22 @@ def remove_stored(spark: SparkSession) -> None:
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+#: Setting: partitions that texts are dealt into before row-wise Python work. Unset, the scan's
+#: own splits are kept, so a cluster shuffles no texts.
+TEXT_PARTITIONS = "spark.corpusloom.textPartitions"
+
+
 def spread(df: DataFrame, *keys: str) -> DataFrame:
-    """Repartition a scan only when it has few splits for the slots of the cluster.
+    """Deal rows out by the TEXT_PARTITIONS setting, for inputs of a few large row groups."""
+    wanted = df.sparkSession.conf.get(TEXT_PARTITIONS, None)
+    return df.repartition(int(wanted), *keys) if wanted else df
 
-    A few large row groups would leave most cores idle in front of the Python stage of the
-    chunker. A corpus with enough splits is left as it is: no shuffle of whole texts.
-    Call this on a plain scan only.
-    """
-    slots = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() > 2 * slots:
-        return df
-    return df.repartition(slots * 2, *keys)
+
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to executors that do not have it installed."""
+    import shutil
+
+    root = os.path.dirname(os.path.abspath(__file__))
+    name = os.path.join(tempfile.mkdtemp(prefix="corpusloom-"), "corpusloom")
+    spark.sparkContext.addPyFile(shutil.make_archive(
+        name, "zip", os.path.dirname(root), os.path.basename(root)))

@@ -23,11 +23,13 @@ def run_name(moment: Column) -> Column:
 
 
 def save_runs(runs: DataFrame, details: DataFrame, path: str) -> None:
-    """Write runs and their per-question rows; both carry ``run``. Text is stored as it is."""
+    """Write runs and their per-question rows; both carry ``run``. A run saved again is replaced."""
     details.select("run", "config", "query_id", *[m.split(":")[0].strip()
                                                   for m in _METRICS.split(",")]) \
-        .write.mode("append").partitionBy("run").json(f"{path}/details")
-    runs.write.mode("append").partitionBy("run").json(f"{path}/summary")
+        .write.mode("overwrite").option("partitionOverwriteMode", "dynamic") \
+        .partitionBy("run").json(f"{path}/details")
+    runs.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("run") \
+        .json(f"{path}/summary")
 
 
 def _read(spark: SparkSession, path: str, schema: str, multi_line: bool) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from corpusloom.functions.text import has_text, strip
 from corpusloom.operators.chunking import chunk_blocks
-from corpusloom.operators.path_policy import PathRules, classify
+from corpusloom.operators.path_policy import PathRules, gate
 from corpusloom.session import spread
 
 # Suffixes by reader, upload limits, placeholder texts.
@@ -17,6 +17,8 @@ ALLOWED_SUFFIXES = CODEC_SUFFIXES + TEXT_SUFFIXES + IMAGE_SUFFIXES
 MAX_FILE_BYTES = 20 * 1024 * 1024
 IMAGE_PLACEHOLDER = "[图片内容待 OCR / 本地视觉模型识别]"
 UNSUPPORTED_PREFIX = "[暂不支持的文件类型 "
+BLOCKED = "安全拦截: "
+HOLLOW = ("文件 '", "' 没有可解析的内容")
 
 
 def suffix(path: str = "path"):
@@ -78,19 +80,20 @@ def parse(files: DataFrame) -> DataFrame:
 def guarded_load(files: DataFrame, rules: PathRules = PathRules()) -> tuple[DataFrame, DataFrame]:
     """Chunks of the files the path policy allows, and (path, reason) of all others.
 
-    ``files``: kb_id, doc_id, path, text. A file without content is rejected with a reason
-    rather than an error.
+    ``files``: kb_id, doc_id, path, text, a row per file or per page. Every path ends up on one
+    side: a file of any kind that no block came from is rejected with a reason rather than an
+    error. Give it listed paths joined to their texts, so that refused files are never read.
     """
-    judged = classify(files, rules)
-    blocks = parse(judged.filter("allowed").drop("normalized", "allowed", "reason"))
-    chunks = chunk_blocks(blocks.select("kb_id", "doc_id", "text", "page", "source", "type",
-                                        "image"))
-    blocked = judged.filter(~F.col("allowed")).select(
-        "path", F.concat(F.lit("安全拦截: "), F.col("reason")).alias("reason"))
-    hollow = judged.filter(F.col("allowed") & suffix().isin(*TEXT_SUFFIXES)
-                           & ~has_text(F.col("text"))).select(
-        "path", F.concat(F.lit("文件 '"), F.col("path"), F.lit("' 没有可解析的内容"))
-        .alias("reason"))
+    allowed, refused = gate(files, rules)
+    chunks = chunk_blocks(parse(allowed).select("kb_id", "doc_id", "text", "page", "source", "type",
+                                                "image"))
+    blocked = refused.select(
+        "path", F.concat(F.lit(BLOCKED), F.col("reason")).alias("reason"))
+    needs_text = suffix().isin(*TEXT_SUFFIXES, *CODEC_SUFFIXES)
+    filled = F.coalesce(has_text(F.col("text")), F.lit(False))
+    hollow = allowed.groupBy("path").agg(F.bool_or(~needs_text | filled).alias("any")).filter(
+        "not any").select("path", F.concat(
+            F.lit(HOLLOW[0]), F.col("path"), F.lit(HOLLOW[1])).alias("reason"))
     return chunks, blocked.unionByName(hollow)
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from corpusloom.operators.catalog import stored_form
+from corpusloom.session import materialize, read_or_empty
 
 # kb_id is declared, not guessed from folder names: "007" stays a string.
 STORE_SCHEMA = (
@@ -34,24 +35,29 @@ class ChunkStore:
     def append(self, chunks: DataFrame) -> DataFrame:
         """Add chunks; returns the kb ids whose cached answers are now stale."""
         store_rows(chunks).write.mode("append").partitionBy("kb_id").parquet(self.path)
-        return chunks.select("kb_id").distinct()
+        return self._stale(chunks)
+
+    def _stale(self, chunks: DataFrame) -> DataFrame:
+        # Stored, so that using the ids never chunks the texts again.
+        return materialize(chunks.select("kb_id").distinct(), "stale-kbs")
 
     def scan(self, kb_ids: list[str] | None = None) -> DataFrame:
         """All chunks, or those of some kbs; other partitions are not opened."""
-        rows = self.spark.read.schema(STORE_SCHEMA).parquet(self.path)
+        rows = read_or_empty(self.spark, self.path, STORE_SCHEMA)
         return rows if kb_ids is None else rows.filter(F.col("kb_id").isin(*kb_ids))
 
-    def replace(self, chunks: DataFrame) -> None:
-        """Overwrite the kbs present in ``chunks`` and leave all others alone."""
+    def replace(self, chunks: DataFrame) -> DataFrame:
+        """Overwrite the kbs present in ``chunks``, leave others alone; returns the stale kb ids."""
         (store_rows(chunks).write.mode("overwrite")
          .option("partitionOverwriteMode", "dynamic").partitionBy("kb_id").parquet(self.path))
+        return self._stale(chunks)
 
     def create(self, kb_ids: list[str]) -> None:
         """Start collections over: whatever they held is gone, the next append fills them."""
         self.drop(kb_ids)
 
-    def drop(self, kb_ids: list[str]) -> None:
-        """Remove whole kb partitions; ids without a partition are ignored. Reads no data."""
+    def drop(self, kb_ids: list[str]) -> DataFrame:
+        """Remove whole kb partitions; ids without one are ignored. Returns the stale kb ids."""
         jvm = self.spark._jvm
         conf = self.spark._jsc.hadoopConfiguration()
         names = jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils
@@ -59,3 +65,4 @@ class ChunkStore:
             folder = names.getPartitionPathString("kb_id", kb_id)
             target = jvm.org.apache.hadoop.fs.Path(f"{self.path}/{folder}")
             target.getFileSystem(conf).delete(target, True)
+        return self.spark.createDataFrame([(k,) for k in kb_ids], "kb_id string")
