@@ -23,9 +23,9 @@ INDEXES = {
 }
 HEADLINE = (
     "chunk_windows", "window_sweep", "word_tokens", "store_append", "bulk_import",
-    "kb_statistics", "bm25_top_k", "bm25_scores", "dense_text_top_k", "dense_top_k",
+    "kb_statistics", "bm25_top_k", "bm25_scores", "bm25_padded", "dense_text_top_k", "dense_top_k",
     "approximate_top_k", "hybrid_search", "answer_questions", "chat_prompts", "cited_sources",
-    "cache_lookup", "cache_replay", "judge_means", "metric_means", "config_comparison",
+    "cache_lookup", "cache_lookup_large", "cache_fill", "judge_means", "metric_means", "config_comparison",
     "keyword_search", "line_preview", "directory_listing", "path_policy_read", "run_summaries",
     "latency_summary", "stream_ingest", "stream_cache_lookup",
 )

@@ -1,4 +1,4 @@
-"""Semantic answer cache kept as a table: lookup, fill, eviction, invalidation, replay.
+"""Semantic answer cache kept as a table: lookup, fill, eviction, invalidation.
 
 Rows: kb_id, seq, question, embedding, answer, sources, created_at. ``seq`` grows with every
 insert and stands for insertion order.
@@ -9,16 +9,13 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
-from pyspark.sql.types import (ArrayType, BooleanType, DoubleType, LongType, StringType, StructField,
-                               StructType)
+from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 
 from corpusloom.functions.vectors import matrix_of, unit_rows
-from corpusloom.operators.ranking import running_sums, top_k_per_group
-from corpusloom.session import materialize
+from corpusloom.operators.ranking import top_k_per_group
 
 # Similarity that counts as the same question, rows kept per kb.
 THRESHOLD = 0.90
@@ -45,231 +42,126 @@ def invalidate(cache: DataFrame, changed_kbs: DataFrame) -> DataFrame:
     return cache.join(changed_kbs.select("kb_id"), "kb_id", "left_anti")
 
 
-def _match_groups(asked: list[str], carried: list[str], threshold: float, out: pa.Schema):
-    """Function for ``mapInArrow`` over rows sorted by group, cache rows before questions."""
+def fill(cache: DataFrame, answered: DataFrame, capacity: int = CAPACITY) -> DataFrame:
+    """The cache after its misses were answered elsewhere.
+
+    ``answered``: the cache's columns and has_history. Answers that depend on a history are refused;
+    empty ones are not kept.
+    """
+    alone = answered.filter(~F.coalesce(F.col("has_history"), F.lit(False)))
+    return insert(cache, alone.select(*cache.columns), capacity=capacity)
+
+
+def _match_groups(threshold: float, out: pa.Schema):
+    """Function for ``mapInArrow`` over rows sorted by group, cache rows before questions.
+
+    Gives one row per question with a similar enough row in the group's block of the cache.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         group, pieces, cached, known = None, [], None, None
         for batch in batches:
             kbs = batch.column("kb_id").dictionary_encode()
             kb_at = kbs.indices.to_numpy(zero_copy_only=False)
-            part_at = batch.column("_part").to_numpy(zero_copy_only=False)
-            tag_at = batch.column("_asked").to_numpy(zero_copy_only=False)
-            turns = np.nonzero((np.diff(kb_at) != 0) | (np.diff(part_at) != 0)
-                               | (np.diff(tag_at) != 0))[0] + 1
-            starts = [0, *turns.tolist()]
+            place = [batch.column(c).to_numpy(zero_copy_only=False)
+                     for c in ("_part", "_block", "_asked")]
+            turns = np.zeros(max(0, batch.num_rows - 1), dtype=bool)
+            for at in (kb_at, *place):
+                turns |= np.diff(at) != 0
+            starts = [0, *(np.nonzero(turns)[0] + 1).tolist()]
             for start, stop in zip(starts, [*starts[1:], batch.num_rows]):
                 if start == stop:
                     continue
                 rows = batch.slice(start, stop - start)
-                here = (kbs.dictionary[int(kb_at[start])].as_py(), int(part_at[start]))
+                here = (kbs.dictionary[int(kb_at[start])].as_py(),
+                        *(int(p[start]) for p in place[:2]))
                 if here != group:
                     group, pieces, cached = here, [], None
-                if tag_at[start] == 0:
-                    pieces.append(rows.select(["_cached", "seq", *carried]))
+                if place[2][start] == 0:
+                    pieces.append(rows.select(["_cached", "seq"]))
                     continue
                 if cached is None and pieces:
                     cached = pa.Table.from_batches(pieces).combine_chunks()
                     lists = cached.column("_cached").combine_chunks()
                     known = unit_rows(matrix_of(lists, len(lists[0]))).T.copy()
-                best = np.full(rows.num_rows, -np.inf)
-                at = np.zeros(rows.num_rows, dtype=np.int64)
-                if cached is not None:
-                    vectors = matrix_of(rows.column("embedding"), len(known))
-                    scores = np.round(unit_rows(vectors) @ known, _DIGITS) + 0.0
-                    # Cache rows come in seq order, so the last maximum is the latest row.
-                    at = scores.shape[1] - 1 - np.argmax(scores[:, ::-1], axis=1)
-                    best = scores[np.arange(len(at)), at]
-                hit = best >= threshold
-                picked = pa.array(at, mask=~hit)
-                columns = [rows.column(c).cast(out.field(c).type) for c in asked]
-                columns += [pa.array(hit), pa.array(best, mask=~hit)]
-                for name in ("seq", *carried):
-                    kind = out.field(name).type
-                    columns.append(pa.nulls(len(at), kind) if cached is None else
-                                   cached.column(name).combine_chunks().take(picked).cast(kind))
-                yield pa.RecordBatch.from_arrays(columns, schema=out)
+                if cached is None:
+                    continue
+                vectors = matrix_of(rows.column("embedding"), len(known))
+                raw = unit_rows(vectors) @ known
+                # The threshold is held against the similarity itself; it is rounded to rank.
+                scores = np.where(raw >= threshold, np.round(raw, _DIGITS) + 0.0, -np.inf)
+                # Cache rows come in seq order, so the last maximum is the latest row.
+                at = scores.shape[1] - 1 - np.argmax(scores[:, ::-1], axis=1)
+                best = scores[np.arange(len(at)), at]
+                hit = np.nonzero(best > -np.inf)[0]
+                if len(hit):
+                    found = rows.take(pa.array(hit))
+                    yield pa.RecordBatch.from_arrays([
+                        found.column("query_id").cast(out.field(0).type),
+                        found.column("kb_id").cast(out.field(1).type), pa.array(best[hit]),
+                        cached.column("seq").combine_chunks().take(pa.array(at[hit]))], schema=out)
 
     return run
 
 
 def lookup(cache: DataFrame, questions: DataFrame, threshold: float = THRESHOLD,
-           capacity: int = CAPACITY, rows_per_part: int = 100_000) -> DataFrame:
+           rows_per_part: int = 100_000, rows_per_block: int = 20_000) -> DataFrame:
     """Every question with the most similar cached answer of its kb, or nulls on a miss.
 
-    Of equally similar rows the later one wins. Cached rows and questions are shuffled to
-    the same tasks and sorted so that a kb's cache, at most ``capacity`` rows, comes first;
-    its questions then stream past it in batches. No pair of question and cached row ever
-    becomes a row. A kb with many questions is split into parts of about ``rows_per_part``,
-    each with its own copy of that kb's cache.
+    All rows of the kb's cache are looked at; only ``insert`` and ``evict`` limit how many there
+    are. Of equally similar rows the later one wins. A kb's cache is cut into blocks of about
+    ``rows_per_block``, its questions into parts of about ``rows_per_part``. Each pair of block and
+    part is shuffled to one task and sorted so that the block comes first; the questions then
+    stream past it. No pair of question and cached row ever becomes a row: a block gives its
+    best row per question, and these are reduced to one.
 
-    ``questions``: query_id, kb_id, embedding and more. Output adds hit, similarity, seq,
-    answer and, if the cache has them, sources.
+    ``questions``: query_id, kb_id, embedding and more; a pair of query_id and kb_id names one question.
+    ``seq`` is unique within a kb. Output adds hit, similarity, seq, answer and, if the cache has
+    them, sources.
     """
     carried = [c for c in ("answer", "sources") if c in cache.columns]
     parts = questions.groupBy("kb_id").agg(
         F.ceil(F.count("*") / rows_per_part).cast("int").alias("_parts"))
-    one = F.coalesce("_parts", F.lit(1))
-    asked = questions.join(parts, "kb_id").select(
-        *questions.columns, F.lit(1).alias("_asked"),
-        F.pmod(F.xxhash64("query_id"), one).cast("int").alias("_part"))
-    live = evict(cache, capacity).join(parts, "kb_id").select(
+    blocks = cache.groupBy("kb_id").agg(
+        F.ceil(F.count("*") / rows_per_block).cast("int").alias("_blocks"))
+    sides = parts.join(blocks, "kb_id")
+
+    def upto(n: str) -> Column:
+        return F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+
+    asked = questions.select("query_id", "kb_id", "embedding").join(sides, "kb_id").select(
+        "query_id", "kb_id", F.col("embedding").cast("array<double>").alias("embedding"),
+        F.lit(1).alias("_asked"),
+        F.pmod(F.xxhash64("query_id"), F.col("_parts")).cast("int").alias("_part"),
+        upto("_blocks").alias("_block"))
+    live = cache.select("kb_id", "seq", "embedding").join(sides, "kb_id").select(
         "kb_id", F.col("embedding").cast("array<double>").alias("_cached"),
-        F.col("seq").cast("long").alias("seq"), *carried, F.lit(0).alias("_asked"),
-        F.explode(F.sequence(F.lit(0), one - 1)).alias("_part"))
-    out = StructType([*questions.schema.fields, StructField("hit", BooleanType()),
+        F.col("seq").cast("long").alias("seq"), F.lit(0).alias("_asked"),
+        F.pmod(F.xxhash64("seq"), F.col("_blocks")).cast("int").alias("_block"),
+        upto("_parts").alias("_part"))
+    out = StructType([questions.schema["query_id"], questions.schema["kb_id"],
                       StructField("similarity", DoubleType()), StructField("seq", LongType())])
-    for name in carried:
-        out = out.add(name, cache.schema[name].dataType)
-    keys = ("kb_id", "_part")
-    return (
+    keys = ("kb_id", "_part", "_block")
+    found = (
         live.unionByName(asked, allowMissingColumns=True)
         .repartition(*keys).sortWithinPartitions(*keys, "_asked", "seq")
-        .mapInArrow(_match_groups(questions.columns, carried, threshold,
-                                  to_arrow_schema(out)), out)
+        .mapInArrow(_match_groups(threshold, to_arrow_schema(out)), out)
+        .groupBy("query_id", "kb_id").agg(F.max(F.struct("similarity", "seq")).alias("_best"))
+        .select("query_id", "kb_id", F.lit(True).alias("hit"), "_best.*")
     )
+    answers = cache.select("kb_id", F.col("seq").cast("long").alias("seq"), *carried)
+    return questions.join(found.join(answers, ["kb_id", "seq"]), ["query_id", "kb_id"], "left").select(
+        *questions.columns, F.coalesce("hit", F.lit(False)).alias("hit"), "similarity", "seq", *carried)
 
 
-def route(cache: DataFrame, questions: DataFrame, threshold: float = THRESHOLD,
-          capacity: int = CAPACITY) -> DataFrame:
+def route(cache: DataFrame, questions: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """Add ``branch``: ``bypass`` for questions with history, else ``hit`` or ``miss``.
 
     ``questions`` also carries has_history. Only questions without history consult the
-    cache, and only those may fill it.
+    cache, and only those may fill it: a hit has its answer and sources, the others are to be
+    answered, and ``fill`` takes the misses back.
     """
-    alone = lookup(cache, questions.filter(~F.col("has_history")), threshold, capacity)
+    alone = lookup(cache, questions.filter(~F.col("has_history")), threshold)
     asked = alone.withColumn("branch", F.when(F.col("hit"), "hit").otherwise("miss"))
     bypass = questions.filter(F.col("has_history")).withColumn("branch", F.lit("bypass"))
     return asked.drop("hit").unionByName(bypass, allowMissingColumns=True)
-
-
-_SEGMENT = ["kb_id", "epoch", "segment"]
-
-
-def _replay_segments(threshold: float, capacity: int):
-    """Function for ``mapInPandas`` over rows sorted by segment, start state before questions.
-
-    Yields one row per question and, after a segment's last question, the cache it ends with.
-    """
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        current, vectors, owners, count = None, None, None, 0
-
-        def ending() -> list[tuple]:
-            held = range(max(0, count - capacity), count)
-            return [(*current, int(owners[i % capacity]), None, None, None,
-                     vectors[i % capacity].tolist()) for i in held]
-
-        for frame in frames:
-            rows = []
-            for *key, asked, seq, vector, answered in zip(
-                    *[frame[c] for c in _SEGMENT], frame["asked"], frame["seq"],
-                    frame["embedding"], frame["answered"]):
-                unit = np.asarray(vector, dtype=np.float64)
-                if key != current:
-                    if current is not None:
-                        rows += ending()
-                    current, count = key, 0
-                    vectors = np.zeros((capacity, len(unit)))
-                    owners = np.zeros(capacity, dtype=np.int64)
-                length = np.linalg.norm(unit)
-                unit = unit / length if length > 0 else unit
-                hit, sim = None, None
-                if asked:
-                    size = min(count, capacity)
-                    scores = np.round(vectors[:size] @ unit, _DIGITS)
-                    if size and scores.max() >= threshold:
-                        sim = float(scores.max())
-                        hit = int(owners[:size][scores == sim].max())
-                    rows.append((*key, seq, "miss" if hit is None else "hit", hit, sim, None))
-                if hit is None and (answered or not asked):
-                    vectors[count % capacity], owners[count % capacity] = unit, seq
-                    count += 1
-            if rows:
-                yield _replay_frame(rows)
-        if current is not None and count:
-            yield _replay_frame(ending())
-
-    return run
-
-
-def _replay_frame(rows: list[tuple]) -> pd.DataFrame:
-    frame = pd.DataFrame(rows, columns=[
-        *_SEGMENT, "seq", "outcome", "matched_seq", "similarity", "embedding"])
-    frame["matched_seq"] = frame["matched_seq"].astype("Int64")
-    frame["similarity"] = frame["similarity"].astype("Float64")
-    return frame
-
-
-def replay(log: DataFrame, changes: DataFrame, threshold: float = THRESHOLD,
-           capacity: int = CAPACITY, segment_rows: int = 20_000) -> DataFrame:
-    """What a question log would have hit: look up, insert on a miss, evict, clear on change.
-
-    ``log``: kb_id, seq, embedding, answer, has_history. ``changes``: kb_id, seq of document
-    changes, each clearing the kb's cache; one at the seq of a question comes first. Output:
-    kb_id, seq, outcome (hit, miss, bypass), matched_seq, similarity.
-
-    Each question depends on the ones before it, yet no kb is walked by one task: its log is
-    cut at changes, which empty the cache, and into segments of ``segment_rows``. All
-    segments first run from an empty cache; then every segment whose predecessor ended with
-    another cache than assumed runs again from that cache, until nothing changes. The first
-    segment is right at once and each round settles at least the next one, so the result is
-    that of the sequential run. As a cache holds only its newest rows, what a segment ends
-    with hardly depends on its start, and few rounds are needed.
-    """
-    alone = log.filter(~F.col("has_history"))
-    marks = alone.select("kb_id", "seq", F.lit(0).alias("change"), F.lit(1).alias("row")) \
-        .unionByName(changes.select("kb_id", "seq", F.lit(1).alias("change"), F.lit(0).alias("row"))) \
-        .groupBy("kb_id", "seq").agg(F.max("change").alias("change"), F.max("row").alias("row"))
-    placed = running_sums(marks, "kb_id", "seq", {"epoch": F.col("change"), "n": F.col("row")})
-    spot = placed.select("kb_id", "seq", "epoch",
-                         F.floor((F.col("n") - 1) / segment_rows).alias("segment"))
-    rows = materialize(alone.join(spot, ["kb_id", "seq"]).select(
-        *_SEGMENT, F.lit(1).alias("asked"), "seq",
-        F.col("embedding").cast("array<double>").alias("embedding"),
-        F.coalesce(F.length("answer") > 0, F.lit(False)).alias("answered")), "replay-log")
-    previous = Window.partitionBy("kb_id", "epoch").orderBy("segment")
-    chain = materialize(rows.select(*_SEGMENT).distinct().withColumn(
-        "before", F.lag("segment").over(previous)), "replay-segments")
-
-    kinds = {c: log.schema["kb_id"].dataType if c == "kb_id" else LongType() for c in _SEGMENT}
-    out = StructType([
-        *[StructField(c, kind) for c, kind in kinds.items()], StructField("seq", LongType()),
-        StructField("outcome", StringType()), StructField("matched_seq", LongType()),
-        StructField("similarity", DoubleType()),
-        StructField("embedding", ArrayType(DoubleType()))])
-    walk = _replay_segments(threshold, capacity)
-    start = rows.limit(0).drop("answered")
-    active = chain.select(*_SEGMENT)
-    done = None
-    while True:
-        todo = rows.join(active, _SEGMENT, "left_semi").unionByName(
-            start.join(active, _SEGMENT, "left_semi"), allowMissingColumns=True)
-        ran = materialize(
-            todo.repartition(*_SEGMENT).sortWithinPartitions(*_SEGMENT, "asked", "seq")
-            .mapInPandas(walk, out), "replay-round")
-        done = ran if done is None else materialize(
-            done.join(active, _SEGMENT, "left_anti").unionByName(ran), "replay-done")
-        ends = done.filter(F.col("outcome").isNull())
-        following = chain.filter(F.col("before").isNotNull()).select(
-            "kb_id", "epoch", F.col("before").alias("segment"), F.col("segment").alias("next"))
-        fresh = ends.join(following, _SEGMENT).select(
-            "kb_id", "epoch", F.col("next").alias("segment"), F.lit(0).alias("asked"), "seq",
-            "embedding")
-        moved = _contents(fresh).join(_contents(start).withColumnRenamed("seqs", "old"),
-                                      _SEGMENT, "full_outer")
-        active = materialize(moved.filter(~F.col("seqs").eqNullSafe(F.col("old"))).select(
-            *_SEGMENT), "replay-moved")
-        if active.isEmpty():
-            break
-        start = materialize(fresh, "replay-start")
-    bypass = log.filter(F.col("has_history")).select(
-        "kb_id", "seq", F.lit("bypass").alias("outcome"),
-        F.lit(None).cast("long").alias("matched_seq"),
-        F.lit(None).cast("double").alias("similarity"))
-    return done.filter(F.col("outcome").isNotNull()).select(bypass.columns).unionByName(bypass)
-
-
-def _contents(states: DataFrame) -> DataFrame:
-    """The ids a cache holds, one array of at most its capacity per segment."""
-    return states.groupBy(*_SEGMENT).agg(F.sort_array(F.collect_list("seq")).alias("seqs"))

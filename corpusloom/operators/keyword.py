@@ -10,6 +10,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
 from corpusloom.functions.text import tokenize
+from corpusloom.operators.ranking import top_k_per_group
 from corpusloom.operators.scan import BLOCK_BYTES, row_slices, scan_top_k
 from corpusloom.session import materialize
 
@@ -124,15 +125,31 @@ def bm25_top_k(chunks: DataFrame, queries: DataFrame, terms: DataFrame, corpus:
     """Best chunks per question within its kb: query_id, chunk_id, score, rank.
 
     Only chunks sharing a term with the question are ranked. With ``pad_zero`` every other
-    chunk of the kb is ranked too, at score 0.
+    chunk of the kb is ranked too, at score 0. That takes no pair of question and chunk: zeros
+    are the same for all questions, so a kb's first 2k chunks by id are enough to fill any
+    list of k. Only kbs with a term weight of 0 or less, where a real hit may rank below a
+    zero, have all their pairs scored; these are kbs whose terms mostly stand in every chunk.
     """
-    weights = question_weights(queries, terms, corpus)
-    if pad_zero:
-        # A term no text has brings in questions without any known term.
-        weights = weights.unionByName(queries.join(corpus, "kb_id").select(
-            "query_id", "kb_id", F.lit("").alias("term"), F.lit(0.0).alias("weight"), "avg_len"))
-    weights = materialize(weights, "question-weights")
+    weights = materialize(question_weights(queries, terms, corpus), "question-weights")
     rows = with_tokens(chunks).select("kb_id", F.col("chunk_id").alias("row_id"), "tokens")
-    score = _score_all if pad_zero else _score_terms
-    return scan_top_k(rows, weights, F.length("term") + 48, k, _pack_weights, score,
-                      block_bytes).withColumnRenamed("row_id", "chunk_id")
+    size = F.length("term") + 48
+
+    def scan(these: DataFrame, asked: DataFrame, most: int, score) -> DataFrame:
+        return scan_top_k(these, asked, size, most, _pack_weights, score, block_bytes)
+
+    if not pad_zero:
+        return scan(rows, weights, k, _score_terms).withColumnRenamed("row_id", "chunk_id")
+    # A term no text has brings in questions without any known term.
+    asked = materialize(weights.unionByName(queries.join(corpus, "kb_id").select(
+        "query_id", "kb_id", F.lit("").alias("term"), F.lit(0.0).alias("weight"), "avg_len")),
+        "padded-weights")
+    flat = terms.filter("idf <= 0").select("kb_id").distinct()
+    usual, odd = (asked.join(flat, "kb_id", how) for how in ("left_anti", "left_semi"))
+    first = top_k_per_group(rows.select("kb_id", "row_id"), ["kb_id"], [F.col("row_id")], 2 * k)
+    zeros = scan(rows.join(first, ["kb_id", "row_id"], "left_semi"), usual, 2 * k, _score_all)
+    found = (
+        scan(rows, usual, k, _score_terms).unionByName(zeros.filter("score = 0"))
+        .unionByName(scan(rows, odd, k, _score_all))
+        .select("query_id", "row_id", "score").distinct())
+    return top_k_per_group(found, ["query_id"], [F.desc("score"), F.col("row_id")], k).select(
+        "query_id", F.col("row_id").alias("chunk_id"), "score", "rank")

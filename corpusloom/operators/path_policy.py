@@ -119,10 +119,13 @@ def write_reason(path: Column, rules: PathRules = PathRules()) -> Column:
 def classify(paths: DataFrame, rules: PathRules = PathRules(), for_write: bool = False) -> DataFrame:
     """Add normalized, allowed and reason (empty when allowed) to rows with a ``path``."""
     judge = write_reason if for_write else read_reason
-    normal = paths.withColumn("normalized", normalize(F.col("path"), rules.base))
-    return normal.withColumn("_r", judge(F.col("normalized"), rules)).select(
-        *normal.columns, F.col("_r").isNull().alias("allowed"),
-        F.coalesce("_r", F.lit("")).alias("reason"))
+    # A lambda's argument is worked out once, however many rules look at it.
+    judged = F.get(F.transform(F.array(normalize(F.col("path"), rules.base)), lambda p: F.struct(
+        p.alias("normalized"), judge(p, rules).alias("reason"))), F.lit(0))
+    return paths.withColumn("_judged", judged).select(
+        *paths.columns, F.col("_judged.normalized").alias("normalized"),
+        F.col("_judged.reason").isNull().alias("allowed"),
+        F.coalesce("_judged.reason", F.lit("")).alias("reason"))
 
 
 def gate(files: DataFrame, rules: PathRules = PathRules()) -> tuple[DataFrame, DataFrame]:

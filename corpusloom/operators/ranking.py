@@ -1,4 +1,4 @@
-"""Top-k and running sums that stay bounded per task when one group is huge."""
+"""Top-k that stays bounded per task when one group is huge."""
 
 from __future__ import annotations
 
@@ -22,26 +22,3 @@ def top_k_per_group(df: DataFrame, group: list[str], order: list[Column], k: int
         .drop("_slice", "_rank")
         .withColumn(rank, F.row_number().over(outer)).filter(F.col(rank) <= k)
     )
-
-
-def running_sums(df: DataFrame, group: str, order: str, values: dict[str, Column],
-                 width: int = 100_000) -> DataFrame:
-    """Inclusive running sums per group along an integer ``order`` column.
-
-    Rows fall into stretches of ``width`` order values; totals of the stretches are summed
-    up first, then each stretch continues from the total before it. A stretch holds at most
-    ``width`` rows when ``order`` is unique in its group, whatever the group's size.
-    """
-    keyed = df.withColumn("_stretch", F.floor(F.col(order) / width)).withColumns(
-        {f"_v_{name}": value for name, value in values.items()})
-    totals = keyed.groupBy(group, "_stretch").agg(
-        *[F.sum(f"_v_{name}").alias(f"_t_{name}") for name in values])
-    earlier = Window.partitionBy(group).orderBy("_stretch").rowsBetween(
-        Window.unboundedPreceding, -1)
-    before = totals.select(group, "_stretch", *[
-        F.coalesce(F.sum(f"_t_{name}").over(earlier), F.lit(0)).alias(f"_b_{name}")
-        for name in values])
-    inside = Window.partitionBy(group, "_stretch").orderBy(order).rowsBetween(
-        Window.unboundedPreceding, 0)
-    return keyed.join(before, [group, "_stretch"]).select(*df.columns, *[
-        (F.col(f"_b_{name}") + F.sum(f"_v_{name}").over(inside)).alias(name) for name in values])

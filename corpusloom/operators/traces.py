@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window, functions as F
 
 from corpusloom.operators.ranking import top_k_per_group
+from corpusloom.session import materialize
 
 # Step limit and the reply without an answer.
 MAX_STEPS = 8
@@ -28,45 +29,48 @@ def summarize_runs(steps: DataFrame, max_steps: int = MAX_STEPS) -> DataFrame:
         .alias("answer"))
 
 
+SUBRANGES = 256
+
+
 def latency_summary(spans: DataFrame, group: list[str], quantiles: tuple[float, ...] = (0.5, 0.95)) -> DataFrame:
     """Count, mean and exact discrete quantiles of ``ms`` per group.
 
-    Equal latencies are counted first, then their counts are summed over coarse value
-    ranges; only the range that holds a quantile is walked value by value. No task holds a
-    whole group, and nothing is approximated.
+    Equal latencies are counted first. Then the range of values that holds a quantile is cut
+    into SUBRANGES equal parts, and the part that holds it into as many again, until it is one
+    value. A round sums counts by part, so no task ever holds a group's values, however narrow their
+    range; doubles end after eight rounds or so, and usually after two or three.
     """
-    values = spans.filter(F.col("ms").isNotNull()).groupBy(*group, "ms").agg(
-        F.count("*").alias("n"))
-    # A step function of the latency: about 0.1 % wide ranges, so few ranges per group.
-    size = F.floor(F.log1p(F.abs("ms")) * 1000)
-    ranged = values.withColumn("_range", F.when(F.col("ms") < 0, -size).otherwise(size))
-    ranges = ranged.groupBy(*group, "_range").agg(
-        F.sum("n").alias("n_range"), F.sum(F.col("n") * F.col("ms")).alias("ms_range"))
-    upto = Window.partitionBy(*group).orderBy("_range").rowsBetween(
-        Window.unboundedPreceding, -1)
-    placed = ranges.withColumn("_before", F.coalesce(F.sum("n_range").over(upto), F.lit(0)))
-    totals = ranges.groupBy(*group).agg(
-        F.sum("n_range").alias("n_spans"),
-        (F.sum("ms_range") / F.sum("n_range")).alias("mean_ms"))
-    wanted = F.array(*[F.struct(F.lit(i).alias("i"),
-                                F.ceil(F.col("n_spans") * q).alias("target"))
+    values = materialize(spans.filter(F.col("ms").isNotNull()).groupBy(
+        *group, F.col("ms").cast("double").alias("ms")).agg(F.count("*").alias("n")), "latencies")
+    totals = values.groupBy(*group).agg(
+        F.sum("n").alias("n_spans"), (F.sum(F.col("n") * F.col("ms")) / F.sum("n")).alias("mean_ms"),
+        F.min("ms").alias("lo"), F.max("ms").alias("hi"))
+    totals = materialize(totals, "latency-totals")
+    wanted = F.array(*[F.struct(F.lit(i).alias("i"), F.ceil(F.col("n_spans") * q).alias("target"))
                        for i, q in enumerate(quantiles)])
-    targets = totals.select(*group, F.explode(wanted).alias("w")).select(*group, "w.*")
-    holding = (
-        placed.join(targets, group)
-        .filter((F.col("target") > F.col("_before"))
-                & (F.col("target") <= F.col("_before") + F.col("n_range")))
-        .select(*group, "_range", "_before", "i", "target")
-    )
-    inside = Window.partitionBy(*group, "_range", "i").orderBy("ms").rowsBetween(
-        Window.unboundedPreceding, 0)
-    found = (
-        ranged.join(holding, [*group, "_range"])
-        .withColumn("_upto", F.col("_before") + F.sum("n").over(inside))
-        .filter(F.col("_upto") >= F.col("target"))
-        .groupBy(*group, "i").agg(F.min("ms").alias("ms"))
-    )
-    wide = found.groupBy(*group).agg(*[
+    open_ = totals.select(*group, "lo", "hi", F.explode(wanted).alias("w")).select(
+        *group, "lo", "hi", "w.*")
+    keys = [*group, "i"]
+    done = None
+    while True:
+        settled = open_.filter("lo = hi").select(*keys, F.col("lo").alias("ms"))
+        done = settled if done is None else done.unionByName(settled)
+        open_ = open_.filter("lo < hi")
+        if open_.isEmpty():
+            break
+        part = F.least(F.lit(SUBRANGES - 1), F.floor(
+            (F.col("ms") - F.col("lo")) / ((F.col("hi") - F.col("lo")) / SUBRANGES)))
+        # The ends of a part are values that occur, so a part of one value is settled.
+        parts = values.join(open_, group).filter("ms between lo and hi").groupBy(
+            *keys, "target", part.alias("part")).agg(
+            F.sum("n").alias("n"), F.min("ms").alias("lo"), F.max("ms").alias("hi"))
+        upto = Window.partitionBy(*keys).orderBy("part")
+        inside = parts.withColumn("upto", F.sum("n").over(upto)).filter(
+            (F.col("target") <= F.col("upto")) & (F.col("target") > F.col("upto") - F.col("n")))
+        open_ = materialize(inside.select(
+            *group, "lo", "hi", "i", (F.col("target") - F.col("upto") + F.col("n")).alias("target")),
+            "latency-ranges")
+    wide = done.groupBy(*group).agg(*[
         F.max(F.when(F.col("i") == i, F.col("ms"))).alias(f"p{round(q * 100)}_ms")
         for i, q in enumerate(quantiles)])
-    return totals.join(wide, group)
+    return totals.drop("lo", "hi").join(wide, group)

@@ -2,17 +2,17 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from hashlib import md5
 
 import numpy as np
 import pyarrow as pa
-from pyspark.ml.clustering import KMeans
-from pyspark.ml.functions import array_to_vector
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, functions as F
 
 from corpusloom.functions.text import tokenize
-from corpusloom.functions.vectors import matrix_of, unit, unit_rows
+from corpusloom.functions.vectors import matrix_of, unit_rows
 from corpusloom.operators.scan import BLOCK_BYTES, row_slices, scan_top_k
 from corpusloom.session import materialize
 
@@ -76,15 +76,28 @@ def _slot_frequencies(width: int, held_kbs: int = 10_000):
     return run
 
 
-def weighted_slots(tokens: Column, weights: Column, width: int = VECTOR_WIDTH) -> Column:
-    """Token counts per slot times slot weights, scaled to length one, as float32."""
+def weighted_slots(kb: Column, tokens: Column, sent: Broadcast, width: int = VECTOR_WIDTH) -> Column:
+    """Token counts per slot times the kb's slot weights, scaled to length one, as float32.
 
-    @F.arrow_udf("array<float>")
-    def vectors(lists: pa.Array, slot_idf: pa.Array) -> pa.Array:
-        raw = _slot_counts(lists, width) * matrix_of(slot_idf, width)
-        return _to_lists(unit_rows(raw).astype(np.float32))
+    ``sent`` maps kb_id to its weights. A text of another kb gets null.
+    """
 
-    return vectors(tokens, weights)
+    @F.arrow_udf("array<float>")
+    def vectors(kbs: pa.Array, lists: pa.Array) -> pa.Array:
+        held = sent.value
+        coded = kbs.dictionary_encode()
+        names = coded.dictionary.to_pylist()
+        table = np.array([held.get(name, np.zeros(width)) for name in names]).reshape(-1, width)
+        known = np.array([name in held for name in names], dtype=bool)
+        at = coded.indices.fill_null(-1).to_numpy(zero_copy_only=False)
+        raw = _slot_counts(lists, width)
+        if len(names):
+            raw = raw * table[at]
+        good = (at >= 0) & (known[at] if len(names) else False)
+        rows = _to_lists(unit_rows(raw).astype(np.float32))
+        return rows if good.all() else rows.take(pa.array(np.arange(len(at)), mask=~good))
+
+    return vectors(kb, tokens)
 
 
 def _tokens(texts: DataFrame, content: str) -> Column:
@@ -110,16 +123,28 @@ def slot_weights(texts: DataFrame, content: str = "content",
 
 
 def vectorize(texts: DataFrame, weights: DataFrame, content: str = "content",
-              width: int = VECTOR_WIDTH) -> DataFrame:
+              width: int = VECTOR_WIDTH, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """Add ``embedding``: unit-length hashed TF-IDF, float32. Texts without tokens get zeros.
 
     Input order and duplicates are kept as rows; texts of a kb without weights are dropped.
+    Weights go to the tasks once, not with every row: their size is checked, and more kbs than one
+    block holds are sent in further blocks, each with a pass over its own kbs' texts.
     """
-    return (
-        texts.join(weights, "kb_id")
-        .withColumn("embedding", weighted_slots(_tokens(texts, content), F.col("slot_idf"), width))
-        .drop("slot_idf")
-    )
+    spark = texts.sparkSession
+    n_blocks = max(1, -(-weights.count() * (width * 8 + 64) // block_bytes))
+    block_of = F.pmod(F.xxhash64("kb_id"), F.lit(n_blocks))
+    parts = []
+    for i in range(n_blocks):
+        table = weights.filter(block_of == i).select("kb_id", "slot_idf").toArrow()
+        held = dict(zip(table.column("kb_id").to_pylist(), matrix_of(
+            table.column("slot_idf").combine_chunks(), width) if table.num_rows else []))
+        sent = spark.sparkContext.broadcast(held)
+        parts.append(texts.filter(block_of == i).withColumn(
+            "embedding", weighted_slots(F.col("kb_id"), _tokens(texts, content), sent, width)))
+    whole = parts[0]
+    for part in parts[1:]:
+        whole = whole.unionByName(part)
+    return whole.filter(F.col("embedding").isNotNull())
 
 
 def _pack_vectors(table: pa.Table) -> dict:
@@ -165,37 +190,52 @@ def dense_top_k(rows: DataFrame, queries: DataFrame, k: int = 5, row_id: str = "
     return found.withColumnRenamed("row_id", row_id)
 
 
+MAX_CELLS = 16_384
+
+
 class CellIndex:
     """Inverted file: vectors grouped into cells around centres, questions probe a few.
 
-    The approximate answer is exact inside the probed cells. Rows are stored by cell, so
-    cells nobody probes are not read; a hot cell is only more files for the scan.
+    Centres are the vectors with the least MD5 of their id, about the root of the number of
+    rows, at most MAX_CELLS; the choice takes one pass and is the same wherever it is made. A vector belongs to the centre of
+    largest cosine, equal ones to the smaller id. The approximate answer is exact inside the
+    probed cells. Rows are stored sorted by cell, so cells nobody probes are skipped, and a hot
+    cell is spread over tasks by row id.
     """
 
-    def __init__(self, rows: DataFrame, n_cells: int = 16, seed: int = 7, max_iter: int = 10):
-        normal = rows.withColumn("_v", array_to_vector(unit(F.col("embedding"))))
-        self.model = KMeans(featuresCol="_v", predictionCol="cell", k=n_cells, seed=seed,
-                            maxIter=max_iter).fit(normal)
-        self.centres = np.array(self.model.clusterCenters())
-        self.rows = materialize(self.model.transform(normal).drop("_v"), "cells", ["cell"])
-
-    def with_probes(self, queries: DataFrame, n_probes: int) -> DataFrame:
-        """Add the cells whose centres lie closest to each question."""
+    def __init__(self, rows: DataFrame, row_id: str = "chunk_id", n_cells: int | None = None):
+        count = rows.count()
+        wanted = n_cells or min(MAX_CELLS, max(1, math.ceil(math.sqrt(count))))
+        key = F.col(row_id).cast("string")
+        first = rows.orderBy(F.md5(key), key).limit(wanted).select(
+            key.alias("id"), "embedding").toArrow().sort_by("id")
+        lists = first.column("embedding").combine_chunks()
+        self.centres = unit_rows(matrix_of(lists, len(lists[0]))) if len(lists) else np.zeros((0, 0))
+        self.rows = materialize(
+            rows.withColumn("cell", F.element_at(self._nearest(F.col("embedding"), 1), 1))
+            .repartitionByRange("cell", row_id).sortWithinPartitions("cell"), "cells")
+
+    def _nearest(self, vectors: Column, n: int) -> Column:
+        """The ``n`` cells of largest cosine, equal ones by the centre's id."""
         centres = self.centres
 
         @F.arrow_udf("array<int>")
-        def nearest(vectors: pa.Array) -> pa.Array:
-            asked = unit_rows(matrix_of(vectors, centres.shape[1]))
-            far = (centres ** 2).sum(axis=1) - 2 * asked @ centres.T
-            near = np.argsort(far, axis=1, kind="stable")[:, :n_probes]
+        def nearest(lists: pa.Array) -> pa.Array:
+            found = np.round(unit_rows(matrix_of(lists, centres.shape[1])) @ centres.T, 6) + 0.0
+            near = np.argsort(-found, axis=1, kind="stable")[:, :n]
             return pa.array(near.astype(np.int32).tolist(), pa.list_(pa.int32()))
 
-        return queries.withColumn("probes", nearest("embedding"))
+        return nearest(vectors)
+
+    def with_probes(self, queries: DataFrame, n_probes: int) -> DataFrame:
+        """Add the cells whose centres lie closest to each question."""
+        return queries.withColumn("probes", self._nearest(F.col("embedding"), n_probes))
 
-    def top_k(self, queries: DataFrame, k: int = 5, n_probes: int = 4,
+    def top_k(self, queries: DataFrame, k: int = 5, n_probes: int | None = None,
               row_id: str = "chunk_id", block_bytes: int = BLOCK_BYTES) -> DataFrame:
-        """Like :func:`dense_top_k`, restricted to the probed cells."""
+        """Like :func:`dense_top_k`, restricted to the probed cells: by default 2 %, four at least."""
         n_cells = len(self.centres)
+        n_probes = n_probes or max(4, math.ceil(n_cells / 50))
 
         def pack(table: pa.Table) -> dict:
             packed = _pack_vectors(table)

@@ -45,28 +45,28 @@ def cache_route(spark, sf):
         "query_id", "kb_id", "branch", "similarity", "answer")
 
 
-def _replay_log(spark, sf):
-    """Every vector as a question, and a blanked form of it some time later."""
-    vecs = b.table(spark, sf, "embeddings")
-    kb = F.concat(F.lit("kb"), F.col("label").cast("string"))
-    answer = F.when(F.col("vec_id") % 13 == 0, "").otherwise("an answer")
-    first = vecs.select(
-        kb.alias("kb_id"), (F.col("vec_id") * 2).alias("seq"),
-        F.transform("embedding", lambda x: x.cast("double")).alias("embedding"),
-        answer.alias("answer"), (F.col("vec_id") % 9 == 0).alias("has_history"))
-    again = vecs.select(
-        kb.alias("kb_id"), (F.col("vec_id") * 2 + 75).alias("seq"),
-        F.transform("embedding", lambda x, i: F.when(i % 6 == 5, F.lit(0.0))
-                    .otherwise(x.cast("double"))).alias("embedding"),
-        answer.alias("answer"), F.lit(False).alias("has_history"))
-    changes = vecs.filter("vec_id % 97 = 5").select(
-        kb.alias("kb_id"), (F.col("vec_id") * 2).alias("seq"))
-    return first.unionByName(again), changes
-
-
-def cache_replay(spark, sf):
-    log, changes = _replay_log(spark, sf)
-    return cache.replay(log, changes, capacity=SMALL)
+def cache_lookup_large(spark, sf):
+    """Lookup in a cache of every answer, far more than an insert keeps, in several blocks."""
+    log = b.cache_log(spark, sf).filter("answer <> ''")
+    more = log.withColumn("seq", F.col("seq") + 10_000_000).withColumn(
+        "embedding", F.transform("embedding", lambda x: -x))
+    wide = log.withColumn("kb_id", F.lit("all")).unionByName(more.withColumn("kb_id", F.lit("all")))
+    asked = b.cache_questions(spark, sf).withColumn("kb_id", F.lit("all"))
+    return cache.lookup(wide, asked, rows_per_block=300).select(
+        "query_id", "kb_id", "hit", "similarity", "seq", "answer")
+
+
+def cache_fill(spark, sf):
+    """The cache after every miss without history was answered and put back."""
+    filled = _filled(spark, sf)
+    routed = cache.route(filled, b.cache_questions(spark, sf))
+    answered = routed.filter("branch <> 'hit'").select(
+        "kb_id", (F.col("query_id") + 1_000_000).alias("seq"),
+        F.concat(F.lit("asked "), F.col("query_id").cast("string")).alias("question"),
+        F.col("embedding").cast("array<float>").alias("embedding"),
+        F.concat(F.lit("made "), F.col("query_id").cast("string")).alias("answer"),
+        b.minutes_after_start(F.col("query_id")).alias("created_at"), "has_history")
+    return cache.fill(filled, answered, SMALL).select("kb_id", "seq", "question", "answer")
 
 
 def stream_ingest(spark, sf):
@@ -80,10 +80,10 @@ def stream_ingest(spark, sf):
 
 
 def stream_registry(spark, sf):
-    """Documents and cache after the registry stream ran: chunk counts and live answers."""
+    """Documents and cache after one stream wrote chunks and registry: counts and live answers."""
     log_path = new_path(spark, "registry-log")
-    ingest.start_registry(ingest.document_stream(spark, sf), log_path,
-                          new_path(spark, "state")).awaitTermination()
+    ingest.start_registry(ingest.document_stream(spark, sf), log_path, new_path(spark, "state"),
+                          new_path(spark, "registry-chunks")).awaitTermination()
     log = ingest.read_log(spark, log_path)
     answers = b.table(spark, sf, "embeddings").select(
         F.concat(F.lit("src"), (F.col("vec_id") % 25).cast("string")).alias("kb_id"), "vec_id")
@@ -95,6 +95,20 @@ def stream_registry(spark, sf):
         live.withColumn("part", F.lit("cache")))
 
 
+def stream_text_files(spark, sf):
+    """Chunks of the documents that a stream of text files brought, one file per document."""
+    folder = new_path(spark, "text-files")
+    docs = b.table(spark, sf, "documents").filter("source is not null and text is not null")
+    docs.select("source", "text").write.partitionBy("source").option(
+        "maxRecordsPerFile", 1).text(folder)
+    target = new_path(spark, "text-chunks")
+    ingest.start_ingest(ingest.text_file_stream(spark, folder, files_per_batch=100_000), target,
+                        new_path(spark, "state")).awaitTermination()
+    return ingest.read_chunks(spark, target).select(
+        F.regexp_extract("kb_id", "=(.*)", 1).alias("kb_id"), "chunk_index",
+        F.md5("content").alias("content_md5"))
+
+
 def stream_cache_lookup(spark, sf):
     """The question log as a stream against the stored cache."""
     asked = new_path(spark, "asked")
@@ -109,8 +123,9 @@ def stream_cache_lookup(spark, sf):
 
 
 QUERIES = {f.__name__: f for f in (
-    cache_insert, cache_evict, cache_lookup, cache_invalidate, cache_route, cache_replay,
-    stream_ingest, stream_registry, stream_cache_lookup)}
+    cache_insert, cache_evict, cache_lookup, cache_invalidate, cache_route,
+    cache_lookup_large, cache_fill,
+    stream_ingest, stream_registry, stream_text_files, stream_cache_lookup)}
 
 _FILLED = f"""cache AS MATERIALIZED (
   SELECT * FROM (
@@ -131,9 +146,10 @@ _FOUND = f"""asked AS (
   FROM embeddings),
 found AS (
   SELECT query_id, max_by(c.seq, (similarity, c.seq)) AS seq, max(similarity) AS similarity
-  FROM (SELECT a.query_id, c.seq, round(list_cosine_similarity(a.v, c.v), 6) AS similarity
-        FROM asked a JOIN cache c USING (kb_id)) c
-  WHERE similarity >= 0.90 GROUP BY query_id),
+  FROM (SELECT query_id, seq, raw, round(raw, 6) AS similarity FROM (
+          SELECT a.query_id, c.seq, list_cosine_similarity(a.v, c.v) AS raw
+          FROM asked a JOIN cache c USING (kb_id))) c
+  WHERE raw >= 0.90 GROUP BY query_id),
 looked AS (
   SELECT a.query_id, a.kb_id, f.seq IS NOT NULL AS hit, f.similarity, f.seq, c.answer,
          a.has_history
@@ -142,37 +158,6 @@ looked AS (
 
 _LOOKED = "SELECT query_id, kb_id, hit, similarity, seq, answer FROM looked"
 
-_REPLAY = f"""log AS (
-  SELECT 'kb' || label AS kb_id, vec_id * 2 AS seq, CAST(embedding AS DOUBLE[]) AS v,
-         vec_id % 13 <> 0 AS answered, vec_id % 9 = 0 AS has_history FROM embeddings
-  UNION ALL
-  SELECT 'kb' || label, vec_id * 2 + 75, {_BLANKED}, vec_id % 13 <> 0, false FROM embeddings),
-changes AS (SELECT 'kb' || label AS kb_id, vec_id * 2 AS seq FROM embeddings WHERE vec_id % 97 = 5),
-steps AS MATERIALIZED (
-  SELECT l.*, (SELECT count(*) FROM changes c WHERE c.kb_id = l.kb_id AND c.seq <= l.seq) AS epoch,
-         row_number() OVER (PARTITION BY l.kb_id ORDER BY l.seq) AS n
-  FROM log l WHERE NOT has_history),
-run AS (
-  SELECT kb_id, CAST(0 AS BIGINT) AS n, CAST(-1 AS BIGINT) AS seq, CAST(-1 AS BIGINT) AS epoch,
-         CAST([] AS STRUCT(seq BIGINT, v DOUBLE[])[]) AS state,
-         CAST(NULL AS STRUCT(similarity DOUBLE, seq BIGINT)) AS best
-  FROM (SELECT DISTINCT kb_id FROM steps)
-  UNION ALL
-  SELECT kb_id, n, seq, epoch,
-         CASE WHEN best IS NULL AND answered
-              THEN list_append(state, {{'seq': seq, 'v': v}})[greatest(len(state) - {SMALL - 2}, 1):]
-              ELSE state END, best
-  FROM (
-    SELECT kb_id, n, seq, epoch, answered, v, state,
-           list_reverse_sort(list_filter(list_transform(state, LAMBDA x: {{
-             'similarity': round(list_cosine_similarity(x.v, v), 6), 'seq': x.seq}}),
-             LAMBDA x: x.similarity >= 0.90))[1] AS best
-    FROM (
-      SELECT s.kb_id, s.n, s.seq, s.epoch, s.answered, s.v,
-             CASE WHEN s.epoch = r.epoch THEN r.state
-                  ELSE CAST([] AS STRUCT(seq BIGINT, v DOUBLE[])[]) END AS state
-      FROM run r JOIN steps s ON s.kb_id = r.kb_id AND s.n = r.n + 1)))"""
-
 ORACLE = {
     "cache_insert": sql.with_(_FILLED, then="""
         SELECT kb_id, seq, question, answer, created_at FROM cache"""),
@@ -190,13 +175,33 @@ ORACLE = {
                CASE WHEN has_history THEN 'bypass' WHEN hit THEN 'hit' ELSE 'miss' END AS branch,
                CASE WHEN NOT has_history THEN similarity END AS similarity,
                CASE WHEN NOT has_history THEN answer END AS answer FROM looked"""),
-    "cache_replay": sql.with_(_REPLAY, then="""
-        SELECT kb_id, seq, CASE WHEN best IS NULL THEN 'miss' ELSE 'hit' END AS outcome,
-               best.seq AS matched_seq, best.similarity AS similarity FROM run WHERE n > 0
-        UNION ALL
-        SELECT kb_id, seq, 'bypass', NULL, NULL FROM log WHERE has_history"""),
+    "cache_lookup_large": f"""
+        WITH cache AS (
+          SELECT vec_id AS seq, CAST(embedding AS DOUBLE[]) AS v, 'answer ' || vec_id AS answer
+          FROM embeddings WHERE vec_id % 11 <> 0
+          UNION ALL
+          SELECT vec_id + 10000000, list_transform(CAST(embedding AS DOUBLE[]), LAMBDA x: -x),
+                 'answer ' || vec_id FROM embeddings WHERE vec_id % 11 <> 0),
+        asked AS (SELECT vec_id AS query_id, {_BLANKED} AS v FROM embeddings),
+        found AS (
+          SELECT query_id, max((round(s, 6), seq)) AS best
+          FROM (SELECT query_id, seq, list_cosine_similarity(a.v, c.v) AS s FROM asked a, cache c)
+          WHERE s >= 0.90 GROUP BY query_id)
+        SELECT query_id, 'all' AS kb_id, best IS NOT NULL AS hit, best[1] AS similarity,
+               best[2] AS seq, answer
+        FROM asked LEFT JOIN found USING (query_id) LEFT JOIN cache c ON c.seq = best[2]""",
+    "cache_fill": sql.with_(_FILLED, _FOUND, then=f"""
+        SELECT kb_id, seq, question, answer FROM (
+          SELECT *, row_number() OVER (PARTITION BY kb_id ORDER BY seq DESC) AS n FROM (
+            SELECT kb_id, seq, question, answer FROM cache
+            UNION ALL
+            SELECT kb_id, query_id + 1000000, 'asked ' || query_id, 'made ' || query_id
+            FROM looked WHERE NOT hit AND NOT has_history))
+        WHERE n <= {SMALL}"""),
     "stream_ingest": sql.with_(sql.CHUNKS, then="""
         SELECT kb_id, doc_id, chunk_id, chunk_index, md5(content) AS content_md5 FROM chunks"""),
+    "stream_text_files": sql.with_(sql.CHUNKS, then="""
+        SELECT kb_id, chunk_index, md5(content) AS content_md5 FROM chunks"""),
     "stream_registry": sql.with_(sql.CHUNKS, then="""
         SELECT source AS kb_id, count(*) AS n_rows,
                CAST(sum(coalesce(n, 0)) AS BIGINT) AS n_chunks, 'documents' AS part

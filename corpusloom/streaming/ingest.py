@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from corpusloom.functions.text import has_text, strip
+from corpusloom.functions.text import strip
 from corpusloom.operators.catalog import EMPTY, READY
 from corpusloom.operators.chunking import chunk_blocks, split_text
+from corpusloom.session import read_or_empty
+from corpusloom.sources.files import corpus_blocks
 from corpusloom.sources.store import STORE_SCHEMA, store_rows
 
 DOCUMENT_SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
@@ -22,60 +24,86 @@ def document_stream(spark: SparkSession, folder: str, pattern: str = "documents*
     )
 
 
-def to_blocks(documents: DataFrame) -> DataFrame:
-    """Blocks of a (streaming) document table."""
-    return documents.filter(has_text(F.col("text"))).select(
-        F.col("source").alias("kb_id"), "doc_id", strip(F.col("text")).alias("text"),
-        F.lit(None).cast("int").alias("page"),
-        F.concat(F.lit("doc_"), F.col("doc_id").cast("string"), F.lit(".md")).alias("source"),
-        F.lit("text").alias("type"), F.lit(None).cast("string").alias("image"))
+def text_file_stream(spark: SparkSession, folder: str, pattern: str = "*.{txt,md,csv}",
+                     files_per_batch: int = 1000) -> DataFrame:
+    """New text files below a folder as documents: doc_id from the path, source its folder.
+
+    Bytes that are not UTF-8 are replaced. ``doc_id`` is a hash, so a file keeps its id; a changed
+    file under the same name is not seen again, as everywhere in file streams.
+    """
+    files = (
+        spark.readStream.format("binaryFile").option("pathGlobFilter", pattern)
+        .option("recursiveFileLookup", "true").option("maxFilesPerTrigger", files_per_batch)
+        .schema("path string, modificationTime timestamp, length long, content binary").load(folder)
+    )
+    text = F.make_valid_utf8(F.col("content").cast("string"))
+    return files.select(
+        F.xxhash64("path").alias("doc_id"), text.alias("text"), F.lit("").alias("lang"),
+        F.regexp_extract("path", r"([^/]*)/[^/]*$", 1).alias("source"),
+        F.length(text).cast("long").alias("n_chars"))
+
+
+def _start(documents: DataFrame, write, checkpoint: str, trigger: dict | None) -> StreamingQuery:
+    return (
+        documents.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
+        .trigger(**(trigger or {"availableNow": True})).start()
+    )
 
 
-def start_ingest(documents: DataFrame, target: str, checkpoint: str) -> StreamingQuery:
+def _write_chunks(blocks: DataFrame, target: str, batch_id: int) -> None:
+    # Within a batch, rows are balanced by kb: few files per small kb, several for a large one.
+    (store_rows(chunk_blocks(blocks)).write.mode("overwrite").partitionBy("kb_id")
+     .parquet(f"{target}/batch_id={batch_id}"))
+
+
+def start_ingest(documents: DataFrame, target: str, checkpoint: str,
+                 trigger: dict | None = None) -> StreamingQuery:
     """Chunk a document stream into ``target``, each batch into its own folder.
 
     A batch that runs again after a failure overwrites its folder, so every document counts
-    once. Within a batch, rows are balanced by kb: few files per small kb, several for a
-    large one.
+    once. ``trigger`` is what ``DataStreamWriter.trigger`` takes; by default all there is now.
     """
     def write(batch: DataFrame, batch_id: int) -> None:
-        (store_rows(chunk_blocks(to_blocks(batch))).write.mode("overwrite")
-         .partitionBy("kb_id").parquet(f"{target}/batch_id={batch_id}"))
+        _write_chunks(corpus_blocks(batch), target, batch_id)
 
-    return (
-        documents.writeStream.foreachBatch(write)
-        .option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-    )
+    return _start(documents, write, checkpoint, trigger)
 
 
 def read_chunks(spark: SparkSession, target: str) -> DataFrame:
     """The chunks a stream has written so far."""
-    return spark.read.schema(STORE_SCHEMA + ", batch_id long").parquet(target)
+    return read_or_empty(spark, target, STORE_SCHEMA + ", batch_id long")
 
 
-def start_registry(documents: DataFrame, log: str, checkpoint: str) -> StreamingQuery:
-    """Write one registry update per arriving document to ``log``.
+def start_registry(documents: DataFrame, log: str, checkpoint: str, chunks: str | None = None,
+                   trigger: dict | None = None) -> StreamingQuery:
+    """Write one registry update per arriving document to ``log``, and chunks if wanted.
 
-    Each batch overwrites its own ``batch_id`` folder, so a batch that runs again after a
-    failure leaves the same rows. Nothing already written is rewritten.
+    With ``chunks`` set, the batch's chunks are written there first and counted from what was
+    written, so every text is chunked once. Each batch overwrites its own ``batch_id`` folder,
+    so a batch that runs again after a failure leaves the same rows.
     """
     def write(batch: DataFrame, batch_id: int) -> None:
-        n = F.size(split_text(strip(F.col("text"))))
-        rows = batch.select(
-            F.col("source").alias("kb_id"), "doc_id", n.cast("long").alias("chunk_count"))
-        rows.withColumn("status", F.when(F.col("chunk_count") > 0, READY).otherwise(EMPTY)) \
-            .write.mode("overwrite").parquet(f"{log}/batch_id={batch_id}")
-
-    return (
-        documents.writeStream.foreachBatch(write)
-        .option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-    )
+        docs = batch.select(F.col("source").alias("kb_id"), "doc_id", "text")
+        if chunks is None:
+            counted = docs.withColumn("chunk_count", F.size(split_text(strip(F.col("text")))))
+        else:
+            _write_chunks(corpus_blocks(batch), chunks, batch_id)
+            written = read_or_empty(batch.sparkSession, f"{chunks}/batch_id={batch_id}", STORE_SCHEMA)
+            n = written.groupBy("kb_id", F.col("doc_id").cast(batch.schema["doc_id"].dataType).alias(
+                "doc_id")).agg(F.count("*").alias("chunk_count"))
+            counted = docs.join(n, ["kb_id", "doc_id"], "left")
+        count = F.coalesce("chunk_count", F.lit(0)).cast("long")
+        counted.select("kb_id", "doc_id", count.alias("chunk_count"), F.when(
+            count > 0, READY).otherwise(EMPTY).alias("status")).write.mode("overwrite").parquet(
+            f"{log}/batch_id={batch_id}")
+
+    return _start(documents, write, checkpoint, trigger)
 
 
 def read_log(spark: SparkSession, log: str) -> DataFrame:
     """The registry log with its batch numbers."""
-    return spark.read.schema(
-        "kb_id string, doc_id long, chunk_count long, status string, batch_id long").parquet(log)
+    return read_or_empty(
+        spark, log, "kb_id string, doc_id long, chunk_count long, status string, batch_id long")
 
 
 def current_documents(log: DataFrame) -> DataFrame:

@@ -5,21 +5,21 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StreamingQuery
 
-from corpusloom.operators.answer_cache import CAPACITY, THRESHOLD, lookup
+from corpusloom.operators.answer_cache import THRESHOLD, lookup
 
 
 def start_lookup(questions: DataFrame, cache: DataFrame, target: str, checkpoint: str,
-                 threshold: float = THRESHOLD, capacity: int = CAPACITY) -> StreamingQuery:
+                 threshold: float = THRESHOLD, trigger: dict | None = None) -> StreamingQuery:
     """Write every question with its cached answer, or nulls, below ``target``.
 
     Each batch overwrites its own ``batch_id`` folder, so a batch that runs again after a
     failure leaves the same rows.
     """
     def answer(batch: DataFrame, batch_id: int) -> None:
-        lookup(cache, batch, threshold, capacity).write.mode("overwrite").parquet(
+        lookup(cache, batch, threshold).write.mode("overwrite").parquet(
             f"{target}/batch_id={batch_id}")
 
     return (
         questions.writeStream.foreachBatch(answer)
-        .option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+        .option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
     )

@@ -24,12 +24,12 @@ def cited(spark, answer, rows):
 
 
 def test_marks_map_to_sources_once_in_order(spark, three):
-    got = cited(spark, "see [1] and [3], again [1]", three)
-    assert got == [("a.md", 1, "text"), ("c.png", 0, "image")]
-    assert [s for s, _, _ in cited(spark, "[3] [2] [4]", three)] == ["c.png", "b.md", "a.md"]
+    got = cited(spark, "first [2], then [1][2] and [2]", three)
+    assert got == [("b.md", 2, "text"), ("a.md", 1, "text")]
+    assert [s for s, _, _ in cited(spark, "[3] [1] [7]", three)] == ["c.png", "a.md"]
 
 
-@pytest.mark.parametrize("answer", ["[9] and [abc]", "no mark", None, "[0]", "[99999999999]"])
+@pytest.mark.parametrize("answer", ["[8]", "[x] [1", "nothing cited", None, "[0]", "[99999999999]"])
 def test_marks_that_name_no_hit_are_ignored(spark, three, answer):
     assert cited(spark, answer, three) == []
 
@@ -87,10 +87,10 @@ def look(spark, rows, asked, **kw):
 
 
 def test_same_and_similar_questions_hit_others_miss(spark):
-    rows = [("kb1", 1, "q", [1.0, 0.0], "A"), ("kb2", 1, "q", [0.0, 1.0], "B")]
-    asked = [(1, "kb1", [1.0, 0.0]), (2, "kb1", [0.98, 0.02]), (3, "kb1", [0.0, -1.0]),
-             (4, "kb2", [1.0, 0.0]), (5, "kb3", [1.0, 0.0]), (6, "kb1", [0.0, 0.0])]
-    assert look(spark, rows, asked) == {1: "A", 2: "A", 3: None, 4: None, 5: None, 6: None}
+    rows = [("n", 1, "q", [3.0, 4.0], "N"), ("s", 1, "q", [-4.0, 3.0], "S")]
+    asked = [(1, "n", [6.0, 8.0]), (2, "n", [3.2, 3.9]), (3, "n", [4.0, -3.0]), (4, "s", [3.0, 4.0]),
+             (5, "w", [3.0, 4.0]), (6, "s", [0.0, 0.0])]
+    assert look(spark, rows, asked) == {1: "N", 2: "N", 3: None, 4: None, 5: None, 6: None}
 
 
 def test_best_match_wins_and_later_row_on_ties(spark):
@@ -125,43 +125,28 @@ def test_questions_with_history_bypass_the_cache(spark):
     assert got == {1: ("hit", "A"), 2: ("bypass", None), 3: ("miss", None)}
 
 
-def replay_model(log, changes, threshold, capacity):
-    out, held = {}, {}
-    events = [(kb, seq, 0, None) for kb, seq in changes] + [(r[0], r[1], 1, r) for r in log]
-    for kb, seq, kind, row in sorted(events, key=lambda e: e[:3]):
-        rows = held.setdefault(kb, [])
-        if kind == 0:
-            rows.clear()
-        elif row[4]:
-            out[(kb, seq)] = ("bypass", None)
-        else:
-            q = np.array(row[2])
-            best = max(((round(float(v @ q / np.linalg.norm(v) / np.linalg.norm(q)), 6), s)
-                        for v, s in rows), default=(-2, None))
-            if best[0] >= threshold:
-                out[(kb, seq)] = ("hit", best[1])
-            else:
-                out[(kb, seq)] = ("miss", None)
-                if row[3]:
-                    rows.append((q, seq))
-                    del rows[:-capacity]
-    return out
-
-
-@pytest.mark.parametrize("segment_rows", [10_000, 40, 7])
-def test_replay_equals_a_step_by_step_run(spark, segment_rows):
-    rng = np.random.default_rng(4)
-    log = []
-    for i in range(400):
-        kb = "hot" if i % 3 else f"k{i % 4}"
-        log.append((kb, i, rng.normal(size=2).tolist(), "" if i % 10 == 0 else "A", i % 8 == 0))
-    changes = [("hot", 100), ("hot", 250), ("k0", 12), ("hot", 251)]
-    got = cache.replay(
-        spark.createDataFrame(log, "kb_id string, seq long, embedding array<double>, answer string, has_history boolean"),
-        spark.createDataFrame(changes, "kb_id string, seq long"), 0.999, 5, segment_rows).collect()
-    want = replay_model(log, changes, 0.999, 5)
-    assert {(r.kb_id, r.seq): (r.outcome, r.matched_seq) for r in got} == want
-    assert {o for o, _ in want.values()} == {"hit", "miss", "bypass"}
+def test_lookup_sees_every_row_of_a_large_cache(spark):
+    rows = [("k", i, "q", [1.0, 0.0] if i == 0 else [-1.0, float(i)], f"A{i}") for i in range(900)]
+    table = spark.createDataFrame(rows, CACHE)
+    asked = spark.createDataFrame([(1, "k", [1.0, 0.0])], ASK)
+    for rows_per_block in (20_000, 50):
+        got = cache.lookup(table, asked, rows_per_block=rows_per_block).collect()
+        assert [(r.hit, r.seq, r.answer) for r in got] == [(True, 0, "A0")]
+
+
+def test_threshold_is_held_against_the_unrounded_similarity(spark):
+    x = 0.8999996
+    table = spark.createDataFrame([("k", 1, "q", [1.0, 0.0], "A")], CACHE)
+    asked = spark.createDataFrame([(1, "k", [x, (1 - x * x) ** 0.5])], ASK)
+    assert not cache.lookup(table, asked).first().hit
+
+
+def test_fill_refuses_answers_with_history(spark):
+    table = spark.createDataFrame([("k", 1, "q", [1.0, 0.0], "A")], CACHE)
+    fresh = spark.createDataFrame(
+        [("k", 2, "r", [0.0, 1.0], "B", False), ("k", 3, "s", [0.0, 1.0], "C", True),
+         ("k", 4, "t", [0.0, 1.0], "", False)], CACHE + ", has_history boolean")
+    assert {r.seq for r in cache.fill(table, fresh).collect()} == {1, 2}
 
 
 def test_a_hot_kb_splits_into_parts_with_the_same_answers(spark):
@@ -184,3 +169,4 @@ def test_a_hot_kb_splits_into_parts_with_the_same_answers(spark):
             else (None, None, None)
     assert found() == want
     assert found(rows_per_part=20) == want
+    assert found(rows_per_part=20, rows_per_block=7) == want

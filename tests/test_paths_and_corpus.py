@@ -13,33 +13,41 @@ def judge(spark, paths, rules=RULES, write=False):
 
 def test_layers_answer_in_order(spark):
     got = judge(spark, [
-        "/t/allow/good.txt", "/t/allow/.env", "/t/allow/.env.prod", "/t/allow/secret.txt",
-        "/t/allow/tokenization.py", "/t/allow/password_manager.py", "/t/danger/evil.txt",
-        "/t/danger/nested/x.bat", "/t/danger/.env", "/t/outside.txt", "/t/evil_new.bat",
-        "/t/allow/../../outside.txt", "/t/allow/new.md", "new.md", "/t/allowed/x"])
+        "/t/allow/report.csv", "/t/allow/sub/.env", "/t/allow/.env.local", "/t/allow/token.json",
+        "/t/allow/tokens.json", "/t/allow/secretary.md", "/t/danger/run.sh", "/t/danger/a/b/c",
+        "/t/danger/token", "/t/other/report.csv", "/t/allow/x/../../../t/other", "plan.txt",
+        "/t/allowance/x"])
     ok = {p for p, (allowed, _) in got.items() if allowed}
-    assert ok == {"/t/allow/good.txt", "/t/allow/tokenization.py",
-                  "/t/allow/password_manager.py", "/t/allow/new.md", "new.md"}
-    assert got["/t/danger/.env"][1] == policy.REASON_FORBIDDEN + "/t/danger"
-    assert got["/t/allow/.env.prod"][1] == policy.REASON_SENSITIVE + ".env'"
-    assert got["/t/outside.txt"][1] == policy.REASON_OUTSIDE
-    assert got["/t/allow/good.txt"][1] == ""
+    assert ok == {"/t/allow/report.csv", "/t/allow/tokens.json", "/t/allow/secretary.md", "plan.txt"}
+    assert got["/t/danger/token"][1] == policy.REASON_FORBIDDEN + "/t/danger"
+    assert got["/t/allow/.env.local"][1] == policy.REASON_SENSITIVE + ".env'"
+    assert got["/t/other/report.csv"][1] == policy.REASON_OUTSIDE
+    assert got["/t/allow/report.csv"][1] == ""
 
 
 def test_writing_is_stricter(spark):
-    got = judge(spark, ["/t/allow/settings.json", "/t/allow/new.txt", "/t/outside.txt",
-                        "/t/allow/Dockerfile", "/t/allow/dockerfile"], write=True)
-    assert got["/t/allow/settings.json"] == (False, policy.REASON_PROTECTED + "settings.json")
-    assert got["/t/allow/new.txt"][0] and got["/t/allow/dockerfile"][0]
-    assert not got["/t/outside.txt"][0] and not got["/t/allow/Dockerfile"][0]
+    got = judge(spark, ["/t/allow/conf/settings.json", "/t/allow/fresh.csv", "/t/other/fresh.csv",
+                        "/t/allow/Dockerfile", "/t/allow/Dockerfile.md"], write=True)
+    assert got["/t/allow/conf/settings.json"] == (False, policy.REASON_PROTECTED + "settings.json")
+    assert got["/t/allow/fresh.csv"][0] and got["/t/allow/Dockerfile.md"][0]
+    assert not got["/t/other/fresh.csv"][0] and not got["/t/allow/Dockerfile"][0]
+
+
+def test_of_a_uri_the_path_is_judged(spark):
+    got = judge(spark, [
+        "file:/t/danger/x", "file:///t/danger/x", "hdfs://nn:8020/t/allow/../danger/x", "FILE:/t/allow/ok.md",
+        "hdfs://nn/t/allow/ok.md", "s3x://bucket/t/allow/ok.md", "ftp:/t/allow/ok.md"])
+    assert {p for p, (allowed, _) in got.items() if allowed} == {"FILE:/t/allow/ok.md", "hdfs://nn/t/allow/ok.md"}
+    assert got["file:///t/danger/x"][1] == policy.REASON_FORBIDDEN + "/t/danger"
+    assert got["s3x://bucket/t/allow/ok.md"][1] == policy.REASON_OUTSIDE
 
 
 @pytest.mark.parametrize("path,inside", [
-    ("C:\\Windows\\System32\\cmd.exe", True), ("c:/windows/", True), ("C:\\Windows", True),
-    ("C:\\WindowsApps\\store", False), ("C:\\Windows.old\\x", False)])
+    ("D:\\Data\\raw\\x.csv", True), ("d:/data//", True), ("D:\\Data", True),
+    ("D:\\Database\\x", False), ("D:\\Data.bak\\x", False)])
 def test_prefixes_end_at_segments(spark, path, inside):
     row = spark.createDataFrame([(path,)], "p string")
-    assert row.select(policy.within(F.col("p"), "C:\\Windows")).first()[0] is inside
+    assert row.select(policy.within(F.col("p"), "D:\\Data")).first()[0] is inside
 
 
 def test_sensitive_sequences_and_order(spark):

@@ -175,15 +175,6 @@ def test_top_k_of_a_hot_group_is_exact(spark):
     assert {(r.g, r["rank"]): r.id for r in got} == want
 
 
-def test_running_sum_continues_over_stretches(spark):
-    rows = spark.range(1000).select((F.col("id") % 3).alias("g"), F.col("id").alias("n"))
-    got = ranking.running_sums(rows, "g", "n", {"total": F.col("n") % 5, "rows": F.lit(1)}, 64).collect()
-    totals = {}
-    for r in sorted(got, key=lambda r: r.n):
-        totals[r.g] = totals.get(r.g, 0) + r.n % 5
-        assert (r.total, r.rows) == (totals[r.g], r.n // 3 + 1)
-
-
 HIT = "query_id long, rank int, chunk_id string, content string, source string, page int, type string, image string"
 
 

@@ -81,11 +81,13 @@ def test_catalog_rules(spark):
                                 "kb_id string, name string, description string, created_at string")
     kbs = kbs.withColumn("created_at", F.to_timestamp("created_at"))
     assert [r.kb_id for r in catalog.list_kbs(kbs).collect()] == ["k0", "k2", "k1"]
-    assert catalog.default_kb(kbs).first() == ("k2", False)
+    assert catalog.default_kb(kbs).first() == ("k0", False)
     assert catalog.default_kb(kbs.limit(0)).first() == (catalog.DEFAULT_KB, True)
     assert catalog.get_kb(kbs, "zz").count() == 0
-    fresh = catalog.create_kbs(kbs, kbs.select(F.lit("new").alias("name"), "description", "created_at").limit(1))
-    assert len(fresh.filter("name = 'new'").first().kb_id) == 8
+    asked = kbs.limit(1).select(F.explode(F.array(F.lit("r1"), F.lit("r2"), F.lit("r2"))).alias("request_id"),
+                                F.lit("new").alias("name"), "description", "created_at")
+    fresh = [r.kb_id for r in catalog.create_kbs(kbs, asked).filter("name = 'new'").collect()]
+    assert len(fresh) == len(set(fresh)) == 2
 
     uploads = spark.createDataFrame([("d1", "k1", "a.md", None), ("d2", "zz", "b.md", 5)],
                                     "doc_id string, kb_id string, filename string, file_size long")
@@ -155,7 +157,7 @@ def test_streamed_ingest_equals_batch_and_runs_once(spark, tmp_path):
     run()
     docs.filter("doc_id >= 6").write.mode("append").parquet(folder)
     run()
-    want = chunking.chunk_blocks(ingest.to_blocks(docs))
+    want = chunking.chunk_blocks(files.corpus_blocks(docs))
     got = ingest.read_chunks(spark, target)
     cols = ["kb_id", "chunk_id", "content"]
     assert sorted(map(tuple, got.select(cols).collect())) == sorted(map(tuple, want.select(cols).collect()))
@@ -194,3 +196,40 @@ def test_shared_dir_follows_the_session(spark):
     with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
         shared_dir(fake_session("yarn", None))
     assert os.path.isdir(shared_dir(spark))
+
+
+def test_one_document_in_two_kbs_keeps_apart(spark):
+    blocks = spark.createDataFrame(
+        [("a", 1, "same text", None, "s", "text", None), ("b", 1, "same text", None, "s", "text", None)],
+        "kb_id string, doc_id long, text string, page int, source string, type string, image string")
+    ids = [r.chunk_id for r in chunking.chunk_blocks(blocks).collect()]
+    assert len(set(ids)) == 2
+
+
+def test_every_path_is_loaded_or_refused(spark):
+    rows = [("k", i, path, text) for i, (path, text) in enumerate([
+        ("/home/u/a.md", "text"), ("/home/u/b.pdf", None), ("/home/u/c.docx", " "), ("/home/u/d.png", None),
+        ("/home/u/e.xyz", None), ("file:/etc/passwd", "x"), ("file:///home/u/f.txt", "fine"), ("/home/u/g.txt", None)])]
+    df = spark.createDataFrame(rows, "kb_id string, doc_id long, path string, text string")
+    chunks, rejected = files.guarded_load(df)
+    loaded = {r.doc_id for r in chunks.collect()}
+    refused = {r.path for r in rejected.collect()}
+    assert loaded == {0, 3, 4, 6}
+    assert refused == {"/home/u/b.pdf", "/home/u/c.docx", "file:/etc/passwd", "/home/u/g.txt"}
+
+
+def test_an_unwritten_store_is_empty(spark, tmp_path):
+    shelf = ChunkStore(spark, str(tmp_path / "none"))
+    assert shelf.scan().count() == 0
+    assert {r.kb_id for r in shelf.drop(["x"]).collect()} == {"x"}
+
+
+def test_a_run_saved_twice_counts_once(spark, tmp_path):
+    runs = spark.createDataFrame([("eval_20240101_000000", "t", "k", 1, [])],
+                                 "run string, timestamp string, kb_id string, test_size long, results array<string>")
+    details = spark.createDataFrame([("eval_20240101_000000", "c", 1, 0.5, 0.5, 0.5, 0.5)],
+                                    "run string, config string, query_id long, context_precision double, "
+                                    "context_recall double, faithfulness double, answer_relevancy double")
+    for _ in range(2):
+        archive.save_runs(runs, details, str(tmp_path / "runs"))
+    assert archive.read_details(spark, str(tmp_path / "runs")).count() == 1
