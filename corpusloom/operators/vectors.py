@@ -233,9 +233,9 @@ class CellIndex:
 
     def top_k(self, queries: DataFrame, k: int = 5, n_probes: int | None = None,
               row_id: str = "chunk_id", block_bytes: int = BLOCK_BYTES) -> DataFrame:
-        """Like :func:`dense_top_k`, restricted to the probed cells: by default 2 %, four at least."""
+        """Like :func:`dense_top_k`, restricted to the probed cells: by default 4 %, twelve at least."""
         n_cells = len(self.centres)
-        n_probes = n_probes or max(4, math.ceil(n_cells / 50))
+        n_probes = n_probes or max(12, math.ceil(n_cells / 25))
 
         def pack(table: pa.Table) -> dict:
             packed = _pack_vectors(table)

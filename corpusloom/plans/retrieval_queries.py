@@ -340,7 +340,7 @@ ORACLE = {
         SELECT query_id, vec_id, score, rank, place <= 20 AS exact_hit FROM (
           SELECT e.*, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank
           FROM exact e JOIN probes p ON p.label = e.query_id AND p.cell = e.cell
-          WHERE p.n <= greatest(4, (SELECT CAST(ceil(count(*) / 50.0) AS INTEGER) FROM cells)))
+          WHERE p.n <= greatest(12, (SELECT CAST(ceil(count(*) / 25.0) AS INTEGER) FROM cells)))
         WHERE rank <= 20"""),
     "dense_text_top_k": sql.with_(
         sql.CORPUS_LEXICON, sql.CORPUS_QUESTIONS, sql.text_vectors(), sql.vector_hits(10),
