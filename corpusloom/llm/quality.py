@@ -16,9 +16,10 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
-from pyspark.sql.types import ArrayType, BooleanType, DoubleType, LongType, StructField, StructType
+from pyspark.sql.types import (ArrayType, BooleanType, DoubleType, FloatType, LongType, StructField,
+                               StructType)
 
-from corpusloom.llm.common import mix64, small_slices, string_buffers, word_hashes
+from corpusloom.llm.common import list_array, mix64, small_slices, string_buffers, word_hashes
 
 #: Bounds of what is fitted on; everything else covers all documents.
 MAX_LABELLED = 20_000
@@ -172,9 +173,10 @@ def _featured(out: pa.Schema):
         for batch in batches:
             for rows in small_slices(batch, size=1 << 20):
                 text, meta = _views(rows)
-                yield pa.RecordBatch.from_arrays([
-                    rows.column(5), rows.column(6), pa.array(list(text)), pa.array(list(meta))],
-                    schema=out)
+                lists = [list_array(pa.array(x.astype(np.float32).ravel()),
+                                    np.arange(len(x) + 1) * x.shape[1]) for x in (text, meta)]
+                yield pa.RecordBatch.from_arrays(
+                    [rows.column(5), rows.column(6), *lists], schema=out)
 
     return run
 
@@ -228,8 +230,8 @@ def classify_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id",
         (F.col("label").isNotNull()) | (F.col("turn") % step == 0)).select(
         "id", "text", "source", "lang", "length", "turn", "label")
     features = StructType([StructField("turn", LongType()), StructField("label", LongType()),
-                           StructField("text", ArrayType(DoubleType())),
-                           StructField("meta", ArrayType(DoubleType()))])
+                           StructField("text", ArrayType(FloatType())),
+                           StructField("meta", ArrayType(FloatType()))])
 
     def arrow(schema: StructType) -> pa.Schema:
         return spark.createDataFrame([], schema).toArrow().schema
@@ -237,7 +239,8 @@ def classify_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id",
     # A row for each labelled or pooled document: bounded by both constants.
     rows = sample.mapInArrow(_featured(arrow(features)), features).orderBy("turn").toArrow()
     label = rows.column("label").to_numpy(zero_copy_only=False).astype(np.float64)
-    views = [np.array(rows.column(x).to_pylist(), np.float64) for x in ("text", "meta")]
+    views = [rows.column(x).combine_chunks().flatten().to_numpy().reshape(len(label), -1)
+             .astype(np.float64) for x in ("text", "meta")] if len(label) else []
     has = ~np.isnan(label)
     model = co_train([v[has] for v in views], label[has], [v[~has] for v in views]) if (
         has.any()) else None
