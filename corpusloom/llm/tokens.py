@@ -41,6 +41,8 @@ class PieceEncoder:
         kind = self._kind(rules)
         self.cut = {"dropped": _DROPPED, "kept": _KEPT}.get(kind)
         self.rare = _RARE_SPACE if kind == "kept" else None
+        steps = (rules.get("normalizer") or {}).get("normalizers") or []
+        self.lower = kind == "dropped" and any(s.get("type") == "Lowercase" for s in steps)
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() < 1 << 16 else "<u4")
         self.known: dict[str, bytes] = {}
 
@@ -73,6 +75,9 @@ class PieceEncoder:
         if self.cut is None:
             return [self._whole(text) for text in texts]
         rare = self.rare
+        if self.lower:
+            # The tokenizer does the same to ASCII; "<|" may begin a token that keeps its case.
+            texts = [t.lower() if t.isascii() and "<|" not in t else t for t in texts]
         pieces = [None if rare and rare.search(t) else self.cut.findall(t) for t in texts]
         fresh = set().union(*(p for p in pieces if p)).difference(self.known)
         if fresh:
