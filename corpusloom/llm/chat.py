@@ -61,26 +61,31 @@ def chosen_paths(messages: DataFrame, top: int = 1) -> DataFrame:
             known.withColumn("there", F.lit(True)), ["tree", "parent"], "left").select(
             *key, F.when(F.col("there"), F.col("parent")).alias("up"), F.lit(1).cast("long").alias("n"),
             F.coalesce(F.col("score").cast("double"), F.lit(0.0)).alias("sum")), "replies")
-    count = nodes.count()
-    jumps = [nodes]
+    # Only messages whose pointer still has a target go on to the next round; the others know
+    # their whole path's length and score. n and sum cover a message and those below its target.
+    settled, active = nodes.filter("up is null"), nodes.filter("up is not null")
+    jumps = [active]
     # A chain has no more links than messages, so a pointer left after that is in a cycle.
-    while (1 << (len(jumps) - 1)) <= count and jumps[-1].filter("up is not null").head(1):
-        last = jumps[-1]
-        above = last.select("tree", F.col("message").alias("up"), F.col("up").alias("further"),
-                            F.col("n").alias("n2"), F.col("sum").alias("sum2"))
-        # n and sum cover the message itself and those below the pointer.
-        jumps.append(materialize(last.join(above, ["tree", "up"], "left").select(
-            *key, F.col("further").alias("up"), (F.col("n") + F.coalesce("n2", F.lit(0))).alias("n"),
-            (F.col("sum") + F.coalesce("sum2", F.lit(0.0))).alias("sum")), "replies"))
+    count = nodes.count()
+    while (1 << (len(jumps) - 1)) <= count and active.head(1):
+        above = settled.unionByName(active).select(
+            "tree", F.col("message").alias("up"), F.col("up").alias("further"),
+            F.col("n").alias("n2"), F.col("sum").alias("sum2"))
+        moved = materialize(active.join(above, ["tree", "up"]).select(
+            *key, F.col("further").alias("up"), (F.col("n") + F.col("n2")).alias("n"),
+            (F.col("sum") + F.col("sum2")).alias("sum")), "replies")
+        settled = settled.unionByName(moved.filter("up is null"))
+        active = moved.filter("up is not null")
+        jumps.append(active)
     parents = nodes.filter("up is not null").select("tree", F.col("up").alias("message")).distinct()
-    leaves = jumps[-1].filter("up is null").join(parents, key, "left_anti")
+    leaves = settled.join(parents, key, "left_anti")
     best = Window.partitionBy("tree").orderBy(
         F.desc(F.round(F.col("sum") / F.col("n"), 9)), F.desc("n"), "message")
     paths = leaves.withColumn("path", F.row_number().over(best)).filter(
         F.col("path") <= top).select("tree", "path", "message", F.col("n").alias("step"))
     for level in reversed(range(len(jumps) - 1)):
         # Those this far or farther from the root have an ancestor 2**level steps up.
-        hop = jumps[level].filter("up is not null").select(*key, "up")
+        hop = jumps[level].select(*key, "up")
         paths = materialize(paths.union(paths.join(hop, key).select(
             "tree", "path", F.col("up").alias("message"), F.col("step") - (1 << level))), "paths")
     return paths
