@@ -12,8 +12,9 @@
    similarity from the threshold up than at some one below it (a joint likelihood of both
    sketches and both set sizes). Whole sets decide.
 5. Links found join into components. Buckets that still hold several components are gone
-   through again for pairs across components, in blocks of bounded size, so that no link that
-   would join two components is left out, while pairs inside one are never made.
+   through again for pairs across components, on whole sets, in blocks of bounded size. Only
+   links that join two components come out, fewer than a bucket has rows, and none that would
+   join two is left out.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.types import (ArrayType, BinaryType, LongType, StructField, StructType)
 
-from corpusloom.llm.common import list_array, mix64, shingle_sets
+from corpusloom.llm.common import list_array, mix64, only_ids, partitions_for, shingle_sets
 from corpusloom.llm.components import connected_components
 from corpusloom.session import materialize
 
@@ -37,8 +38,8 @@ LIMIT = (1 << 16) - 1
 #: A pair is dropped when no similarity from the threshold up comes nearer than this to the
 #: best log likelihood: six standard deviations.
 MARGIN = 18.0
-#: Buckets up to this size are gone through whole, larger ones in blocks of this size.
-BLOCK = 1000
+#: Buckets of up to this many shingles in all are gone through whole, larger ones in blocks.
+BLOCK_SHINGLES = 1_000_000
 
 _RNG = np.random.default_rng(20210101)
 _FACTOR = _RNG.integers(0, 1 << 63, REGISTERS, dtype=np.uint64) << np.uint64(1) | np.uint64(1)
@@ -152,34 +153,46 @@ def _sets(width: int, out: pa.Schema):
     return run
 
 
-def _across(least: float, out: pa.Schema):
-    """Pairs across components within the buckets of one block, or between two blocks."""
+def _across(percent: int, out: pa.Schema):
+    """Links across components within buckets: every ``left`` row against all rows of its bucket.
+
+    A link that joins two components is given out and merges them, so a bucket gives fewer links
+    than it has rows. Intersections are counted exactly: the row's shingles are marked in the
+    bucket's list of shingles, and marks are summed up by row.
+    """
 
     def run(group: pa.Table) -> pa.Table:
         group = group.sort_by("key")
-        key = group.column("key").to_numpy()
+        key, left = (group.column(c).to_numpy() for c in ("key", "left"))
         component = group.column("component").combine_chunks().dictionary_encode()
-        comp = component.indices.to_numpy(zero_copy_only=False)
-        side = group.column("side").to_numpy()
-        two = group.column("two").to_numpy()
-        sizes = group.column("n").to_numpy()
-        regs = as_registers(group.column("regs").combine_chunks())
-        left, right = [], []
+        root = component.indices.to_numpy(zero_copy_only=False).copy()
+        shingles = group.column("shingles").combine_chunks()
+        sizes = shingles.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+        flat = shingles.flatten().to_numpy(zero_copy_only=False)
+        ends = np.cumsum(sizes)
+        pairs = []
         cuts = np.concatenate([[0], np.nonzero(np.diff(key))[0] + 1, [len(key)]])
         for lo, hi in zip(cuts, cuts[1:]):
-            for i in range(lo, hi - 1):
-                j = np.arange(i + 1, hi)
-                j = j[comp[j] != comp[i]]
-                if two[i]:
-                    j = j[side[j] != side[i]]
-                if len(j):
-                    j = j[plausible(np.broadcast_to(regs[i], (len(j), REGISTERS)), regs[j],
-                                    np.full(len(j), sizes[i]), sizes[j], least)]
-                    left.append(np.full(len(j), i))
-                    right.append(j)
+            start = ends[lo] - sizes[lo]
+            _, code = np.unique(flat[start:ends[hi - 1]], return_inverse=True)
+            at = ends[lo:hi] - sizes[lo:hi] - start
+            n, own = sizes[lo:hi], root[lo:hi]
+            marks = np.zeros(int(code.max()) + 1, np.int64)
+            for y in np.nonzero(left[lo:hi])[0]:
+                if (own == own[y]).all():
+                    continue
+                mine = code[at[y]:at[y] + n[y]]
+                marks[mine] = 1
+                both = np.add.reduceat(marks[code], at)
+                marks[mine] = 0
+                linked = np.nonzero(100 * both >= percent * (n + n[y] - both))[0]
+                for x in linked[own[linked] != own[y]]:
+                    if own[x] != own[y]:
+                        pairs.append((lo + y, lo + x))
+                        own[own == own[x]] = own[y]
         ids = group.column("id").combine_chunks()
-        pick = [pa.array(np.concatenate(x) if x else np.zeros(0, np.int64)) for x in (left, right)]
-        return pa.Table.from_arrays([ids.take(x) for x in pick], schema=out)
+        picks = [pa.array([p[side] for p in pairs], pa.int64()) for side in (0, 1)]
+        return pa.Table.from_arrays([ids.take(x) for x in picks], schema=out)
 
     return run
 
@@ -224,11 +237,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     pair = StructType([StructField("a", id_field.dataType), StructField("b", id_field.dataType)])
     set_schema = StructType([id_field, StructField("shingles", ArrayType(LongType()))])
 
+    def sets_of(ids: DataFrame) -> DataFrame:
+        return only_ids(whole, ids).mapInArrow(
+            _sets(width, arrow(set_schema)), set_schema)
+
     def confirmed(pairs: DataFrame) -> DataFrame:
         pairs = materialize(pairs, "pairs")
-        ids = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
-        sets = materialize(whole.join(ids, "id", "left_semi").mapInArrow(
-            _sets(width, arrow(set_schema)), set_schema), "sets")
+        ids = pairs.select(F.col("a").alias("id")).union(pairs.select("b"))
+        sets = materialize(sets_of(ids), "sets")
         a, b = (sets.select(F.col("id").alias(x), F.col("shingles").alias(f"set_{x}"))
                 for x in "ab")
         both = F.size(F.array_intersect("set_a", "set_b"))
@@ -246,29 +262,49 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     labels = connected_components(links)
 
     # A second look at buckets of several components; a bucket of two is settled by its star.
-    of = F.coalesce("component", "id")
-    labelled = crowd.filter("members > 2").join(
-        labels.withColumnRenamed("node", "id"), "id", "left").withColumn("component", of)
-    split = labelled.groupBy("key").agg(
-        F.min("component").alias("lo"), F.max("component").alias("hi"),
-        F.count("*").alias("size")).filter("lo != hi").select("key", "size")
-    members = labelled.join(split, "key").join(reps, "id")
-    blocks = F.ceil(F.col("size") / BLOCK).cast("int")
-    own = F.pmod(F.hash("id"), F.col("blocks"))
-    slots = int(spark.conf.get("spark.sql.shuffle.partitions")) * 8
-    spread = members.withColumn("blocks", blocks).withColumn("own", own).withColumn(
-        "other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    across = spread.select(
-        "key", "id", "component", "n", "regs", F.col("own").alias("side"),
-        (F.col("own") != F.col("other")).alias("two_"),
-        F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"),
-        F.when(F.col("blocks") == 1, F.pmod(F.col("key"), F.lit(slots))).otherwise(
-            F.col("key")).alias("slot")).withColumn(
-        "two", F.col("lo") != F.col("hi")).drop("two_")
-    more = across.groupBy("slot", "lo", "hi").applyInArrow(
-        _across(least, arrow(pair)), pair).distinct().join(
-            likely_done(stars), ["a", "b"], "left_anti")
-    labels = connected_components(links.union(confirmed(more)))
+    # Rows outside a bucket's largest component meet all others of the bucket: in one task for
+    # most buckets, else in blocks of bounded size. Rows of the largest never meet each other.
+    labelled = materialize(
+        crowd.filter("members > 2").select("key", "id").join(
+            labels.withColumnRenamed("node", "id"), "id", "left").withColumn(
+            "component", F.coalesce("component", "id")).join(
+            reps.groupBy("id").agg(F.max("n").alias("n")), "id"), "labelled")
+    of_component = labelled.groupBy("key", "component").agg(
+        F.count("*").alias("rows"), F.sum("n").alias("weight"))
+    split = of_component.groupBy("key").agg(
+        F.max(F.struct("rows", "component", "weight")).alias("top"), F.sum("weight").alias("all"),
+        F.count("*").alias("components")).filter("components > 1").select(
+        "key", F.col("top.component").alias("major"),
+        F.ceil((F.col("all") - F.col("top.weight")) / BLOCK_SHINGLES).cast("int").alias("minors"),
+        F.ceil(F.col("top.weight") / BLOCK_SHINGLES).cast("int").alias("majors"),
+        F.col("all"))
+    members = materialize(labelled.join(split, "key"), "split-buckets")
+    total = members.agg(F.sum("n")).first()[0] or 0
+    slots = partitions_for(spark, total, BLOCK_SHINGLES)
+    minor = ~F.col("component").eqNullSafe(F.col("major"))
+    own = F.pmod(F.hash("id"), F.when(minor, F.col("minors")).otherwise(F.col("majors")))
+
+    def block(kind: int, a: Column, b: Column, left: bool) -> Column:
+        return F.struct(F.lit(kind).alias("kind"), a.cast("int").alias("a"), b.cast("int").alias("b"),
+                        F.lit(left).alias("left"))
+
+    def upto(n: Column) -> Column:
+        return F.sequence(F.lit(0), n - 1)
+
+    mine = F.col("own")
+    as_minor = F.concat(
+        F.transform(upto(F.col("majors")), lambda j: block(0, mine, j, True)),
+        F.transform(F.filter(upto(F.col("minors")), lambda j: j > mine), lambda j: block(1, mine, j, True)),
+        F.transform(F.filter(upto(F.col("minors")), lambda i: i < mine), lambda i: block(1, i, mine, False)))
+    as_major = F.transform(upto(F.col("minors")), lambda i: block(0, i, mine, False))
+    one = (F.col("minors") == 1) & (F.col("majors") == 1)
+    placed = members.withColumn("own", own).withColumn(
+        "at", F.explode(F.when(minor, as_minor).otherwise(as_major))).select(
+        "key", "id", "component", "at.*",
+        F.when(one, F.pmod(F.col("key"), F.lit(slots))).otherwise(F.col("key")).alias("slot"))
+    more = placed.join(sets_of(members.select("id")), "id").groupBy(
+        "slot", "kind", "a", "b").applyInArrow(_across(percent, arrow(pair)), pair)
+    labels = connected_components(links.union(more))
 
     named = labels.withColumnRenamed("node", "class")
     own_class = sketches.select("id", *equal).join(
@@ -279,7 +315,3 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         F.coalesce("component", "id").alias("component_id"),
         F.coalesce(F.col("id") == F.coalesce("component", "id"), F.lit(False)).alias("kept"))
 
-
-def likely_done(stars: DataFrame) -> DataFrame:
-    """Pairs already looked at, in both directions."""
-    return stars.union(stars.select("b", "a")).distinct()

@@ -105,9 +105,9 @@ def corpus():
     return rows
 
 
-@pytest.mark.parametrize("width, block", [(2, 1000), (2, 7), (5, 1000)])
+@pytest.mark.parametrize("width, block", [(2, 1_000_000), (2, 500), (5, 1_000_000)])
 def test_near_duplicates(spark, monkeypatch, width, block):
-    monkeypatch.setattr(near_dedup, "BLOCK", block)
+    monkeypatch.setattr(near_dedup, "BLOCK_SHINGLES", block)
     rows = corpus()
     df = spark.createDataFrame([(d, t, 0, 0) for d, t in rows],
                                "doc_id long, text string, n int, class int").repartition(4)
