@@ -37,7 +37,7 @@ FROM d WINDOW w AS (PARTITION BY t)
 
 
 def op2_secrets(spark: SparkSession, sf: str) -> DataFrame:
-    return scan_secrets(table(spark, sf, "documents"))
+    return scan_secrets(table(spark, sf, "documents"), by_window=True)
 
 
 def op3_mixing(spark: SparkSession, sf: str) -> DataFrame:

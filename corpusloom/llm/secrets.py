@@ -3,7 +3,8 @@
 A run of one character class is slid through by a window. Counts of the window's characters
 change by one character going out and one coming in, and so does the sum of c * log2(c) over
 the counts, from which the window's Shannon entropy follows. What the allow list names is left
-out. All of it is column expressions; no row leaves its place.
+out: window by window, or with the whole run. All of it is column expressions; no row leaves
+its place.
 """
 
 from __future__ import annotations
@@ -39,13 +40,18 @@ class RandomRun:
 RUNS = (
     RandomRun("entropy_hex", "0-9A-Fa-f", 24, 2.8, ("[0-9]", "[A-Fa-f]")),
     RandomRun("entropy_base64", "A-Za-z0-9+/=_-", 28, 3.9, ("[0-9]", "[a-z]", "[A-Z]")),
+    # Keys of one case, such as base36 and base32: their runs need no letter of the other.
+    RandomRun("entropy_lower", "0-9a-z", 24, 3.7, ("[0-9]", "[a-z]")),
+    RandomRun("entropy_upper", "0-9A-Z", 16, 3.2, ("[0-9]", "[A-Z]")),
 )
-#: Runs with one of these are known not to be secrets: placeholders, alphabets, UUIDs.
+#: Runs, or windows, with one of these are known not to be secrets: placeholders, alphabets, UUIDs.
 ALLOWED = (
     r"(?i)example|sample|placeholder|changeme|dummy|lorem",
     r"(?i)01234567|abcdefgh|(.)\1{7}",
     r"(?i)[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}",
 )
+#: The one of these that is longer than a window: runs are cut where it matches.
+WHOLE = ALLOWED[2]
 KINDS = (*BASE, *(r.kind for r in RUNS))
 _SPAN = "array<struct<start:bigint,kind:int,end:bigint,text:string>>"
 _SCALE = 1_000_000
@@ -88,8 +94,9 @@ def _base_spans(text: Column) -> Column:
         for name, (pattern, group, least) in BASE.items()]))
 
 
-def _random_part(run: Column, rule: RandomRun) -> Column:
-    """struct(first, last) of the windows over the limit, null if there is none."""
+def _random_parts(run: Column, rule: RandomRun, by_window: bool) -> Column:
+    """array of struct(first, last): windows over the limit that the allow list does not name,
+    those that meet joined to one; or, not by window, one from the first to the last."""
     size = rule.window
     table = F.array(*[F.lit(round(c * math.log2(c) * _SCALE) if c else 0) for c in range(size + 1)])
     most = math.floor((math.log2(size) - rule.bits) * size * _SCALE)
@@ -102,6 +109,10 @@ def _random_part(run: Column, rule: RandomRun) -> Column:
     def value(count: Column) -> Column:
         return F.get(table, count)
 
+    known = F.lit(False)
+    for allowed in ALLOWED:
+        known = known | run.rlike(allowed)
+
     def slide(acc: Column, x: Column) -> Column:
         new, old, counts = x["new"], x["old"], acc["counts"]
         grown, shrunk = F.get(counts, new), F.get(counts, old)
@@ -111,20 +122,35 @@ def _random_part(run: Column, rule: RandomRun) -> Column:
         total = acc["total"] + change
         at = acc["at"] + 1
         hit = (at >= size) & (total <= most)
+        seen, closed = F.lit(""), acc["out"]
+        fresh = acc["first"] < 0
+        if by_window:
+            # The window's own text; only runs with something known in them need it.
+            seen = F.when(acc["known"], F.concat(F.substring(acc["seen"], -(size - 1), size - 1), F.char(
+                new + _FIRST))).otherwise("")
+            for allowed in ALLOWED:
+                hit = hit & ~seen.rlike(allowed)
+            apart = hit & ~fresh & (at - size > acc["last"])
+            closed = F.when(apart, F.concat(closed, F.array(F.struct(
+                acc["first"].alias("first"), acc["last"].alias("last"))))).otherwise(closed)
+            fresh = fresh | apart
         return F.struct(
             F.when(new == old, counts).otherwise(F.transform(counts, lambda c, i: (
                 c + F.when(i == new, 1).otherwise(0) - F.when(i == old, 1).otherwise(0)))).alias("counts"),
             total.cast("long").alias("total"), at.cast("int").alias("at"),
-            F.when(hit & (acc["first"] < 0), at - size).otherwise(acc["first"]).cast("int").alias("first"),
-            F.when(hit, at).otherwise(acc["last"]).cast("int").alias("last"))
+            F.when(hit & fresh, at - size).otherwise(acc["first"]).cast("int").alias("first"),
+            F.when(hit, at).otherwise(acc["last"]).cast("int").alias("last"),
+            acc["known"].alias("known"), seen.alias("seen"), closed.alias("out"))
 
+    none = F.array().cast("array<struct<first:int,last:int>>")
     start = F.struct(F.array_repeat(F.lit(0), _SLOTS).alias("counts"), F.lit(0).cast("long").alias("total"),
-                     F.lit(0).alias("at"), F.lit(-1).alias("first"), F.lit(-1).alias("last"))
-    return F.aggregate(steps, start, slide, lambda acc: F.when(
-        acc["first"] >= 0, F.struct(acc["first"].alias("first"), acc["last"].alias("last"))))
+                     F.lit(0).alias("at"), F.lit(-1).alias("first"), F.lit(-1).alias("last"),
+                     known.alias("known"), F.lit("").alias("seen"), none.alias("out"))
+    return F.aggregate(steps, start, slide, lambda acc: F.when(acc["first"] >= 0, F.concat(
+        acc["out"], F.array(F.struct(acc["first"].alias("first"), acc["last"].alias("last"))))).otherwise(none))
 
 
-def _random_spans(text: Column, rule: RandomRun) -> Column:
+def _random_spans(text: Column, rule: RandomRun, by_window: bool) -> Column:
     """Spans of random looking parts of runs, without what the allow list names."""
     pattern = f"(?<![{rule.chars}])[{rule.chars}]{{{rule.window},}}"
     runs = F.when(text.rlike(pattern), _found(
@@ -134,17 +160,36 @@ def _random_spans(text: Column, rule: RandomRun) -> Column:
         test = F.lit(True)
         for needed in rule.needs:
             test = test & run["text"].rlike(needed)
-        for allowed in ALLOWED:
-            test = test & ~run["text"].rlike(allowed)
+        if not by_window:
+            for allowed in ALLOWED:
+                test = test & ~run["text"].rlike(allowed)
         return test
 
+    def pieces(run: Column) -> Column:
+        """The run without what is known and longer than a window, as spans."""
+        found = _found(run["text"], WHOLE, 0, 0, 0)
+        cut = F.aggregate(
+            found, F.struct(F.lit(0).cast("long").alias("at"), F.array().cast(_SPAN).alias("out")),
+            lambda acc, m: F.struct(m["end"].alias("at"), F.concat(acc["out"], F.array(
+                piece(run, acc["at"], m["start"]))).alias("out")),
+            lambda acc: F.concat(acc["out"], F.array(piece(run, acc["at"], F.length(run["text"])))))
+        return F.when(run["text"].rlike(WHOLE), F.filter(
+            cut, lambda p: F.length(p["text"]) >= rule.window)).otherwise(F.array(run).cast(_SPAN))
+
+    def piece(run: Column, start: Column, end: Column) -> Column:
+        return F.struct((run["start"] + start).alias("start"), run["kind"].alias("kind"),
+                        (run["start"] + end).cast("long").alias("end"), F.substring(
+                            run["text"], (start + 1).cast("int"), (end - start).cast("int")).alias("text"))
+
     def narrowed(run: Column) -> Column:
-        part = _random_part(run["text"], rule)
-        return F.transform(F.filter(F.array(part), lambda p: p.isNotNull()), lambda p: F.struct(
+        return F.transform(_random_parts(run["text"], rule, by_window), lambda p: F.struct(
             (run["start"] + p["first"]).alias("start"), run["kind"].alias("kind"),
-            (run["start"] + p["last"]).alias("end"), run["text"].alias("text")))
+            (run["start"] + p["last"]).alias("end"), F.lit("").alias("text")))
 
-    return F.flatten(F.transform(F.filter(runs, secret_like), narrowed)).cast(_SPAN)
+    likely = F.filter(runs, secret_like)
+    if by_window:
+        likely = F.flatten(F.transform(likely, pieces))
+    return F.flatten(F.transform(likely, narrowed)).cast(_SPAN)
 
 
 def _joined(spans: Column) -> Column:
@@ -153,27 +198,49 @@ def _joined(spans: Column) -> Column:
         ":", F.get(names, s["kind"]), s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
-def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *,
+                 by_window: bool = False) -> DataFrame:
     """One row per row of ``docs``: id, n_assign, n_access, n_hex, base_sha256, spans, n_entropy.
 
-    Base spans are whole matches; all of them stay. A random part is added where it overlaps no
-    base span: from the first window over the limit of its class to the last one in the same
-    run; what two classes find in the same place is told once, by the narrower class. Positions
-    count code points, ends are exclusive. Null texts are empty, ids may
-    be null or repeat, other columns are not looked at; an empty table gives an empty result.
+    Base spans are whole matches; all of them stay. ``by_window`` finds all random parts: the
+    allow list leaves out the windows that hold one of its names (and UUIDs whole), windows over
+    the limit that meet are one part, and what a base span or an earlier class has of a part is
+    taken off it. Without it the allow list leaves out whole runs, a run is told once, from its
+    first window over the limit to its last, and only where it touches nothing told before, so
+    secrets beside known words or base spans are missing. Positions count code points, ends are
+    exclusive. Null texts are empty, ids may be null or repeat, other columns are not looked at;
+    an empty table gives an empty result.
     """
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     rows = rows.select("id", "text", _base_spans(F.col("text")).alias("base"),
-                       *[_random_spans(F.col("text"), r).alias(r.kind) for r in RUNS])
+                       *[_random_spans(F.col("text"), r, by_window).alias(r.kind) for r in RUNS])
 
     def apart(spans: Column, others: Column) -> Column:
         return F.filter(spans, lambda s: ~F.exists(others, lambda o: (
             (o["start"] < s["end"]) & (s["start"] < o["end"]))))
 
-    known = F.col("base")
-    for rule in RUNS:
-        known = F.concat(known, apart(F.col(rule.kind), known))
-    rows = rows.select("id", "base", F.array_sort(known).alias("every"))
+    def left(spans: Column, others: Column) -> Column:
+        """What the others, sorted, leave of each span."""
+        def part(s: Column, start: Column, end: Column) -> Column:
+            return F.when(start < end, F.array(F.struct(
+                start.alias("start"), s["kind"].alias("kind"), end.alias("end"),
+                F.lit("").alias("text")))).otherwise(F.array()).cast(_SPAN)
+
+        def rest(s: Column) -> Column:
+            return F.aggregate(
+                F.filter(others, lambda o: (o["start"] < s["end"]) & (s["start"] < o["end"])),
+                F.struct(s["start"].alias("at"), F.array().cast(_SPAN).alias("out")),
+                lambda acc, o: F.struct(F.greatest(acc["at"], o["end"]).alias("at"), F.concat(
+                    acc["out"], part(s, acc["at"], o["start"])).alias("out")),
+                lambda acc: F.concat(acc["out"], part(s, acc["at"], s["end"])))
+
+        return F.flatten(F.transform(spans, rest))
+
+    for i, rule in enumerate(RUNS):
+        known = F.col("known") if i else F.col("base")
+        new = (left if by_window else apart)(F.col(rule.kind), known)
+        rows = rows.withColumn("known", F.array_sort(F.concat(known, new)))
+    rows = rows.select("id", "base", F.col("known").alias("every"))
 
     def number(kind: str) -> Column:
         return F.size(F.filter("base", lambda s: s["kind"] == KINDS.index(kind))).cast("long")

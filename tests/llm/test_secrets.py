@@ -75,3 +75,34 @@ def test_scan_matches_plain_python(spark):
     assert got == want
     assert any("entropy_hex" in r[5] for r in got) and any("entropy_base64" in r[5] for r in got)
     assert scan_secrets(df.limit(0)).count() == 0
+
+
+def spans_by_window(spark, texts):
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r for r in scan_secrets(df, by_window=True).collect()}
+    return [[(k, int(s), int(e)) for k, s, e in (x.split(":") for x in got[i].spans.split(",") if x)]
+            for i in range(len(texts))]
+
+
+def test_windows_keep_secrets_beside_known_words(spark):
+    rng = random.Random(5)
+    pick = lambda chars, n: "".join(rng.choices(chars, k=n))
+    digits, lower = "0123456789", "abcdefghijklmnopqrstuvwxyz"
+    b64 = digits + lower + lower.upper() + "+/"
+    key, base36, totp = pick(b64, 40), pick(digits + lower, 40), pick("234567" + lower.upper(), 32)
+    uuid = "123e4567-e89b-12d3-a456-426614174000"
+    texts = ["example/key/" + key, pick(b64, 50) + "A" * 30 + pick(b64, 50), "k " + base36, "k " + totp,
+             "f" * 8 + pick("0123456789abcdef", 40) + "Z" + key, "AKIA" + pick("ABCDEF23", 16) + "/" + key,
+             uuid, uuid + "-Ab", uuid + "/" + key, "internationalization2024of words", "placeholder" * 5 + "A1",
+             pick(b64, 40) + "Aa1" * 40 + pick(b64, 40)]
+    got = spans_by_window(spark, texts)
+    for i, (lo, hi) in {0: (12, 52), 2: (2, 42), 3: (2, 34), 5: (21, 61), 8: (37, 77)}.items():
+        assert any(s <= lo + 2 and e >= hi - 2 for k, s, e in got[i] if k.startswith("entropy")), (i, got[i])
+    assert [k for k, *_ in got[2]] == ["entropy_lower"] and [k for k, *_ in got[3]] == ["entropy_upper"]
+    assert got[1][0][1] <= 2 and got[1][-1][2] >= 128 and len(got[1]) == 2
+    assert any(k == "entropy_base64" and e == len(texts[4]) for k, s, e in got[4])
+    assert got[6] == got[7] == got[9] == got[10] == []
+    assert len(got[11]) == 2
+    for found in got:
+        ordered = sorted(found, key=lambda x: x[1])
+        assert all(a[2] <= b[1] for a, b in zip(ordered, ordered[1:]))
