@@ -46,19 +46,26 @@ def unescape_role(role: str) -> str:
     return re.sub(r"\\(.)", lambda m: "\n" if m[1] == "n" else m[1], unescape(role), flags=re.S)
 
 
+def _join(left: DataFrame, right: DataFrame, tree_and: str, how: str = "inner") -> DataFrame:
+    """A join by tree, null equal to null, and one more column, where null equals nothing."""
+    other = right.withColumnRenamed("tree", "_tree").withColumnRenamed(tree_and, "_key")
+    same = F.col("tree").eqNullSafe(F.col("_tree")) & (F.col(tree_and) == F.col("_key"))
+    return left.join(other, same, how).drop("_tree", "_key")
+
+
 def chosen_paths(messages: DataFrame, top: int = 1) -> DataFrame:
     """(tree, path, step, message) of the best root-to-leaf paths of every tree.
 
     ``messages`` has tree, message, parent and score; message ids are unique within a tree. A
-    message whose parent is null or not in the tree is a root. Paths rank by
+    message whose parent is null or not in the tree is a root. A null tree is one tree. Paths rank by
     mean score, then by length, then by the leaf's id. Messages in a cycle have no root and are on no path.
     """
     spark = messages.sparkSession
     key = ["tree", "message"]
     known = messages.select("tree", F.col("message").alias("parent"))
     nodes = materialize(
-        messages.select(*key, "parent", "score").join(
-            known.withColumn("there", F.lit(True)), ["tree", "parent"], "left").select(
+        _join(messages.select(*key, "parent", "score"),
+              known.withColumn("there", F.lit(True)), "parent", "left").select(
             *key, F.when(F.col("there"), F.col("parent")).alias("up"), F.lit(1).cast("long").alias("n"),
             F.coalesce(F.col("score").cast("double"), F.lit(0.0)).alias("sum")), "replies")
     # Only messages whose pointer still has a target go on to the next round; the others know
@@ -71,14 +78,14 @@ def chosen_paths(messages: DataFrame, top: int = 1) -> DataFrame:
         above = settled.unionByName(active).select(
             "tree", F.col("message").alias("up"), F.col("up").alias("further"),
             F.col("n").alias("n2"), F.col("sum").alias("sum2"))
-        moved = materialize(active.join(above, ["tree", "up"]).select(
+        moved = materialize(_join(active, above, "up").select(
             *key, F.col("further").alias("up"), (F.col("n") + F.col("n2")).alias("n"),
             (F.col("sum") + F.col("sum2")).alias("sum")), "replies")
         settled = settled.unionByName(moved.filter("up is null"))
         active = moved.filter("up is not null")
         jumps.append(active)
     parents = nodes.filter("up is not null").select("tree", F.col("up").alias("message")).distinct()
-    leaves = settled.join(parents, key, "left_anti")
+    leaves = _join(settled, parents, "message", "left_anti")
     best = Window.partitionBy("tree").orderBy(
         F.desc(F.round(F.col("sum") / F.col("n"), 9)), F.desc("n"), "message")
     paths = leaves.withColumn("path", F.row_number().over(best)).filter(
@@ -86,7 +93,7 @@ def chosen_paths(messages: DataFrame, top: int = 1) -> DataFrame:
     for level in reversed(range(len(jumps) - 1)):
         # Those this far or farther from the root have an ancestor 2**level steps up.
         hop = jumps[level].select(*key, "up")
-        paths = materialize(paths.union(paths.join(hop, key).select(
+        paths = materialize(paths.union(_join(paths, hop, "message").select(
             "tree", "path", F.col("up").alias("message"), F.col("step") - (1 << level))), "paths")
     return paths
 
@@ -96,11 +103,11 @@ def format_chats(messages: DataFrame, top: int = 1) -> DataFrame:
 
     ``messages`` has tree, message, parent, score, role and text. ``chat`` is the whole
     conversation, ``learnt`` the spans of it under the loss mask, in code points, end exclusive: the escaped texts of the
-    assistant. Null texts and roles are empty. A path becomes one record, so one conversation has to
+    assistant. Null texts and roles are empty, a null tree is one tree. A path becomes one record, so one conversation has to
     fit in one. Other columns are not looked at; an empty table gives an empty result.
     """
-    turns = chosen_paths(messages, top).join(
-        messages.select("tree", "message", "role", "text"), ["tree", "message"])
+    turns = _join(chosen_paths(messages, top),
+                  messages.select("tree", "message", "role", "text"), "message")
     role, text = (F.coalesce(F.col(c), F.lit("")) for c in ("role", "text"))
     head = F.concat(F.lit(START), escape_role(role), F.lit("\n"))
     rows = turns.select("tree", "path", F.struct(
@@ -166,6 +173,7 @@ def as_replies(conversations: DataFrame) -> DataFrame:
     """Conversations of turns as reply trees: each turn answers the one before it.
 
     Rows of equal turn follow each other by role, then by text; rows without a turn come first.
+    Rows without a conv_id are one conversation.
     The score is the text's length, so that longer branches rank first where there are several.
     """
     order = Window.partitionBy("conv_id").orderBy("turn", "role", "text")

@@ -74,3 +74,11 @@ def test_branches(spark):
 def test_parse():
     assert parse_chat("<|im_start|>user\na<\\|b<|im_end|>\n<|im_start|>assistant\n<|im_end|>\n") == [
         ("user", "a<|b"), ("assistant", "")]
+
+
+def test_rows_without_a_conversation_are_one(spark):
+    rows = [(None, 2, "assistant", "two"), (None, 1, "user", "one"), (None, 3, "user", None), (5, 1, "user", "five")]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    got = {r.tree: parse_chat(r.chat) for r in format_chats(as_replies(df)).collect()}
+    assert got == {None: [("user", "one"), ("assistant", "two"), ("user", "")], 5: [("user", "five")]}
+    assert {r.conv_id: r.n_turns for r in read_back(format_chats(as_replies(df))).collect()} == {None: 3, 5: 1}
