@@ -8,11 +8,19 @@ import re
 
 import numpy as np
 
-#: HTML's elements without content, with raw content, within a line, and what
-#: an open element ends at.
+#: HTML's elements without content, with raw content, those of the latter that run
+#: to the page's end when left open, those of formulas and drawings, those within a line, and
+#: what an open element ends at.
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
-RAW = set("script style textarea title noscript iframe xmp noembed noframes template svg math".split())
-INLINE = set("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark nobr q "
+RAW = set("script style textarea title noscript iframe xmp noembed noframes".split())
+TO_THE_END = {"script", "style"}
+FOREIGN = set(
+    "math annotation annotation-xml maction menclose merror mfenced mfrac mi mmultiscripts mn mo mover mpadded "
+    "mphantom mprescripts mroot mrow ms mspace msqrt mstyle msub msubsup msup mtable mtd mtext mtr munder "
+    "munderover none semantics svg animate circle clippath defs desc ellipse filter foreignobject g image line "
+    "lineargradient marker mask metadata path pattern polygon polyline radialgradient rect set stop switch "
+    "symbol text textpath tspan use view".split())
+INLINE = FOREIGN | set("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark nobr q "
              "rp rt ruby s samp small span strike strong sub sup time tt u var".split())
 ENDS = {
     "li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}),
@@ -28,7 +36,9 @@ _TOKEN = re.compile(
 _ATTRIBUTE = re.compile(r"(?:^|\s)(class|id|role|aria-label)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))",
                         re.I)
 _LABEL = re.compile(r'data-keep="(\w)"')
-_HIDDEN = re.compile(r"(?:^|\s)hidden(?:[\s=/]|$)|display\s*:\s*none", re.I)
+_PAIR = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)(?:\"|\Z)|'([^']*)(?:'|\Z)|([^\s>]+)))?")
+_MAYBE_HIDDEN = re.compile("hidden|display", re.I)
+_NOT_SHOWN = re.compile(r"(?:^|;)\s*display\s*:\s*none\b", re.I)
 _NAME = re.compile(r"[A-Z]?[a-z]+")
 SPACE = re.compile(r"[\x20\x09-\x0D]+")
 
@@ -56,6 +66,14 @@ KINDS = [{"p"}, {"h1", "h2", "h3", "h4", "h5", "h6"}, {"ul", "ol", "dl"}, {"li",
 _KIND = {tag: i for i, tags in enumerate(KINDS) for tag in tags}
 
 
+def is_hidden(attributes: str) -> bool:
+    """Whether an element has the attribute hidden, or a style without display."""
+    if not _MAYBE_HIDDEN.search(attributes):
+        return False
+    return any(name.lower() == "hidden" or name.lower() == "style" and _NOT_SHOWN.search(html.unescape(a or b or c))
+               for name, a, b, c in _PAIR.findall(attributes))
+
+
 class Page:
     """Blocks of a page: nodes in page order, parents before children.
 
@@ -82,7 +100,7 @@ class Page:
         self.parent.append(parent)
         self.hint.append(bits)
         self.label.append(label[1] if label else "")
-        self.hidden.append(bool(attributes and _HIDDEN.search(attributes)))
+        self.hidden.append(is_hidden(attributes))
         return len(self.tag) - 1
 
     def _read(self, source: str) -> None:
@@ -91,6 +109,7 @@ class Page:
         linked = 0
         in_link = 0
         at = 0
+        never_closed: set[str] = set()
 
         def flush() -> None:
             nonlocal linked
@@ -141,9 +160,16 @@ class Page:
                 continue
             attributes = found[3] if found[2] else found[6]
             if tag in RAW:
-                if not attributes.endswith("/"):
+                if not attributes.endswith("/") and tag not in never_closed:
                     end = re.compile(f"</{re.escape(tag)}\\b[^>]*>", re.I).search(source, at)
-                    at = end.end() if end else n
+                    if end:
+                        at = end.end()
+                    elif tag in TO_THE_END:
+                        at = n
+                    else:
+                        never_closed.add(tag)
+                continue
+            if tag in FOREIGN and attributes.endswith("/"):
                 continue
             if tag in INLINE:
                 if tag == "a":

@@ -8,7 +8,7 @@ import re
 import numpy as np
 import pytest
 
-from corpusloom.llm.dom import Page, keep_nodes
+from corpusloom.llm.dom import Page, is_hidden, keep_nodes
 from corpusloom.llm.html_extract import PageMaker, extract_main_text, main_blocks, trained_trees
 
 SF = "/root/testdata/sf0.001"
@@ -84,3 +84,32 @@ def test_odd_rows(spark):
 
 def test_blocks_of_no_pages():
     assert main_blocks([], trained_trees()) == []
+
+
+def test_open_elements_do_not_end_the_page():
+    for tag in ("noscript", "iframe", "svg", "math", "template", "textarea", "title", "xmp"):
+        assert runs(f"<p>a</p><{tag} id=x><p>b</p><p>c") == ["a", "b", "c"], tag
+    assert runs("<p>a</p><script><p>b</p>") == runs("<p>a</p><style><p>b</p>") == ["a"]
+    assert runs("<p>a<iframe>x</iframe>b</p><iframe><p>c") == ["ab", "c"]
+
+
+def test_formulas_and_drawings_are_read():
+    formula = "<math><mrow><mi>E</mi><mo>=</mo><mi>m</mi><msup><mi>c</mi><mn>2</mn></msup><mspace/></mrow></math>"
+    assert runs(f"<p>By {formula} it holds.</p>") == ["By E=mc2 it holds."]
+    assert runs('<p>a <svg><path d="M0"/><g><text>drawn</text></g></svg> b<p>c') == ["a drawn b", "c"]
+    assert runs("<template><p>a</template>") == ["a"]
+    page = f"<article><h1>On energy</h1><p>By {formula} it holds, as has been known for long.</p></article>"
+    assert "E=mc2" in "".join(main_blocks([page], trained_trees())[0])
+
+
+def test_hidden_is_an_attribute():
+    shown = ['title="The hidden cost"', 'class="box hidden md:block"', "class='a hidden'", "data-x=hidden",
+             'data-style="display:none"', 'title="display: none"', 'style="color:red; --display:none"',
+             "aria-hidden=false", "class='open hidden", 'href="/x hidden "']
+    unseen = ["hidden", 'class="a" hidden', "HIDDEN=''", 'id="x"hidden', 'style="display:none"',
+              "style='color:red;Display : none'", "style=display:none", "hidden/"]
+    assert not any(Page(f"<section {a}>x</section>").hidden[1] for a in shown if "open" not in a)
+    assert not any(is_hidden(a) for a in shown) and all(is_hidden(a) for a in unseen)
+    text = "The price of a thing is more than what is paid for it, as everyone learns in time."
+    page = f'<article title="The hidden cost"><h1>Cost</h1><p class="b hidden c">{text}</p></article>'
+    assert main_blocks([page], trained_trees())[0] == ["Cost", text]
