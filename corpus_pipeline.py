@@ -1,12 +1,14 @@
 """A training corpus from raw documents: good ones, without copies, mixed by source, packed.
 
 Each stage reads what the one before it kept, as a stored table. All but the last return the
-columns of documents. Dropped documents are named by id, so rows without an id stay.
+columns of documents. Stages decide row by row: a row is judged by its own text whether its id
+is null, repeated or unique, and of rows that are copies of each other one stays, that of the
+least id.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from corpusloom.llm.exact_dedup import exact_duplicates
 from corpusloom.llm.mixing import apply_mix, mix
@@ -16,31 +18,57 @@ from corpusloom.llm.quality import classify_quality
 from corpusloom.session import materialize
 
 
-def without(docs: DataFrame, decided: DataFrame) -> DataFrame:
-    """The documents that a stage did not decide against."""
-    return docs.join(decided.filter("not kept").select("doc_id").distinct(), "doc_id",
-                     "left_anti").select(*docs.columns)
+#: A column that no two rows share.
+ROW = "_row"
+
+
+def keyed(docs: DataFrame) -> DataFrame:
+    """``docs`` with a row key: the id if it is one, else numbers given once and stored."""
+    shared = docs.groupBy("doc_id").count().filter("doc_id is null or count > 1")
+    if not shared.head(1):
+        return docs.withColumn(ROW, F.col("doc_id"))
+    return materialize(docs.withColumn(ROW, F.monotonically_increasing_id()), "row-keys")
+
+
+def without(docs: DataFrame, dropped: DataFrame) -> DataFrame:
+    """The keyed documents that a stage did not drop, without their keys."""
+    return docs.join(dropped.select(ROW), ROW, "left_anti").drop(ROW)
+
+
+def one_of_each(docs: DataFrame, groups: DataFrame, group: str) -> DataFrame:
+    """Keyed documents without those of a group that are not its first by id, null last."""
+    rank = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", ROW)
+    ranked = materialize(groups.select(ROW, F.col(group).alias("group")).join(
+        docs.select(ROW, "doc_id"), ROW), "groups")
+    first = ranked.groupBy("group").agg(F.min(rank).alias("first")).select(F.col(f"first.{ROW}").alias(ROW))
+    return without(docs, ranked.join(first, ROW, "left_anti"))
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the co-trained classifier does not reject."""
-    return without(docs, classify_quality(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
+    docs = keyed(docs)
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    of_rows = docs.select(ROW, "doc_id").join(labels, "doc_id").select(ROW, "quality")
+    return without(docs, classify_quality(docs, of_rows, ROW).filter("not kept"))
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of equal texts."""
-    return without(docs, exact_duplicates(docs))
+    docs = keyed(docs)
+    return one_of_each(docs, exact_duplicates(docs, ROW).filter("group_size > 1"), "keep_id")
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates, by shingles of five words; documents
     without words are linked with nothing and stay."""
-    return without(docs, near_duplicates(docs, width=5))
+    docs = keyed(docs)
+    return one_of_each(docs, near_duplicates(docs, ROW, width=5), "component_id")
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The mix of all sources: a row per copy that it takes."""
-    return apply_mix(docs, mix(docs))
+    docs = keyed(docs)
+    return apply_mix(docs, mix(docs, ROW), ROW).drop(ROW)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -142,7 +142,8 @@ def apply_mix(docs: DataFrame, taken: DataFrame, id_col: str = "doc_id",
               text_col: str = "text") -> DataFrame:
     """``docs`` as the mix has them: a row per whole copy, and one of first words where cut.
 
-    The first words stand with one blank between. Rows that repeat an id are all copied alike. Documents without words, or of which nothing is taken,
+    The first words stand with one blank between. Rows that repeat an id are all copied alike, and
+    so are those without one. Documents without words, or of which nothing is taken,
     are left out. The other columns stay as they are.
     """
     plan = taken.filter("taken > 0").groupBy(F.col(id_col).alias("_mix_id")).agg(
@@ -155,7 +156,7 @@ def apply_mix(docs: DataFrame, taken: DataFrame, id_col: str = "doc_id",
     first_words = F.array_join(F.slice(F.regexp_extract_all(F.col(text_col), F.lit(WORD), F.lit(0)),
                                        F.lit(1), F.col("_mix_part").cast("int")), " ")
     return (
-        docs.join(plan, F.col(id_col) == F.col("_mix_id"))
+        docs.join(plan, F.col(id_col).eqNullSafe(F.col("_mix_id")))
         .withColumn("_mix_part", F.explode(lengths))
         .withColumn(text_col, F.when(F.col("_mix_part") < 0, F.col(text_col)).otherwise(first_words))
         .select(*[F.col(f"`{c}`") for c in docs.columns]))

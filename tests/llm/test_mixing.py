@@ -89,3 +89,10 @@ def test_apply_mix_copies_and_cuts(spark):
                                   "doc_id long, size long, taken long")
     got = sorted(tuple(r) for r in apply_mix(docs, taken).collect())
     assert got == [(1, "a  b\nc d", 7), (1, "a b", 7), (2, "e f", 8), (2, "e f", 8)]
+
+
+def test_rows_without_an_id_are_copied(spark):
+    docs = spark.createDataFrame([(None, "a b c", "s"), (1, "d e f", "s")], "doc_id long, text string, source string")
+    taken = spark.createDataFrame([(None, 3, 6), (1, 3, 2)], "doc_id long, size long, taken long")
+    got = sorted((r.doc_id is None, r.text) for r in apply_mix(docs, taken).collect())
+    assert got == [(False, "d e"), (True, "a b c"), (True, "a b c")]

@@ -67,3 +67,42 @@ def test_stages(spark, tmp_path):
     whole = corpus_pipeline.run(spark, str(tmp_path)).collect()
     assert sorted((r.doc_id, r.start, r.length, r.ids_crc32) for r in whole) == sorted(
         (r.doc_id, r.start, r.length, r.ids_crc32) for r in steps[4])
+
+
+def test_null_and_repeated_ids(spark, tmp_path):
+    rng = random.Random(8)
+    words = [f"word{i}" for i in range(900)]
+
+    def text(n=60):
+        return " ".join(rng.choices(words, k=n)) + "."
+
+    good = [(i, text()) for i in range(60)]
+    junk = [(500 + i, "### $$$ *** " * rng.randrange(4, 30)) for i in range(40)]
+    copied, null_copy, near = text(), text(), text(80)
+    parts = near.split(" ")
+    parts[40] = "changed"
+    clean = [text() for _ in range(9)]
+    odd = [(700, copied), (700, copied), (700, copied), (701, good[0][1]), (701, clean[0]),
+           (702, "### $$$ *** " * 12), (702, clean[1]), (None, clean[2]), (None, clean[3]),
+           (None, null_copy), (None, null_copy), (None, good[1][1]), (None, "### $$$ *** " * 11),
+           (703, near), (None, " ".join(parts)), (703, clean[4])]
+    want = sorted([t for _, t in good] + [copied, null_copy, near, *clean[:5]])
+    rows = [(i, t, "en", "s0", len(t)) for i, t in good + junk + odd]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").repartition(
+        3).write.parquet(f"{tmp_path}/documents.parquet")
+    labels = [(i, 1, 0) for i in range(40)] + [(500 + i, 0, 0) for i in range(30)]
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    table = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    for n, (_, stage) in enumerate(corpus_pipeline.STAGES[:4]):
+        stage(spark, table, str(tmp_path)).write.parquet(f"{tmp_path}/stage{n}")
+        table = spark.read.parquet(f"{tmp_path}/stage{n}")
+        if n == 2:
+            assert sorted(r.text for r in table.collect()) == want
+            assert [r.doc_id for r in table.collect() if r.text == near] == [703]
+    # One source, so the mix takes one and a half times the words of all, null ids too.
+    mixed = [r.text for r in table.collect()]
+    assert sum(map(size_of, mixed)) == sum(map(size_of, want)) * 3 // 2
+    assert set(want) <= set(mixed)
+    pieces = corpus_pipeline.run(spark, str(tmp_path)).filter("start = 0")
+    assert pieces.count() == len(mixed)
+    assert pieces.filter("doc_id is null").count() == sum(r.doc_id is None for r in table.collect())
