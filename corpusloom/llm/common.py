@@ -91,16 +91,18 @@ def _pieces(starts: np.ndarray) -> Iterator[tuple[int, int]]:
         row = stop
 
 
-def word_hashes(body: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def word_hashes(body: np.ndarray, starts: np.ndarray,
+                breaks: np.ndarray = _BLANK) -> tuple[np.ndarray, np.ndarray]:
     """(row of each word, 64-bit hash of each word) of texts lower-cased in A-Z.
 
-    ``starts`` bounds the rows within ``body``. A word's hash sums its bytes times a random
-    odd weight per position, then mixes; words never reach across rows.
+    ``starts`` bounds the rows within ``body``; ``breaks`` marks the bytes that end a word. A
+    word's hash sums its bytes times a random odd weight per position, then mixes; words never
+    reach across rows.
     """
     lo, hi = int(starts[0]), int(starts[-1])
     part = body[lo:hi]
     rows = starts - lo
-    solid = ~_BLANK[part]
+    solid = ~breaks[part]
     first = solid.copy()
     first[1:] &= ~solid[:-1]
     edges = rows[:-1][rows[:-1] < len(part)]

@@ -12,6 +12,7 @@ from corpusloom.llm.html_extract import extract_main_text
 from corpusloom.llm.mixing import mix
 from corpusloom.llm.near_dedup import near_duplicates
 from corpusloom.llm.packing import pack
+from corpusloom.llm.positional_index import contamination
 from corpusloom.llm.pivot_search import top_inner_products
 from corpusloom.llm.quality import classify_quality
 from corpusloom.llm.secrets import scan_secrets
@@ -74,6 +75,10 @@ def op9_packing(spark: SparkSession, sf: str) -> DataFrame:
     return pack(table(spark, sf, "documents"))
 
 
+def op13_decontamination(spark: SparkSession, sf: str) -> DataFrame:
+    return contamination(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
+
+
 _OP3 = r"""
 WITH d AS (SELECT doc_id, source, coalesce(text, '') AS t,
     len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size FROM documents),
@@ -124,6 +129,32 @@ SELECT query_id, rank::INTEGER AS rank, vec_id, score FROM r WHERE rank <= 10
 """
 
 
+_OP13 = r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''),
+    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+i AS (SELECT item_id, regexp_extract_all(translate(coalesce(text, ''),
+    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+f AS (SELECT t, count(*) AS n FROM (SELECT unnest(w) AS t FROM d) GROUP BY t),
+g AS (SELECT item_id, least(10, len(w)) AS k, unnest(list_transform(range(1, len(w) - least(10, len(w)) + 2),
+    lambda j: array_to_string(w[j:j + least(10, len(w)) - 1], ' '))) AS gram FROM i WHERE len(w) > 0),
+s AS (SELECT r, k, w, unnest(range(1, len(w) - k + 2)) AS j FROM d, (SELECT DISTINCT k FROM g) WHERE len(w) >= k),
+m AS (SELECT r, j, s.k, item_id FROM s JOIN g ON g.k = s.k AND g.gram = array_to_string(w[j:j + s.k - 1], ' ')),
+h AS (SELECT r, count(DISTINCT p) AS n_hit FROM (SELECT r, unnest(range(j, j + k)) AS p FROM m) GROUP BY r),
+a AS (SELECT item_id, gram, arg_min(t, (coalesce(n, 0), p)) AS rarest FROM (SELECT DISTINCT item_id, gram,
+    unnest(string_split(gram, ' ')) AS t, unnest(range(1, k + 1)) AS p FROM g) LEFT JOIN f USING (t) GROUP BY item_id, gram),
+o AS (SELECT r, w, t, p FROM (SELECT r, w, unnest(w) AS t, unnest(range(1, len(w) + 1)) AS p FROM d)
+  WHERE t IN (SELECT rarest FROM a)),
+v AS (SELECT r, count(DISTINCT item_id) AS n_near FROM o JOIN a ON rarest = t
+  WHERE list_has_all(w[greatest(1, p - 12):p + 12], string_split(gram, ' ')) GROUP BY r),
+n AS (SELECT r, count(DISTINCT item_id) AS n_items, string_agg(DISTINCT item_id::VARCHAR, ',' ORDER BY item_id::VARCHAR) AS ids
+  FROM m GROUP BY r)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+  sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated,
+  coalesce(n_near, 0) AS n_near
+FROM d LEFT JOIN h USING (r) LEFT JOIN n USING (r) LEFT JOIN v USING (r)
+"""
+
+
 QUERIES = {
     "pipeline": pipeline,
     "op1_exact_dedup": op1_exact_dedup,
@@ -136,12 +167,14 @@ QUERIES = {
     "op8_exact_top_k": op8_exact_top_k,
     "op9_packing": op9_packing,
     "op10_main_text": op10_main_text,
+    "op13_decontamination": op13_decontamination,
 }
 ORACLE = {
     "op1_exact_dedup": _OP1,
     "op3_mixing": _OP3,
     "op6_near_dedup": _OP6,
     "op8_exact_top_k": _OP8,
+    "op13_decontamination": _OP13,
 }
 if ORACLE_SQL:
     ORACLE["pipeline"] = ORACLE_SQL
