@@ -7,12 +7,14 @@ from pyspark.sql import DataFrame, SparkSession
 from corpus_pipeline import ORACLE_SQL, run as pipeline
 from corpusloom.llm.chat import as_replies, format_chats, read_back
 from corpusloom.llm.common import table
+from corpusloom.llm.dialogue_repair import damage, repair, repair_digests
 from corpusloom.llm.exact_dedup import exact_duplicates
 from corpusloom.llm.html_extract import extract_main_text
 from corpusloom.llm.mixing import mix
 from corpusloom.llm.near_dedup import near_duplicates
 from corpusloom.llm.packing import pack
 from corpusloom.llm.positional_index import contamination
+from corpusloom.llm.periodic_runs import periodic_runs, repeat_tails, run_digests
 from corpusloom.llm.pivot_search import top_inner_products
 from corpusloom.llm.quality import classify_quality
 from corpusloom.llm.secrets import scan_secrets
@@ -75,6 +77,14 @@ def op9_packing(spark: SparkSession, sf: str) -> DataFrame:
     return pack(table(spark, sf, "documents"))
 
 
+def op11_dialogue_repair(spark: SparkSession, sf: str) -> DataFrame:
+    return repair_digests(*repair(damage(table(spark, sf, "conversations")), dropped_col="dropped"))
+
+
+def op12_periodic_runs(spark: SparkSession, sf: str) -> DataFrame:
+    return run_digests(periodic_runs(repeat_tails(table(spark, sf, "documents"))))
+
+
 def op13_decontamination(spark: SparkSession, sf: str) -> DataFrame:
     return contamination(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
 
@@ -129,6 +139,81 @@ SELECT query_id, rank::INTEGER AS rank, vec_id, score FROM r WHERE rank <= 10
 """
 
 
+_OP11 = r"""
+WITH RECURSIVE c AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+    coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ') AS s FROM conversations),
+x AS (SELECT conv_id, turn, role, text, xor(list_reduce(list_transform(range(1, len(s) + 1), lambda i: ascii(s[i])::BIGINT),
+    lambda x, b: list_reduce(range(8), lambda y, k: xor(y >> 1, CASE WHEN y % 2 = 1 THEN 3988292384 ELSE 0 END), xor(x, b)),
+    4294967295::BIGINT), 4294967295) % 20 AS kind FROM c),
+y AS (SELECT conv_id, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role,
+    CASE kind WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+    unnest(CASE WHEN kind = 3 THEN [0, 1] ELSE [0] END) AS copy FROM x WHERE kind <> 0),
+z AS (SELECT conv_id, turn, role, text, left(role, 1) AS initial,
+    row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, left(text, 64), sha256(text), copy) AS i FROM y),
+f AS (SELECT *, CASE WHEN NOT regexp_matches(text, '[^\x20\x09-\x0D]') THEN 'blank'
+    WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 THEN 'duplicate'
+    WHEN NOT regexp_matches(text, '[.!?][\x20\x09-\x0D]*$') THEN 'truncated' ELSE '' END AS fault,
+    lag(initial) OVER (PARTITION BY conv_id ORDER BY i) || initial AS pair FROM z),
+n AS (SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps,
+    count(*) FILTER (fault = 'blank') AS blank, count(*) FILTER (fault = 'duplicate') AS duplicate,
+    count(*) FILTER (fault = 'truncated') AS truncated, count(*) FILTER (pair NOT IN ('su', 'ua', 'au')) AS illegal,
+    count(*) AS rows FROM f GROUP BY conv_id),
+ins(q, to_q, added) AS (VALUES (0, 0, ''), (0, 2, 'I'), (0, 3, 'II'), (1, 1, ''), (1, 2, 'I'), (1, 3, 'II'),
+    (2, 2, ''), (2, 3, 'I'), (3, 3, ''), (3, 2, 'I')),
+act(q, to_q, initial, edit, price) AS (VALUES (0, 1, 's', 'K', 0), (0, 2, 'u', 'K', 0), (1, 2, 'u', 'K', 0), (2, 3, 'a', 'K', 0),
+    (3, 2, 'u', 'K', 0), (0, 2, NULL, 'R', 3), (1, 2, NULL, 'R', 3), (2, 3, NULL, 'R', 3), (3, 2, NULL, 'R', 3),
+    (0, 0, NULL, 'D', 4), (1, 1, NULL, 'D', 4), (2, 2, NULL, 'D', 4), (3, 3, NULL, 'D', 4)),
+m AS (SELECT ins.q, act.to_q, initial, edit, 3 * length(added) + price AS price, added || edit AS added
+  FROM ins JOIN act ON act.q = ins.to_q),
+b AS (SELECT DISTINCT conv_id, 0::BIGINT AS i, 0 AS q, {'cost': 0::BIGINT, 'audit': ''} AS way FROM conversations
+  UNION ALL
+  SELECT b.conv_id, b.i + 1, m.to_q, min({'cost': way.cost + price + CASE WHEN fault = 'truncated' AND edit <> 'D' THEN 3 ELSE 0 END,
+      'audit': way.audit || added})
+  FROM b JOIN f ON f.conv_id IS NOT DISTINCT FROM b.conv_id AND f.i = b.i + 1
+  JOIN m ON m.q = b.q AND (m.initial IS NULL OR m.initial = f.initial) AND (edit = 'D' OR fault NOT IN ('blank', 'duplicate'))
+  GROUP BY b.conv_id, b.i + 1, m.to_q),
+w AS (SELECT b.conv_id, min({'cost': way.cost + 3 * length(added), 'audit': way.audit || added}) AS way
+  FROM b LEFT JOIN n ON n.conv_id IS NOT DISTINCT FROM b.conv_id JOIN ins ON ins.q = b.q AND ins.to_q IN (0, 3)
+  WHERE b.i = coalesce(n.rows, 0) GROUP BY b.conv_id),
+e AS (SELECT conv_id, audit[j] AS edit, length(replace(audit[1:j], 'I', '')) AS i, length(replace(audit[1:j], 'D', '')) AS t
+  FROM (SELECT conv_id, way.audit AS audit, unnest(range(1, length(way.audit) + 1)) AS j FROM w)),
+k AS (SELECT e.conv_id, edit, t, role, text, initial,
+    bool_or(t = 1 AND edit = 'K' AND initial = 's') OVER (PARTITION BY e.conv_id) AS headed
+  FROM e LEFT JOIN f ON f.conv_id IS NOT DISTINCT FROM e.conv_id AND f.i = e.i AND edit <> 'I' WHERE edit <> 'D'),
+r AS (SELECT conv_id, string_agg(CASE WHEN edit = 'K' THEN role WHEN (t - headed::INT) % 2 = 1 THEN 'user' ELSE 'assistant' END
+    || ':' || coalesce(text, ''), chr(10) ORDER BY t) AS lines FROM k GROUP BY conv_id)
+SELECT w.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate,
+  coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, way.cost AS cost, way.audit AS audit,
+  sha256(coalesce(lines, '')) AS repaired_sha256
+FROM w LEFT JOIN n ON n.conv_id IS NOT DISTINCT FROM w.conv_id LEFT JOIN r ON r.conv_id IS NOT DISTINCT FROM w.conv_id
+"""
+
+_OP12 = r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, doc_id::VARCHAR AS s,
+    regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+c AS (SELECT r, doc_id, w, len(w) AS n, xor(list_reduce(list_transform(range(1, len(s) + 1), lambda i: ascii(s[i])::BIGINT),
+    lambda x, b: list_reduce(range(8), lambda y, k: xor(y >> 1, CASE WHEN y % 2 = 1 THEN 3988292384 ELSE 0 END), xor(x, b)),
+    4294967295::BIGINT), 4294967295) AS h FROM d),
+a AS (SELECT *, CASE WHEN n > 0 AND h % 10 = 0 THEN (h // 10) % n ELSE n END AS a, h // 10 % 8 AS e FROM c),
+p AS (SELECT *, 1 + (n - a) // (3 + e) AS p FROM a),
+t AS (SELECT r, i, CASE WHEN i < a THEN w[i + 1] ELSE w[a + (i - a) % p + 1] END AS t
+  FROM (SELECT r, w, a, p, unnest(range(0, n)) AS i FROM p)),
+l AS (SELECT x.r, x.i, y.i - x.i AS q FROM t x JOIN t y ON x.r = y.r AND x.t = y.t AND y.i > x.i JOIN c ON c.r = x.r
+  WHERE 4 * (y.i - x.i) <= n),
+g AS (SELECT *, i - row_number() OVER (PARTITION BY r, q ORDER BY i) AS g FROM l),
+m AS (SELECT r, min(i) AS start, count(*) + q AS length, q AS period FROM g GROUP BY r, q, g
+  HAVING count(*) + q >= greatest(6, 4 * q)),
+u AS (SELECT r, start, length, min(period) AS period FROM m GROUP BY r, start, length),
+b AS (SELECT r, count(*) AS n_runs, arg_max(u, (length * 1000000000000 // period, -start, -period)) AS best,
+    string_agg(start || ',' || length || ',' || period || chr(10), '' ORDER BY start, period) AS lines FROM u GROUP BY r),
+k AS (SELECT t.r, string_agg(t, ' ' ORDER BY i) AS kept FROM t WHERE NOT EXISTS (SELECT 1 FROM u
+  WHERE u.r = t.r AND t.i >= u.start + u.period AND t.i < u.start + u.length) GROUP BY t.r)
+SELECT doc_id, coalesce(n_runs, 0) AS n_runs, best.start::BIGINT AS start, best.length::BIGINT AS length,
+  best.period::BIGINT AS period, (1000 * best.length // best.period)::BIGINT AS exponent_milli,
+  sha256(coalesce(lines, '')) AS runs_sha256, sha256(coalesce(kept, '')) AS collapsed_sha256
+FROM c LEFT JOIN b USING (r) LEFT JOIN k USING (r)
+"""
+
 _OP13 = r"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''),
     'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
@@ -167,6 +252,8 @@ QUERIES = {
     "op8_exact_top_k": op8_exact_top_k,
     "op9_packing": op9_packing,
     "op10_main_text": op10_main_text,
+    "op11_dialogue_repair": op11_dialogue_repair,
+    "op12_periodic_runs": op12_periodic_runs,
     "op13_decontamination": op13_decontamination,
 }
 ORACLE = {
@@ -174,6 +261,8 @@ ORACLE = {
     "op3_mixing": _OP3,
     "op6_near_dedup": _OP6,
     "op8_exact_top_k": _OP8,
+    "op11_dialogue_repair": _OP11,
+    "op12_periodic_runs": _OP12,
     "op13_decontamination": _OP13,
 }
 if ORACLE_SQL:
