@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 from pyspark.sql.types import (ArrayType, BooleanType, IntegerType, LongType, StringType,
                                StructField, StructType)
 
-from corpusloom.llm.common import partitions_for
+from corpusloom.llm.common import partitions_for, string_buffers
 from corpusloom.session import materialize
 
 #: The grammar (a dialogue is empty, a system message and pairs, or pairs), the
@@ -351,24 +351,28 @@ def _joined(out: pa.Schema):
     return run
 
 
+_LETTERS = pa.array([chr(c) for c in range(128)])
+
+
 def _edits(out: pa.Schema):
     """mapInArrow: audits to a row per message that stays or is inserted."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i in range(len(batch)):
-                audit, roles = (np.frombuffer(batch.column(c)[i].as_buffer(), np.uint8) for c in ("audit", "roles"))
-                if not len(audit):
-                    continue
-                new = audit == ord("I")
-                place = np.cumsum(~new) - 1
-                stays = np.nonzero(audit != ord("D"))[0]
-                initials = {c: pa.scalar(chr(c)) for c in range(128)}
-                yield pa.RecordBatch.from_arrays([
-                    pa.array([batch.column("conv")[i].as_py()] * len(stays), out.field("conv").type),
-                    pa.array(np.arange(len(stays))), pa.array(place[stays], mask=new[stays]),
-                    pa.array([initials[c].as_py() for c in audit[stays].tolist()]),
-                    pa.array([initials[c].as_py() for c in roles[stays].tolist()])], schema=out)
+            starts, audit = string_buffers(batch.column("audit"))
+            begin, roles = string_buffers(batch.column("roles"))
+            audit, roles = audit[starts[0]:starts[-1]], roles[begin[0]:begin[-1]]
+            starts = starts - starts[0]
+            owner = np.repeat(np.arange(len(batch)), np.diff(starts))
+            new = audit == ord("I")
+            rows = np.concatenate([[0], np.cumsum(~new)])
+            at = rows[1:] - 1 - rows[starts[owner]]
+            stays = np.nonzero(audit != ord("D"))[0]
+            first = np.searchsorted(owner[stays], owner[stays])
+            yield pa.RecordBatch.from_arrays([
+                batch.column("conv").take(pa.array(owner[stays])), pa.array(np.arange(len(stays)) - first),
+                pa.array(at[stays], mask=new[stays]), _LETTERS.take(pa.array(audit[stays])),
+                _LETTERS.take(pa.array(roles[stays]))], schema=out)
 
     return run
 
