@@ -71,7 +71,7 @@ def question_weights(queries: DataFrame, terms: DataFrame, corpus: DataFrame) ->
     )
 
 
-def _pack_weights(table: pa.Table) -> dict:
+def pack_weights(table: pa.Table) -> dict:
     out = {}
     frame = table.to_pandas()
     for kb, rows in frame.groupby("kb_id", sort=False):
@@ -114,7 +114,7 @@ def _score_terms(entry: dict, kb: str, batch: pa.RecordBatch, rows: np.ndarray)
         yield part, scores.reshape(n, n_q), hits.reshape(n, n_q) > 0
 
 
-def _score_all(entry: dict, kb: str, batch: pa.RecordBatch, rows: np.ndarray) -> Iterator[tuple]:
+def score_all(entry: dict, kb: str, batch: pa.RecordBatch, rows: np.ndarray) -> Iterator[tuple]:
     for part, scores, _ in _score_terms(entry, kb, batch, rows):
         yield part, scores, None
 
@@ -135,7 +135,7 @@ def bm25_top_k(chunks: DataFrame, queries: DataFrame, terms: DataFrame, corpus:
     size = F.length("term") + 48
 
     def scan(these: DataFrame, asked: DataFrame, most: int, score) -> DataFrame:
-        return scan_top_k(these, asked, size, most, _pack_weights, score, block_bytes)
+        return scan_top_k(these, asked, size, most, pack_weights, score, block_bytes)
 
     if not pad_zero:
         return scan(rows, weights, k, _score_terms).withColumnRenamed("row_id", "chunk_id")
@@ -146,10 +146,10 @@ def bm25_top_k(chunks: DataFrame, queries: DataFrame, terms: DataFrame, corpus:
     flat = terms.filter("idf <= 0").select("kb_id").distinct()
     usual, odd = (asked.join(flat, "kb_id", how) for how in ("left_anti", "left_semi"))
     first = top_k_per_group(rows.select("kb_id", "row_id"), ["kb_id"], [F.col("row_id")], 2 * k)
-    zeros = scan(rows.join(first, ["kb_id", "row_id"], "left_semi"), usual, 2 * k, _score_all)
+    zeros = scan(rows.join(first, ["kb_id", "row_id"], "left_semi"), usual, 2 * k, score_all)
     found = (
         scan(rows, usual, k, _score_terms).unionByName(zeros.filter("score = 0"))
-        .unionByName(scan(rows, odd, k, _score_all))
+        .unionByName(scan(rows, odd, k, score_all))
         .select("query_id", "row_id", "score").distinct())
     return top_k_per_group(found, ["query_id"], [F.desc("score"), F.col("row_id")], k).select(
         "query_id", F.col("row_id").alias("chunk_id"), "score", "rank")

@@ -10,7 +10,8 @@ from corpusloom.operators import keyword, vectors
 from corpusloom.operators.catalog import stored_form
 from corpusloom.operators.chunking import chunk_blocks
 from corpusloom.operators.fusion import fuse, with_bodies
-from corpusloom.session import materialize
+from corpusloom.operators.postings import PostingsIndex
+from corpusloom.session import input_state, materialize
 from corpusloom.sources.files import corpus_blocks
 
 TOP_K = 5
@@ -21,13 +22,14 @@ _built: dict[tuple, object] = {}
 
 
 def built_once(make):
-    """Keep a stored table for later queries of the same application and input folder.
+    """Keep a stored table for later queries of the same application and input.
 
-    Chunks, term statistics and vectors are an index: built by one job, read by many.
+    Chunks, term statistics and vectors are an index: built by one job, read by many. It is built
+    anew when the input's files changed or the application's stored tables were removed.
     """
     @wraps(make)
     def get(spark: SparkSession, sf: str):
-        key = (spark.sparkContext.applicationId, sf, make.__name__)
+        key = (input_state(spark, sf), make.__name__)
         if key not in _built:
             _built[key] = make(spark, sf)
         return _built[key]
@@ -108,6 +110,12 @@ def kb_lexicon(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     return materialize(keyword.term_statistics(rows, stats), "term-statistics"), stats
 
 
+@built_once
+def postings(spark: SparkSession, sf: str) -> PostingsIndex:
+    """The inverted index of the chunk store."""
+    return PostingsIndex.build(chunks(spark, sf))
+
+
 @built_once
 def corpus_vectors(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     """(chunk_id, kb_id, embedding) of all chunks, and the slot weights behind them."""
@@ -130,8 +138,7 @@ def vector_hits(spark: SparkSession, sf: str, k: int = 2 * TOP_K) -> DataFrame:
 
 def keyword_hits(spark: SparkSession, sf: str, k: int = 2 * TOP_K) -> DataFrame:
     terms, stats = corpus_lexicon(spark, sf)
-    return keyword.bm25_top_k(corpus_chunks(spark, sf), corpus_questions(spark, sf), terms,
-                              stats, k)
+    return postings(spark, sf).under(CORPUS).top_k(corpus_questions(spark, sf), terms, stats, k)
 
 
 def hybrid_hits(spark: SparkSession, sf: str, vector_weight: float = 1.0,
@@ -146,7 +153,7 @@ def hybrid_hits(spark: SparkSession, sf: str, vector_weight: float = 1.0,
 def user_hits(spark: SparkSession, sf: str, k: int = TOP_K) -> DataFrame:
     """Keyword hits of user questions, with text: query_id, rank and the chunk's columns."""
     terms, stats = kb_lexicon(spark, sf)
-    hits = keyword.bm25_top_k(chunks(spark, sf), user_questions(spark, sf), terms, stats, k)
+    hits = postings(spark, sf).top_k(user_questions(spark, sf), terms, stats, k)
     return with_bodies(hits, chunks(spark, sf))
 
 

@@ -130,7 +130,7 @@ def demo_questions(spark, sf):
     asked = scoring.demo_questions(spark).select(
         F.col("question_id").alias("query_id"), F.lit(b.CORPUS).alias("kb_id"),
         F.col("question").alias("text"))
-    return keyword.bm25_top_k(b.corpus_chunks(spark, sf), asked, terms, stats, 5)
+    return b.postings(spark, sf).under(b.CORPUS).top_k(asked, terms, stats, 5)
 
 
 def _archive(spark, sf):

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.functions.text import tokenize
 from corpusloom.functions.vectors import cosine
-from corpusloom.operators import chunking, context, fusion, keyword, vectors
+from corpusloom.operators import chunking, context, fusion, vectors
 from corpusloom.plans import bindings as b, sql
 from corpusloom.session import materialize, spread
 
@@ -105,7 +105,12 @@ def corpus_statistics(spark, sf):
 def bm25_scores(spark, sf):
     """User questions within their own kb."""
     terms, stats = b.kb_lexicon(spark, sf)
-    return keyword.bm25_top_k(b.chunks(spark, sf), b.user_questions(spark, sf), terms, stats, 5)
+    return b.postings(spark, sf).top_k(b.user_questions(spark, sf), terms, stats, 5)
+
+
+def term_postings(spark, sf):
+    """What the inverted index holds of every term, from its slim columns."""
+    return b.postings(spark, sf).term_counts()
 
 
 def bm25_top_k(spark, sf):
@@ -116,8 +121,8 @@ def bm25_top_k(spark, sf):
 def bm25_padded(spark, sf):
     """User questions, filled up with chunks that share no word."""
     terms, stats = b.kb_lexicon(spark, sf)
-    return keyword.bm25_top_k(b.chunks(spark, sf), b.user_questions(spark, sf), terms, stats,
-                              60, pad_zero=True)
+    return b.postings(spark, sf).padded_top_k(
+        b.chunks(spark, sf), b.user_questions(spark, sf), terms, stats, 60)
 
 
 def _slim(hits):
@@ -216,7 +221,7 @@ def chat_prompts(spark, sf):
 QUERIES = {f.__name__: f for f in (
     chunk_windows, chunk_provenance, chunk_identity, word_tokens, window_sweep, text_vectors,
     cosine_pairs, dense_top_k, dense_text_top_k, approximate_top_k, vector_widths,
-    term_statistics, corpus_statistics, bm25_scores, bm25_top_k, bm25_padded, hybrid_search,
+    term_statistics, corpus_statistics, term_postings, bm25_scores, bm25_top_k, bm25_padded, hybrid_search,
     hybrid_default_weights, hit_keys, rendered_hits, history_window, context_blocks,
     image_path_order, first_sources, empty_retrieval, cited_sources, answer_questions,
     chat_prompts)}
@@ -357,6 +362,10 @@ ORACLE = {
         SELECT kb_id, term, df, round(idf, 6) AS idf FROM terms"""),
     "corpus_statistics": sql.with_(sql.KB_LEXICON, then="""
         SELECT kb_id, n_chunks, round(avg_len, 6) AS avg_len FROM corpus_stats"""),
+    "term_postings": sql.with_(sql.KB_LEXICON, then="""
+        SELECT kb_id, term, count(*) AS df, CAST(max(tf) AS INTEGER) AS max_tf,
+               CAST(min(len(tokens)) AS INTEGER) AS min_len
+        FROM postings JOIN tokens USING (kb_id, chunk_id) GROUP BY kb_id, term"""),
     "bm25_scores": sql.with_(sql.KB_LEXICON, sql.USER_QUESTIONS, sql.keyword_hits(5), then="""
         SELECT query_id, chunk_id, score, rank FROM keyword_hits"""),
     "bm25_top_k": sql.with_(sql.CORPUS_LEXICON, sql.CORPUS_QUESTIONS, sql.keyword_hits(10),

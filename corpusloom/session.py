@@ -10,6 +10,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _own_dirs: dict[str, str] = {}
+_removals: dict[str, int] = {}
 
 
 def build_session(app_name: str = "corpusloom", master: str | None = None,
@@ -26,6 +27,7 @@ def build_session(app_name: str = "corpusloom", master: str | None = None,
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.sql.execution.arrow.maxRecordsPerBatch", "4096")
+        .config("spark.sql.parquet.pushdown.inFilterThreshold", "1000")
     )
     if master:
         builder = builder.master(master)
@@ -85,8 +87,20 @@ def read_or_empty(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.schema(schema).parquet(path)
 
 
+def input_state(spark: SparkSession, folder: str) -> tuple:
+    """What stored tables made from the files in ``folder`` depend on: the application, how often
+    its stored tables were removed, and the files' names, sizes and times."""
+    app = spark.sparkContext.applicationId
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    found = path.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(path)
+    files = sorted((f.getPath().getName(), f.getLen(), f.getModificationTime()) for f in found)
+    return app, _removals.get(app, 0), folder, tuple(files)
+
+
 def remove_stored(spark: SparkSession) -> None:
     """Delete everything this application wrote to the shared folder, once it is done."""
+    app = spark.sparkContext.applicationId
+    _removals[app] = _removals.get(app, 0) + 1
     folder = os.path.join(shared_dir(spark), "corpusloom", spark.sparkContext.applicationId)
     path = spark._jvm.org.apache.hadoop.fs.Path(folder)
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)

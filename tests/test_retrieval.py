@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.functions.vectors import cosine
 from corpusloom.operators import fusion, keyword, ranking, vectors
+from corpusloom.operators.postings import PostingsIndex
 
 VOCAB = ["red", "green", "blue", "cat", "dog", "sun", "moon", "tree", "the", "a"]
 
@@ -64,6 +65,70 @@ def test_bm25_matches_brute_force(corpus, block_bytes):
     assert as_map(got) == bm25(rows, questions, 7)
 
 
+@pytest.mark.parametrize("unit_chunks, first_units, block_bytes", [(4096, 4, 64 << 20), (7, 1, 700)])
+def test_postings_match_brute_force(corpus, unit_chunks, first_units, block_bytes):
+    rows, questions, chunks, asked, terms, stats = corpus
+    index = PostingsIndex.build(chunks, unit_chunks=unit_chunks)
+    options = {"block_bytes": block_bytes, "first_units": first_units}
+    assert as_map(index.top_k(asked, terms, stats, 7, **options)) == bm25(rows, questions, 7)
+    padded = index.padded_top_k(chunks, asked, terms, stats, 40, **options)
+    assert as_map(padded) == bm25(rows, questions, 40, pad=True)
+
+
+def test_postings_of_appended_chunks_and_of_all_kbs(spark, corpus):
+    rows, questions, chunks, asked, _, _ = corpus
+    index = PostingsIndex.build(chunks.filter("kb_id = 'hot'"), unit_chunks=20)
+    index.append(chunks.filter("kb_id <> 'hot'"))
+    whole = chunks.withColumn("kb_id", F.lit("all"))
+    stats = keyword.corpus_statistics(whole)
+    got = index.under("all").top_k(asked.withColumn("kb_id", F.lit("all")),
+                                   keyword.term_statistics(whole, stats), stats, 5)
+    assert as_map(got) == bm25([("all", c, t) for _, c, t in rows], [(q, "all", t) for q, _, t in questions], 5)
+    counted = {(r.kb_id, r.term): (r.df, r.max_tf, r.min_len) for r in index.term_counts().collect()}
+    words = [(kb, w, t.split()) for kb, _, t in rows for w in set(t.split())]
+    assert counted == {(kb, w): (sum(k == kb and x == w for k, x, _ in words),
+                                 max(t.count(w) for k, x, t in words if k == kb and x == w),
+                                 min(len(t) for k, x, t in words if k == kb and x == w)) for kb, w, _ in words}
+
+
+def test_postings_read_the_asked_terms_only(spark):
+    chunks = spark.createDataFrame([("k", f"c{i}", f"word{i % 500} filler{i} common") for i in range(3000)],
+                                   "kb_id string, chunk_id string, content string")
+    index = PostingsIndex.build(chunks, unit_chunks=100)
+
+    def read(terms):
+        slots = sorted({r[0] for r in index.postings(terms).select("slot").distinct().collect()})
+        rows = index.postings(terms, slots)
+        plan = rows._jdf.queryExecution().executedPlan().toString()
+        assert "In(term" in plan.replace(" ", "") or "EqualTo(term" in plan.replace(" ", "")
+        assert "slot" in plan.split("PartitionFilters")[1].split("]")[0]
+        return {r[0] for r in rows.select("term").distinct().collect()}, len(
+            {r[0] for r in rows.select(F.input_file_name()).distinct().collect()}), len(slots)
+
+    few, many = read(["word1"]), read([f"word{i}" for i in range(300)])
+    assert few[0] == {"word1"} and len(many[0]) == 300
+    assert few[1] < many[1] and few[2] == 1 and many[2] > 32
+
+
+def test_units_that_cannot_reach_the_kth_score_are_left_out(spark):
+    rows = [("k", f"c{i:04}", "rare " * (5 if i < 40 else 1) + "pad " * (1 if i < 40 else 60)) for i in range(2000)]
+    chunks = spark.createDataFrame(rows, "kb_id string, chunk_id string, content string").coalesce(1)
+    asked = spark.createDataFrame([(1, "k", "rare")], "query_id long, kb_id string, text string")
+    weights = spark.createDataFrame([(1, "k", "rare", 2.0, 57.0)],
+                                    "query_id long, kb_id string, term string, weight double, avg_len double")
+    index = PostingsIndex.build(chunks, unit_chunks=40)
+    bounds = index.bounds(weights, index.postings(["rare"]))
+    assert bounds.count() == 50
+    read = bounds.orderBy(F.desc("bound")).limit(1)
+    hits = spark.createDataFrame([(1, 10, 4.0)], "query_id long, rank int, score double")
+    assert index.promising(bounds, read, hits, 10).count() == 0
+    assert index.promising(bounds, read, hits.withColumn("score", F.lit(0.5)), 10).count() == 49
+    chunks = chunks.union(spark.createDataFrame([("k", f"d{i}", f"pad x{i}") for i in range(5000)], chunks.schema))
+    index, stats = PostingsIndex.build(chunks, unit_chunks=40), keyword.corpus_statistics(chunks)
+    found = index.top_k(asked, keyword.term_statistics(chunks, stats), stats, 10, first_units=1).collect()
+    assert [r.chunk_id for r in sorted(found, key=lambda r: r["rank"])] == [f"c{i:04}" for i in range(10)]
+
+
 def test_bm25_padding_matches_brute_force(corpus):
     rows, questions, chunks, asked, terms, stats = corpus
     got = keyword.bm25_top_k(chunks, asked, terms, stats, 40, pad_zero=True)
