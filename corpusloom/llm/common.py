@@ -37,22 +37,59 @@ def partitions_for(spark: SparkSession, rows: int, per_partition: int) -> int:
 FILTER_BITS = 24
 
 
-def only_ids(rows: DataFrame, ids: DataFrame) -> DataFrame:
-    """Rows whose ``id`` is in the stored table ``ids``, in one way at every size.
+def _marked(rows: DataFrame, ids: DataFrame, id_col: str, wanted: bool) -> DataFrame:
+    """Rows whose hashed id has its bit set in a bitmap of the hashes of ``ids``, or not set.
 
-    A bitmap of hashed ids of fixed size is sent to all tasks, so most other rows are left out
-    before the join that decides is shuffled. The more ids, the less it leaves out; it never
-    drops a wanted row.
+    The bitmap has a fixed size and goes to all tasks; it tells surely who is not in ``ids``.
     """
-    slot = F.pmod(F.xxhash64("id"), F.lit(1 << FILTER_BITS))
-    bitmap = ids.select(slot.alias("slot")).groupBy(
-        F.shiftright("slot", 6).alias("_word")).agg(F.bit_or(
-            F.expr("shiftleft(1L, cast(slot & 63 as int))")).alias("_bits"))
-    maybe = rows.withColumn("_slot", slot).withColumn("_word", F.shiftright("_slot", 6)).join(
-        F.broadcast(bitmap), "_word").filter(
-        F.getbit("_bits", F.col("_slot").bitwiseAND(63).cast("int")) == 1).select(*rows.columns)
+    names = [free_name(rows, x) for x in ("_slot", "_word", "_bits")]
+    slot = F.pmod(F.xxhash64(id_col), F.lit(1 << FILTER_BITS))
+    bitmap = ids.select(F.pmod(F.xxhash64("id"), F.lit(1 << FILTER_BITS)).alias("slot")).groupBy(
+        F.shiftright("slot", 6).alias(names[1])).agg(F.bit_or(
+            F.expr("shiftleft(1L, cast(slot & 63 as int))")).alias(names[2]))
+    at = F.col(names[0]).bitwiseAND(63).cast("int")
+    bit = F.getbit(F.coalesce(F.col(names[2]), F.lit(0).cast("long")), at)
+    return rows.withColumn(names[0], slot).withColumn(names[1], F.shiftright(names[0], 6)).join(
+        F.broadcast(bitmap), names[1], "left").filter(bit == int(wanted)).select(
+        *[F.col(f"`{c}`") for c in rows.columns])
+
+
+def free_name(rows: DataFrame, name: str) -> str:
+    """The name, with underscores in front until no column has it."""
+    taken = {c.lower() for c in rows.columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
+
+
+def possibly_in(rows: DataFrame, ids: DataFrame, id_col: str) -> DataFrame:
+    """Rows whose ``id_col`` may be in the stored table ``ids`` (id): all that are, few others."""
+    return _marked(rows, ids, id_col, True)
+
+
+def only_ids(rows: DataFrame, ids: DataFrame, id_col: str = "id") -> DataFrame:
+    """Rows whose ``id_col`` is in the stored table ``ids`` (id), null too, in one way at every size.
+
+    Most other rows are left out by a bitmap before the join that decides is shuffled. The more
+    ids, the less it leaves out; it never drops a wanted row.
+    """
+    maybe = _marked(rows, ids, id_col, True)
+    mine = free_name(rows, "_wanted")
     # Not a semi-join: Spark would move that below the bitmap.
-    return maybe.join(ids.select("id").distinct().hint("merge"), "id").select(*rows.columns)
+    listed = ids.select(F.col("id").alias(mine)).distinct().hint("merge")
+    return maybe.join(listed, F.col(f"`{id_col}`").eqNullSafe(F.col(mine))).drop(mine)
+
+
+def without_ids(rows: DataFrame, ids: DataFrame, id_col: str) -> DataFrame:
+    """Rows whose ``id_col`` is not in the stored table ``ids`` (id). Only rows that the bitmap
+    cannot tell from those are shuffled."""
+    unsure = _marked(rows, ids, id_col, True)
+    mine = free_name(rows, "_listed")
+    listed = ids.select(F.col("id").alias(mine)).distinct().hint("merge")
+    # An outer join, as Spark would move an anti-join below the bitmap.
+    rest = unsure.join(listed.withColumn(mine + "_", F.lit(True)), F.col(f"`{id_col}`").eqNullSafe(F.col(mine)),
+                       "left").filter(F.col(mine + "_").isNull()).drop(mine, mine + "_")
+    return _marked(rows, ids, id_col, False).union(rest)
 
 
 def mix64(x: np.ndarray) -> np.ndarray:

@@ -7,7 +7,7 @@
 3. An owner merges the lists it got and answers each sender with a bitmap: which of its values
    came from elsewhere too. A sender adds what repeats among its own rows. Rows marked either
    way are suspects; a fingerprint that two texts share by chance only makes another suspect.
-4. Only suspects' texts meet: grouped by the text itself, which compares the bytes. Partial
+4. Only suspects' texts are shuffled and meet: grouped by the text itself, which compares the bytes. Partial
    aggregation keeps one row per task and text, so a text that fills a third of the corpus
    stays small.
 """
@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import (ArrayType, BinaryType, IntegerType, LongType, StructField,
                                StructType)
 
-from corpusloom.llm.common import SPACE, partitions_for
+from corpusloom.llm.common import SPACE, only_ids, partitions_for
 from corpusloom.session import materialize
 
 #: Bits of a fingerprint beyond the logarithm of the number of rows: of 256 rows about one
@@ -179,9 +179,9 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     digests = materialize(whole.select(
         "id", F.xxhash64(text).alias("print"), F.sha2(text.cast("binary"), 256).alias("sha")),
         "digests")
-    marked = suspects(digests).distinct().withColumnRenamed("id", "marked_id")
+    marked = materialize(suspects(digests).distinct(), "suspects")
     groups = (
-        whole.join(marked, F.col("id").eqNullSafe(F.col("marked_id")), "left_semi")
+        only_ids(whole, marked)
         .groupBy(text.alias("text")).agg(F.min("id").alias("keep"), F.count("*").alias("n"))
         .filter("n > 1")
         .groupBy(F.sha2(F.col("text").cast("binary"), 256).alias("sha"))

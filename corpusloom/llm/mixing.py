@@ -15,7 +15,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from corpusloom.llm.common import WORD
+from corpusloom.llm.common import WORD, free_name
 from corpusloom.session import materialize
 
 #: Weights of the sources by name, repeating, and the mix's share of all words.
@@ -68,19 +68,22 @@ def source_targets(sizes: DataFrame) -> DataFrame:
 
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         source_col: str = "source", quality: Column | None = None,
-        seed: str = "") -> DataFrame:
+        seed: str = "", draw: Column | None = None) -> DataFrame:
     """One row per row of ``docs``: id, size, source_size, target, taken.
 
     ``size`` is the number of words of the whole text, 0 for null. ``taken`` is how many words the
     mix takes, repeats counted: ``size`` for every epoch, and in the sample all, some or no words.
     ``quality`` weighs documents in the sample, by default ``text_quality``; a null or not
-    positive weight counts as 1e-6. A null source is one source, the last. Keys depend on id and
-    ``seed`` only, so reruns agree; equal keys, such as those of repeated ids or of rows without one, go by size.
+    positive weight counts as 1e-6. A null source is one source, the last. Keys depend on ``draw``,
+    by default the id, and ``seed``, so reruns agree; rows without an id draw by their number in
+    the table. Equal keys, such as those of repeated ids, go by size.
     Columns of other names are not looked at; an empty table gives an empty result.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     weight = text_quality(text) if quality is None else quality.cast("double")
-    digest = F.md5(F.concat(F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.lit(seed)))
+    drawn = F.col(id_col) if draw is None else draw
+    number = F.concat(F.lit("row "), F.monotonically_increasing_id().cast("string"))
+    digest = F.md5(F.concat(F.coalesce(drawn.cast("string"), number), F.lit(seed)))
     u = (F.conv(F.substring(digest, 1, 12), 16, 10).cast("double") + 0.5) / float(1 << 48)
     rows = materialize(
         docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"),
@@ -146,17 +149,17 @@ def apply_mix(docs: DataFrame, taken: DataFrame, id_col: str = "doc_id",
     so are those without one. Documents without words, or of which nothing is taken,
     are left out. The other columns stay as they are.
     """
-    plan = taken.filter("taken > 0").groupBy(F.col(id_col).alias("_mix_id")).agg(
-        F.max("taken").alias("_mix_taken"), F.max("size").alias("_mix_size"))
-    copies = F.floor(F.col("_mix_taken") / F.col("_mix_size"))
-    rest = F.col("_mix_taken") % F.col("_mix_size")
+    mine, words, size, part = (free_name(docs, x) for x in ("_mix_id", "_mix_taken", "_mix_size", "_mix_part"))
+    plan = taken.filter("taken > 0").groupBy(F.col(id_col).alias(mine)).agg(
+        F.max("taken").alias(words), F.max("size").alias(size))
+    rest = F.col(words) % F.col(size)
     lengths = F.concat(
-        F.array_repeat(F.lit(-1).cast("long"), copies.cast("int")),
+        F.array_repeat(F.lit(-1).cast("long"), F.floor(F.col(words) / F.col(size)).cast("int")),
         F.when(rest > 0, F.array(rest)).otherwise(F.array().cast("array<bigint>")))
     first_words = F.array_join(F.slice(F.regexp_extract_all(F.col(text_col), F.lit(WORD), F.lit(0)),
-                                       F.lit(1), F.col("_mix_part").cast("int")), " ")
+                                       F.lit(1), F.col(part).cast("int")), " ")
     return (
-        docs.join(plan, F.col(id_col).eqNullSafe(F.col("_mix_id")))
-        .withColumn("_mix_part", F.explode(lengths))
-        .withColumn(text_col, F.when(F.col("_mix_part") < 0, F.col(text_col)).otherwise(first_words))
+        docs.join(plan, F.col(id_col).eqNullSafe(F.col(mine)))
+        .withColumn(part, F.explode(lengths))
+        .withColumn(text_col, F.when(F.col(part) < 0, F.col(text_col)).otherwise(first_words))
         .select(*[F.col(f"`{c}`") for c in docs.columns]))

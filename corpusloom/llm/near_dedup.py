@@ -1,6 +1,7 @@
 """Near duplicates by SetSketch registers.
 
-1. Texts with equal sets of shingles form a class; only one row per class goes on.
+1. Texts with equal sets of shingles form a class; only one row per class goes on, under a
+   number, and ids come back at the end.
 2. A class's sketch has 128 registers. Register i is floor(1 - log_b(x)) for the least of the
    set's exponential variates h_i, cut to 16 bits: exponentially spaced truncated minima.
    Sketches of parts merge by the larger register, and registers of two sets agree about as
@@ -12,8 +13,8 @@
    similarity from the threshold up than at some one below it (a joint likelihood of both
    sketches and both set sizes). Whole sets decide.
 5. Links found join into components. Buckets that still hold several components are gone
-   through again for pairs across components, on whole sets, in blocks of bounded size. Only
-   links that join two components come out, fewer than a bucket has rows, and none that would
+   through again for pairs across components, on whole sets, in blocks of bounded size; of
+   buckets with the same members one is enough. Only links that join two components come out, fewer than a bucket has rows, and none that would
    join two is left out.
 """
 
@@ -23,10 +24,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.types import (ArrayType, BinaryType, LongType, StructField, StructType)
 
-from corpusloom.llm.common import list_array, mix64, only_ids, partitions_for, shingle_sets
+from corpusloom.llm.common import list_array, mix64, partitions_for, possibly_in, shingle_sets
 from corpusloom.llm.components import connected_components
 from corpusloom.session import materialize
 
@@ -39,7 +41,7 @@ LIMIT = (1 << 16) - 1
 #: best log likelihood: six standard deviations.
 MARGIN = 18.0
 #: Buckets of up to this many shingles in all are gone through whole, larger ones in blocks.
-BLOCK_SHINGLES = 1_000_000
+BLOCK_SHINGLES = 250_000
 
 _RNG = np.random.default_rng(20210101)
 _FACTOR = _RNG.integers(0, 1 << 63, REGISTERS, dtype=np.uint64) << np.uint64(1) | np.uint64(1)
@@ -93,22 +95,31 @@ def plausible(a: np.ndarray, b: np.ndarray, size_a: np.ndarray, size_b: np.ndarr
     return (most >= least - 1e-9) & (best - at <= MARGIN)
 
 
+def _as_binary(rows: np.ndarray) -> pa.Array:
+    """Each row of a matrix as a binary value."""
+    ends = np.arange(len(rows) + 1, dtype=np.int32) * rows[:1].nbytes
+    return pa.Array.from_buffers(pa.binary(), len(rows), [None, pa.py_buffer(ends), pa.py_buffer(rows.tobytes())])
+
+
+def _digests(bounds: np.ndarray, hashes: np.ndarray) -> pa.Array:
+    """128 bits of each set, whatever the order of its members."""
+    sizes = np.diff(bounds).astype(np.uint64)
+    out = np.empty((len(sizes), 2), np.uint64)
+    for i, salt in enumerate((11, 23)):
+        sums = np.concatenate([[np.uint64(0)], np.cumsum(mix64(hashes ^ np.uint64(salt)), dtype=np.uint64)])
+        out[:, i] = mix64(sums[bounds[1:]] - sums[bounds[:-1]] + sizes)
+    return _as_binary(out)
+
+
 def _sketches(width: int, out: pa.Schema):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row, bounds, hashes in shingle_sets(batch.column(1), width):
+            for row, bounds, hashes in shingle_sets(batch.column("text"), width):
                 n = len(bounds) - 1
-                sizes = np.diff(bounds)
-                digests = []
-                for salt in (11, 23):
-                    sums = np.concatenate([[np.uint64(0)], np.cumsum(
-                        mix64(hashes ^ np.uint64(salt)), dtype=np.uint64)])
-                    digests.append((sums[bounds[1:]] - sums[bounds[:-1]]).view(np.int64))
-                rows = registers(bounds, hashes)
                 yield pa.RecordBatch.from_arrays([
-                    batch.column(0).slice(row, n), pa.array(sizes.astype(np.int64)),
-                    *map(pa.array, digests),
-                    pa.array([x.tobytes() for x in rows], pa.binary())], schema=out)
+                    batch.column("id").slice(row, n), batch.column("ref").slice(row, n),
+                    pa.array(np.diff(bounds).astype(np.int64)), _digests(bounds, hashes),
+                    _as_binary(registers(bounds, hashes))], schema=out)
 
     return run
 
@@ -143,12 +154,15 @@ def _likely(least: float):
 
 
 def _sets(width: int, out: pa.Schema):
+    """Sets of the texts that have the digest they were asked for by."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row, bounds, hashes in shingle_sets(batch.column(1), width):
-                yield pa.RecordBatch.from_arrays([
-                    batch.column(0).slice(row, len(bounds) - 1),
-                    list_array(pa.array(hashes.view(np.int64)), bounds)], schema=out)
+            for row, bounds, hashes in shingle_sets(batch.column("text"), width):
+                n = len(bounds) - 1
+                found = pa.RecordBatch.from_arrays([
+                    batch.column("id").slice(row, n), list_array(pa.array(hashes.view(np.int64)), bounds)], schema=out)
+                yield found.filter(pc.equal(_digests(bounds, hashes), batch.column("digest").slice(row, n)))
 
     return run
 
@@ -205,46 +219,50 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     fewer words has its whole word sequence as one shingle. Two texts are linked when
     100 * intersection >= percent * union. component_id is the least id reachable by links,
     kept whether that is the row's own. Null texts and texts without words have empty sets and
-    are linked with nothing, not even each other. Rows that repeat an id are one document, linked with all that any of its texts is
-    linked with; a row without an id gets the component of its equals, null if there is none,
-    and is not kept. Other columns are not looked at; an empty table gives an empty result.
-    Sets are compared by 64-bit hashes of shingles, equal sets by 128-bit digests.
+    are linked with nothing, not even each other. Rows that repeat an id are one document,
+    linked with all that any of its texts is linked with. Rows without an id are each linked by
+    their own text and get the least id of their component, null if it has none; they are not
+    kept. Other columns are not looked at; an empty table gives an empty result. Sets are
+    compared by 64-bit hashes of shingles, equal sets by 128-bit digests.
     """
     spark = docs.sparkSession
     least = percent / 100
-    id_field = StructField("id", docs.schema[id_col].dataType)
+    given = StructField("id", docs.schema[id_col].dataType)
+    number = StructField("id", LongType())
 
     def arrow(schema: StructType) -> pa.Schema:
         return spark.createDataFrame([], schema).toArrow().schema
 
-    whole = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    sketch = StructType([id_field, StructField("n", LongType()), StructField("d1", LongType()),
-                         StructField("d2", LongType()), StructField("regs", BinaryType())])
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    # ref finds a class's text again: the hash of a row's id and text.
+    whole = docs.select(F.col(id_col).alias("id"), text.alias("text"), F.xxhash64(id_col, text).alias("ref"))
+    sketch = StructType([given, StructField("ref", LongType()), StructField("n", LongType()),
+                         StructField("digest", BinaryType()), StructField("regs", BinaryType())])
     sketches = materialize(whole.mapInArrow(_sketches(width, arrow(sketch)), sketch), "sketches")
-    equal = ["n", "d1", "d2"]
-    classes = materialize(sketches.filter("n > 0").groupBy(*equal).agg(
-        F.min("id").alias("class")), "classes")
-    reps = materialize(
-        sketches.join(classes.withColumnRenamed("class", "id"), [*equal, "id"], "left_semi")
-        .select("id", "n", "regs").dropDuplicates(["id", "n"]), "class-sketches")
-
-    band = StructType([StructField("key", LongType()), id_field])
-    bands = reps.select("id", "regs").mapInArrow(_bands(arrow(band)), band)
+    classes = materialize(sketches.filter("n > 0").groupBy("digest").agg(
+        F.min("id").alias("least"), F.min("ref").alias("ref"), F.any_value("n").alias("n"),
+        F.any_value("regs").alias("regs")).withColumn("id", F.monotonically_increasing_id()), "classes")
+
+    band = StructType([StructField("key", LongType()), number])
+    bands = classes.select("id", "regs").mapInArrow(_bands(arrow(band)), band)
     buckets = bands.groupBy("key").agg(
         F.min("id").alias("star"), F.count("*").alias("members")).filter("members > 1")
     crowd = materialize(bands.join(buckets, "key"), "buckets")
 
-    pair = StructType([StructField("a", id_field.dataType), StructField("b", id_field.dataType)])
-    set_schema = StructType([id_field, StructField("shingles", ArrayType(LongType()))])
+    pair = StructType([StructField("a", LongType()), StructField("b", LongType())])
+    set_schema = StructType([number, StructField("shingles", ArrayType(LongType()))])
 
     def sets_of(ids: DataFrame) -> DataFrame:
-        return only_ids(whole, ids).mapInArrow(
+        """(id, shingles) of classes in a stored table; a text that many rows have is sent once a task."""
+        asked = materialize(classes.join(ids.distinct(), "id", "left_semi").select("id", "ref", "digest"), "asked")
+        texts = possibly_in(whole.select("ref", "text"), asked.select(F.col("ref").alias("id")), "ref").groupBy(
+            "ref").agg(F.any_value("text").alias("text"))
+        return texts.join(asked.hint("merge"), "ref").select("id", "digest", "text").mapInArrow(
             _sets(width, arrow(set_schema)), set_schema)
 
     def confirmed(pairs: DataFrame) -> DataFrame:
         pairs = materialize(pairs, "pairs")
-        ids = pairs.select(F.col("a").alias("id")).union(pairs.select("b"))
-        sets = materialize(sets_of(ids), "sets")
+        sets = materialize(sets_of(pairs.select(F.col("a").alias("id")).union(pairs.select("b"))), "sets")
         a, b = (sets.select(F.col("id").alias(x), F.col("shingles").alias(f"set_{x}"))
                 for x in "ab")
         both = F.size(F.array_intersect("set_a", "set_b"))
@@ -252,13 +270,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         return pairs.join(a, "a").join(b, "b").filter(100 * both >= percent * either).select("a", "b")
 
     def side(x: str) -> DataFrame:
-        return reps.select(F.col("id").alias(x), F.col("n").alias(f"n_{x}"),
-                           F.col("regs").alias(f"regs_{x}"))
+        return classes.select(F.col("id").alias(x), F.col("n").alias(f"n_{x}"),
+                              F.col("regs").alias(f"regs_{x}"))
 
     stars = crowd.filter("id != star").select(F.col("id").alias("a"), F.col("star").alias("b"))
     likely = stars.distinct().join(side("a"), "a").join(side("b"), "b").mapInArrow(
         _likely(least), pair)
-    links = materialize(confirmed(likely), "links")
+    links = materialize(confirmed(likely).union(_links_by_id(sketches, classes)), "links")
     labels = connected_components(links)
 
     # A second look at buckets of several components; a bucket of two is settled by its star.
@@ -268,16 +286,20 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         crowd.filter("members > 2").select("key", "id").join(
             labels.withColumnRenamed("node", "id"), "id", "left").withColumn(
             "component", F.coalesce("component", "id")).join(
-            reps.groupBy("id").agg(F.max("n").alias("n")), "id"), "labelled")
+            classes.select("id", "n"), "id"), "labelled")
+    prints = [F.xxhash64("id", F.lit(salt)) for salt in (1, 2)]
     of_component = labelled.groupBy("key", "component").agg(
-        F.count("*").alias("rows"), F.sum("n").alias("weight"))
+        F.count("*").alias("rows"), F.sum("n").alias("weight"),
+        *[F.bit_xor(p).alias(f"print{i}") for i, p in enumerate(prints)])
     split = of_component.groupBy("key").agg(
         F.max(F.struct("rows", "component", "weight")).alias("top"), F.sum("weight").alias("all"),
-        F.count("*").alias("components")).filter("components > 1").select(
-        "key", F.col("top.component").alias("major"),
-        F.ceil((F.col("all") - F.col("top.weight")) / BLOCK_SHINGLES).cast("int").alias("minors"),
-        F.ceil(F.col("top.weight") / BLOCK_SHINGLES).cast("int").alias("majors"),
-        F.col("all"))
+        F.count("*").alias("components"), F.sum("rows").alias("rows"),
+        *[F.bit_xor(f"print{i}").alias(f"print{i}") for i in (0, 1)]).filter("components > 1")
+    alike = split.groupBy("rows", "print0", "print1").agg(F.min(F.struct("key", "top", "all")).alias("one"))
+    split = alike.select(
+        "one.key", F.col("one.top.component").alias("major"),
+        F.ceil((F.col("one.all") - F.col("one.top.weight")) / BLOCK_SHINGLES).cast("int").alias("minors"),
+        F.ceil(F.col("one.top.weight") / BLOCK_SHINGLES).cast("int").alias("majors"))
     members = materialize(labelled.join(split, "key"), "split-buckets")
     total = members.agg(F.sum("n")).first()[0] or 0
     slots = partitions_for(spark, total, BLOCK_SHINGLES)
@@ -306,12 +328,32 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         "slot", "kind", "a", "b").applyInArrow(_across(percent, arrow(pair)), pair)
     labels = connected_components(links.union(more))
 
-    named = labels.withColumnRenamed("node", "class")
-    own_class = sketches.select("id", *equal).join(
-        classes.join(named, "class", "left").select(
-            *equal, F.coalesce("component", "class").alias("component")), equal, "left")
-    return own_class.select(
-        F.col("id").alias(id_col), F.col("n").alias("n_shingles"),
-        F.coalesce("component", "id").alias("component_id"),
-        F.coalesce(F.col("id") == F.coalesce("component", "id"), F.lit(False)).alias("kept"))
-
+    # From numbers back to ids: the least of a component, by class, and by id for empty texts.
+    of_class = classes.select("id", "digest", "least").join(
+        labels.withColumnRenamed("node", "id"), "id", "left").withColumn(
+        "component", F.coalesce("component", "id"))
+    heads = of_class.groupBy("component").agg(F.min("least").alias("head"))
+    named = materialize(of_class.join(heads, "component").select("digest", "head"), "components")
+    filled = sketches.select("id", "n", "digest").join(
+        named.withColumnRenamed("digest", "of"), (F.col("n") > 0) & (F.col("digest") == F.col("of")), "left")
+    of_ids = _several_texts(sketches).join(sketches.filter("n > 0").select("id", "digest"), "id").join(
+        named, "digest").groupBy("id").agg(F.min("head").alias("other")).withColumnRenamed("id", "same")
+    component = F.coalesce("head", "other", "id")
+    return filled.join(of_ids, F.col("id") == F.col("same"), "left").select(
+        F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"),
+        F.coalesce(F.col("id") == component, F.lit(False)).alias("kept"))
+
+
+def _several_texts(sketches: DataFrame) -> DataFrame:
+    """(id) of documents whose rows have different sets."""
+    mark = F.xxhash64("digest")
+    return sketches.filter("id is not null").groupBy("id").agg(
+        F.min(mark).alias("lo"), F.max(mark).alias("hi")).filter("lo <> hi").select("id")
+
+
+def _links_by_id(sketches: DataFrame, classes: DataFrame) -> DataFrame:
+    """Links (a, b) between the classes that rows of one id lie in, to the least of them."""
+    of_id = sketches.filter("n > 0").select("id", "digest").join(_several_texts(sketches), "id").join(
+        classes.select(F.col("id").alias("a"), "digest"), "digest").select("id", "a").distinct()
+    first = of_id.groupBy("id").agg(F.min("a").alias("b"))
+    return of_id.join(first, "id").filter("a <> b").select("a", "b")

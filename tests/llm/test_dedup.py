@@ -80,6 +80,10 @@ def brute(rows, width):
             both = len(sets[i] & sets[j])
             if both and 100 * both >= 80 * (len(sets[i]) + len(sets[j]) - both):
                 label[root(i)] = root(j)
+    first = {}
+    for i, (doc_id, _) in enumerate(rows):
+        if doc_id is not None:
+            label[root(i)] = root(first.setdefault(doc_id, i))
     least = {}
     for i, (doc_id, _) in enumerate(rows):
         if doc_id is not None:
@@ -105,7 +109,7 @@ def corpus():
     return rows
 
 
-@pytest.mark.parametrize("width, block", [(2, 1_000_000), (2, 500), (5, 1_000_000)])
+@pytest.mark.parametrize("width, block", [(2, 250_000), (2, 500), (5, 250_000)])
 def test_near_duplicates(spark, monkeypatch, width, block):
     monkeypatch.setattr(near_dedup, "BLOCK_SHINGLES", block)
     rows = corpus()
@@ -115,6 +119,23 @@ def test_near_duplicates(spark, monkeypatch, width, block):
     assert sorted(map(tuple, got), key=repr) == brute(rows, width)
 
 
+def test_near_duplicates_with_repeated_and_missing_ids(spark):
+    rng = random.Random(9)
+
+    def near(text):
+        words = text.split()
+        words[rng.randrange(60)] = "changed"
+        return " ".join(words)
+
+    one, two, three, four, five = (" ".join(f"q{rng.randrange(9000)}" for _ in range(60)) for _ in range(5))
+    rows = [(10, one), (10, two), (11, near(one)), (12, near(two)), (5, three), (None, near(three)), (None, near(near(three))),
+            (None, four), (None, four), (None, near(four)), (20, ""), (20, five), (19, near(five)), (30, None), (30, " "),
+            (40, one), (41, "x"), (41, "y"), (42, "y"), *[(None, "hot " * 70)] * 40, (50, "hot " * 70)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
+    got = near_dedup.near_duplicates(df, width=2).collect()
+    assert sorted(map(tuple, got), key=repr) == brute(rows, 2)
+
+
 def test_near_duplicates_of_an_empty_table(spark):
     df = spark.createDataFrame([], "doc_id long, text string")
     assert near_dedup.near_duplicates(df).count() == 0

@@ -106,3 +106,25 @@ def test_null_and_repeated_ids(spark, tmp_path):
     pieces = corpus_pipeline.run(spark, str(tmp_path)).filter("start = 0")
     assert pieces.count() == len(mixed)
     assert pieces.filter("doc_id is null").count() == sum(r.doc_id is None for r in table.collect())
+
+
+def test_clashing_names_and_no_rows(spark, tmp_path):
+    rng = random.Random(4)
+    rows = [(i, " ".join(f"word{rng.randrange(900)}" for _ in range(50)), "en", "s0", 300, i, -i, "k", "m", 1, 2)
+            for i in range(60)]
+    rows += [(500 + i, "### $$$ *** " * 9, "en", "s0", 100, i, -i, "k", "m", 1, 2) for i in range(40)] + rows[:5]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, _row long, "
+                                       "_mix_id long, _key string, _metadata string, id int, label int")
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(40)] + [(500 + i, 0, 0) for i in range(30)],
+                                   "doc_id long, quality int, toxic int")
+    labels.write.parquet(f"{tmp_path}/labels.parquet")
+    table = docs
+    for _, stage in corpus_pipeline.STAGES[:3]:
+        table = stage(spark, table, str(tmp_path))
+        assert table.columns == docs.columns
+    assert sorted(map(tuple, table.collect())) == sorted(rows[:60])
+    mixed = corpus_pipeline.mixing(spark, table, str(tmp_path))
+    assert mixed.columns == docs.columns and {(r.doc_id, r["_row"], r["_mix_id"]) for r in mixed.collect()} == {
+        (i, i, -i) for i in range(60)}
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, docs.limit(0), str(tmp_path)).count() == 0

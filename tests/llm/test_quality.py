@@ -5,9 +5,10 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from corpusloom.llm import quality
-from corpusloom.llm.quality import Logistic, classify_quality, co_train
+from corpusloom.llm.quality import Logistic, View, classify_quality, co_train, keep_good, pseudo_slopes
 
 SF = "/root/testdata/sf0.01"
 
@@ -54,8 +55,8 @@ def test_pseudo_labels_help_the_other_view():
 
     y, pool_y, test_y = (rng.integers(0, 2, n).astype(float) for n in (24, 3000, 2000))
     sets = [[view(part, s) for s in (2.0, 0.5)] for part in (y, pool_y, test_y)]
-    model = co_train(sets[0], y, sets[1])
-    alone = Logistic.fit(sets[0][1], y, np.ones(len(y)))
+    model = co_train(sets[0], y, lambda history, now: pseudo_slopes(history, now, sets[1]))
+    alone = Logistic.fit(sets[0][1], y)
 
     def hits(odds):
         return ((odds > 0) == (test_y == 1)).mean()
@@ -63,3 +64,27 @@ def test_pseudo_labels_help_the_other_view():
     assert hits(model.views[1].log_odds(sets[2][1])) > hits(alone.log_odds(sets[2][1])) - 0.01
     assert ((model.scores(sets[2])[2] > 0.5) == (test_y == 1)).mean() > 0.95
     assert quality.ROUNDS >= 1
+
+
+def test_the_pool_is_the_whole_table_and_an_id_counts_once(spark, monkeypatch):
+    rng = random.Random(3)
+    rows = [(i, " ".join(rng.choices(["alpha", "beta", "gamma", "delta."], k=30)), "s", "en", 100) for i in range(60)]
+    rows += [(100 + i, "### *** $$$ " * 10, "t", "en", 100) for i in range(60)]
+    rows += [(1, f"alpha beta gamma {i}", "s", "en", 100) for i in range(500)] + [(None, "gamma delta", "s", "en", 9)] * 30
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string, n_chars int").repartition(4)
+    labels = spark.createDataFrame([(i, 1) for i in range(40)] + [(100 + i, 0) for i in range(40)], "doc_id long, quality int")
+    seen = []
+    told_by = quality.co_train
+
+    def spy(labelled, y, pool):
+        views = [View(Logistic.fit(x, y), Logistic.fit(x[:, :1], y), True) for x in labelled]
+        seen.append((len(y), [n for n, _, _ in pool([views], [v.model for v in views])]))
+        return told_by(labelled, y, pool)
+
+    monkeypatch.setattr(quality, "co_train", spy)
+    got = classify_quality(df, labels).collect()
+    assert seen[0][0] == 80 and 0 < max(seen[0][1]) <= 70 and len(got) == len(rows)
+    good = keep_good(df.withColumn("text_view", F.lit(1)).withColumn("label", F.lit("x")), labels)
+    assert good.columns == [*df.columns, "text_view", "label"]
+    assert sorted((r.doc_id or -1, r.text) for r in good.collect()) == sorted(
+        (i or -1, t) for i, t, *_ in rows if "#" not in t)
