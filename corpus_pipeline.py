@@ -3,72 +3,74 @@
 Each stage reads what the one before it kept, as a stored table. All but the last return the
 columns of documents. Stages decide row by row: a row is judged by its own text whether its id
 is null, repeated or unique, and of rows that are copies of each other one stays, that of the
-least id.
+least id. Rows are named by their place in the stored table, so no copy of it is made; texts of
+rows that surely stay are not shuffled to drop others.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
+from corpusloom.llm.common import free_name, without_ids
 from corpusloom.llm.exact_dedup import exact_duplicates
 from corpusloom.llm.mixing import apply_mix, mix
 from corpusloom.llm.near_dedup import near_duplicates
 from corpusloom.llm.packing import pack
-from corpusloom.llm.quality import classify_quality
+from corpusloom.llm.quality import keep_good
 from corpusloom.session import materialize
 
 
-#: A column that no two rows share.
-ROW = "_row"
+def keyed(docs: DataFrame) -> tuple[DataFrame, str]:
+    """``docs`` with a key that no two rows share, and its name.
 
+    Keys sort by id, null last, then by file and row; a table that is not stored is stored first.
+    Files go by their place in the folder, so equal tables get equal keys wherever they lie.
+    """
+    try:
+        docs.select(docs.metadataColumn("_metadata")["row_index"])
+    except AnalysisException:
+        docs = materialize(docs, "documents")
+    place = docs.metadataColumn("_metadata")
+    key, path, file = (free_name(docs, x) for x in ("_key", "_path", "_file"))
+    # A row per file, which the driver lists anyway.
+    files = docs.select(place["file_path"].alias(path)).distinct().withColumn(
+        file, F.row_number().over(Window.orderBy(path)))
+    told = docs.withColumn(path, place["file_path"]).withColumn(key, place["row_index"]).join(F.broadcast(files), path)
+    return told.withColumn(key, F.struct(
+        F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col(file).alias("file"),
+        F.col(key).alias("row"))).select(*[F.col(f"`{c}`") for c in docs.columns], key), key
 
-def keyed(docs: DataFrame) -> DataFrame:
-    """``docs`` with a row key: the id if it is one, else numbers given once and stored."""
-    shared = docs.groupBy("doc_id").count().filter("doc_id is null or count > 1")
-    if not shared.head(1):
-        return docs.withColumn(ROW, F.col("doc_id"))
-    return materialize(docs.withColumn(ROW, F.monotonically_increasing_id()), "row-keys")
 
-
-def without(docs: DataFrame, dropped: DataFrame) -> DataFrame:
-    """The keyed documents that a stage did not drop, without their keys."""
-    return docs.join(dropped.select(ROW), ROW, "left_anti").drop(ROW)
-
-
-def one_of_each(docs: DataFrame, groups: DataFrame, group: str) -> DataFrame:
-    """Keyed documents without those of a group that are not its first by id, null last."""
-    rank = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", ROW)
-    ranked = materialize(groups.select(ROW, F.col(group).alias("group")).join(
-        docs.select(ROW, "doc_id"), ROW), "groups")
-    first = ranked.groupBy("group").agg(F.min(rank).alias("first")).select(F.col(f"first.{ROW}").alias(ROW))
-    return without(docs, ranked.join(first, ROW, "left_anti"))
+def without(docs: DataFrame, key: str, judged: DataFrame) -> DataFrame:
+    """The keyed documents that a stage keeps, without their keys."""
+    dropped = materialize(judged.filter("not kept").select(F.col(key).alias("id")), "dropped")
+    return without_ids(docs, dropped, key).drop(key)
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the co-trained classifier does not reject."""
-    docs = keyed(docs)
-    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    of_rows = docs.select(ROW, "doc_id").join(labels, "doc_id").select(ROW, "quality")
-    return without(docs, classify_quality(docs, of_rows, ROW).filter("not kept"))
+    return keep_good(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of equal texts."""
-    docs = keyed(docs)
-    return one_of_each(docs, exact_duplicates(docs, ROW).filter("group_size > 1"), "keep_id")
+    docs, key = keyed(docs)
+    return without(docs, key, exact_duplicates(docs, key))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates, by shingles of five words; documents
     without words are linked with nothing and stay."""
-    docs = keyed(docs)
-    return one_of_each(docs, near_duplicates(docs, ROW, width=5), "component_id")
+    docs, key = keyed(docs)
+    return without(docs, key, near_duplicates(docs, key, width=5))
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The mix of all sources: a row per copy that it takes."""
-    docs = keyed(docs)
-    return apply_mix(docs, mix(docs, ROW), ROW).drop(ROW)
+    docs, key = keyed(docs)
+    drawn = F.coalesce(F.col("doc_id").cast("string"), F.col(key).cast("string"))
+    return apply_mix(docs, mix(docs, key, draw=drawn), key).drop(key)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
