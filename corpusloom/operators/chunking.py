@@ -14,8 +14,9 @@ CHUNK_OVERLAP = 50
 BOUNDARY_MARKS = ("\n\n", "\n", "。", "；", "，", ".", ";", ",")
 LOOK_BACK = 100
 
-# Overlapping places count, as in "\n\n\n".
-_MARK_PATTERNS = [(mark, re.compile(f"(?={re.escape(mark)})")) for mark in BOUNDARY_MARKS]
+# A mark's first character, followed by the rest of it: overlapping places count, as in "\n\n\n".
+_MARK_PATTERNS = [re.compile(re.escape(mark[0]) + (f"(?={re.escape(mark[1:])})" if mark[1:] else ""))
+                  for mark in BOUNDARY_MARKS]
 
 
 def check_window(size: int, overlap: int) -> None:
@@ -25,22 +26,31 @@ def check_window(size: int, overlap: int) -> None:
 
 
 class _Marks:
-    """Where each mark stands in a text, found once, so that a cut is a few binary searches."""
+    """Where each mark stands in a text, found when first asked for, so that a cut is a few
+    binary searches and marks that never decide are never looked up."""
 
     def __init__(self, text: str):
-        self.places = [(len(mark), [m.start() for m in pattern.finditer(text)])
-                       for mark, pattern in _MARK_PATTERNS]
+        self.text = text
+        self.places: list[list[int] | None] = [None if mark in text else [] for mark in BOUNDARY_MARKS]
+
+    def of(self, kind: int) -> list[int]:
+        found = self.places[kind]
+        if found is None:
+            found = self.places[kind] = [m.start() for m in _MARK_PATTERNS[kind].finditer(self.text)]
+        return found
 
     def cut_before(self, low: int, high: int) -> int:
         """End of the last preferred mark lying wholly in [low, high), or ``high``."""
-        for width, places in self.places:
-            at = bisect_right(places, high - width) - 1
+        for kind, mark in enumerate(BOUNDARY_MARKS):
+            places, last = self.of(kind), high - len(mark)
+            at = bisect_right(places, last) - 1
             if at >= 0 and places[at] >= low:
-                return places[at] + width
+                return places[at] + len(mark)
         return high
 
 
-def windows(text: str, size: int, overlap: int, drop_contained_tail: bool) -> list[str]:
+def windows(text: str, size: int, overlap: int, drop_contained_tail: bool,
+            marks: _Marks | None = None) -> list[str]:
     """Chunks of one text: bounds of all windows first, then their stripped texts.
 
     A window that does not reach the end stops at the best mark of its last LOOK_BACK
@@ -50,7 +60,7 @@ def windows(text: str, size: int, overlap: int, drop_contained_tail: bool) -> li
     n = len(text)
     if n <= size:
         return [text] if text.strip() else []
-    marks = _Marks(text)
+    marks = marks or _Marks(text)
     begins, ends = [0], []
     while True:
         full = begins[-1] + size
@@ -66,19 +76,28 @@ def windows(text: str, size: int, overlap: int, drop_contained_tail: bool) -> li
 
 def split_text(text: Column, size: int = CHUNK_SIZE, overlap: int = CHUNK_OVERLAP,
                drop_contained_tail: bool = False) -> Column:
-    """Array of chunks of a text column.
+    """Array of chunks of a text column."""
+    return F.get(split_all(text, [(size, overlap)], drop_contained_tail), F.lit(0))
+
+
+def split_all(text: Column, settings: list[tuple[int, int]], drop_contained_tail: bool = False) -> Column:
+    """Arrays of chunks of a text column, one for each (size, overlap).
 
     Where a chunk starts depends on where the last one was cut, so this is a small Arrow
-    function per text rather than an expression; Spark spreads the texts.
+    function per text rather than an expression; Spark spreads the texts. Marks are looked up
+    once for all settings.
     """
-    check_window(size, overlap)
-    kind = pa.list_(pa.string())
+    for size, overlap in settings:
+        check_window(size, overlap)
+    kind = pa.list_(pa.list_(pa.string()))
+
+    def parts_of(t: str) -> list[list[str]]:
+        marks = _Marks(t)
+        return [windows(t, size, overlap, drop_contained_tail, marks) for size, overlap in settings]
 
-    @F.arrow_udf("array<string>")
+    @F.arrow_udf("array<array<string>>")
     def parts(texts: pa.Array) -> pa.Array:
-        return pa.array(
-            [None if t is None else windows(t, size, overlap, drop_contained_tail)
-             for t in texts.to_pylist()], type=kind)
+        return pa.array([None if t is None else parts_of(t) for t in texts.to_pylist()], type=kind)
 
     return parts(text)
 
@@ -114,20 +133,15 @@ def chunk_label() -> Column:
 def sweep_windows(blocks: DataFrame, settings: list[tuple[int, int]]) -> DataFrame:
     """Chunk the same blocks under several (size, overlap) pairs.
 
-    All settings share one pass: each block crosses to Python once, with one result column
-    per setting, and only then fans out to rows.
+    All settings share one pass: each block crosses to Python once and only then fans out to rows.
     """
-    for size, overlap in settings:
-        check_window(size, overlap)
-    per_setting = F.array(*[
-        F.struct(F.lit(size).alias("chunk_size"), F.lit(overlap).alias("overlap"),
-                 F.col(f"_parts{i}").alias("parts"))
-        for i, (size, overlap) in enumerate(settings)])
-    wide = blocks.select("kb_id", "doc_id", *[
-        split_text(F.col("text"), size, overlap).alias(f"_parts{i}")
-        for i, (size, overlap) in enumerate(settings)])
+    named = F.transform(F.col("_parts"), lambda parts, i: F.struct(
+        F.get(F.array(*[F.lit(size) for size, _ in settings]), i).alias("chunk_size"),
+        F.get(F.array(*[F.lit(overlap) for _, overlap in settings]), i).alias("overlap"),
+        parts.alias("parts")))
+    wide = blocks.select("kb_id", "doc_id", split_all(F.col("text"), settings).alias("_parts"))
     return (
-        wide.select("kb_id", "doc_id", F.explode(per_setting).alias("s"))
+        wide.select("kb_id", "doc_id", F.explode(named).alias("s"))
         .select("kb_id", "doc_id", "s.chunk_size", "s.overlap",
                 F.posexplode("s.parts").alias("chunk_index", "content"))
     )

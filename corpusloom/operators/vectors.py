@@ -190,52 +190,182 @@ def dense_top_k(rows: DataFrame, queries: DataFrame, k: int = 5, row_id: str = "
     return found.withColumnRenamed("row_id", row_id)
 
 
+#: Every vector is compared with every centre once, and the centres go to all tasks (8 MB for 64
+#: numbers each), so their number stops growing here; cells get larger, and are spread over tasks.
 MAX_CELLS = 16_384
+#: Centres are trained on so many vectors at most; every vector is indexed.
+TRAINED_ON = 200_000
+ROUNDS = 8
+#: Share of the true neighbours that a search is meant to find.
+RECALL = 0.9
+#: A search goes on until it expects to miss this share of what it may.
+CAUTION = 0.5
+_LEVELS = 8
+
+
+def _mean_directions(vectors: np.ndarray, centres: np.ndarray) -> np.ndarray:
+    """Centres moved to the mean of the vectors nearest to them; one without any stays."""
+    near = np.concatenate([np.argmax(part @ centres.T, axis=1) for part in np.array_split(
+        vectors, 1 + len(vectors) * len(centres) // 20_000_000)])
+    order = np.argsort(near, kind="stable")
+    held, first = np.unique(near[order], return_index=True)
+    moved = centres.copy()
+    moved[held] = unit_rows(np.add.reduceat(vectors[order], first, axis=0))
+    return moved
 
 
 class CellIndex:
-    """Inverted file: vectors grouped into cells around centres, questions probe a few.
-
-    Centres are the vectors with the least MD5 of their id, about the root of the number of
-    rows, at most MAX_CELLS; the choice takes one pass and is the same wherever it is made. A vector belongs to the centre of
-    largest cosine, equal ones to the smaller id. The approximate answer is exact inside the
-    probed cells. Rows are stored sorted by cell, so cells nobody probes are skipped, and a hot
-    cell is spread over tasks by row id.
+    """Inverted file: vectors grouped into cells around trained centres, questions probe some.
+
+    Centres start from the vectors with the least MD5 of their id, about the root of the number
+    of rows, at most MAX_CELLS, and are trained by spherical k-means on a sample of TRAINED_ON
+    vectors. A vector belongs to the centre of largest cosine. Rows are stored sorted by cell,
+    so cells nobody probes are skipped, and a hot cell is spread over tasks by row id.
+
+    A search looks at each question's nearest cells, takes the k-th score there, and asks how
+    many members of each other cell may beat it: a member's cosine with the question is that of
+    two steps, question to centre and centre to member, at an angle between them which is nearly
+    normal, with a spread that the sample tells. Cells are probed in order of that number until
+    what is left is expected to hold less than half of the neighbours that may be missed.
     """
 
     def __init__(self, rows: DataFrame, row_id: str = "chunk_id", n_cells: int | None = None):
         count = rows.count()
         wanted = n_cells or min(MAX_CELLS, max(1, math.ceil(math.sqrt(count))))
         key = F.col(row_id).cast("string")
-        first = rows.orderBy(F.md5(key), key).limit(wanted).select(
-            key.alias("id"), "embedding").toArrow().sort_by("id")
-        lists = first.column("embedding").combine_chunks()
-        self.centres = unit_rows(matrix_of(lists, len(lists[0]))) if len(lists) else np.zeros((0, 0))
+        sample = rows.orderBy(F.md5(key), key).limit(TRAINED_ON).select(
+            F.md5(key).alias("turn"), key.alias("id"), "embedding").toArrow().sort_by(
+            [("turn", "ascending"), ("id", "ascending")])
+        lists = sample.column("embedding").combine_chunks()
+        vectors = unit_rows(matrix_of(lists, len(lists[0]))) if len(lists) else np.zeros((0, 0))
+        self.centres = vectors[:wanted].copy()
+        for _ in range(ROUNDS if len(vectors) > wanted else 0):
+            self.centres = _mean_directions(vectors, self.centres)
+        self.spread = self._spread(vectors)
+        placed = rows.withColumn("_near", self._nearest(F.col("embedding"))).withColumn(
+            "cell", F.col("_near.cell")).withColumn("_cosine", F.col("_near.cosine")).drop("_near")
         self.rows = materialize(
-            rows.withColumn("cell", F.element_at(self._nearest(F.col("embedding"), 1), 1))
-            .repartitionByRange("cell", row_id).sortWithinPartitions("cell"), "cells")
-
-    def _nearest(self, vectors: Column, n: int) -> Column:
-        """The ``n`` cells of largest cosine, equal ones by the centre's id."""
+            placed.repartitionByRange("cell", row_id).sortWithinPartitions("cell"), "cells")
+        levels = [(i + 0.5) / _LEVELS for i in range(_LEVELS)]
+        held = self.rows.groupBy("cell").agg(
+            F.count("*").alias("n"), F.percentile_approx("_cosine", levels, 1000).alias("cosines")).toArrow()
+        self.sizes = np.zeros(len(self.centres))
+        self.cosines = np.ones((len(self.centres), _LEVELS))
+        at = held.column("cell").to_numpy()
+        self.sizes[at] = held.column("n").to_numpy()
+        self.cosines[at] = np.array(held.column("cosines").to_pylist(), float).reshape(-1, _LEVELS)
+
+    def _spread(self, vectors: np.ndarray) -> float:
+        """How far the directions from centres to members are from right angles with each other."""
+        if len(vectors) < 2:
+            return 1.0
+        some = vectors[:20_000]
+        near = np.argmax(some @ self.centres.T, axis=1)
+        step = some - np.sum(some * self.centres[near], axis=1)[:, None] * self.centres[near]
+        step = unit_rows(step[np.linalg.norm(step, axis=1) > 1e-9])
+        if len(step) < 2:
+            return 1.0
+        return float(np.sqrt(np.mean(np.sum(step * np.roll(step, 1, axis=0), axis=1) ** 2)))
+
+    def _nearest(self, vectors: Column) -> Column:
+        """The cell of largest cosine, equal ones by number, and that cosine."""
         centres = self.centres
 
-        @F.arrow_udf("array<int>")
+        @F.arrow_udf("struct<cell: int, cosine: double>")
         def nearest(lists: pa.Array) -> pa.Array:
-            found = np.round(unit_rows(matrix_of(lists, centres.shape[1])) @ centres.T, 6) + 0.0
-            near = np.argsort(-found, axis=1, kind="stable")[:, :n]
-            return pa.array(near.astype(np.int32).tolist(), pa.list_(pa.int32()))
+            if not len(lists):
+                return pa.array([], pa.struct([("cell", pa.int32()), ("cosine", pa.float64())]))
+            found = unit_rows(matrix_of(lists, centres.shape[1])) @ centres.T
+            cell = np.argmax(np.round(found, 9), axis=1)
+            return pa.StructArray.from_arrays(
+                [pa.array(cell.astype(np.int32)), pa.array(found[np.arange(len(cell)), cell])], names=["cell", "cosine"])
 
         return nearest(vectors)
 
-    def with_probes(self, queries: DataFrame, n_probes: int) -> DataFrame:
-        """Add the cells whose centres lie closest to each question."""
-        return queries.withColumn("probes", self._nearest(F.col("embedding"), n_probes))
+    def _closest(self, n: int) -> Column:
+        """The ``n`` cells whose centres lie closest to the embedding."""
+        centres = self.centres
 
-    def top_k(self, queries: DataFrame, k: int = 5, n_probes: int | None = None,
-              row_id: str = "chunk_id", block_bytes: int = BLOCK_BYTES) -> DataFrame:
-        """Like :func:`dense_top_k`, restricted to the probed cells: by default 4 %, twelve at least."""
+        @F.arrow_udf("array<int>")
+        def closest(lists: pa.Array) -> pa.Array:
+            found = [] if not len(lists) else np.argsort(
+                -np.round(unit_rows(matrix_of(lists, centres.shape[1])) @ centres.T, 9), axis=1, kind="stable")[:, :n].tolist()
+            return pa.array(found, pa.list_(pa.int32()))
+
+        return closest(F.col("embedding"))
+
+    def expected(self, questions: np.ndarray, kth: np.ndarray) -> np.ndarray:
+        """Questions x cells: how many members of a cell are expected to score ``kth`` or more."""
+        to_centre = np.clip(questions @ self.centres.T, -1, 1)[:, :, None]
+        across = np.sqrt(1 - to_centre ** 2) * np.sqrt(np.maximum(0, 1 - self.cosines ** 2))[None]
+        lacks = (kth[:, None, None] - to_centre * self.cosines[None]) / np.maximum(1e-9, across * self.spread)
+        z = np.clip(lacks, -8, 8)
+        # The normal curve's tail, by a hyperbolic tangent.
+        tail = 0.5 - 0.5 * np.tanh(math.sqrt(2 / math.pi) * (z + 0.044715 * z ** 3))
+        return (self.sizes / _LEVELS)[None] * np.sum(tail, axis=2)
+
+    def probes(self, questions: np.ndarray, kth: np.ndarray, k: int, recall: float) -> list[np.ndarray]:
+        """Cells of each question in order, until no more is expected in the others than allowed."""
+        allowed = CAUTION * (1 - recall) * k
+        out = []
+        for part in np.array_split(np.arange(len(questions)), 1 + len(questions) * len(self.centres) // 500_000):
+            hopes = self.expected(questions[part], kth[part])
+            for hope in hopes:
+                order = np.argsort(-hope, kind="stable")
+                left = hope.sum() - np.cumsum(hope[order])
+                out.append(np.sort(order[:int(np.argmax(left <= allowed)) + 1]))
+        return out
+
+    def _with_probes(self, queries: DataFrame, k: int, recall: float) -> DataFrame:
+        """Add ``probes``: the cells to look at, by the question's ``kth`` score; without one, the
+        nearest cells that hold ``4 k`` vectors."""
+        index = self._light()
+
+        @F.arrow_udf("array<int>")
+        def choose(lists: pa.Array, kth: pa.Array) -> pa.Array:
+            kind = pa.list_(pa.int32())
+            if not len(lists):
+                return pa.array([], kind)
+            asked = unit_rows(matrix_of(lists, index.centres.shape[1]))
+            known = kth.to_numpy(zero_copy_only=False).astype(float)
+            cells: list = []
+            for question, score in zip(asked, known):
+                if np.isnan(score):
+                    order = np.argsort(-(index.centres @ question), kind="stable")
+                    enough = np.searchsorted(np.cumsum(index.sizes[order]), 4 * k) + 1
+                    cells.append(order[:enough])
+                else:
+                    cells += index.probes(question[None], np.array([score]), k, recall)
+            return pa.array([c.astype(np.int32).tolist() for c in cells], kind)
+
+        return queries.withColumn("probes", choose(F.col("embedding"), F.col("kth")))
+
+    def _light(self) -> CellIndex:
+        """The numbers alone, to be sent to tasks."""
+        light = object.__new__(CellIndex)
+        light.centres, light.sizes, light.cosines, light.spread = self.centres, self.sizes, self.cosines, self.spread
+        return light
+
+    def top_k(self, queries: DataFrame, k: int = 5, n_probes: int | None = None, row_id: str = "chunk_id",
+              block_bytes: int = BLOCK_BYTES, recall: float = RECALL) -> DataFrame:
+        """Like :func:`dense_top_k`, with ``recall`` of the true neighbours expected.
+
+        Two searches: the nearest cells, which give a k-th score, then the cells that this asks
+        for. With ``n_probes`` so many nearest cells are searched instead, whatever that finds.
+        """
+        asked = queries.select("query_id", "kb_id", "embedding")
+        if n_probes:
+            return self._search(asked.withColumn("probes", self._closest(n_probes)), k, row_id, block_bytes)
+        none = F.lit(None).cast("double")
+        first = materialize(self._search(self._with_probes(asked.withColumn("kth", none), k, recall), k, row_id,
+                                         block_bytes), "first-cells")
+        kth = first.filter(F.col("rank") == k).select("query_id", F.col("score").alias("kth"))
+        # A question with fewer hits than k looks everywhere.
+        told = asked.join(kth, "query_id", "left").withColumn("kth", F.coalesce("kth", F.lit(-2.0)))
+        return self._search(self._with_probes(told, k, recall), k, row_id, block_bytes)
+
+    def _search(self, asked: DataFrame, k: int, row_id: str, block_bytes: int) -> DataFrame:
         n_cells = len(self.centres)
-        n_probes = n_probes or max(12, math.ceil(n_cells / 25))
 
         def pack(table: pa.Table) -> dict:
             packed = _pack_vectors(table)
@@ -243,12 +373,12 @@ class CellIndex:
                 entry["n_cells"] = n_cells
             return packed
 
-        asked = self.with_probes(queries, n_probes).select(
-            "query_id", "kb_id", "embedding", "probes")
+        asked = materialize(asked.select("query_id", "kb_id", "embedding", "probes"), "probes")
+        # At most MAX_CELLS numbers.
         probed = [r[0] for r in asked.select(F.explode("probes")).distinct().collect()]
         slim = self.rows.filter(F.col("cell").isin(*probed)).select(
             "kb_id", F.col(row_id).cast("string").alias("row_id"), "embedding", "cell")
-        found = scan_top_k(slim, asked, F.size("embedding") * 8 + 128, k, pack,
+        found = scan_top_k(slim, asked, F.size("embedding") * 8 + F.size("probes") * 4 + 128, k, pack,
                            _score_vectors, block_bytes)
         return found.withColumnRenamed("row_id", row_id)
 

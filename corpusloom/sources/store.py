@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, Observation, SparkSession, functions as F
 
 from corpusloom.operators.catalog import stored_form
-from corpusloom.session import materialize, read_or_empty
+from corpusloom.session import read_or_empty
 
 # kb_id is declared, not guessed from folder names: "007" stays a string.
 STORE_SCHEMA = (
@@ -34,12 +34,18 @@ class ChunkStore:
 
     def append(self, chunks: DataFrame) -> DataFrame:
         """Add chunks; returns the kb ids whose cached answers are now stale."""
-        store_rows(chunks).write.mode("append").partitionBy("kb_id").parquet(self.path)
-        return self._stale(chunks)
+        return self._write(chunks, "append")
 
-    def _stale(self, chunks: DataFrame) -> DataFrame:
-        # Stored, so that using the ids never chunks the texts again.
-        return materialize(chunks.select("kb_id").distinct(), "stale-kbs")
+    def _write(self, chunks: DataFrame, mode: str) -> DataFrame:
+        """Write and tell which kbs were written, as seen on the way: texts are chunked once."""
+        seen = Observation()
+        rows = store_rows(chunks).observe(seen, F.collect_set("kb_id").alias("kbs"))
+        (rows.write.mode(mode).option("partitionOverwriteMode", "dynamic")
+         .partitionBy("kb_id").parquet(self.path))
+        return self._ids(seen.get["kbs"])
+
+    def _ids(self, kb_ids: list[str]) -> DataFrame:
+        return self.spark.createDataFrame([(k,) for k in sorted(kb_ids)], "kb_id string")
 
     def scan(self, kb_ids: list[str] | None = None) -> DataFrame:
         """All chunks, or those of some kbs; other partitions are not opened."""
@@ -48,21 +54,28 @@ class ChunkStore:
 
     def replace(self, chunks: DataFrame) -> DataFrame:
         """Overwrite the kbs present in ``chunks``, leave others alone; returns the stale kb ids."""
-        (store_rows(chunks).write.mode("overwrite")
-         .option("partitionOverwriteMode", "dynamic").partitionBy("kb_id").parquet(self.path))
-        return self._stale(chunks)
+        return self._write(chunks, "overwrite")
 
     def create(self, kb_ids: list[str]) -> None:
         """Start collections over: whatever they held is gone, the next append fills them."""
         self.drop(kb_ids)
 
     def drop(self, kb_ids: list[str]) -> DataFrame:
-        """Remove whole kb partitions; ids without one are ignored. Returns the stale kb ids."""
-        jvm = self.spark._jvm
-        conf = self.spark._jsc.hadoopConfiguration()
-        names = jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils
-        for kb_id in kb_ids:
-            folder = names.getPartitionPathString("kb_id", kb_id)
-            target = jvm.org.apache.hadoop.fs.Path(f"{self.path}/{folder}")
-            target.getFileSystem(conf).delete(target, True)
-        return self.spark.createDataFrame([(k,) for k in kb_ids], "kb_id string")
+        """Remove whole kb partitions; ids without one are ignored. Returns the stale kb ids.
+
+        Spark lists the kbs' files in one job that opens none of them, and their folders go.
+        """
+        rows = self.scan(kb_ids)
+        if kb_ids and not self._is_new():
+            folder = F.regexp_replace(F.col("_metadata.file_path"), "/[^/]*$", "")
+            found = [r[0] for r in rows.select(folder).distinct().collect()]
+            files = self.spark._jvm.org.apache.hadoop.fs
+            conf = self.spark._jsc.hadoopConfiguration()
+            for name in found:
+                target = files.Path(self.spark._jvm.java.net.URI(name))
+                target.getFileSystem(conf).delete(target, True)
+        return self._ids(kb_ids)
+
+    def _is_new(self) -> bool:
+        folder = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
+        return not folder.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(folder)

@@ -7,6 +7,7 @@ import pytest
 duckdb = pytest.importorskip("duckdb")
 
 import __spark_entry__ as entry
+from corpusloom.plans import retrieval_queries
 from tools.check import TABLES, rows_of
 
 SF = "/root/testdata/sf0.001"
@@ -38,6 +39,10 @@ def test_query_matches_sql(spark, con, name):
         assert rows_of(df.columns, got) == rows_of(names, cur.fetchall())
 
 
-def test_cell_index_recall(spark):
-    rows = entry.queries()["approximate_top_k"](spark, SF).collect()
-    assert sum(r.exact_hit for r in rows) / len(rows) > 0.7
+@pytest.mark.parametrize("size", ["sf0.001", "sf0.01", "sf0.1"])
+def test_cell_index_recall(spark, size):
+    """Against all true neighbours, on tables of three sizes."""
+    folder = f"/root/testdata/{size}"
+    found = retrieval_queries.approximate_hits(spark, folder).collect()
+    exact = entry.queries()["dense_top_k"](spark, folder).count()
+    assert sum(r.exact_hit for r in found) >= 0.9 * exact

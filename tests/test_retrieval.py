@@ -197,6 +197,24 @@ def test_cell_index_finds_most_neighbours_and_all_with_all_cells(points):
     assert len(near & true) / len(true) > 0.6
 
 
+def test_cell_index_leaves_out_far_cells_of_clustered_vectors(spark):
+    rng = np.random.default_rng(5)
+    homes = rng.normal(size=(40, 16)) * 4
+    vecs = [(f"v{i}", (homes[i % 40] + rng.normal(size=16) * 0.3).astype(float).tolist()) for i in range(4000)]
+    table = spark.createDataFrame([("k", *v) for v in vecs], "kb_id string, chunk_id string, embedding array<double>")
+    queries = table.filter("chunk_id in ('v1', 'v77', 'v3333')").select(
+        F.substring("chunk_id", 2, 9).cast("long").alias("query_id"), "kb_id", "embedding")
+    index = vectors.CellIndex(table)
+    exact = as_map(vectors.dense_top_k(table, queries, 10))
+    got = {(q, c) for (q, _), (c, _) in as_map(index.top_k(queries, 10)).items()}
+    assert len(got & {(q, c) for (q, _), (c, _) in exact.items()}) >= 0.9 * len(exact)
+    asked = np.array([r.embedding for r in queries.orderBy("query_id").collect()])
+    asked /= np.linalg.norm(asked, axis=1, keepdims=True)
+    kth = np.array([exact[q, 10][1] for q in (1, 77, 3333)])
+    looked = [index.sizes[cells].sum() for cells in index.probes(asked, kth, 10, 0.9)]
+    assert max(looked) < 0.2 * index.sizes.sum()
+
+
 def test_mixed_widths_are_reported_and_refused(spark, points):
     _, _, table, queries = points
     odd = table.unionByName(spark.createDataFrame(
