@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -19,6 +20,26 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 
 
+_kept: list[dict] = []
+
+
+def kept_by_worker() -> dict:
+    """A dict for what a worker process keeps between the tasks of one operator."""
+    _kept.append({})
+    return _kept[-1]
+
+
+def forget_kept() -> None:
+    """Free what tasks of other operators have left in this worker process."""
+    if any(_kept):
+        for held in _kept:
+            held.clear()
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+        if trim:
+            trim(0)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import (ArrayType, BinaryType, IntegerType, LongType, StructField,
                                StructType)
 
-from corpusloom.llm.common import SPACE, only_ids, partitions_for
+from corpusloom.llm.common import SPACE, forget_kept, only_ids, partitions_for
 from corpusloom.session import materialize
 
 #: Bits of a fingerprint beyond the logarithm of the number of rows: of 256 rows about one
@@ -91,6 +91,7 @@ def _lists(bits: int, owners: int, out: pa.Schema):
             [*plain, *lists, pa.array(columns[8], pa.binary())], schema=out)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget_kept()
         sender = TaskContext.get().partitionId() << 24
         ids, prints, held = [], [], 0
         for batch in batches:

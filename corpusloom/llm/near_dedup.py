@@ -28,7 +28,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.types import (ArrayType, BinaryType, LongType, StructField, StructType)
 
-from corpusloom.llm.common import list_array, mix64, partitions_for, possibly_in, shingle_sets
+from corpusloom.llm.common import forget_kept, list_array, mix64, partitions_for, possibly_in, shingle_sets
 from corpusloom.llm.components import connected_components
 from corpusloom.session import materialize
 
@@ -113,6 +113,7 @@ def _digests(bounds: np.ndarray, hashes: np.ndarray) -> pa.Array:
 
 def _sketches(width: int, out: pa.Schema):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget_kept()
         for batch in batches:
             for row, bounds, hashes in shingle_sets(batch.column("text"), width):
                 n = len(bounds) - 1
@@ -126,6 +127,7 @@ def _sketches(width: int, out: pa.Schema):
 
 def _bands(out: pa.Schema):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget_kept()
         for batch in batches:
             regs = as_registers(batch.column(1))
             for band in range(REGISTERS // BAND):
@@ -144,6 +146,7 @@ def as_registers(column: pa.Array) -> np.ndarray:
 
 def _likely(least: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget_kept()
         for batch in batches:
             keep = plausible(
                 as_registers(batch.column("regs_a")), as_registers(batch.column("regs_b")),
@@ -157,6 +160,7 @@ def _sets(width: int, out: pa.Schema):
     """Sets of the texts that have the digest they were asked for by."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget_kept()
         for batch in batches:
             for row, bounds, hashes in shingle_sets(batch.column("text"), width):
                 n = len(bounds) - 1
@@ -176,6 +180,7 @@ def _across(percent: int, out: pa.Schema):
     """
 
     def run(group: pa.Table) -> pa.Table:
+        forget_kept()
         group = group.sort_by("key")
         key, left = (group.column(c).to_numpy() for c in ("key", "left"))
         component = group.column("component").combine_chunks().dictionary_encode()

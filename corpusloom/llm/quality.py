@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import (ArrayType, BooleanType, DoubleType, FloatType, LongType, StructField,
                                StructType)
 
-from corpusloom.llm.common import list_array, mix64, small_slices, string_buffers, word_hashes
+from corpusloom.llm.common import forget_kept, list_array, mix64, small_slices, string_buffers, word_hashes
 from corpusloom.session import materialize
 
 #: Labelled documents that are fitted on, at most; everything else covers all documents.
@@ -232,6 +232,7 @@ def _views(batch: pa.RecordBatch) -> list[np.ndarray]:
 
 def _featured(out: pa.Schema):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget_kept()
         for batch in batches:
             for rows in small_slices(batch, size=1 << 20):
                 lists = [list_array(pa.array(x.astype(np.float32).ravel()),
@@ -256,6 +257,7 @@ def _slopes(history: list, now: list, out: pa.Schema):
     """mapInArrow: a task's sums of ``pseudo_slopes`` as (place, value) rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget_kept()
         total = None
         for batch in batches:
             for at in range(0, len(batch), 2048):
@@ -299,6 +301,7 @@ def _scored(model: Model, threshold: float, out: pa.Schema):
     """mapInArrow: stored features to scores."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget_kept()
         for batch in batches:
             for at in range(0, len(batch), 2048):
                 rows = batch.slice(at, 2048)
@@ -313,6 +316,7 @@ def _good(model: Model, threshold: float, n_columns: int, out: pa.Schema):
     """mapInArrow: rows with what a classifier needs behind them, to the good rows alone."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget_kept()
         for batch in batches:
             told_by = batch.select(list(range(n_columns, len(batch.columns)))).rename_columns(
                 ["text", "source", "lang", "length"])

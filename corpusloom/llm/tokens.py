@@ -15,6 +15,8 @@ from collections.abc import Callable, Iterable
 
 import numpy as np
 
+from corpusloom.llm.common import kept_by_worker
+
 #: Pieces a worker remembers, about 200 MB. Beyond it the newer half is forgotten.
 MEMORY = 1_000_000
 _CHUNK_CHARS = 1 << 20
@@ -103,7 +105,7 @@ class PieceEncoder:
         return np.array(ids, dtype=self.dtype).tobytes()
 
 
-_encoders: dict[str, PieceEncoder] = {}
+_encoders: dict[str, PieceEncoder] = kept_by_worker()
 
 
 def encoder(path: str) -> PieceEncoder:
