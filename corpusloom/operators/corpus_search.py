@@ -2,9 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import ahocorasick
+import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import LongType, StringType, StructField, StructType
 
-from corpusloom.functions.text import count_exact
+from corpusloom.operators.scan import BLOCK_BYTES
+from corpusloom.session import materialize
 
 # Preview limits, searchable suffixes, skipped directories.
 PREVIEW_LIMIT = 100
@@ -51,12 +59,10 @@ def preview(texts: DataFrame, limit: int = PREVIEW_LIMIT, edge: int = PREVIEW_ED
                                           F.lit(edge)), "\n")).alias("tail"))
 
 
-def search_keywords(files: DataFrame, keywords: list[str], strict: bool = False) -> DataFrame:
-    """(path, keyword, hits) for searchable files outside skipped directories.
+def searchable(files: DataFrame, strict: bool = False) -> DataFrame:
+    """(path, text in lower case) of the files that a search looks into.
 
-    All keywords are counted in one pass over the text, which is dropped before rows fan
-    out. Directories are skipped by whole segment, with ``strict`` by any substring of the
-    directory path.
+    Directories are skipped by whole segment, with ``strict`` by any substring of the directory path.
     """
     folder = F.regexp_replace("path", "[^/]*$", "")
     skip = F.lit(False)
@@ -66,9 +72,67 @@ def search_keywords(files: DataFrame, keywords: list[str], strict: bool = False)
     fits = F.lit(False)
     for suffix in SEARCHABLE:
         fits = fits | F.col("path").endswith(suffix)
-    lowered = files.filter(fits & ~skip).select("path", F.lower("text").alias("_text"))
-    counted = lowered.select("path", F.array(*[
-        F.struct(F.lit(k).alias("keyword"), count_exact(F.col("_text"), F.lit(k.lower()))
-                 .alias("hits")) for k in keywords]).alias("found"))
-    return counted.select("path", F.explode("found").alias("f")).select("path", "f.*").filter(
-        F.col("hits") > 0)
+    return files.filter(fits & ~skip).select("path", F.lower("text").alias("text"))
+
+
+def _count_words(sent: Broadcast, out: pa.Schema):
+    """mapInArrow: texts to a row per keyword that stands in them.
+
+    One automaton for all keywords, made once a task, reads every text once. An occurrence counts
+    if it begins behind the last one counted of the same keyword.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = sent.value
+        automaton = ahocorasick.Automaton()
+        for i, word in enumerate(words):
+            automaton.add_word(word, (i, len(word)))
+        automaton.make_automaton()
+        for batch in batches:
+            rows, found, counts = [], [], []
+            for row, text in enumerate(batch.column("text").to_pylist()):
+                free: dict[int, int] = {}
+                hits: dict[int, int] = {}
+                for end, (i, size) in automaton.iter(text or ""):
+                    if end - size + 1 >= free.get(i, 0):
+                        free[i] = end + 1
+                        hits[i] = hits.get(i, 0) + 1
+                rows += [row] * len(hits)
+                found += [words[i] for i in hits]
+                counts += hits.values()
+            yield pa.RecordBatch.from_arrays([
+                batch.column("path").take(pa.array(rows, pa.int64())), pa.array(found, pa.string()),
+                pa.array(counts, pa.int64())], schema=out)
+
+    return run
+
+
+def search_keywords(files: DataFrame, keywords: list[str] | DataFrame, strict: bool = False,
+                    block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """(path, keyword, hits) for searchable files outside skipped directories.
+
+    ``keywords`` is a list, or a table with a column ``keyword`` of any length. Case does not
+    matter, and occurrences of one keyword do not overlap. Keywords go to the tasks in blocks of
+    ``block_bytes`` after their size was measured; every text is read once a block, whatever the
+    number of keywords in it. Empty and null keywords are found nowhere.
+    """
+    spark = files.sparkSession
+    if isinstance(keywords, list):
+        keywords = spark.createDataFrame([(k,) for k in keywords], "keyword string")
+    asked = materialize(keywords.select("keyword", F.lower("keyword").alias("word")).filter(
+        F.length("word") > 0).distinct(), "keywords")
+    total = asked.agg(F.sum(F.length("word") + 64)).first()[0]
+    if not total:
+        return spark.createDataFrame([], "path string, keyword string, hits long")
+    n_blocks = -(-total // block_bytes)
+    out = StructType([StructField("path", StringType()), StructField("word", StringType()),
+                      StructField("hits", LongType())])
+    texts = searchable(files, strict)
+    found = None
+    for block in range(n_blocks):
+        part = asked.filter(F.pmod(F.xxhash64("word"), F.lit(n_blocks)) == block)
+        sent = spark.sparkContext.broadcast([r[0] for r in part.select("word").distinct().collect()])
+        rows = texts.mapInArrow(_count_words(sent, to_arrow_schema(out)), out)
+        found = rows if found is None else found.unionByName(rows)
+    # Back to the keywords as given; several may differ in case only.
+    return found.join(asked, "word").select("path", "keyword", "hits")

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+
+from corpusloom.session import materialize
 
 # Areas nobody may touch, names nobody may read, roots, protected file names.
 FORBIDDEN = (
@@ -133,3 +135,64 @@ def gate(files: DataFrame, rules: PathRules = PathRules()) -> tuple[DataFrame, D
     judged = classify(files, rules)
     return (judged.filter("allowed").select(*files.columns),
             judged.filter(~F.col("allowed")).select("path", "reason"))
+
+
+def rule_rows(spark: SparkSession, rules: PathRules = PathRules()) -> DataFrame:
+    """A rule set as a table (kind, ord, rule), for ``classify_by_rules``."""
+    kinds = {"forbidden": rules.forbidden, "sensitive": rules.sensitive, "allowed": rules.allowed,
+             "protected": rules.protected}
+    return spark.createDataFrame([(kind, i, rule) for kind, listed in kinds.items() for i, rule in enumerate(listed)],
+                                 "kind string, ord long, rule string")
+
+
+def _keyed_rules(rules: DataFrame) -> DataFrame:
+    """(kind, key, depth, ord, rule): what a part of a path must equal for a rule to hold."""
+    clean = F.rtrim(F.lower(F.replace("rule", F.lit("\\"), F.lit("/"))), F.lit("/"))
+    name = F.trim(clean, F.lit("/"))
+    key = F.when(F.col("kind") == "sensitive", name).when(F.col("kind") == "protected", F.col("rule")).otherwise(clean)
+    return rules.select("kind", key.alias("key"), F.size(F.split(name, "/")).alias("depth"), "ord", "rule")
+
+
+def classify_by_rules(paths: DataFrame, rules: DataFrame, for_write: bool = False, base: str = "/home") -> DataFrame:
+    """Like :func:`classify`, by a table of rules (kind, ord, rule) of any length.
+
+    Every different path is taken apart once: into its prefixes, its names with what comes before
+    each dot, and its runs of neighbouring names as long as the longest rule. These meet the
+    rules by equality, so ten thousand rules cost no more than ten, and the least ``ord`` wins.
+    """
+    judged = paths.withColumn("_normal", normalize(F.col("path"), base))
+    keyed = materialize(_keyed_rules(rules), "path-rules")
+    longest = keyed.filter("kind = 'sensitive'").agg(F.max("depth")).first()[0] or 1
+    normal = judged.select("_normal").distinct()
+    lowered = F.rtrim(F.lower("_normal"), F.lit("/"))
+    parts = normal.select("_normal", F.split(lowered, "/").alias("segments"),
+                          F.element_at(F.split("_normal", "/"), -1).alias("name"))
+    segments = F.col("segments")
+
+    def joined(start: Column, size: Column) -> Column:
+        return F.array_join(F.slice(segments, start, size), "/")
+
+    def keys(kind: str, of: Column) -> Column:
+        return F.transform(of, lambda k: F.struct(F.lit(kind).alias("kind"), k.alias("key")))
+
+    ends = F.sequence(F.lit(1), F.size(segments))
+    prefixes = F.transform(ends, lambda n: joined(F.lit(1), n))
+    names = F.flatten(F.transform(segments, lambda s: F.transform(
+        F.sequence(F.lit(1), F.size(F.split(s, r"\."))), lambda n: F.array_join(
+            F.slice(F.split(s, r"\."), F.lit(1), n), "."))))
+    runs = F.flatten(F.transform(F.sequence(F.lit(1), F.lit(max(1, longest))), lambda n: F.transform(
+        F.filter(ends, lambda i: (n > 1) & (i + n - 1 <= F.size(segments))), lambda i: joined(i, n))))
+    exploded = parts.select("_normal", F.explode(F.array_distinct(F.concat(
+        keys("forbidden", prefixes), keys("allowed", prefixes), keys("sensitive", F.concat(names, runs)),
+        F.array(F.struct(F.lit("protected").alias("kind"), F.col("name").alias("key")))))).alias("k")).select(
+        "_normal", "k.*")
+    first = exploded.join(keyed, ["kind", "key"]).groupBy("_normal").pivot(
+        "kind", ["forbidden", "sensitive", "allowed", "protected"]).agg(F.min_by("rule", "ord"))
+    reason = F.coalesce(
+        F.concat(F.lit(REASON_FORBIDDEN), F.col("forbidden")),
+        F.concat(F.lit(REASON_SENSITIVE), F.col("sensitive"), F.lit("'")),
+        F.when(F.col("allowed").isNull(), F.lit(REASON_OUTSIDE)),
+        F.concat(F.lit(REASON_PROTECTED), F.col("protected")) if for_write else F.lit(None).cast("string"), F.lit(""))
+    told = first.select(F.col("_normal").alias("_of"), "forbidden", "sensitive", "allowed", "protected")
+    return judged.join(told, F.col("_normal") == F.col("_of"), "left").select(
+        *paths.columns, F.col("_normal").alias("normalized"), (reason == "").alias("allowed"), reason.alias("reason"))

@@ -29,48 +29,41 @@ def summarize_runs(steps: DataFrame, max_steps: int = MAX_STEPS) -> DataFrame:
         .alias("answer"))
 
 
-SUBRANGES = 256
+#: Ranks of the quantile sketch are off by a share of 1 / ACCURACY at most.
+ACCURACY = 10_000
 
 
 def latency_summary(spans: DataFrame, group: list[str], quantiles: tuple[float, ...] = (0.5, 0.95)) -> DataFrame:
-    """Count, mean and exact discrete quantiles of ``ms`` per group.
+    """Count, mean and exact discrete quantiles of ``ms`` per group, in two passes.
 
-    Equal latencies are counted first. Then the range of values that holds a quantile is cut
-    into SUBRANGES equal parts, and the part that holds it into as many again, until it is one
-    value. A round sums counts by part, so no task ever holds a group's values, however narrow their
-    range; doubles end after eight rounds or so, and usually after two or three.
+    The first pass makes counts and a mergeable quantile sketch per group. Its ranks are known to
+    1 / ACCURACY, so two values around each quantile bracket it for sure. The second pass counts
+    what lies below a bracket, and each value inside, before anything is shuffled; the inside is
+    four parts in ACCURACY of a group's spans, and the value at the rank is picked there.
     """
-    values = materialize(spans.filter(F.col("ms").isNotNull()).groupBy(
-        *group, F.col("ms").cast("double").alias("ms")).agg(F.count("*").alias("n")), "latencies")
-    totals = values.groupBy(*group).agg(
-        F.sum("n").alias("n_spans"), (F.sum(F.col("n") * F.col("ms")) / F.sum("n")).alias("mean_ms"),
-        F.min("ms").alias("lo"), F.max("ms").alias("hi"))
-    totals = materialize(totals, "latency-totals")
-    wanted = F.array(*[F.struct(F.lit(i).alias("i"), F.ceil(F.col("n_spans") * q).alias("target"))
-                       for i, q in enumerate(quantiles)])
-    open_ = totals.select(*group, "lo", "hi", F.explode(wanted).alias("w")).select(
-        *group, "lo", "hi", "w.*")
-    keys = [*group, "i"]
-    done = None
-    while True:
-        settled = open_.filter("lo = hi").select(*keys, F.col("lo").alias("ms"))
-        done = settled if done is None else done.unionByName(settled)
-        open_ = open_.filter("lo < hi")
-        if open_.isEmpty():
-            break
-        part = F.least(F.lit(SUBRANGES - 1), F.floor(
-            (F.col("ms") - F.col("lo")) / ((F.col("hi") - F.col("lo")) / SUBRANGES)))
-        # The ends of a part are values that occur, so a part of one value is settled.
-        parts = values.join(open_, group).filter("ms between lo and hi").groupBy(
-            *keys, "target", part.alias("part")).agg(
-            F.sum("n").alias("n"), F.min("ms").alias("lo"), F.max("ms").alias("hi"))
-        upto = Window.partitionBy(*keys).orderBy("part")
-        inside = parts.withColumn("upto", F.sum("n").over(upto)).filter(
-            (F.col("target") <= F.col("upto")) & (F.col("target") > F.col("upto") - F.col("n")))
-        open_ = materialize(inside.select(
-            *group, "lo", "hi", "i", (F.col("target") - F.col("upto") + F.col("n")).alias("target")),
-            "latency-ranges")
-    wide = done.groupBy(*group).agg(*[
+    values = spans.filter(F.col("ms").isNotNull()).select(*group, F.col("ms").cast("double").alias("ms"))
+    margin = 2 / ACCURACY
+    probes = [min(1.0, max(0.0, q + side * margin)) for q in quantiles for side in (-1, 1)]
+    totals = materialize(values.groupBy(*group).agg(
+        F.count("*").alias("n_spans"), F.avg("ms").alias("mean_ms"), F.min("ms").alias("least"),
+        F.max("ms").alias("most"), F.percentile_approx("ms", probes, ACCURACY).alias("marks")), "latency-totals")
+    brackets = F.array(*[F.struct(
+        F.lit(i).alias("i"), F.greatest(F.lit(1), F.ceil(F.col("n_spans") * q)).alias("target"),
+        (F.get("marks", F.lit(2 * i)) if q - margin > 0 else F.col("least")).alias("low"),
+        (F.get("marks", F.lit(2 * i + 1)) if q + margin < 1 else F.col("most")).alias("high"))
+        for i, q in enumerate(quantiles)])
+    wanted = totals.select(*[F.col(g).alias(f"_{g}") for g in group], F.explode(brackets).alias("w")).select(
+        *[f"_{g}" for g in group], "w.*")
+    same = F.lit(True)
+    for g in group:
+        same = same & F.col(g).eqNullSafe(F.col(f"_{g}"))
+    inside = F.when(F.col("ms") >= F.col("low"), F.col("ms"))
+    counted = values.join(wanted, same).filter(F.col("ms") <= F.col("high")).groupBy(
+        *group, "i", "target", inside.alias("ms")).agg(F.count("*").alias("n"))
+    upto = F.sum("n").over(Window.partitionBy(*group, "i").orderBy(F.asc_nulls_first("ms")))
+    found = counted.withColumn("upto", upto).filter(
+        (F.col("target") <= F.col("upto")) & (F.col("target") > F.col("upto") - F.col("n")))
+    wide = found.groupBy(*[F.col(g).alias(f"_{g}") for g in group]).agg(*[
         F.max(F.when(F.col("i") == i, F.col("ms"))).alias(f"p{round(q * 100)}_ms")
         for i, q in enumerate(quantiles)])
-    return totals.drop("lo", "hi").join(wide, group)
+    return totals.drop("least", "most", "marks").join(wide, same).drop(*[f"_{g}" for g in group])

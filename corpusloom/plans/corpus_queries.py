@@ -49,6 +49,21 @@ def keyword_search_strict(spark, sf):
     return corpus_search.search_keywords(_searchable(spark, sf), KEYWORDS, strict=True)
 
 
+def keyword_table_search(spark, sf):
+    """All words of the benchmark passages as keywords, whole or as parts of words."""
+    words = b.table(spark, sf, "benchmark").select(F.explode(F.split("text", "[^\\p{L}]+")).alias("keyword"))
+    return corpus_search.search_keywords(_searchable(spark, sf), words)
+
+
+def path_policy_rules(spark, sf):
+    """The rules as a table, with every tenth page's own path forbidden too."""
+    paths = b.policy_paths(spark, sf)
+    more = paths.filter("page_id % 10 = 0").select(
+        F.lit("forbidden").alias("kind"), (1000 + F.col("page_id")).alias("ord"),
+        path_policy.normalize(F.col("path")).alias("rule"))
+    return path_policy.classify_by_rules(paths, path_policy.rule_rows(spark).unionByName(more))
+
+
 def path_policy_read(spark, sf):
     return path_policy.classify(b.policy_paths(spark, sf))
 
@@ -86,6 +101,7 @@ def latency_summary(spark, sf):
 
 QUERIES = {f.__name__: f for f in (
     directory_listing, directory_sizes, line_preview, keyword_search, keyword_search_strict,
+    keyword_table_search, path_policy_rules,
     path_policy_read, path_policy_write, path_boundaries, sensitive_names, run_summaries,
     latency_summary)}
 
@@ -184,6 +200,19 @@ ORACLE = {
         FROM (SELECT doc_id, text, string_split(text, chr(10)) AS p FROM documents)""",
     "keyword_search": _search("1, 2, 4, 5"),
     "keyword_search_strict": _search("1, 2, 3, 4, 5"),
+    "keyword_table_search": sql.with_(_FILES.split("words(keyword)")[0] + """words AS (
+          SELECT DISTINCT unnest(regexp_split_to_array(text, '[^\\p{L}]+')) AS keyword FROM benchmark)""", then="""
+        SELECT path, keyword, CAST(hits AS BIGINT) AS hits FROM (
+          SELECT path, keyword, (length(t) - length(replace(t, lower(keyword), ''))) // length(keyword) AS hits
+          FROM files, words WHERE keyword <> '' AND doc_id % 7 NOT IN (1, 2, 4, 5) AND doc_id % 5 NOT IN (2, 4)
+            AND contains(t, lower(keyword))) WHERE hits > 0"""),
+    "path_policy_rules": sql.with_(_POLICY, """more AS (SELECT 1000 + page_id AS ord, normalized AS rule FROM normal
+          WHERE page_id % 10 = 0),
+        hit AS (SELECT n.page_id, arg_min(rule, ord) AS rule FROM normal n JOIN more
+          ON starts_with(lower(n.normalized) || '/', rtrim(lower(rule), '/') || '/') GROUP BY n.page_id)""", then="""
+        SELECT page_id, path, normalized, told = '' AS allowed, told AS reason FROM (
+          SELECT page_id, path, normalized, CASE WHEN starts_with(reason, '系统目录') OR rule IS NULL THEN reason
+            ELSE '系统目录禁止访问: ' || rule END AS told FROM judged LEFT JOIN hit USING (page_id))"""),
     "path_policy_read": sql.with_(_POLICY, then="""
         SELECT page_id, path, normalized, reason = '' AS allowed, reason FROM judged"""),
     "path_policy_write": sql.with_(_POLICY, then="""

@@ -1,7 +1,10 @@
+import math
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
-from corpusloom.operators import corpus_search, path_policy as policy
+from corpusloom.operators import corpus_search, path_policy as policy, traces
 
 RULES = policy.PathRules(forbidden=("/t/danger",), allowed=("/t/allow",), base="/t/allow")
 
@@ -92,3 +95,64 @@ def test_search_skips_suffixes_and_directories(spark):
     assert loose == {("/w/a.md", 4), ("/w/my.github/d.md", 1), ("/w/venv.md", 1)}
     strict = {r.path for r in corpus_search.search_keywords(rows, ["cat"], strict=True).collect()}
     assert strict == {"/w/a.md", "/w/venv.md"}
+
+
+def test_ten_thousand_keywords_in_one_pass(spark):
+    rng = random.Random(2)
+    syllables = ["ka", "to", "mi", "é", "aa", "ra", "ß", "ſ"]
+    words = sorted({"".join(rng.choices(syllables, k=rng.randrange(1, 6))) for _ in range(40_000)})[:10_000]
+    words += ["AA", "", "Ka"]
+    files = [(f"/w/f{i}.md", "".join(rng.choices([*syllables, " ", "AA"], k=400))) for i in range(40)]
+    files += [("/w/none.md", None), ("/w/empty.md", ""), ("/w/.git/x.md", "ka"), ("/w/x.exe", "ka"), ("/w/a.md", "aaaaa")]
+    table = spark.createDataFrame(files, "path string, text string")
+    asked = spark.createDataFrame([(w, 1) for w in words] + [(None, 2), ("ka", 3)], "keyword string, word int")
+    want = {}
+    for path, text in files[:40] + files[-1:]:
+        lowered = text.lower()
+        for word in words:
+            n = lowered.count(word.lower()) if word else 0
+            if n:
+                want[path, word] = n
+    for block in (64 << 20, 200_000):
+        got = corpus_search.search_keywords(table, asked, block_bytes=block).collect()
+        assert {(r.path, r.keyword): r.hits for r in got} == want and len(got) == len(want)
+
+
+def test_rules_as_rows_judge_as_rules_in_expressions(spark):
+    rng = random.Random(3)
+    names = ["home", "u", "etc", "a", ".ssh", ".env", ".env.local", "token.txt", "tokens", "credentials", ".aws",
+             "Secret.d.e", "Dockerfile", "settings.json", "x.y", "Windows", "b c", "", ".", "..", "srv"]
+    paths = [(i, rng.choice(["", "/", "/home/", "C:\\", "c:/Users/", "s3://b/", "file:///home/"])
+              + rng.choice(["/", "\\"]).join(rng.choices(names, k=rng.randrange(1, 6)))) for i in range(600)]
+    table = spark.createDataFrame([*paths, (-1, "/"), (-2, ""), (-3, "/home/u"), (-3, "/home/u")], "id long, path string")
+    for rules in (policy.PathRules(), policy.PathRules(
+            forbidden=("/home/a", "/srv/"), sensitive=("a/b c", ".aws/credentials/u", "x", ".env"), allowed=("/",),
+            protected=("u",), base="/srv/x")):
+        for for_write in (False, True):
+            want = policy.classify(table, rules, for_write).collect()
+            got = policy.classify_by_rules(table, policy.rule_rows(spark, rules), for_write, rules.base).collect()
+            assert sorted(map(tuple, got)) == sorted(map(tuple, want))
+    many = policy.rule_rows(spark).unionByName(spark.range(10_000).select(
+        F.lit("forbidden").alias("kind"), (F.col("id") + 100).alias("ord"), F.concat(F.lit("/home/n"), F.col("id")).alias("rule")))
+    asked = spark.createDataFrame([(1, "/home/n77/x"), (2, "/home/n10000"), (3, "/home/N9999")], "id long, path string")
+    judged = policy.classify_by_rules(asked, many).collect()
+    assert {r.id: r.reason for r in judged} == {1: "系统目录禁止访问: /home/n77", 2: "", 3: "系统目录禁止访问: /home/n9999"}
+
+
+def test_quantiles_are_exact_for_skewed_and_missing_groups(spark):
+    rng = random.Random(5)
+    rows = [("hot", rng.choice([1.0, rng.random(), 1e9 * rng.random()])) for _ in range(30_000)]
+    rows += [(None, float(i)) for i in range(7)] + [("one", -3.5), ("none", None)] + [("same", 2.0)] * 50
+    got = traces.latency_summary(spark.createDataFrame(rows, "span string, ms double"), ["span"], (0.01, 0.5, 0.999)).collect()
+    found = {}
+    for r in got:
+        found[r.span] = (r.n_spans, r.p1_ms, r.p50_ms, r.p100_ms)
+    groups = {}
+    for span, ms in rows:
+        if ms is not None:
+            groups.setdefault(span, []).append(ms)
+    want = {}
+    for span, values in groups.items():
+        values.sort()
+        want[span] = (len(values), *(values[max(1, math.ceil(len(values) * q)) - 1] for q in (0.01, 0.5, 0.999)))
+    assert found == want
