@@ -10,12 +10,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 
 from corpusloom.functions.vectors import matrix_of, unit_rows
 from corpusloom.operators.ranking import top_k_per_group
+from corpusloom.session import read_or_empty
 
 # Similarity that counts as the same question, rows kept per kb.
 THRESHOLD = 0.90
@@ -52,6 +53,50 @@ def fill(cache: DataFrame, answered: DataFrame, capacity: int = CAPACITY) -> Dat
     return insert(cache, alone.select(*cache.columns), capacity=capacity)
 
 
+class CacheStore:
+    """The cache as numbered versions below one path, each a folder written whole.
+
+    A reader takes the last finished version and keeps it while a writer publishes the next, so
+    long jobs and streams see one state of the cache and pick up the next when they start anew.
+    The last ``keep`` versions stay; there is one writer at a time.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, schema: str, keep: int = 3):
+        self.spark, self.path, self.schema, self.keep = spark, path.rstrip("/"), schema, keep
+
+    def _folder(self, version: int) -> str:
+        return f"{self.path}/version={version}"
+
+    def versions(self) -> list[int]:
+        """Numbers of the finished versions, in order."""
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/version=*/_SUCCESS")
+        found = path.getFileSystem(self.spark._jsc.hadoopConfiguration()).globStatus(path)
+        return sorted(int(f.getPath().getParent().getName().split("=")[1]) for f in found or [])
+
+    def current(self) -> DataFrame:
+        """The last finished version; no rows before the first."""
+        found = self.versions()
+        return read_or_empty(self.spark, self._folder(found[-1] if found else 0), self.schema)
+
+    def publish(self, cache: DataFrame) -> int:
+        """Make a table the next version; returns its number."""
+        found = self.versions()
+        version = (found[-1] if found else 0) + 1
+        names = [f.name for f in self.spark.createDataFrame([], self.schema).schema]
+        cache.select(*names).write.mode("overwrite").parquet(self._folder(version))
+        files = self.spark._jvm.org.apache.hadoop.fs
+        for old in found[:max(0, len(found) + 1 - self.keep)]:
+            target = files.Path(self._folder(old))
+            target.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(target, True)
+        return version
+
+    def insert(self, entries: DataFrame, capacity: int = CAPACITY) -> int:
+        return self.publish(insert(self.current(), entries, capacity=capacity))
+
+    def invalidate(self, changed_kbs: DataFrame) -> int:
+        return self.publish(invalidate(self.current(), changed_kbs))
+
+
 def _match_groups(threshold: float, out: pa.Schema):
     """Function for ``mapInArrow`` over rows sorted by group, cache rows before questions.
 

@@ -48,6 +48,11 @@ def term_statistics(chunks: DataFrame, corpus: DataFrame) -> DataFrame:
         with_tokens(chunks)
         .select("kb_id", F.explode(F.array_distinct("tokens")).alias("term"))
         .groupBy("kb_id", "term").agg(F.count("*").alias("df")), "term-counts")
+    return weigh_terms(counted, corpus)
+
+
+def weigh_terms(counted: DataFrame, corpus: DataFrame) -> DataFrame:
+    """(kb_id, term, df, idf) from stored (kb_id, term, df)."""
     raw = counted.join(corpus, "kb_id").select(
         "kb_id", "term", "df",
         (F.log(F.col("n_chunks") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)).alias("raw"))

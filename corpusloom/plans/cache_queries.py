@@ -122,10 +122,54 @@ def stream_cache_lookup(spark, sf):
         "query_id", "kb_id", "hit", "similarity", "seq", "answer")
 
 
+def stream_live_cache(spark, sf):
+    """Questions in two batches; between them the cache takes in what was missing of it."""
+    whole = materialize(_filled(spark, sf), "cache")
+    live = cache.CacheStore(spark, new_path(spark, "live-cache"), _schema(whole))
+    asked, target, state = (new_path(spark, x) for x in ("asked", "stream-live", "state"))
+    log = b.cache_questions(spark, sf)
+    for turn in (0, 1):
+        # Even answers first, then all.
+        live.publish(whole.filter(F.lit(turn == 1) | (F.col("seq") % 2 == 0)))
+        log.filter(F.col("query_id") % 2 == turn).write.mode("append").parquet(asked)
+        stream = spark.readStream.schema(
+            "query_id long, kb_id string, embedding array<double>, has_history boolean").parquet(asked)
+        questions.start_lookup(stream, live, target, state).awaitTermination()
+    return spark.read.parquet(target).select("query_id", "kb_id", "hit", "similarity", "seq", "answer")
+
+
+def _schema(rows):
+    return ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema)
+
+
+def stream_versions(spark, sf):
+    """Documents in two batches, every third one changed in the second: the chunks that stay, and the
+    answers left in a cache that each batch emptied for its kbs."""
+    arrived, target, state = (new_path(spark, x) for x in ("arrived", "versions", "state"))
+    docs = b.table(spark, sf, "documents")
+    answers = b.table(spark, sf, "embeddings").select(
+        F.concat(F.lit("src"), (F.col("vec_id") % 30).cast("string")).alias("kb_id"), F.col("vec_id").alias("seq"))
+    live = cache.CacheStore(spark, new_path(spark, "live-cache"), "kb_id string, seq long")
+    for turn in (1, 2):
+        live.publish(answers)
+        text = F.col("text") if turn == 1 else F.substring("text", 1, 700)
+        docs.filter(F.lit(turn == 1) | (F.col("doc_id") % 3 == 0) & F.col("source").isin("src1", "src2")).select(
+            *[text.alias(c) if c == "text" else c for c in docs.columns],
+            b.minutes_after_start(F.lit(turn)).alias("modified")).write.mode("append").parquet(arrived)
+        stream = spark.readStream.schema(ingest.DOCUMENT_SCHEMA + ", modified timestamp").parquet(arrived)
+        ingest.start_versions(stream, target, state, cache=live).awaitTermination()
+    kept = ingest.latest_chunks(spark, target).select(
+        "kb_id", F.col("doc_id").cast("long").alias("doc_id"), "chunk_index", F.md5("content").alias("content_md5"))
+    left = live.current().groupBy("kb_id").agg(F.count("*").alias("n"))
+    return kept.unionByName(left.select("kb_id", F.lit(-1).cast("long").alias("doc_id"), F.lit(-1).alias("chunk_index"),
+                                        F.col("n").cast("string").alias("content_md5")))
+
+
 QUERIES = {f.__name__: f for f in (
     cache_insert, cache_evict, cache_lookup, cache_invalidate, cache_route,
     cache_lookup_large, cache_fill,
-    stream_ingest, stream_registry, stream_text_files, stream_cache_lookup)}
+    stream_ingest, stream_registry, stream_text_files, stream_cache_lookup,
+    stream_live_cache, stream_versions)}
 
 _FILLED = f"""cache AS MATERIALIZED (
   SELECT * FROM (
@@ -158,6 +202,11 @@ looked AS (
 
 _LOOKED = "SELECT query_id, kb_id, hit, similarity, seq, answer FROM looked"
 
+_CHANGED_DOCS = f"""docs AS (
+  SELECT doc_id, source AS kb_id, 'doc_' || doc_id || '.md' AS source, trim(t, {sql.BLANKS}) AS text
+  FROM (SELECT *, CASE WHEN doc_id % 3 = 0 AND source IN ('src1', 'src2') THEN text[1:700] ELSE text END AS t
+        FROM documents) WHERE length(trim(t, {sql.BLANKS})) > 0)"""
+
 ORACLE = {
     "cache_insert": sql.with_(_FILLED, then="""
         SELECT kb_id, seq, question, answer, created_at FROM cache"""),
@@ -210,5 +259,13 @@ ORACLE = {
         UNION ALL
         SELECT 'src' || (vec_id % 25), count(*), NULL, 'cache' FROM embeddings
         WHERE 'src' || (vec_id % 25) NOT IN (SELECT kb_id FROM chunks) GROUP BY 1"""),
+    "stream_live_cache": sql.with_(_FILLED, _FOUND.replace(
+        "JOIN cache c USING (kb_id))", "JOIN cache c USING (kb_id) WHERE a.query_id % 2 = 1 OR c.seq % 2 = 0)"), then=_LOOKED),
+    "stream_versions": sql.with_(_CHANGED_DOCS, sql.windows(), then="""
+        SELECT kb_id, doc_id, CAST(chunk_index AS INTEGER) AS chunk_index, md5(content) AS content_md5 FROM chunks
+        UNION ALL
+        SELECT 'src' || (vec_id % 30), -1, -1, CAST(count(*) AS VARCHAR) FROM embeddings
+        WHERE 'src' || (vec_id % 30) NOT IN (SELECT source FROM documents
+          WHERE doc_id % 3 = 0 AND source IN ('src1', 'src2')) GROUP BY 1"""),
     "stream_cache_lookup": sql.with_(_FILLED, _FOUND, then=_LOOKED),
 }

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from corpusloom.operators import catalog, chunking
+from corpusloom.operators.lexicon import Lexicon
 from corpusloom.operators.path_policy import PathRules
 from corpusloom.plans import bindings as b, sql
 from corpusloom.session import new_path
@@ -42,6 +43,20 @@ def store_scan(spark, sf):
                                F.length("content").alias("n_chars"))
 
 
+def lexicon_versions(spark, sf):
+    """Statistics that followed the store: two appends, a kb replaced by half of it, a kb dropped."""
+    lexicon = Lexicon(spark, new_path(spark, "lexicon"))
+    store = ChunkStore(spark, new_path(spark, "store"), lexicon)
+    chunks = b.chunks(spark, sf)
+    odd = F.col("doc_id").cast("long") % 2 == 1
+    store.append(chunks.filter(odd))
+    store.append(chunks.filter(~odd))
+    store.replace(chunks.filter((F.col("kb_id") == "src5") & odd))
+    store.drop(["src3"])
+    terms, _ = lexicon.statistics()
+    return terms.select("kb_id", "term", "df", F.round("idf", 6).alias("idf"))
+
+
 def collection_counts(spark, sf):
     """Chunk counts of all kbs, among them two that hold nothing."""
     known = b.kbs(spark, sf).select("kb_id")
@@ -189,7 +204,8 @@ def guarded_load(spark, sf):
 
 
 QUERIES = {f.__name__: f for f in (
-    corpus_scan, type_dispatch, upload_admission, store_append, store_scan, collection_counts,
+    corpus_scan, type_dispatch, upload_admission, store_append, store_scan, lexicon_versions,
+    collection_counts,
     collection_replace, collection_drop, kb_create, kb_list, kb_lookup, kb_delete_cascade,
     document_register, document_status, document_list, kb_statistics, bulk_import, default_kb,
     loose_texts, guarded_load)}
@@ -204,7 +220,11 @@ _PATHS = """paths AS (
 _ID = ("substr(sha256(name || '-' || n || chr(31) || name || chr(31) || "
        "strftime(created_at, '%Y-%m-%d %H:%M:%S')), 1, 32)")
 
+_LEFT_DOCS = sql.DOCS[:-1] + " AND source <> 'src3' AND (source <> 'src5' OR doc_id % 2 = 1))"
+
 ORACLE = {
+    "lexicon_versions": sql.with_(_LEFT_DOCS, sql.windows(), sql.lexicon("kb_id"), then="""
+        SELECT kb_id, term, df, round(idf, 6) AS idf FROM terms"""),
     "corpus_scan": sql.with_(sql.DOCS, then="""
         SELECT doc_id, kb_id, source, CAST(NULL AS INTEGER) AS page, 'text' AS type,
                length(text) AS n_chars, md5(text) AS text_md5 FROM docs"""),

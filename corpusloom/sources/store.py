@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Observation, SparkSession, functions as F
 
 from corpusloom.operators.catalog import stored_form
-from corpusloom.session import read_or_empty
+from corpusloom.operators.keyword import with_tokens
+from corpusloom.operators.lexicon import Lexicon
+from corpusloom.session import materialize, read_or_empty
 
 # kb_id is declared, not guessed from folder names: "007" stays a string.
 STORE_SCHEMA = (
@@ -26,14 +28,22 @@ def store_rows(chunks: DataFrame) -> DataFrame:
 
 
 class ChunkStore:
-    """Append, scan, replace and drop the chunks of knowledge bases below one path."""
+    """Append, scan, replace and drop the chunks of knowledge bases below one path.
 
-    def __init__(self, spark: SparkSession, path: str):
+    With a ``lexicon`` its statistics follow every change; chunks are then stored once with
+    their tokens before both are written.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, lexicon: Lexicon | None = None):
         self.spark = spark
         self.path = path.rstrip("/")
+        self.lexicon = lexicon
 
     def append(self, chunks: DataFrame) -> DataFrame:
         """Add chunks; returns the kb ids whose cached answers are now stale."""
+        if self.lexicon:
+            chunks = materialize(with_tokens(chunks), "new-chunks")
+            self.lexicon.add(chunks)
         return self._write(chunks, "append")
 
     def _write(self, chunks: DataFrame, mode: str) -> DataFrame:
@@ -54,6 +64,9 @@ class ChunkStore:
 
     def replace(self, chunks: DataFrame) -> DataFrame:
         """Overwrite the kbs present in ``chunks``, leave others alone; returns the stale kb ids."""
+        if self.lexicon:
+            chunks = materialize(with_tokens(chunks), "new-chunks")
+            self.lexicon.replace(chunks)
         return self._write(chunks, "overwrite")
 
     def create(self, kb_ids: list[str]) -> None:
@@ -65,6 +78,8 @@ class ChunkStore:
 
         Spark lists the kbs' files in one job that opens none of them, and their folders go.
         """
+        if self.lexicon and kb_ids:
+            self.lexicon.drop(self._ids(kb_ids))
         rows = self.scan(kb_ids)
         if kb_ids and not self._is_new():
             folder = F.regexp_replace(F.col("_metadata.file_path"), "/[^/]*$", "")

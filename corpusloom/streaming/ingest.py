@@ -6,9 +6,10 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from corpusloom.functions.text import strip
+from corpusloom.operators.answer_cache import CacheStore
 from corpusloom.operators.catalog import EMPTY, READY
 from corpusloom.operators.chunking import chunk_blocks, split_text
-from corpusloom.session import read_or_empty
+from corpusloom.session import materialize, read_or_empty
 from corpusloom.sources.files import corpus_blocks
 from corpusloom.sources.store import STORE_SCHEMA, store_rows
 
@@ -29,18 +30,23 @@ def text_file_stream(spark: SparkSession, folder: str, pattern: str = "*.{txt,md
     """New text files below a folder as documents: doc_id from the path, source its folder.
 
     Bytes that are not UTF-8 are replaced. ``doc_id`` is a hash, so a file keeps its id; a changed
-    file under the same name is not seen again, as everywhere in file streams.
+    file under the same name is not seen again, as everywhere in file streams: see
+    ``ingest_changed_files``.
     """
     files = (
         spark.readStream.format("binaryFile").option("pathGlobFilter", pattern)
         .option("recursiveFileLookup", "true").option("maxFilesPerTrigger", files_per_batch)
         .schema("path string, modificationTime timestamp, length long, content binary").load(folder)
     )
+    return _text_documents(files).drop("modificationTime")
+
+
+def _text_documents(files: DataFrame) -> DataFrame:
     text = F.make_valid_utf8(F.col("content").cast("string"))
     return files.select(
         F.xxhash64("path").alias("doc_id"), text.alias("text"), F.lit("").alias("lang"),
         F.regexp_extract("path", r"([^/]*)/[^/]*$", 1).alias("source"),
-        F.length(text).cast("long").alias("n_chars"))
+        F.length(text).cast("long").alias("n_chars"), "modificationTime")
 
 
 def _start(documents: DataFrame, write, checkpoint: str, trigger: dict | None) -> StreamingQuery:
@@ -57,14 +63,18 @@ def _write_chunks(blocks: DataFrame, target: str, batch_id: int) -> None:
 
 
 def start_ingest(documents: DataFrame, target: str, checkpoint: str,
-                 trigger: dict | None = None) -> StreamingQuery:
+                 trigger: dict | None = None, cache: CacheStore | None = None) -> StreamingQuery:
     """Chunk a document stream into ``target``, each batch into its own folder.
 
     A batch that runs again after a failure overwrites its folder, so every document counts
     once. ``trigger`` is what ``DataStreamWriter.trigger`` takes; by default all there is now.
+    Once a batch's chunks are written, the answers of its kbs leave the ``cache``.
     """
     def write(batch: DataFrame, batch_id: int) -> None:
         _write_chunks(corpus_blocks(batch), target, batch_id)
+        if cache is not None:
+            cache.invalidate(read_or_empty(
+                batch.sparkSession, f"{target}/batch_id={batch_id}", STORE_SCHEMA).select("kb_id").distinct())
 
     return _start(documents, write, checkpoint, trigger)
 
@@ -74,6 +84,78 @@ def read_chunks(spark: SparkSession, target: str) -> DataFrame:
     return read_or_empty(spark, target, STORE_SCHEMA + ", batch_id long")
 
 
+VERSION_SCHEMA = "doc_id string, modified timestamp, n_chunks long, batch_id long"
+
+
+def _write_versions(batch: DataFrame, target: str, batch_id: int, cache: CacheStore | None) -> None:
+    newest = batch.groupBy("doc_id").agg(F.max("modified").alias("modified"))
+    rows = materialize(batch.join(newest, ["doc_id", "modified"]).dropDuplicates(["doc_id"]), "arrivals")
+    _write_chunks(corpus_blocks(rows), f"{target}/chunks", batch_id)
+    written = read_or_empty(batch.sparkSession, f"{target}/chunks/batch_id={batch_id}", STORE_SCHEMA)
+    counts = written.groupBy("doc_id").agg(F.count("*").alias("n_chunks"))
+    rows.select(F.col("doc_id").cast("string").alias("doc_id"), "modified").join(counts, "doc_id", "left").select(
+        "doc_id", "modified", F.coalesce("n_chunks", F.lit(0)).cast("long").alias("n_chunks")).write.mode(
+        "overwrite").parquet(f"{target}/versions/batch_id={batch_id}")
+    if cache is not None:
+        # Kbs that lose chunks are stale too: those of earlier versions of what arrived.
+        told = read_chunks(batch.sparkSession, f"{target}/chunks").join(
+            rows.select(F.col("doc_id").cast("string").alias("doc_id")), "doc_id", "left_semi")
+        cache.invalidate(told.select("kb_id").distinct())
+
+
+def start_versions(documents: DataFrame, target: str, checkpoint: str, trigger: dict | None = None,
+                   cache: CacheStore | None = None) -> StreamingQuery:
+    """Like ``start_ingest`` for documents that may arrive again, with a ``modified`` time.
+
+    A batch writes the chunks of each document's latest arrival in it below ``target``/chunks, and
+    a slim row per document below ``target``/versions. What an earlier version left is not
+    touched; ``latest_chunks`` leaves it out. An arrival without chunks replaces too.
+    """
+    return _start(documents, lambda batch, batch_id: _write_versions(batch, target, batch_id, cache), checkpoint, trigger)
+
+
+def latest_versions(spark: SparkSession, target: str) -> DataFrame:
+    """(doc_id, modified, n_chunks, batch_id) of every document's latest arrival; of arrivals of
+    one time the later batch's."""
+    rows = read_or_empty(spark, f"{target}/versions", VERSION_SCHEMA)
+    return rows.groupBy("doc_id").agg(F.max(F.struct("modified", "batch_id", "n_chunks")).alias("v")).select("doc_id", "v.*")
+
+
+def latest_chunks(spark: SparkSession, target: str) -> DataFrame:
+    """The chunks of every document's latest version."""
+    current = latest_versions(spark, target).select("doc_id", "batch_id")
+    return read_chunks(spark, f"{target}/chunks").join(current, ["doc_id", "batch_id"], "left_semi")
+
+
+def file_versions(spark: SparkSession, folder: str, target: str, pattern: str = "*.{txt,md,csv}") -> DataFrame:
+    """Text files below a folder that are new or changed since ``target`` saw them.
+
+    A file stream never looks at a path twice, so changed files are found by listing: times of
+    files against those of their latest versions. Only files that go on are opened.
+    """
+    listed = (
+        spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", "true")
+        .load(folder))
+    known = latest_versions(spark, target).select(F.col("doc_id").alias("known"), F.col("modified").alias("seen"))
+    told = listed.select("path", "modificationTime").withColumn("doc_id", F.xxhash64("path"))
+    wanted = told.join(known, F.col("doc_id").cast("string") == F.col("known"), "left").filter(
+        F.col("seen").isNull() | (F.col("modificationTime") > F.col("seen"))).select("path").collect()
+    if not wanted:
+        return spark.createDataFrame([], DOCUMENT_SCHEMA + ", modified timestamp")
+    files = spark.read.format("binaryFile").load([r.path for r in wanted])
+    return _text_documents(files).withColumn("modified", F.col("modificationTime")).drop("modificationTime")
+
+
+def ingest_changed_files(spark: SparkSession, folder: str, target: str, cache: CacheStore | None = None) -> int:
+    """Take in what ``file_versions`` finds, as the next batch; returns the number of files."""
+    rows = materialize(file_versions(spark, folder, target), "changed-files")
+    last = read_or_empty(spark, f"{target}/versions", VERSION_SCHEMA).agg(F.max("batch_id")).first()[0]
+    n = rows.count()
+    if n:
+        _write_versions(rows, target, 0 if last is None else last + 1, cache)
+    return n
+
+
 def start_registry(documents: DataFrame, log: str, checkpoint: str, chunks: str | None = None,
                    trigger: dict | None = None) -> StreamingQuery:
     """Write one registry update per arriving document to ``log``, and chunks if wanted.

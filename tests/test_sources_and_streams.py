@@ -5,8 +5,10 @@ from types import SimpleNamespace
 import pytest
 from pyspark.sql import functions as F
 
-from corpusloom.operators import answer_cache, catalog, chunking
-from corpusloom.session import new_path, shared_dir
+from corpusloom.operators import answer_cache, catalog, chunking, keyword
+from corpusloom.operators.answer_cache import CacheStore
+from corpusloom.operators.lexicon import Lexicon
+from corpusloom.session import materialize, new_path, shared_dir
 from corpusloom.sources import archive, files
 from corpusloom.sources.store import ChunkStore
 from corpusloom.streaming import ingest, questions
@@ -233,3 +235,78 @@ def test_a_run_saved_twice_counts_once(spark, tmp_path):
     for _ in range(2):
         archive.save_runs(runs, details, str(tmp_path / "runs"))
     assert archive.read_details(spark, str(tmp_path / "runs")).count() == 1
+
+
+def test_statistics_follow_the_store(spark, tmp_path):
+    lexicon = Lexicon(spark, str(tmp_path / "lexicon"))
+    store = ChunkStore(spark, str(tmp_path / "store"), lexicon)
+
+    def chunks(kb, *texts):
+        rows = [(kb, "d", f"{kb}{i}", "s_chunk0", 0, t, None, "s", "text", None) for i, t in enumerate(texts)]
+        return spark.createDataFrame(rows, "kb_id string, doc_id string, chunk_id string, chunk_label string, chunk_index int, "
+                                           "content string, page int, source string, type string, image string")
+
+    def same():
+        held = store.scan()
+        corpus = keyword.corpus_statistics(held)
+        want = keyword.term_statistics(held, materialize(corpus, "corpus"))
+        terms, totals = lexicon.statistics()
+        assert sorted(map(tuple, terms.collect())) == sorted(map(tuple, want.collect()))
+        assert sorted(map(tuple, totals.collect())) == sorted(map(tuple, corpus.collect()))
+
+    assert lexicon.version() == 0 and lexicon.statistics()[0].count() == 0
+    store.append(chunks("a", "red cat", "red red dog", "..."))
+    store.append(chunks("b", "blue cat").union(chunks("a", "sun")))
+    same()
+    before = sorted(map(tuple, lexicon.statistics()[0].collect()))
+    store.replace(chunks("a", "moon moon", "cat"))
+    same()
+    store.drop(["b", "void"])
+    same()
+    assert lexicon.version() == 4
+    assert sorted(map(tuple, lexicon.statistics(2)[0].collect())) == before
+    lexicon.compact()
+    same()
+    store.append(chunks("c", "new words"))
+    same()
+    store.drop(["a", "c"])
+    assert lexicon.totals().count() == 0
+
+
+def test_cache_versions(spark, tmp_path):
+    store = CacheStore(spark, str(tmp_path / "cache"), "kb_id string, seq long, answer string", keep=2)
+    assert store.current().count() == 0
+    rows = spark.createDataFrame([("a", 1, "x"), ("b", 2, "y")], "kb_id string, seq long, answer string")
+    assert store.publish(rows) == 1
+    reader = store.current()
+    store.insert(spark.createDataFrame([("a", 3, "z"), ("a", 4, "")], rows.schema))
+    assert reader.count() == 2 and {r.seq for r in store.current().collect()} == {1, 2, 3}
+    store.invalidate(spark.createDataFrame([("a",)], "kb_id string"))
+    assert [tuple(r) for r in store.current().collect()] == [("b", 2, "y")] and store.versions() == [2, 3]
+
+
+def test_a_file_written_twice_leaves_its_second_text(spark, tmp_path):
+    folder, target = tmp_path / "in" / "kb", str(tmp_path / "out")
+    folder.mkdir(parents=True)
+    cache = CacheStore(spark, str(tmp_path / "cache"), "kb_id string, seq long")
+    answers = spark.createDataFrame([("kb", 1), ("other", 2)], "kb_id string, seq long")
+    (folder / "a.md").write_text("first text of a")
+    (folder / "b.md").write_text("text of b")
+
+    def held():
+        return sorted(r.content for r in ingest.latest_chunks(spark, target).collect())
+
+    cache.publish(answers)
+    assert ingest.ingest_changed_files(spark, str(tmp_path / "in"), target, cache) == 2
+    assert held() == ["first text of a", "text of b"]
+    assert [r.kb_id for r in cache.current().collect()] == ["other"]
+    assert ingest.ingest_changed_files(spark, str(tmp_path / "in"), target) == 0
+    (folder / "a.md").write_text("second text of a, and longer")
+    os.utime(folder / "a.md", (4_000_000_000, 4_000_000_000))
+    (folder / "c.md").write_text("text of c")
+    assert ingest.ingest_changed_files(spark, str(tmp_path / "in"), target) == 2
+    assert held() == ["second text of a, and longer", "text of b", "text of c"]
+    (folder / "a.md").write_text(" ")
+    os.utime(folder / "a.md", (4_000_000_100, 4_000_000_100))
+    assert ingest.ingest_changed_files(spark, str(tmp_path / "in"), target) == 1
+    assert held() == ["text of b", "text of c"]
