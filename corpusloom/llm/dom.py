@@ -5,6 +5,7 @@ from __future__ import annotations
 import html
 import math
 import re
+from dataclasses import dataclass
 
 import numpy as np
 
@@ -20,8 +21,11 @@ FOREIGN = set(
     "munderover none semantics svg animate circle clippath defs desc ellipse filter foreignobject g image line "
     "lineargradient marker mask metadata path pattern polygon polyline radialgradient rect set stop switch "
     "symbol text textpath tspan use view".split())
-INLINE = FOREIGN | set("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark nobr q "
-             "rp rt ruby s samp small span strike strong sub sup time tt u var".split())
+INLINE = FOREIGN | set("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark meter nobr "
+             "output picture progress q rp rt ruby s samp slot small span strike strong sub sup time tt u var".split())
+BLOCK = set("address article aside blockquote body button caption center colgroup dd details dialog dir div dl dt "
+            "fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup html legend li main menu nav "
+            "ol optgroup option p pre section search select summary table tbody td template tfoot th thead tr ul".split())
 ENDS = {
     "li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}),
     "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"table", "tr"}),
@@ -29,7 +33,7 @@ ENDS = {
     "tbody": ({"thead", "tbody", "tr", "td", "th"}, {"table"}),
 }
 P_ENDS = set("address article aside blockquote details div dl fieldset figcaption figure footer form h1 "
-             "h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
+             "h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre search section summary table ul".split())
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']+|\"[^\"]*\"|'[^']*')*+)>"
     r"|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>", re.S)
@@ -74,6 +78,20 @@ def is_hidden(attributes: str) -> bool:
                for name, a, b, c in _PAIR.findall(attributes))
 
 
+@dataclass
+class _Open:
+    """An open element: its node, or that of the block around it for a part of a line; for an
+    unknown element of a line its attributes, and where in the line it began."""
+
+    tag: str
+    node: int
+    line: bool = False
+    lines: int = 0  # parts of lines that lie on each other up to this one
+    attributes: str | None = None
+    begin: int = 0
+    linked: int = 0
+
+
 class Page:
     """Blocks of a page: nodes in page order, parents before children.
 
@@ -104,19 +122,29 @@ class Page:
         return len(self.tag) - 1
 
     def _read(self, source: str) -> None:
-        stack = [("#page", 0)]  # open elements; lines keep the node of the block around them
+        """Text to runs, elements to nodes.
+
+        An element that HTML does not know is part of a line until a block opens in it; then it
+        is a block itself, from where it began. Counts of open elements by tag say what need not be
+        looked for, so reading takes time in proportion to the page, however deep its nesting.
+        """
+        stack = [_Open("#page", 0)]
+        count: dict[str, int] = {}
         text: list[str] = []
         linked = 0
         in_link = 0
         at = 0
         never_closed: set[str] = set()
 
+        def emit(node: int, pieces: list[str], links: int) -> None:
+            run = SPACE.sub(" ", "".join(pieces)).strip(" ")
+            if run:
+                self.runs.append((node, run, min(links, len(run))))
+
         def flush() -> None:
             nonlocal linked
             if text:
-                run = SPACE.sub(" ", "".join(text)).strip(" ")
-                if run:
-                    self.runs.append((stack[-1][1], run, min(linked, len(run))))
+                emit(stack[-1].node, text, linked)
                 text.clear()
             linked = 0
 
@@ -127,6 +155,39 @@ class Page:
             if in_link:
                 linked += len(piece.strip())
 
+        def push(element: _Open) -> None:
+            stack.append(element)
+            count[element.tag] = count.get(element.tag, 0) + 1
+
+        def cut(depth: int) -> None:
+            for element in stack[depth:]:
+                count[element.tag] -= 1
+            del stack[depth:]
+
+        def find(tag: str) -> int:
+            """Where the innermost open element of the tag is, 0 if there is none."""
+            if not count.get(tag):
+                return 0
+            return next(i for i in range(len(stack) - 1, 0, -1) if stack[i].tag == tag)
+
+        def make_blocks() -> None:
+            """Unknown elements of the open line become blocks; what the line has in them goes along."""
+            nonlocal linked
+            first = len(stack)
+            while stack[first - 1].line:
+                first -= 1
+            gone = spent = 0
+            for i in range(first, len(stack)):
+                element = stack[i]
+                element.node = stack[i - 1].node
+                if element.attributes is not None:
+                    emit(element.node, text[gone:element.begin], element.linked - spent)
+                    gone, spent = element.begin, element.linked
+                    element.node = self._open(element.tag, element.node, element.attributes)
+                    element.line, element.attributes = False, None
+            del text[:gone]
+            linked -= spent
+
         n = len(source)
         while at < n:
             found = _TOKEN.search(source, at)
@@ -140,17 +201,16 @@ class Page:
             if not name:
                 continue
             tag = name.lower()
-            closing = found[1] or found[4]
-            if closing:
-                depth = next((i for i in range(len(stack) - 1, 0, -1) if stack[i][0] == tag), 0)
-                if tag in INLINE:
-                    if tag == "a" and in_link:
-                        in_link -= 1
-                    if depth and all(t in INLINE for t, _ in stack[depth:]):
-                        del stack[depth:]
+            if found[1] or found[4]:
+                depth = find(tag)
+                if tag == "a" and in_link:
+                    in_link -= 1
+                if depth and stack[depth].line:
+                    if stack[-1].lines >= len(stack) - depth:  # nothing but parts of lines above it
+                        cut(depth)
                 elif depth:
                     flush()
-                    del stack[depth:]
+                    cut(depth)
                     in_link = 0
                 elif tag in ("p", "br"):
                     text.append(" ")
@@ -171,32 +231,38 @@ class Page:
                 continue
             if tag in FOREIGN and attributes.endswith("/"):
                 continue
-            if tag in INLINE:
-                if tag == "a":
-                    in_link += 1
-                stack.append((tag, stack[-1][1]))
-                continue
             if tag in VOID:
                 if tag == "hr":
                     flush()
                 continue
-            flush()
-            in_link = 0
-            if tag in P_ENDS:
-                depth = next((i for i in range(len(stack) - 1, 0, -1) if stack[i][0] == "p"), 0)
-                if depth:
-                    del stack[depth:]
+            if tag not in BLOCK:
+                if tag == "a":
+                    in_link += 1
+                told = None if tag in INLINE else attributes
+                push(_Open(tag, stack[-1].node, True, stack[-1].lines + 1, told, len(text), linked))
+                continue
+            if tag in P_ENDS and count.get("p"):
+                flush()
+                cut(find("p"))
             if tag in ENDS:
                 ended, bound = ENDS[tag]
-                for i in range(len(stack) - 1, 0, -1):
-                    if stack[i][0] in bound:
-                        break
-                    if stack[i][0] in ended:
-                        del stack[i:]
-                        break
-            while len(stack) > 1 and stack[-1][0] in INLINE:
-                stack.pop()
-            stack.append((tag, self._open(tag, stack[-1][1], attributes)))
+                if any(count.get(x) for x in ended):
+                    for i in range(len(stack) - 1, 0, -1):
+                        if stack[i].tag in bound:
+                            break
+                        if stack[i].tag in ended:
+                            flush()
+                            cut(i)
+                            break
+            if stack[-1].line:
+                make_blocks()
+            flush()
+            in_link = 0
+            lines = len(stack)
+            while stack[lines - 1].line:
+                lines -= 1
+            cut(lines)
+            push(_Open(tag, self._open(tag, stack[-1].node, attributes)))
         flush()
 
     def _split_mixed(self) -> None:

@@ -104,8 +104,10 @@ class PageMaker:
     def block(self) -> str:
         """A part of an article."""
         r = self.rng
-        kind = r.random()
         length = r.choice([1, 2, 4, 12, 30, 60, 120, 200])
+        if r.random() < 0.12:
+            return self.rare_block(length)
+        kind = r.random()
         if kind < 0.68:
             text = self.words(length)
             if r.random() < 0.15:
@@ -126,6 +128,25 @@ class PageMaker:
             return self.element("table", rows, "1")
         return self.element(r.choice(["figure", "pre", "div"]), self.words(length), "1")
 
+    def rare_block(self, length: int) -> str:
+        """A part of an article that few have: folded text, terms, parts with headings, captions, and
+        elements that HTML does not know."""
+        r = self.rng
+        text = self.element("p", self.words(length), "1")
+        kind = r.choice(["details", "dl", "section", "address", "figure", "own", "own"])
+        if kind == "details":
+            return self.element("details", self.element("summary", self.words(r.randrange(1, 6)), "1") + text, "1")
+        if kind == "dl":
+            return self.element("dl", "".join(self.element("dt", self.words(2), "1") + self.element(
+                "dd", self.words(r.randrange(2, 30)), "1") for _ in range(r.randrange(1, 5))), "1")
+        if kind == "section":
+            return self.element(r.choice(["section", "div"]), self.element("h2", self.words(3), "1") + text * r.randrange(1, 4), "1")
+        if kind == "address":
+            return self.element("address", self.words(r.randrange(2, 12)), "1")
+        if kind == "figure":
+            return self.element("figure", self.element("figcaption", self.words(r.randrange(2, 20)), "1"), "1")
+        return self.element(r.choice(["x-block", "my-note", "doc-part"]), text + self.element("p", self.words(3), "1"), "1")
+
     def article(self) -> str:
         r = self.rng
         parts = [self.block() for _ in range(r.choice([0, 1, 2, 4, 8, 15, 25]))]

@@ -4,6 +4,7 @@ import html
 import os
 import random
 import re
+import time
 
 import numpy as np
 import pytest
@@ -113,3 +114,46 @@ def test_hidden_is_an_attribute():
     text = "The price of a thing is more than what is paid for it, as everyone learns in time."
     page = f'<article title="The hidden cost"><h1>Cost</h1><p class="b hidden c">{text}</p></article>'
     assert main_blocks([page], trained_trees())[0] == ["Cost", text]
+
+
+def test_unknown_elements_are_lines_until_they_hold_blocks():
+    assert runs("<p>long text <my-term>beta</my-term> gamma</p>") == ["long text beta gamma"]
+    assert runs("<p>x <output>7</output> y <x-y>b<p>c") == ["x 7 y b", "c"]
+    page = Page("a <x-card class=ad>one <b>and</b> <div>two</div> three</x-card> four")
+    assert [t for _, t, _ in page.runs] == ["a", "one and", "two", "three", "four"]
+    assert page.parent[page.tag.index("div")] == page.tag.index("x-card") == 1
+    assert [(t, n) for _, t, n in Page("<a>k<x-b>l <div>q</div></x-b></a>").runs] == [("k", 1), ("l", 1), ("q", 0)]
+
+
+#: Pages written by hand, with what a reader would call their article.
+BY_HAND = [
+    ("""<html><body><div id="top"><a href="/">Home</a> <a href="/news">News</a> <a href="/shop">Shop</a></div>
+     <article><h1>On tides</h1><p>The sea rises twice a day, <x-term>spring</x-term> tides more than others.</p>
+     <details><summary>More</summary><p>The moon pulls the water, and the sun helps it when both stand in one line,
+     which happens at full and at new moon.</p></details><p>Count: <output>7</output> hours.</p></article>
+     <div class="cookie-banner"><p>We use cookies.</p></div><footer><p>Copyright 2020</p></footer></body></html>""",
+     ["On tides", "The sea rises twice a day, spring tides more than others.", "More",
+      "The moon pulls the water, and the sun helps it when both stand in one line, which happens at full and at new moon.",
+      "Count: 7 hours."]),
+    ("""<body><nav><ul><li><a href=a>One</a><li><a href=b>Two</a></ul></nav><main><h1>Bread</h1>
+     <p>Flour, water, salt and time are all it takes, but time most of all, as any baker will say.</p>
+     <dl><dt>Flour<dd>of wheat, finely ground</dl><p>Bake it hot.</p></main>
+     <aside><h3>Related</h3><ul><li><a href=c>Cake</a></ul></aside></body>""",
+     ["Bread", "Flour, water, salt and time are all it takes, but time most of all, as any baker will say.",
+      "Flour", "of wheat, finely ground", "Bake it hot."]),
+]
+
+
+@pytest.mark.parametrize("source, want", BY_HAND)
+def test_pages_by_hand(source, want):
+    assert main_blocks([source], trained_trees())[0] == want
+
+
+def test_reading_takes_time_in_proportion():
+    for opened in ("<div>", "<b>", "<x-y>", "<a><div>", "<li>", "<b></i>"):
+        began = time.time()
+        Page(opened * 100_000 + "text" + "</div></b>" * 1000)
+        assert time.time() - began < 10
+    began = time.time()
+    Page("<x-y>a<a>b" * 30_000 + "<div>")
+    assert time.time() - began < 10
