@@ -6,13 +6,16 @@ lo and hi of pivot p, the triangle inequality gives the least distance of q to a
 it, g = max(0, lo - d(q, p), d(q, p) - hi), so no inner product there exceeds
 (|q|^2 + most^2 - g^2) / 2, with most the largest norm in the ring.
 
-A query is itself a row of the index. Its own ring gives the first k answers and so a limit;
-all other rings whose bound stays below it are left out. The scores of the rest are computed exactly.
+A query is itself a row of the index. Its own ring gives the first k answers and so a limit. A
+task takes the rings of its partition, some at a time, and expands them for every query in the order
+of their bounds; scores are computed exactly, limits rise with the answers, and a query stops at
+the first ring whose bound stays below its limit.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -32,6 +35,8 @@ RING_ROWS = 1024
 ROWS_PER_PARTITION = 100_000
 #: Queries are sent to the tasks in blocks of this size.
 QUERY_BLOCK_BYTES = 16 << 20
+#: Rings that a task holds and orders at once.
+HELD_RINGS = 64
 _SETTLE = 1_000_000
 
 
@@ -190,28 +195,64 @@ class Answers:
         return q, s, v
 
 
+@dataclass
+class Ring:
+    cell: int
+    lo: float
+    hi: float
+    most: float
+    ids: np.ndarray
+    vectors: np.ndarray
+
+
+def expand(answers: Answers, asked: np.ndarray, pivots: np.ndarray, rings: list[Ring]) -> int:
+    """Offer the rings to all queries, each in the order of its bounds until one is below its
+    limit; gives the number of pairs of query and ring that were looked at."""
+    vectors = asked.astype(np.float64)
+    squares = (vectors * vectors).sum(1)
+    cells = np.array([r.cell for r in rings])
+    held, cell = np.unique(cells, return_inverse=True)
+    away = np.sqrt(squared_distances(vectors, pivots[held]))[:, cell]
+    lo, hi, most = (np.array([getattr(r, x) for r in rings]) for x in ("lo", "hi", "most"))
+    gap = np.maximum(0, np.maximum(lo - away, away - hi))
+    total = squares[:, None] + most ** 2
+    bound = (total - gap * gap) / 2 + 1 + 1e-9 * total  # with room for rounding
+    order = np.argsort(-bound, axis=1, kind="stable")
+    going = np.arange(len(asked))
+    looked = 0
+    for step in range(len(rings)):
+        ring = order[going, step]
+        more = bound[going, ring] >= answers.score[going]
+        going, ring = going[more], ring[more]
+        if not len(going):
+            break
+        looked += len(going)
+        turn = np.argsort(ring, kind="stable")
+        cuts = np.nonzero(np.diff(ring[turn]))[0] + 1
+        for queries in np.split(going[turn], cuts):
+            here = rings[order[queries[0], step]]
+            for at in range(0, len(queries), 2048):
+                some = queries[at:at + 2048]
+                answers.offer(some, exact_scores(asked[some], here.vectors), here.ids)
+        answers.settle()
+    return looked
+
+
 def _search(sent, pivots: np.ndarray, dims: int, dtype: str, k: int, out: pa.Schema):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, vectors, score, last = sent.value
-        asked = vectors.astype(np.float64)
-        squares = (asked * asked).sum(1)
         answers = Answers(ids, score, last, k)
+        held: list[Ring] = []
         for batch in batches:
             for i in range(len(batch)):
-                cell, lo, hi, most = (batch.column(c)[i].as_py() for c in ("cell", "lo", "hi", "most"))
-                away = np.sqrt(np.maximum(0, squares + pivots[cell] @ pivots[cell]
-                                          - 2 * asked @ pivots[cell]))
-                gap = np.maximum(0, np.maximum(lo - away, away - hi))
-                bound = (squares + most * most - gap * gap) / 2
-                slack = 1 + 1e-9 * (squares + most * most)
-                near = np.nonzero(bound + slack >= answers.score)[0]
-                if not len(near):
-                    continue
-                ring = np.frombuffer(batch.column("vectors")[i].as_py(), dtype).reshape(-1, dims)
-                ring_ids = batch.column("ids")[i].values.to_numpy()
-                for at in range(0, len(near), 2048):
-                    some = near[at:at + 2048]
-                    answers.offer(some, exact_scores(vectors[some], ring), ring_ids)
+                held.append(Ring(*(batch.column(c)[i].as_py() for c in ("cell", "lo", "hi", "most")),
+                                 batch.column("ids")[i].values.to_numpy(),
+                                 np.frombuffer(batch.column("vectors")[i].as_py(), dtype).reshape(-1, dims)))
+                if len(held) == HELD_RINGS:
+                    expand(answers, vectors, pivots, held)
+                    held = []
+        if held:
+            expand(answers, vectors, pivots, held)
         q, s, v = answers.settle()
         if len(q):
             yield pa.RecordBatch.from_arrays(
@@ -265,16 +306,16 @@ def top_inner_products(vectors: DataFrame, k: int = 10, every: int = 100, id_col
     query = StructType([StructField("id", LongType()), StructField("vector", BinaryType()),
                         StructField("score", LongType()), StructField("last", LongType())])
     found = index.mapInArrow(_limits(every, k, dims, dtype, arrow(query)), query)
+    asked = materialize(found.groupBy("id").agg(F.min(F.struct("vector", "score", "last")).alias("q")).select(
+        "id", "q.*"), "queries")
     per_block = max(1, QUERY_BLOCK_BYTES // (dims * np.dtype(dtype).itemsize + 24))
-    blocks = max(1, -(-n // every // per_block))
+    blocks = max(1, -(-asked.count() // per_block))
     block_of = F.pmod(F.xxhash64("id"), F.lit(blocks))
-    asked = materialize(found.groupBy("id").agg(F.min(F.struct("vector", "score", "last")).alias("q")).select(
-        block_of.alias("block"), "id", "q.*"), "queries", ["block"])
     hit = StructType([StructField("query_id", LongType()), StructField("vec_id", LongType()),
                       StructField("score", LongType())])
     path = new_path(spark, "hits")
     for b in range(blocks):
-        part = asked.filter(F.col("block") == b).select("id", "vector", "score", "last").toArrow()
+        part = asked.filter(block_of == b).select("id", "vector", "score", "last").toArrow()
         if not part.num_rows:
             continue
         raw = b"".join(part.column("vector").to_pylist())

@@ -61,3 +61,43 @@ def test_rings_are_left_out(spark):
         0, far[r, c].min() - away[c], away[c] - far[r, c].max()) ** 2) / 2 for c, r in enumerate(ring)]
     assert all(b >= (vectors[r] @ query).max() for b, r in zip(bound, ring))
     assert sum(b >= limit for b in bound) == 1
+
+
+def test_rings_are_expanded_in_order_until_the_limit():
+    rng = np.random.default_rng(2)
+    pivots = rng.normal(0, 400, (30, 16)).round()
+    vectors = (pivots[np.repeat(np.arange(30), 100)] + rng.normal(0, 20, (3000, 16))).round().astype(np.int32)
+    ids = np.arange(3000)
+    rings = []
+    for c in range(30):
+        own = np.arange(c * 100, c * 100 + 100)
+        far = np.sqrt(pivot_search.squared_distances(vectors[own].astype(float), pivots[c:c + 1]))[:, 0]
+        own, far = own[np.argsort(far)], np.sort(far)
+        for at in range(0, 100, 25):
+            part = own[at:at + 25]
+            rings.append(pivot_search.Ring(c, far[at], far[at + 24], float(np.sqrt((vectors[part].astype(float) ** 2).sum(1).max())),
+                                           ids[part], vectors[part]))
+    asked = vectors[::100]
+    answers = pivot_search.Answers(ids[::100], np.full(30, np.iinfo(np.int64).min), np.full(30, np.iinfo(np.int64).max), 10)
+    rng.shuffle(rings)
+    looked = pivot_search.expand(answers, asked, pivots, rings)
+    q, s, v = answers.settle()
+    for i in range(30):
+        scores = vectors.astype(np.int64) @ asked[i].astype(np.int64)
+        best = [x for x in np.lexsort((ids, -scores)) if x != i * 100][:10]
+        assert v[q == i].tolist() == best and s[q == i].tolist() == scores[best].tolist()
+    assert 30 <= looked < 0.5 * 30 * len(rings)
+
+
+def test_most_rows_are_queries(spark, monkeypatch):
+    monkeypatch.setattr(pivot_search, "QUERY_BLOCK_BYTES", 2000)
+    monkeypatch.setattr(pivot_search, "HELD_RINGS", 2)
+    monkeypatch.setattr(pivot_search, "RING_ROWS", 16)
+    rng = random.Random(4)
+    rows = [(100 * i, [rng.gauss(0, 1) for _ in range(6)]) for i in range(150)] + [(7, [1.0] * 6)]
+    sent = []
+    broadcast = spark.sparkContext.broadcast
+    monkeypatch.setattr(type(spark.sparkContext), "broadcast",
+                        lambda self, value: (sent.append(len(value[0])) if isinstance(value, tuple) else None, broadcast(value))[1])
+    assert run(spark, rows) == brute(rows)
+    assert sum(sent) == 150 and max(sent) <= 100
