@@ -9,6 +9,7 @@ from corpusloom.operators.chunking import CHUNK_OVERLAP, CHUNK_SIZE, chunk_block
 # Document states, the default kb, the mark of bulk-imported documents.
 PROCESSING, READY, EMPTY, ERROR = "processing", "ready", "empty", "error"
 DEFAULT_KB = "agent"
+DEFAULT_DESCRIPTION = "Agent 默认知识库"
 LOOSE_SOURCE = "agent_"
 BULK_PREFIX = "seed_"
 ID_CHARS = 32
@@ -56,6 +57,14 @@ def default_kb(kbs: DataFrame) -> DataFrame:
                          F.col("kb_id").isNull().alias("is_new"))
 
 
+def with_default_kb(kbs: DataFrame, created_at: Column) -> DataFrame:
+    """The kbs, with the default one created where there is none at all."""
+    none = kbs.agg(F.count("*").alias("n")).filter("n = 0")
+    fresh = none.select(F.lit(DEFAULT_KB).alias("kb_id"), F.lit(DEFAULT_KB).alias("name"),
+                        F.lit(DEFAULT_DESCRIPTION).alias("description"), created_at.alias("created_at"))
+    return kbs.select(*fresh.columns).unionByName(fresh)
+
+
 def register_documents(registry: DataFrame, kbs: DataFrame, uploads: DataFrame) -> DataFrame:
     """Append uploads (doc_id, kb_id, filename, file_size, created_at) as ``processing``.
 

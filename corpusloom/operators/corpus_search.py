@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
+from corpusloom.operators.path_policy import PathRules, classify
 from corpusloom.operators.scan import BLOCK_BYTES
 from corpusloom.session import materialize
 
@@ -19,6 +20,9 @@ PREVIEW_LIMIT = 100
 PREVIEW_EDGE = 30
 SEARCHABLE = (".py", ".txt", ".md", ".json", ".yaml", ".yml", ".toml", ".cfg")
 SKIPPED = (".git", "venv", "__pycache__", "node_modules")
+# Marks of a listing's lines.
+FOLDER_LINE = "  [文件夹] "
+FILE_LINE = "  [文件] "
 
 
 def list_directories(files: DataFrame) -> DataFrame:
@@ -45,6 +49,33 @@ def directory_counts(entries: DataFrame, asked: DataFrame) -> DataFrame:
         "n_entries", F.coalesce("n_entries", F.lit(0)))
 
 
+def listing_texts(entries: DataFrame, asked: DataFrame, rules: PathRules | None = PathRules(),
+                  known: DataFrame | None = None) -> DataFrame:
+    """(directory, state, text) of every asked directory, as a tool would answer.
+
+    The path policy comes first: a directory it refuses is "blocked" with the reason. One without
+    entries is "empty" if the table ``known`` (directory) has it, else "missing", as a table of
+    files alone cannot tell. Others are "listed": a line with the number of entries, then the
+    entries by name, folders and files marked.
+    """
+    one = asked.select("directory").distinct()
+    judged = classify(one.withColumn("path", F.col("directory")), rules) if rules else one.withColumn("reason", F.lit(""))
+    lines = entries.groupBy("directory").agg(F.sort_array(F.collect_list(F.struct("name", "kind"))).alias("entries"))
+    there = (known if known is not None else one.limit(0)).select("directory").distinct().withColumn("known", F.lit(True))
+    rows = judged.select("directory", "reason").join(lines, "directory", "left").join(there, "directory", "left")
+    state = F.when(F.col("reason") != "", "blocked").when(F.col("entries").isNotNull(), "listed").when(
+        F.col("known"), "empty").otherwise("missing")
+    quoted = F.concat(F.lit("目录 '"), F.col("directory"), F.lit("' "))
+    entry = F.transform("entries", lambda e: F.concat(
+        F.when(e["kind"] == "folder", FOLDER_LINE).otherwise(FILE_LINE), e["name"]))
+    listed = F.concat(quoted, F.lit("包含 "), F.size("entries").cast("string"), F.lit(" 个文件/文件夹:\n"),
+                      F.array_join(entry, "\n"))
+    text = F.when(F.col("state") == "blocked", F.concat(F.lit("安全拦截: "), F.col("reason"))).when(
+        F.col("state") == "listed", listed).when(F.col("state") == "empty", F.concat(quoted, F.lit("是空的"))).otherwise(
+        F.concat(quoted, F.lit("不存在")))
+    return rows.withColumn("state", state).select("directory", "state", text.alias("text"))
+
+
 def preview(texts: DataFrame, limit: int = PREVIEW_LIMIT, edge: int = PREVIEW_EDGE) -> DataFrame:
     """Add n_lines, head and tail; a text up to ``limit`` lines comes whole as head."""
     lines = F.col("_lines")

@@ -24,6 +24,18 @@ def directory_sizes(spark, sf):
     return corpus_search.directory_counts(entries, asked)
 
 
+def directory_texts(spark, sf):
+    """Listings of folders that hold files, that hold none, that are not there, and that are refused."""
+    entries = corpus_search.list_directories(b.file_paths(spark, sf))
+    kb = b.kbs(spark, sf).select("kb_id")
+    asked = kb.select(F.explode(F.array(*[F.concat(F.lit("/home/"), F.col("kb_id"), F.lit(x)) for x in (
+        "", "/en", "/void", "/.ssh/en")])).alias("directory")).unionByName(
+        kb.select(F.concat(F.lit("/srv/"), F.col("kb_id")).alias("directory")))
+    empty = kb.filter("kb_id > 'src2'").select(F.concat(F.lit("/home/"), F.col("kb_id"), F.lit("/void")).alias("directory"))
+    out = corpus_search.listing_texts(entries, asked, known=empty)
+    return out.select("directory", "state", F.md5("text").alias("text_md5"))
+
+
 def line_preview(spark, sf):
     return corpus_search.preview(b.table(spark, sf, "documents").select("doc_id", "text")).select(
         "doc_id", "n_lines", F.md5("head").alias("head_md5"), F.md5("tail").alias("tail_md5"))
@@ -100,7 +112,7 @@ def latency_summary(spark, sf):
 
 
 QUERIES = {f.__name__: f for f in (
-    directory_listing, directory_sizes, line_preview, keyword_search, keyword_search_strict,
+    directory_listing, directory_sizes, directory_texts, line_preview, keyword_search, keyword_search_strict,
     keyword_table_search, path_policy_rules,
     path_policy_read, path_policy_write, path_boundaries, sensitive_names, run_summaries,
     latency_summary)}
@@ -191,6 +203,19 @@ ORACLE = {
         SELECT directory, count(name) AS n_entries
         FROM (SELECT DISTINCT '/home/' || source || '/' || unnest(['en', 'fr', 'it']) AS directory
               FROM documents) LEFT JOIN entries USING (directory) GROUP BY directory"""),
+    "directory_texts": sql.with_(_LISTING, """asked AS (
+          SELECT kb, unnest(['', '/en', '/void', '/.ssh/en', '!']) AS tail FROM (SELECT DISTINCT source AS kb FROM documents)),
+        told AS (SELECT CASE tail WHEN '!' THEN '/srv/' || kb ELSE '/home/' || kb || tail END AS directory, tail, kb FROM asked),
+        lines AS (SELECT directory, count(*) AS n, string_agg(CASE kind WHEN 'folder' THEN '  [文件夹] ' ELSE '  [文件] ' END
+          || name, chr(10) ORDER BY name, kind) AS body FROM entries GROUP BY directory),
+        states AS (SELECT *, CASE WHEN tail IN ('/.ssh/en', '!') THEN 'blocked' WHEN n IS NOT NULL THEN 'listed'
+          WHEN kb > 'src2' AND tail = '/void' THEN 'empty' ELSE 'missing' END AS state FROM told LEFT JOIN lines USING (directory))""", then="""
+        SELECT directory, state, md5(CASE state
+          WHEN 'blocked' THEN '安全拦截: ' || CASE tail WHEN '!' THEN '路径不在允许范围内，仅允许访问用户目录和项目目录'
+            ELSE '敏感文件禁止访问: 包含 ''.ssh/''' END
+          WHEN 'listed' THEN '目录 ''' || directory || ''' 包含 ' || n || ' 个文件/文件夹:' || chr(10) || body
+          WHEN 'empty' THEN '目录 ''' || directory || ''' 是空的' ELSE '目录 ''' || directory || ''' 不存在' END) AS text_md5
+        FROM states"""),
     "line_preview": """
         SELECT doc_id, len(p) AS n_lines,
                md5(CASE WHEN len(p) > 100 THEN array_to_string(p[1:30], chr(10)) ELSE text END)

@@ -156,3 +156,17 @@ def test_quantiles_are_exact_for_skewed_and_missing_groups(spark):
         values.sort()
         want[span] = (len(values), *(values[max(1, math.ceil(len(values) * q)) - 1] for q in (0.01, 0.5, 0.999)))
     assert found == want
+
+
+def test_listings_answer_as_a_tool(spark):
+    files = spark.createDataFrame([("/home/a/x.md",), ("/home/a/sub/y.md",), ("/home/a/b.txt",)], "path string")
+    asked = spark.createDataFrame([("/home/a",), ("/home/none",), ("/home/void",), ("/etc/x",), ("/home/.env",)], "directory string")
+    known = spark.createDataFrame([("/home/void",), ("/home/a",)], "directory string")
+    got = {r.directory: (r.state, r.text) for r in corpus_search.listing_texts(
+        corpus_search.list_directories(files), asked, known=known).collect()}
+    assert got["/home/a"] == ("listed", "目录 '/home/a' 包含 3 个文件/文件夹:\n  [文件] b.txt\n  [文件夹] sub\n  [文件] x.md")
+    assert got["/home/none"] == ("missing", "目录 '/home/none' 不存在")
+    assert got["/home/void"] == ("empty", "目录 '/home/void' 是空的")
+    assert got["/etc/x"][1] == "安全拦截: " + policy.REASON_FORBIDDEN + "/etc" and got["/home/.env"][0] == "blocked"
+    free = corpus_search.listing_texts(corpus_search.list_directories(files), asked, rules=None)
+    assert {r.state for r in free.collect()} == {"listed", "missing"}

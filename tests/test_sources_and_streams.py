@@ -310,3 +310,13 @@ def test_a_file_written_twice_leaves_its_second_text(spark, tmp_path):
     os.utime(folder / "a.md", (4_000_000_100, 4_000_000_100))
     assert ingest.ingest_changed_files(spark, str(tmp_path / "in"), target) == 1
     assert held() == ["text of b", "text of c"]
+
+
+def test_the_default_kb_is_created_where_there_is_none(spark):
+    kbs = spark.createDataFrame([("k", "n", "d")], "kb_id string, name string, description string").withColumn(
+        "created_at", F.lit("2024-01-01").cast("timestamp"))
+    now = F.lit("2024-02-01").cast("timestamp")
+    assert [r.kb_id for r in catalog.with_default_kb(kbs, now).collect()] == ["k"]
+    made = catalog.with_default_kb(kbs.limit(0), now)
+    assert [(r.kb_id, r.name) for r in made.collect()] == [("agent", "agent")] and made.columns == kbs.columns
+    assert not catalog.default_kb(made).first().is_new
