@@ -6,7 +6,7 @@ import random
 import re
 from collections import Counter
 
-from corpusloom.llm.secrets import ALLOWED, KINDS, RUNS, scan_secrets
+from corpusloom.llm.secrets import ALLOWED, KINDS, RUNS, WHOLE, scan_secrets
 
 BASE = {
     "assign": (re.compile(r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?"""
@@ -106,3 +106,53 @@ def test_windows_keep_secrets_beside_known_words(spark):
     for found in got:
         ordered = sorted(found, key=lambda x: x[1])
         assert all(a[2] <= b[1] for a, b in zip(ordered, ordered[1:]))
+
+
+def brute_by_window(text):
+    """All spans as the query finds them: windows judged one by one, known spans taken off."""
+    every = []
+    for kind, (pattern, group, least) in BASE.items():
+        every += [(m.start(), KINDS.index(kind), m.end()) for m in pattern.finditer(text) if len(m[group]) >= least]
+    for rule in RUNS:
+        kind, size, fresh = KINDS.index(rule.kind), rule.window, []
+        for run in re.finditer(f"[{rule.chars}]+", text):
+            if not all(re.search(n, run[0]) for n in rule.needs):
+                continue
+            cuts = [(0, 0), *((m.start(), m.end()) for m in re.finditer(WHOLE, run[0])), (len(run[0]), len(run[0]))]
+            for (_, lo), (hi, _) in zip(cuts, cuts[1:]):
+                parts = []
+                for i in range(lo, hi - size + 1):
+                    seen = run[0][i:i + size]
+                    if entropy(seen) >= rule.bits - 1e-6 and not any(re.search(a, seen) for a in ALLOWED):
+                        if parts and i <= parts[-1][1]:
+                            parts[-1][1] = i + size
+                        else:
+                            parts.append([i, i + size])
+                for a, b in parts:
+                    at, end = run.start() + a, run.start() + b
+                    for s, _, e in sorted(x for x in every if x[0] < end and at < x[2]):
+                        if at < s:
+                            fresh.append((at, kind, s))
+                        at = max(at, e)
+                    if at < end:
+                        fresh.append((at, kind, end))
+        every = every + fresh
+    return ",".join(f"{KINDS[k]}:{s}:{e}" for s, k, e in sorted(every))
+
+
+def test_windows_match_plain_python(spark):
+    rng = random.Random(12)
+    made = [t for t in texts() if len(t or "") < 5000]
+    uuid = "123e4567-e89b-12d3-a456-426614174000"
+    b64 = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
+    pick = lambda chars, n: "".join(rng.choices(chars, k=n))
+    for _ in range(120):
+        made.append("".join(rng.choice([uuid, "example", "abcdefgh", "AAAAAAAA", "token=", "AKIA", " ", "/", "placeholder-",
+                                        pick(b64, rng.randrange(70)), pick("0123456789abcdef", rng.randrange(50)),
+                                        pick("234567ABCDEFGHIJKLMNOPQRSTUVWXYZ", rng.randrange(40)),
+                                        pick("0123456789abcdefghijklmnopqrstuvwxyz", rng.randrange(50))])
+                            for _ in range(rng.randrange(1, 9))))
+    df = spark.createDataFrame(list(enumerate(made)), "doc_id long, text string").repartition(4)
+    got = {r.doc_id: r.spans for r in scan_secrets(df, by_window=True).collect()}
+    assert [got[i] for i in range(len(made))] == [brute_by_window(t or "") for t in made]
+    assert all(any(rule.kind in spans for spans in got.values()) for rule in RUNS)
