@@ -7,6 +7,7 @@ insert and stands for insertion order.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -16,12 +17,14 @@ from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 
 from corpusloom.functions.vectors import matrix_of, unit_rows
 from corpusloom.operators.ranking import top_k_per_group
-from corpusloom.session import read_or_empty
+from corpusloom.session import materialize, read_or_empty
 
 # Similarity that counts as the same question, rows kept per kb.
 THRESHOLD = 0.90
 CAPACITY = 200
 _DIGITS = 6
+#: Pivots that go to all tasks at once.
+BLOCK_BYTES = 64 << 20
 
 
 def evict(cache: DataFrame, capacity: int = CAPACITY) -> DataFrame:
@@ -109,7 +112,7 @@ def _match_groups(threshold: float, out: pa.Schema):
             kbs = batch.column("kb_id").dictionary_encode()
             kb_at = kbs.indices.to_numpy(zero_copy_only=False)
             place = [batch.column(c).to_numpy(zero_copy_only=False)
-                     for c in ("_part", "_block", "_asked")]
+                     for c in ("_cell", "_block", "_part", "_asked")]
             turns = np.zeros(max(0, batch.num_rows - 1), dtype=bool)
             for at in (kb_at, *place):
                 turns |= np.diff(at) != 0
@@ -119,10 +122,10 @@ def _match_groups(threshold: float, out: pa.Schema):
                     continue
                 rows = batch.slice(start, stop - start)
                 here = (kbs.dictionary[int(kb_at[start])].as_py(),
-                        *(int(p[start]) for p in place[:2]))
+                        *(int(p[start]) for p in place[:3]))
                 if here != group:
                     group, pieces, cached = here, [], None
-                if place[2][start] == 0:
+                if place[3][start] == 0:
                     pieces.append(rows.select(["_cached", "seq"]))
                     continue
                 if cached is None and pieces:
@@ -149,51 +152,160 @@ def _match_groups(threshold: float, out: pa.Schema):
     return run
 
 
-def lookup(cache: DataFrame, questions: DataFrame, threshold: float = THRESHOLD,
-           rows_per_part: int = 100_000, rows_per_block: int = 20_000) -> DataFrame:
-    """Every question with the most similar cached answer of its kb, or nulls on a miss.
+@dataclass
+class Cells:
+    """Pivots per kb, and of the cached rows nearest to each their number and angles to it."""
 
-    All rows of the kb's cache are looked at; only ``insert`` and ``evict`` limit how many there
-    are. Of equally similar rows the later one wins. A kb's cache is cut into blocks of about
-    ``rows_per_block``, its questions into parts of about ``rows_per_part``. Each pair of block and
-    part is shuffled to one task and sorted so that the block comes first; the questions then
-    stream past it. No pair of question and cached row ever becomes a row: a block gives its
-    best row per question, and these are reduced to one.
+    pivots: dict[str, np.ndarray]
+    lo: dict[str, np.ndarray]
+    hi: dict[str, np.ndarray]
+    blocks: dict[str, np.ndarray]
 
-    ``questions``: query_id, kb_id, embedding and more; a pair of query_id and kb_id names one question.
-    ``seq`` is unique within a kb. Output adds hit, similarity, seq, answer and, if the cache has
-    them, sources.
+    def reached(self, kb: str, questions: np.ndarray, reach: float) -> np.ndarray:
+        """Questions x cells: whether a row of the cell may lie within ``reach`` of the question.
+
+        A row is lo to hi from its pivot, so by the triangle inequality it is farther from a
+        question whose own angle to the pivot is not within ``reach`` of that range.
+        """
+        away = _angles(questions, self.pivots[kb])
+        return (away - reach <= self.hi[kb]) & (away + reach >= self.lo[kb])
+
+
+def _angles(vectors: np.ndarray, pivots: np.ndarray) -> np.ndarray:
+    return np.arccos(np.clip(vectors @ pivots.T, -1, 1))
+
+
+def _by_kb(kbs: pa.Array):
+    """(kb, positions) of every kb in a column."""
+    coded = kbs.dictionary_encode()
+    codes = coded.indices.to_numpy(zero_copy_only=False)
+    for i, kb in enumerate(coded.dictionary.to_pylist()):
+        yield kb, np.nonzero(codes == i)[0]
+
+
+def cell_cache(cache: DataFrame, rows_per_block: int,
+               block_bytes: int = BLOCK_BYTES) -> tuple[DataFrame, Cells]:
+    """(the cache with ``_cell``, its cells): every row goes to the nearest pivot of its kb.
+
+    About one row in ``rows_per_block`` is a pivot, by the hash of its number, fewer where so many
+    would not fit ``block_bytes``; and the first by hash in every kb. Pivots go to all tasks.
     """
-    carried = [c for c in ("answer", "sources") if c in cache.columns]
-    parts = questions.groupBy("kb_id").agg(
-        F.ceil(F.count("*") / rows_per_part).cast("int").alias("_parts"))
-    blocks = cache.groupBy("kb_id").agg(
-        F.ceil(F.count("*") / rows_per_block).cast("int").alias("_blocks"))
-    sides = parts.join(blocks, "kb_id")
-
-    def upto(n: str) -> Column:
-        return F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-
-    asked = questions.select("query_id", "kb_id", "embedding").join(sides, "kb_id").select(
-        "query_id", "kb_id", F.col("embedding").cast("array<double>").alias("embedding"),
-        F.lit(1).alias("_asked"),
-        F.pmod(F.xxhash64("query_id"), F.col("_parts")).cast("int").alias("_part"),
-        upto("_blocks").alias("_block"))
-    live = cache.select("kb_id", "seq", "embedding").join(sides, "kb_id").select(
-        "kb_id", F.col("embedding").cast("array<double>").alias("_cached"),
-        F.col("seq").cast("long").alias("seq"), F.lit(0).alias("_asked"),
-        F.pmod(F.xxhash64("seq"), F.col("_blocks")).cast("int").alias("_block"),
-        upto("_parts").alias("_part"))
+    n, width = cache.agg(F.count("*"), F.max(F.size("embedding"))).first()
+    rows_per_pivot = max(rows_per_block, (n or 0) * (width or 0) * 8 // block_bytes)
+    turn = F.xxhash64("kb_id", "seq")
+    vector = F.col("embedding").cast("array<double>")
+    chosen = cache.filter(F.pmod(turn, F.lit(rows_per_pivot)) == 0).select("kb_id", vector.alias("v")).union(
+        cache.groupBy("kb_id").agg(F.min_by(vector, turn).alias("v"))).toArrow()
+    pivots: dict[str, np.ndarray] = {}
+    for kb, at in _by_kb(chosen.column("kb_id").combine_chunks()):
+        lists = chosen.column("v").combine_chunks().take(pa.array(at))
+        pivots[kb] = np.unique(unit_rows(matrix_of(lists, len(lists[0]))), axis=0)
+
+    @F.arrow_udf("struct<cell: int, angle: double>")
+    def nearest(kbs: pa.Array, lists: pa.Array) -> pa.Array:
+        cell, angle = np.zeros(len(kbs), np.int32), np.zeros(len(kbs))
+        for kb, at in _by_kb(kbs):
+            own = pivots[kb]
+            away = _angles(unit_rows(matrix_of(lists.take(pa.array(at)), own.shape[1])), own)
+            cell[at] = away.argmin(1)
+            angle[at] = away.min(1)
+        return pa.StructArray.from_arrays([pa.array(cell), pa.array(angle)], names=["cell", "angle"])
+
+    placed = materialize(cache.withColumn("_place", nearest(F.col("kb_id"), vector)).withColumn(
+        "_cell", F.col("_place.cell")), "cache-cells")
+    held = placed.groupBy("kb_id", "_cell").agg(
+        F.count("*").alias("n"), F.min("_place.angle").alias("lo"), F.max("_place.angle").alias("hi")).toArrow()
+    cells = Cells(pivots, {}, {}, {})
+    for kb, at in _by_kb(held.column("kb_id").combine_chunks()):
+        own = held.take(pa.array(at))
+        where, size = own.column("_cell").to_numpy(), len(pivots[kb])
+        for into, values, nothing in ((cells.lo, own.column("lo").to_numpy(), np.inf),
+                                      (cells.hi, own.column("hi").to_numpy(), -np.inf),
+                                      (cells.blocks, -(-own.column("n").to_numpy() // rows_per_block), 0)):
+            into[kb] = np.full(size, nothing, dtype=values.dtype if nothing == 0 else float)
+            into[kb][where] = values
+    return placed.drop("_place"), cells
+
+
+def asked_blocks(questions: DataFrame, cells: Cells, threshold: float) -> DataFrame:
+    """(query_id, kb_id, embedding, _cell, _block): the blocks that may hold an answer for a question."""
+    # Angles are known to some 1e-8. Vectors of length 0 have a cosine of 0 with all.
+    reach = np.arccos(min(1.0, threshold)) + 1e-6 if threshold > 0 else np.pi
+    kind = pa.list_(pa.struct([("cell", pa.int32()), ("block", pa.int32())]))
+
+    @F.arrow_udf("array<struct<cell: int, block: int>>")
+    def reached(kbs: pa.Array, lists: pa.Array) -> pa.Array:
+        out: list = [[] for _ in range(len(kbs))]
+        for kb, at in _by_kb(kbs):
+            if kb in cells.pivots:
+                vectors = unit_rows(matrix_of(lists.take(pa.array(at)), cells.pivots[kb].shape[1]))
+                near = cells.reached(kb, vectors, reach)
+                for row, mine in zip(at, near):
+                    out[row] = [{"cell": int(c), "block": b} for c in np.nonzero(mine)[0] for b in range(cells.blocks[kb][c])]
+        return pa.array(out, kind)
+
+    vector = F.col("embedding").cast("array<double>")
+    return questions.select("query_id", "kb_id", vector.alias("embedding"), F.explode(
+        reached(F.col("kb_id"), vector)).alias("_at")).select(
+        "query_id", "kb_id", "embedding", F.col("_at.cell").alias("_cell"), F.col("_at.block").alias("_block"))
+
+
+def _best_answers(cache: DataFrame, questions: DataFrame, threshold: float, rows_per_part: int,
+                  rows_per_block: int, block_bytes: int) -> DataFrame:
+    """(query_id, kb_id, hit, similarity, seq) of the questions with an answer."""
+    kbs = questions.select("kb_id").distinct()
+    placed, cells = cell_cache(cache.join(kbs, "kb_id", "left_semi"), rows_per_block, block_bytes)
+    block = ["kb_id", "_cell", "_block"]
+    asked = materialize(asked_blocks(questions, cells, threshold), "asked-blocks")
+    parts = asked.groupBy(*block).agg(F.ceil(F.count("*") / rows_per_part).cast("int").alias("_parts"))
+    blocks = placed.groupBy("kb_id", "_cell").agg(F.ceil(F.count("*") / rows_per_block).cast("int").alias("_blocks"))
+    live = placed.join(blocks, ["kb_id", "_cell"]).withColumn(
+        "_block", F.pmod(F.xxhash64("seq"), F.col("_blocks")).cast("int")).join(parts, block).select(
+        *block, F.col("embedding").cast("array<double>").alias("_cached"), F.col("seq").cast("long").alias("seq"),
+        F.lit(0).alias("_asked"), F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)).alias("_part"))
+    asked = asked.join(parts, block).select(
+        *block, "query_id", "embedding", F.lit(1).alias("_asked"),
+        F.pmod(F.xxhash64("query_id"), F.col("_parts")).cast("int").alias("_part"))
     out = StructType([questions.schema["query_id"], questions.schema["kb_id"],
                       StructField("similarity", DoubleType()), StructField("seq", LongType())])
-    keys = ("kb_id", "_part", "_block")
-    found = (
+    keys = (*block, "_part")
+    return (
         live.unionByName(asked, allowMissingColumns=True)
         .repartition(*keys).sortWithinPartitions(*keys, "_asked", "seq")
         .mapInArrow(_match_groups(threshold, to_arrow_schema(out)), out)
         .groupBy("query_id", "kb_id").agg(F.max(F.struct("similarity", "seq")).alias("_best"))
         .select("query_id", "kb_id", F.lit(True).alias("hit"), "_best.*")
     )
+
+
+def lookup(cache: DataFrame, questions: DataFrame, threshold: float = THRESHOLD,
+           rows_per_part: int = 100_000, rows_per_block: int = 20_000,
+           block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """Every question with the most similar cached answer of its kb, or nulls on a miss.
+
+    All rows of the kb's cache count; only ``insert`` and ``evict`` limit how many there are. Of
+    equally similar rows the later one wins. A kb's cache is cut into cells around pivots, and
+    these into blocks of ``rows_per_block``; a question goes only to blocks of cells that the
+    triangle inequality lets hold a row of the ``threshold``. The questions of a block are cut into
+    parts of about ``rows_per_part``. A part and its block are shuffled to one task and sorted so
+    that the block comes first; the questions then stream past it. No pair of question and cached
+    row ever becomes a row: a block gives its best row per question, and these are reduced to one.
+    More kbs than ``block_bytes`` hold a pivot of each take further passes over their own rows.
+
+    ``questions``: query_id, kb_id, embedding and more; a pair of query_id and kb_id names one question.
+    ``seq`` is unique within a kb. Output adds hit, similarity, seq, answer and, if the cache has
+    them, sources.
+    """
+    carried = [c for c in ("answer", "sources") if c in cache.columns]
+    asking = questions.filter("kb_id is not null")
+    n_kbs, width = asking.agg(F.countDistinct("kb_id"), F.max(F.size("embedding"))).first()
+    passes = max(1, -(-n_kbs * (width or 0) * 8 // block_bytes))
+    found = None
+    for i in range(passes):
+        mine = F.pmod(F.xxhash64("kb_id"), F.lit(passes)) == i
+        part = _best_answers(cache.select("kb_id", "seq", "embedding").filter(mine), asking.filter(mine), threshold,
+                             rows_per_part, rows_per_block, block_bytes)
+        found = part if found is None else found.unionByName(part)
     answers = cache.select("kb_id", F.col("seq").cast("long").alias("seq"), *carried)
     return questions.join(found.join(answers, ["kb_id", "seq"]), ["query_id", "kb_id"], "left").select(
         *questions.columns, F.coalesce("hit", F.lit(False)).alias("hit"), "similarity", "seq", *carried)

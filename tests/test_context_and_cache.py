@@ -170,3 +170,34 @@ def test_a_hot_kb_splits_into_parts_with_the_same_answers(spark):
     assert found() == want
     assert found(rows_per_part=20) == want
     assert found(rows_per_part=20, rows_per_block=7) == want
+
+
+@pytest.mark.parametrize("rows_per_part, rows_per_block, block_bytes", [(100_000, 20_000, 64 << 20), (7, 5, 2000)])
+def test_lookup_in_a_clustered_cache_skips_far_blocks(spark, rows_per_part, rows_per_block, block_bytes):
+    rng = np.random.default_rng(7)
+    homes = rng.normal(size=(30, 12)) * 3
+    rows = [(f"kb{i % 3}", i, (homes[rng.integers(30)] + rng.normal(size=12) * 0.3).tolist(), f"a{i}") for i in range(900)]
+    rows += [("kb0", 900, [0.0] * 12, "zero"), ("kb0", 901, rows[0][2], "again"), ("void", 902, [1.0] * 12, "alone")]
+    asked = [(i, f"kb{i % 4}", (homes[rng.integers(30)] + rng.normal(size=12) * 0.6).tolist()) for i in range(200)]
+    asked += [(900, "kb0", rows[0][2]), (901, "kb0", [0.0] * 12), (902, None, [1.0] * 12)]
+    held = spark.createDataFrame(rows, "kb_id string, seq long, embedding array<double>, answer string")
+    questions = spark.createDataFrame(asked, "query_id long, kb_id string, embedding array<double>")
+
+    def unit(v):
+        return np.array(v) / max(1e-300, np.linalg.norm(v))
+
+    for threshold in (0.9, 0.0):
+        want = {}
+        for q, kb, v in asked:
+            scored = [(round(float(unit(v) @ unit(w)), 6), seq, a) for k, seq, w, a in rows
+                      if k == kb and unit(v) @ unit(w) >= threshold]
+            want[q] = max(scored) if scored else (None, None, None)
+        got = cache.lookup(held, questions, threshold, rows_per_part, rows_per_block, block_bytes).collect()
+        assert len(got) == len(asked)
+        for r in got:
+            assert (r.seq, r.answer) == want[r.query_id][1:] and r.hit == (r.seq is not None)
+            assert r.similarity == pytest.approx(want[r.query_id][0], abs=2e-6)
+    placed, cells = cache.cell_cache(held, 10)
+    pairs = cache.asked_blocks(questions.filter("kb_id is not null"), cells, 0.9).count()
+    every = sum(int(cells.blocks[kb].sum()) for _, kb, _ in asked if kb in cells.blocks)
+    assert placed.count() == len(rows) and 0 < pairs < 0.35 * every
