@@ -312,14 +312,14 @@ def _scored(model: Model, threshold: float, out: pa.Schema):
     return run
 
 
-def _good(model: Model, threshold: float, n_columns: int, out: pa.Schema):
-    """mapInArrow: rows with what a classifier needs behind them, to the good rows alone."""
+def _good(model: Model, threshold: float, n_columns: int, text_at: int, out: pa.Schema):
+    """mapInArrow: rows with source, language and length behind them, to the good rows alone."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         forget_kept()
         for batch in batches:
-            told_by = batch.select(list(range(n_columns, len(batch.columns)))).rename_columns(
-                ["text", "source", "lang", "length"])
+            told_by = pa.RecordBatch.from_arrays(
+                [batch.column(text_at), *batch.columns[n_columns:]], ["text", "source", "lang", "length"])
             at = 0
             for rows in small_slices(told_by, 0, 1 << 20):
                 good = pa.array(_scores(model, _views(rows))[-1] >= threshold)
@@ -407,6 +407,7 @@ def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_c
         return docs
     columns = docs.columns
     wide = docs.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(columns)],
-                       *_told(docs, text_col, *names.values()))
+                       *_told(docs, text_col, *names.values())[1:])
     kind = StructType([StructField(f"c{i}", f.dataType) for i, f in enumerate(docs.schema)])
-    return wide.mapInArrow(_good(model, threshold, len(columns), _arrow(docs.sparkSession, kind)), kind).toDF(*columns)
+    return wide.mapInArrow(_good(model, threshold, len(columns), columns.index(text_col),
+                                 _arrow(docs.sparkSession, kind)), kind).toDF(*columns)
