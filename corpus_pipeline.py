@@ -21,6 +21,18 @@ from corpusloom.llm.quality import keep_good
 from corpusloom.session import materialize
 
 
+#: Rows that go to Python at once: whole texts, so a few megabytes as a rule.
+ROWS_AT_ONCE = 512
+
+
+def in_small_batches(spark: SparkSession) -> None:
+    """From now on the session sends no more rows at once to Python than that."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    now = int(spark.conf.get(name))
+    if now <= 0 or now > ROWS_AT_ONCE:
+        spark.conf.set(name, str(ROWS_AT_ONCE))
+
+
 def keyed(docs: DataFrame) -> tuple[DataFrame, str]:
     """``docs`` with a key that no two rows share, and its name.
 
@@ -50,11 +62,13 @@ def without(docs: DataFrame, key: str, judged: DataFrame) -> DataFrame:
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the co-trained classifier does not reject."""
+    in_small_batches(spark)
     return keep_good(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of equal texts."""
+    in_small_batches(spark)
     docs, key = keyed(docs)
     return without(docs, key, exact_duplicates(docs, key))
 
@@ -62,12 +76,14 @@ def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates, by shingles of five words; documents
     without words are linked with nothing and stay."""
+    in_small_batches(spark)
     docs, key = keyed(docs)
     return without(docs, key, near_duplicates(docs, key, width=5))
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The mix of all sources: a row per copy that it takes."""
+    in_small_batches(spark)
     docs, key = keyed(docs)
     drawn = F.coalesce(F.col("doc_id").cast("string"), F.col(key).cast("string"))
     return apply_mix(docs, mix(docs, key, draw=drawn), key).drop(key)
@@ -75,6 +91,7 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of documents in sequences of 2048 tokens."""
+    in_small_batches(spark)
     return pack(docs)
 
 
