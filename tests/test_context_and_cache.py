@@ -13,8 +13,8 @@ def hits(spark, *rows):
 
 @pytest.fixture(scope="module")
 def three(spark):
-    return hits(spark, ("a.md", 1, "text", ""), ("b.md", 2, "text", ""),
-                ("c.png", 0, "image", "/c.png"), ("a.md", 5, "text", ""))
+    return hits(spark, ("tides.txt", 4, "text", ""), ("moon.pdf", 9, "text", ""),
+                ("coast.jpg", 0, "image", "/coast.jpg"), ("tides.txt", 7, "text", ""))
 
 
 def cited(spark, answer, rows):
@@ -25,8 +25,8 @@ def cited(spark, answer, rows):
 
 def test_marks_map_to_sources_once_in_order(spark, three):
     got = cited(spark, "first [2], then [1][2] and [2]", three)
-    assert got == [("b.md", 2, "text"), ("a.md", 1, "text")]
-    assert [s for s, _, _ in cited(spark, "[3] [1] [7]", three)] == ["c.png", "a.md"]
+    assert got == [("moon.pdf", 9, "text"), ("tides.txt", 4, "text")]
+    assert [s for s, _, _ in cited(spark, "[3] [1] [7]", three)] == ["coast.jpg", "tides.txt"]
 
 
 @pytest.mark.parametrize("answer", ["[8]", "[x] [1", "nothing cited", None, "[0]", "[99999999999]"])
@@ -35,19 +35,19 @@ def test_marks_that_name_no_hit_are_ignored(spark, three, answer):
 
 
 def test_leading_zeros_count_and_no_hits_is_safe(spark, three):
-    assert cited(spark, "[01]", three)[0][0] == "a.md"
+    assert cited(spark, "[01]", three)[0][0] == "tides.txt"
     assert cited(spark, "[1]", three.limit(0)) == []
 
 
 def test_history_counts_before_filtering(spark):
-    rows = [(1, i, "user" if i % 2 == 0 else "assistant", str(i)) for i in range(20)]
+    rows = [(1, 5 * i, "assistant" if i % 3 else "user", f"said {i}") for i in range(11)]
     rows += [(2, 0, "system", "no"), (2, 1, "user", "   "), (2, 2, "user", " yes ")]
     rows += [(3, i, "system" if i > 3 else "user", str(i)) for i in range(8)]
     got = context.history_window(spark.createDataFrame(
         rows, "conv_id long, turn long, role string, content string")).collect()
     by = {c: [r.content for r in sorted(got, key=lambda r: r.turn) if r.conv_id == c]
           for c in (1, 2, 3)}
-    assert by == {1: ["14", "15", "16", "17", "18", "19"], 2: ["yes"], 3: ["2", "3"]}
+    assert by == {1: [f"said {i}" for i in range(5, 11)], 2: ["yes"], 3: ["2", "3"]}
 
 
 def test_prompt_holds_system_history_context_and_question(spark, three):
@@ -63,15 +63,15 @@ def test_prompt_holds_system_history_context_and_question(spark, three):
     assert got[1].messages[0].content == "sys in C:/dir"
     assert got[1].messages[-1].content == got[1].prompt
     assert got[1].prompt.startswith(
-        "参考文档：\n\n[文档 1] 来源: a.md, 第1页\ntext 1\n\n---\n\n[文档 2] 来源: b.md, 第2页\n")
-    assert "[文档 3] 来源: c.png\ntext 3" in got[1].prompt
+        "参考文档：\n\n[文档 1] 来源: tides.txt, 第4页\ntext 1\n\n---\n\n[文档 2] 来源: moon.pdf, 第9页\n")
+    assert "[文档 3] 来源: coast.jpg\ntext 3" in got[1].prompt
     assert "[文档 5] 来源: vision\nseen\n\n问题：why?" in got[1].prompt
     assert got[2].reply == context.NO_CONTEXT and got[2].messages is None and got[2].n_hits == 0
 
 
 def test_sources_and_images_keep_first_occurrence(spark, three):
     got = context.first_per_source(three).orderBy("position").collect()
-    assert [(r.source, r.page) for r in got] == [("a.md", 1), ("b.md", 2), ("c.png", 0)]
+    assert [(r.source, r.page) for r in got] == [("tides.txt", 4), ("moon.pdf", 9), ("coast.jpg", 0)]
     more = hits(spark, ("x", 0, "image", "/2"), ("x", 0, "image", "/1"), ("x", 0, "text", "/9"),
                 ("x", 0, "image", ""), ("x", 0, "image", "/2"))
     assert context.image_paths(more).first().images == ["/2", "/1"]
