@@ -61,6 +61,18 @@ def test_means_treat_missing_scores_as_zero_unless_strict(spark):
     assert (strict.context_precision, strict.faithfulness, strict.answer_relevancy) == (50.0, 0.0, 0.0)
 
 
+def test_means_halfway_between_percents_do_not_depend_on_the_order_of_rows(spark):
+    # Their mean is 0.6725; added up in some orders it comes out an ulp off.
+    scores = [0.16666666666666666, 1.0, 0.95, 0.45, 1.0, 0.6666666666666666, 0.8875, 0.75, 0.25, 0.6041666666666666]
+    found = set()
+    for turn in range(len(scores)):
+        rows = [("c", i, x, x, x, x) for i, x in enumerate(scores[turn:] + scores[:turn])]
+        per = spark.createDataFrame(
+            rows, "config string, query_id long, " + ", ".join(f"{m} double" for m in scoring.METRICS)).coalesce(1)
+        found.add(scoring.mean_metrics(per, ["config"]).first().faithfulness)
+    assert found == {67.2}
+
+
 def test_configs_cut_one_retrieval(spark):
     hits = spark.createDataFrame([(1, r) for r in range(1, 7)], "query_id long, rank int")
     got = scoring.cut_per_config(hits, [("three", 3), ("five", 5)]).groupBy("config").count()
