@@ -18,10 +18,13 @@ DOCUMENT_SCHEMA = "doc_id long, text string, lang string, source string, n_chars
 
 def document_stream(spark: SparkSession, folder: str, pattern: str = "documents*.parquet",
                     files_per_batch: int = 1000) -> DataFrame:
-    """New document files of a folder as a stream."""
+    """New document files of a folder as a stream.
+
+    What ``pattern`` names may be a file or a folder of part files, as Spark writes a table.
+    """
     return (
-        spark.readStream.schema(DOCUMENT_SCHEMA).option("pathGlobFilter", pattern)
-        .option("maxFilesPerTrigger", files_per_batch).parquet(folder)
+        spark.readStream.schema(DOCUMENT_SCHEMA)
+        .option("maxFilesPerTrigger", files_per_batch).parquet(f"{folder}/{pattern}")
     )
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from corpusloom.operators import answer_cache, catalog, chunking, keyword
 from corpusloom.operators.answer_cache import CacheStore
 from corpusloom.operators.lexicon import Lexicon
+from corpusloom.plans import cache_queries
 from corpusloom.session import materialize, new_path, shared_dir
 from corpusloom.sources import archive, files
 from corpusloom.sources.store import ChunkStore
@@ -171,6 +172,20 @@ def test_streamed_ingest_equals_batch_and_runs_once(spark, tmp_path):
     assert ingest.changed_kbs(log, last).count() == 0 < ingest.changed_kbs(log).count()
 
 
+@pytest.mark.parametrize("name", ["stream_ingest", "stream_registry"])
+def test_streams_read_a_table_kept_as_a_folder(spark, tmp_path, name):
+    rows = [(i, f"Text number {i}. " * (20 * i), "en", f"src{i % 2}", 0) for i in range(1, 5)]
+    spark.createDataFrame(rows, ingest.DOCUMENT_SCHEMA).repartition(2).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1,), (2,)], "vec_id long").write.parquet(f"{tmp_path}/embeddings.parquet")
+    got = cache_queries.QUERIES[name](spark, str(tmp_path)).collect()
+    if name == "stream_ingest":
+        assert {r.doc_id for r in got} == {1, 2, 3, 4}
+    else:
+        counts = {r.kb_id: (r.n_rows, r.n_chunks) for r in got if r.part == "documents"}
+        assert set(counts) == {"src0", "src1"} and all(n == 2 < c for n, c in counts.values())
+        assert [r.kb_id for r in got if r.part == "cache"] == ["src2"]
+
+
 def test_streamed_lookup_equals_batch(spark):
     cache = spark.createDataFrame([("k", 1, [1.0, 0.0], "A"), ("k", 2, [0.0, 1.0], "B")],
                                   "kb_id string, seq long, embedding array<double>, answer string")
