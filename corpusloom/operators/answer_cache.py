@@ -17,6 +17,7 @@ from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 
 from corpusloom.functions.vectors import matrix_of, unit_rows
 from corpusloom.operators.ranking import top_k_per_group
+from corpusloom.operators.scan import row_slices
 from corpusloom.session import materialize, read_or_empty
 
 # Similarity that counts as the same question, rows kept per kb.
@@ -100,19 +101,59 @@ class CacheStore:
         return self.publish(invalidate(self.current(), changed_kbs))
 
 
-def _match_groups(threshold: float, out: pa.Schema):
+class _Shelf:
+    """Cached rows of one shelf, by cell, against which questions are held."""
+
+    def __init__(self, rows: pa.Table, pivots: np.ndarray, lo: np.ndarray, hi: np.ndarray):
+        self.seq = rows.column("seq").to_numpy()
+        lists = rows.column("_cached").combine_chunks()
+        self.known = unit_rows(matrix_of(lists, len(lists[0])))
+        cell = rows.column("_cell").to_numpy()
+        self.begins = np.nonzero(np.diff(cell, prepend=-1))[0]
+        self.ends = np.append(self.begins[1:], len(cell))
+        own = cell[self.begins]
+        self.pivots, self.lo, self.hi = pivots[own], lo[own], hi[own]
+
+    def best(self, lists: pa.Array, threshold: float, reach: float) -> tuple[np.ndarray, np.ndarray]:
+        """(similarity, seq) of every question's best row, -inf where none is similar enough.
+
+        Only rows of cells within reach are compared.
+        """
+        asked = unit_rows(matrix_of(lists, self.known.shape[1]))
+        best, seq = np.full(len(asked), -np.inf), np.zeros(len(asked), np.int64)
+        near = np.concatenate([_reached(asked[part], self.pivots, self.lo, self.hi, reach)
+                               for part in row_slices(len(asked), len(self.pivots))])
+        for cell, (begin, end) in enumerate(zip(self.begins, self.ends)):
+            wanted, rows = np.nonzero(near[:, cell])[0], self.known[begin:end].T
+            for part in row_slices(len(wanted), end - begin):
+                raw = asked[wanted[part]] @ rows
+                hit = np.nonzero(raw.max(axis=1) >= threshold)[0]
+                if not len(hit):
+                    continue
+                raw, who = raw[hit], wanted[part][hit]
+                # The threshold is held against the similarity itself; it is rounded to rank.
+                scores = np.where(raw >= threshold, np.round(raw, _DIGITS) + 0.0, -np.inf)
+                # A cell's rows come in seq order, so the last maximum is the latest row.
+                at = scores.shape[1] - 1 - np.argmax(scores[:, ::-1], axis=1)
+                top, latest = scores[np.arange(len(at)), at], self.seq[begin + at]
+                more = (top > best[who]) | (top == best[who]) & (latest > seq[who])
+                best[who[more]], seq[who[more]] = top[more], latest[more]
+        return best, seq
+
+
+def _match_groups(cells: Cells, threshold: float, out: pa.Schema):
     """Function for ``mapInArrow`` over rows sorted by group, cache rows before questions.
 
-    Gives one row per question with a similar enough row in the group's block of the cache.
+    Gives one row per question with a similar enough row on the group's shelf of the cache.
     """
+    reach = _reach(threshold)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        group, pieces, cached, known = None, [], None, None
+        group, pieces, shelf = None, [], None
         for batch in batches:
             kbs = batch.column("kb_id").dictionary_encode()
             kb_at = kbs.indices.to_numpy(zero_copy_only=False)
-            place = [batch.column(c).to_numpy(zero_copy_only=False)
-                     for c in ("_cell", "_block", "_part", "_asked")]
+            place = [batch.column(c).to_numpy(zero_copy_only=False) for c in ("_shelf", "_part", "_asked")]
             turns = np.zeros(max(0, batch.num_rows - 1), dtype=bool)
             for at in (kb_at, *place):
                 turns |= np.diff(at) != 0
@@ -121,58 +162,65 @@ def _match_groups(threshold: float, out: pa.Schema):
                 if start == stop:
                     continue
                 rows = batch.slice(start, stop - start)
-                here = (kbs.dictionary[int(kb_at[start])].as_py(),
-                        *(int(p[start]) for p in place[:3]))
+                kb = kbs.dictionary[int(kb_at[start])].as_py()
+                here = (kb, *(int(p[start]) for p in place[:2]))
                 if here != group:
-                    group, pieces, cached = here, [], None
-                if place[3][start] == 0:
-                    pieces.append(rows.select(["_cached", "seq"]))
+                    group, pieces, shelf = here, [], None
+                if place[2][start] == 0:
+                    pieces.append(rows.select(["_cached", "seq", "_cell"]))
                     continue
-                if cached is None and pieces:
-                    cached = pa.Table.from_batches(pieces).combine_chunks()
-                    lists = cached.column("_cached").combine_chunks()
-                    known = unit_rows(matrix_of(lists, len(lists[0]))).T.copy()
-                if cached is None:
+                if shelf is None and pieces:
+                    shelf = _Shelf(pa.Table.from_batches(pieces), cells.pivots[kb], cells.lo[kb], cells.hi[kb])
+                    pieces = []
+                if shelf is None:
                     continue
-                vectors = matrix_of(rows.column("embedding"), len(known))
-                raw = unit_rows(vectors) @ known
-                # The threshold is held against the similarity itself; it is rounded to rank.
-                scores = np.where(raw >= threshold, np.round(raw, _DIGITS) + 0.0, -np.inf)
-                # Cache rows come in seq order, so the last maximum is the latest row.
-                at = scores.shape[1] - 1 - np.argmax(scores[:, ::-1], axis=1)
-                best = scores[np.arange(len(at)), at]
+                best, seq = shelf.best(rows.column("embedding"), threshold, reach)
                 hit = np.nonzero(best > -np.inf)[0]
                 if len(hit):
                     found = rows.take(pa.array(hit))
                     yield pa.RecordBatch.from_arrays([
                         found.column("query_id").cast(out.field(0).type),
                         found.column("kb_id").cast(out.field(1).type), pa.array(best[hit]),
-                        cached.column("seq").combine_chunks().take(pa.array(at[hit]))], schema=out)
+                        pa.array(seq[hit])], schema=out)
 
     return run
 
 
 @dataclass
 class Cells:
-    """Pivots per kb, and of the cached rows nearest to each their number and angles to it."""
+    """Pivots per kb; of the cached rows nearest to each their angles to it and their number in blocks.
+
+    Blocks are numbered through the cells of a kb, and ``per_shelf`` of them make a shelf.
+    """
 
     pivots: dict[str, np.ndarray]
     lo: dict[str, np.ndarray]
     hi: dict[str, np.ndarray]
     blocks: dict[str, np.ndarray]
+    per_shelf: int
 
-    def reached(self, kb: str, questions: np.ndarray, reach: float) -> np.ndarray:
-        """Questions x cells: whether a row of the cell may lie within ``reach`` of the question.
+    def shelves(self, kb: str) -> np.ndarray:
+        """Cells x shelves: whether a cell has blocks on a shelf."""
+        ends = np.cumsum(self.blocks[kb])
+        first, last = (ends - self.blocks[kb]) // self.per_shelf, (ends - 1) // self.per_shelf
+        at = np.arange(last.max() + 1)
+        return (first[:, None] <= at) & (at <= last[:, None]) & (self.blocks[kb] > 0)[:, None]
 
-        A row is lo to hi from its pivot, so by the triangle inequality it is farther from a
-        question whose own angle to the pivot is not within ``reach`` of that range.
-        """
-        away = _angles(questions, self.pivots[kb])
-        return (away - reach <= self.hi[kb]) & (away + reach >= self.lo[kb])
 
+def _reach(threshold: float) -> float:
+    """The largest angle of two vectors that are similar enough."""
+    # Angles are known to some 1e-8. Vectors of length 0 have a cosine of 0 with all.
+    return np.arccos(min(1.0, threshold)) + 1e-6 if threshold > 0 else np.pi
 
-def _angles(vectors: np.ndarray, pivots: np.ndarray) -> np.ndarray:
-    return np.arccos(np.clip(vectors @ pivots.T, -1, 1))
+
+def _reached(questions: np.ndarray, pivots: np.ndarray, lo: np.ndarray, hi: np.ndarray, reach: float) -> np.ndarray:
+    """Questions x cells: whether a row of the cell may lie within ``reach`` of the question.
+
+    A row is lo to hi from its pivot, so by the triangle inequality it is farther from a
+    question whose own angle to the pivot is not within ``reach`` of that range.
+    """
+    away = np.arccos(np.clip(questions @ pivots.T, -1, 1))
+    return (away - reach <= hi) & (away + reach >= lo)
 
 
 def _by_kb(kbs: pa.Array):
@@ -189,6 +237,7 @@ def cell_cache(cache: DataFrame, rows_per_block: int,
 
     About one row in ``rows_per_block`` is a pivot, by the hash of its number, fewer where so many
     would not fit ``block_bytes``; and the first by hash in every kb. Pivots go to all tasks.
+    A shelf holds about half of ``block_bytes`` of vectors, one block at least.
     """
     n, width = cache.agg(F.count("*"), F.max(F.size("embedding"))).first()
     rows_per_pivot = max(rows_per_block, (n or 0) * (width or 0) * 8 // block_bytes)
@@ -206,16 +255,18 @@ def cell_cache(cache: DataFrame, rows_per_block: int,
         cell, angle = np.zeros(len(kbs), np.int32), np.zeros(len(kbs))
         for kb, at in _by_kb(kbs):
             own = pivots[kb]
-            away = _angles(unit_rows(matrix_of(lists.take(pa.array(at)), own.shape[1])), own)
-            cell[at] = away.argmin(1)
-            angle[at] = away.min(1)
+            vectors = unit_rows(matrix_of(lists.take(pa.array(at)), own.shape[1]))
+            for part in row_slices(len(at), len(own)):
+                cosines = vectors[part] @ own.T
+                cell[at[part]] = cosines.argmax(1)
+                angle[at[part]] = np.arccos(np.clip(cosines.max(1), -1, 1))
         return pa.StructArray.from_arrays([pa.array(cell), pa.array(angle)], names=["cell", "angle"])
 
     placed = materialize(cache.withColumn("_place", nearest(F.col("kb_id"), vector)).withColumn(
         "_cell", F.col("_place.cell")), "cache-cells")
     held = placed.groupBy("kb_id", "_cell").agg(
         F.count("*").alias("n"), F.min("_place.angle").alias("lo"), F.max("_place.angle").alias("hi")).toArrow()
-    cells = Cells(pivots, {}, {}, {})
+    cells = Cells(pivots, {}, {}, {}, max(1, block_bytes // 2 // max(1, (width or 0) * 8 * rows_per_block)))
     for kb, at in _by_kb(held.column("kb_id").combine_chunks()):
         own = held.take(pa.array(at))
         where, size = own.column("_cell").to_numpy(), len(pivots[kb])
@@ -228,51 +279,62 @@ def cell_cache(cache: DataFrame, rows_per_block: int,
 
 
 def asked_blocks(questions: DataFrame, cells: Cells, threshold: float) -> DataFrame:
-    """(query_id, kb_id, embedding, _cell, _block): the blocks that may hold an answer for a question."""
-    # Angles are known to some 1e-8. Vectors of length 0 have a cosine of 0 with all.
-    reach = np.arccos(min(1.0, threshold)) + 1e-6 if threshold > 0 else np.pi
-    kind = pa.list_(pa.struct([("cell", pa.int32()), ("block", pa.int32())]))
+    """(query_id, kb_id, embedding, _shelf): the shelves that may hold an answer for a question."""
+    reach = _reach(threshold)
 
-    @F.arrow_udf("array<struct<cell: int, block: int>>")
+    @F.arrow_udf("array<int>")
     def reached(kbs: pa.Array, lists: pa.Array) -> pa.Array:
         out: list = [[] for _ in range(len(kbs))]
         for kb, at in _by_kb(kbs):
             if kb in cells.pivots:
                 vectors = unit_rows(matrix_of(lists.take(pa.array(at)), cells.pivots[kb].shape[1]))
-                near = cells.reached(kb, vectors, reach)
-                for row, mine in zip(at, near):
-                    out[row] = [{"cell": int(c), "block": b} for c in np.nonzero(mine)[0] for b in range(cells.blocks[kb][c])]
-        return pa.array(out, kind)
+                shelves = cells.shelves(kb).astype(np.float32)
+                for part in row_slices(len(at), len(shelves)):
+                    near = _reached(vectors[part], cells.pivots[kb], cells.lo[kb], cells.hi[kb], reach)
+                    for row, mine in zip(at[part], near.astype(np.float32) @ shelves):
+                        out[row] = np.nonzero(mine)[0].tolist()
+        return pa.array(out, pa.list_(pa.int32()))
 
     vector = F.col("embedding").cast("array<double>")
     return questions.select("query_id", "kb_id", vector.alias("embedding"), F.explode(
-        reached(F.col("kb_id"), vector)).alias("_at")).select(
-        "query_id", "kb_id", "embedding", F.col("_at.cell").alias("_cell"), F.col("_at.block").alias("_block"))
+        reached(F.col("kb_id"), vector)).alias("_shelf"))
+
+
+def _shelf_of(cells: Cells) -> Column:
+    """The shelf of a cached row: blocks of its cell take rows by the hash of their number."""
+
+    @F.arrow_udf("int")
+    def shelf(kbs: pa.Array, cell: pa.Array, turn: pa.Array) -> pa.Array:
+        out = np.zeros(len(kbs), np.int32)
+        own, turns = cell.to_numpy(zero_copy_only=False), turn.to_numpy(zero_copy_only=False)
+        for kb, at in _by_kb(kbs):
+            blocks = cells.blocks[kb]
+            first = np.cumsum(blocks) - blocks
+            out[at] = (first[own[at]] + turns[at] % blocks[own[at]]) // cells.per_shelf
+        return pa.array(out)
+
+    return shelf(F.col("kb_id"), F.col("_cell"), F.xxhash64("seq"))
 
 
 def _best_answers(cache: DataFrame, questions: DataFrame, threshold: float, rows_per_part: int,
                   rows_per_block: int, block_bytes: int) -> DataFrame:
     """(query_id, kb_id, hit, similarity, seq) of the questions with an answer."""
-    kbs = questions.select("kb_id").distinct()
-    placed, cells = cell_cache(cache.join(kbs, "kb_id", "left_semi"), rows_per_block, block_bytes)
-    block = ["kb_id", "_cell", "_block"]
-    asked = materialize(asked_blocks(questions, cells, threshold), "asked-blocks")
-    parts = asked.groupBy(*block).agg(F.ceil(F.count("*") / rows_per_part).cast("int").alias("_parts"))
-    blocks = placed.groupBy("kb_id", "_cell").agg(F.ceil(F.count("*") / rows_per_block).cast("int").alias("_blocks"))
-    live = placed.join(blocks, ["kb_id", "_cell"]).withColumn(
-        "_block", F.pmod(F.xxhash64("seq"), F.col("_blocks")).cast("int")).join(parts, block).select(
-        *block, F.col("embedding").cast("array<double>").alias("_cached"), F.col("seq").cast("long").alias("seq"),
+    parts = materialize(questions.groupBy("kb_id").agg(
+        F.ceil(F.count("*") / rows_per_part).cast("int").alias("_parts")), "question-parts")
+    placed, cells = cell_cache(cache.join(parts, "kb_id", "left_semi"), rows_per_block, block_bytes)
+    live = placed.withColumn("_shelf", _shelf_of(cells)).join(parts, "kb_id").select(
+        "kb_id", "_shelf", "_cell", F.col("embedding").alias("_cached"), F.col("seq").cast("long").alias("seq"),
         F.lit(0).alias("_asked"), F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)).alias("_part"))
-    asked = asked.join(parts, block).select(
-        *block, "query_id", "embedding", F.lit(1).alias("_asked"),
+    asked = asked_blocks(questions, cells, threshold).join(parts, "kb_id").select(
+        "kb_id", "_shelf", "query_id", "embedding", F.lit(1).alias("_asked"),
         F.pmod(F.xxhash64("query_id"), F.col("_parts")).cast("int").alias("_part"))
     out = StructType([questions.schema["query_id"], questions.schema["kb_id"],
                       StructField("similarity", DoubleType()), StructField("seq", LongType())])
-    keys = (*block, "_part")
+    keys = ("kb_id", "_shelf", "_part")
     return (
         live.unionByName(asked, allowMissingColumns=True)
-        .repartition(*keys).sortWithinPartitions(*keys, "_asked", "seq")
-        .mapInArrow(_match_groups(threshold, to_arrow_schema(out)), out)
+        .repartition(*keys).sortWithinPartitions(*keys, "_asked", "_cell", "seq")
+        .mapInArrow(_match_groups(cells, threshold, to_arrow_schema(out)), out)
         .groupBy("query_id", "kb_id").agg(F.max(F.struct("similarity", "seq")).alias("_best"))
         .select("query_id", "kb_id", F.lit(True).alias("hit"), "_best.*")
     )
@@ -284,12 +346,13 @@ def lookup(cache: DataFrame, questions: DataFrame, threshold: float = THRESHOLD,
     """Every question with the most similar cached answer of its kb, or nulls on a miss.
 
     All rows of the kb's cache count; only ``insert`` and ``evict`` limit how many there are. Of
-    equally similar rows the later one wins. A kb's cache is cut into cells around pivots, and
-    these into blocks of ``rows_per_block``; a question goes only to blocks of cells that the
-    triangle inequality lets hold a row of the ``threshold``. The questions of a block are cut into
-    parts of about ``rows_per_part``. A part and its block are shuffled to one task and sorted so
-    that the block comes first; the questions then stream past it. No pair of question and cached
-    row ever becomes a row: a block gives its best row per question, and these are reduced to one.
+    equally similar rows the later one wins. A kb's cache is cut into cells around pivots, these
+    into blocks of ``rows_per_block``, and many blocks make a shelf. A question goes once to every
+    shelf with a cell that the triangle inequality lets hold a row of the ``threshold``, and is
+    compared there with the rows of such cells. The questions of a kb are cut into parts of about
+    ``rows_per_part``. A part and a shelf are shuffled to one task and sorted so that the shelf
+    comes first; the questions then stream past it. No pair of question and cached row or block
+    ever becomes a row: a shelf gives its best row per question, and these are reduced to one.
     More kbs than ``block_bytes`` hold a pivot of each take further passes over their own rows.
 
     ``questions``: query_id, kb_id, embedding and more; a pair of query_id and kb_id names one question.

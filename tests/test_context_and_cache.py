@@ -201,3 +201,19 @@ def test_lookup_in_a_clustered_cache_skips_far_blocks(spark, rows_per_part, rows
     pairs = cache.asked_blocks(questions.filter("kb_id is not null"), cells, 0.9).count()
     every = sum(int(cells.blocks[kb].sum()) for _, kb, _ in asked if kb in cells.blocks)
     assert placed.count() == len(rows) and 0 < pairs < 0.35 * every
+
+
+def test_a_question_goes_to_a_shelf_once_however_many_blocks_it_has(spark):
+    rng = np.random.default_rng(3)
+    rows = [("k", i, rng.normal(size=8).tolist(), f"a{i}") for i in range(2000)]
+    held = spark.createDataFrame(rows, "kb_id string, seq long, embedding array<double>, answer string")
+    asked = spark.createDataFrame([(i, "k", rng.normal(size=8).tolist()) for i in range(50)], ASK)
+    for threshold in (0.0, 0.9):
+        _, cells = cache.cell_cache(held, 10)
+        assert cells.blocks["k"].sum() >= 200 and cache.asked_blocks(asked, cells, threshold).count() <= 50
+        small = cache.cell_cache(held, 10, 2 * 10 * 64 * 50)[1]
+        assert small.shelves("k").shape[1] > 1
+        found = [{r.query_id: (r.seq, r.similarity) for r in cache.lookup(
+            held, asked, threshold, rows_per_block=n, block_bytes=size).collect()} for n, size in (
+            (10, 64 << 20), (10, 2 * 10 * 64 * 50), (20_000, 64 << 20))]
+        assert found[0] == found[1] == found[2]
