@@ -3,11 +3,12 @@ import random
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from corpusloom.functions.vectors import cosine
-from corpusloom.operators import fusion, keyword, ranking, vectors
+from corpusloom.operators import fusion, keyword, postings, ranking, vectors
 from corpusloom.operators.postings import PostingsIndex
 
 VOCAB = ["red", "green", "blue", "cat", "dog", "sun", "moon", "tree", "the", "a"]
@@ -293,3 +294,22 @@ def test_rendering_shows_known_pages_and_a_reply_without_hits(spark):
     got = {r.query_id: r.text for r in fusion.render_hits(asked, hits).collect()}
     assert got[1] == "[1] 来源: a.md, 第 3 页\n" + "y" * 300 + "\n\n[2] 来源: b.md\nshort\n"
     assert got[2] == fusion.NOTHING_FOUND
+
+
+def test_common_terms_are_not_added_place_by_place(monkeypatch):
+    n, asks = 500, 200
+    table = pa.table({"query_id": list(range(asks)) * 2, "kb_id": ["k"] * 2 * asks, "avg_len": [3.0] * 2 * asks,
+                      "term": ["every"] * asks + [f"rare{i}" for i in range(asks)], "weight": [0.5] * asks + [2.0] * asks})
+    lists = {"every": (np.arange(n), np.ones(n, np.int64))} | {
+        f"rare{i}": (np.array([i]), np.array([2])) for i in range(asks)}
+    unit = {"chunk_ids": [f"c{i:03}" for i in range(n)], "lengths": [3] * n, "queries": list(range(asks))}
+    added, ragged = [], postings._ragged
+    monkeypatch.setattr(postings, "_ragged", lambda *x: added.append(ragged(*x)) or added[-1])
+    found = [row for part in postings.best_of_unit(postings.pack_asks(table)["k"], unit, lists, 2, False)
+             for row in zip(*part)]
+    every, rare = 0.5 * postings.gain(1, 3, 3.0), 2.0 * postings.gain(2, 3, 3.0)
+    for q in range(asks):
+        other = "c001" if q == 0 else "c000"
+        assert [(c, s) for a, c, s in found if a == q] == [
+            (f"c{q:03}", pytest.approx(every + rare, abs=1e-6)), (other, pytest.approx(every, abs=1e-6))]
+    assert sum(map(len, added)) < 0.1 * n * asks
