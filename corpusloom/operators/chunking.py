@@ -4,8 +4,11 @@ from __future__ import annotations
 
 import re
 from bisect import bisect_right
+from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F
 
 # Default window, boundary marks in order of preference, look-back distance.
@@ -13,6 +16,8 @@ CHUNK_SIZE = 500
 CHUNK_OVERLAP = 50
 BOUNDARY_MARKS = ("\n\n", "\n", "。", "；", "，", ".", ";", ",")
 LOOK_BACK = 100
+#: Texts of one Arrow batch are taken as strings so many bytes at a time.
+SLICE_BYTES = 1 << 20
 
 # A mark's first character, followed by the rest of it: overlapping places count, as in "\n\n\n".
 _MARK_PATTERNS = [re.compile(re.escape(mark[0]) + (f"(?={re.escape(mark[1:])})" if mark[1:] else ""))
@@ -97,11 +102,25 @@ def split_all(text: Column, settings: list[tuple[int, int]], drop_contained_tail
 
     @F.arrow_udf("array<array<string>>")
     def parts(texts: pa.Array) -> pa.Array:
-        return pa.array([None if t is None else parts_of(t) for t in texts.to_pylist()], type=kind)
+        return _concat([pa.array([None if t is None else parts_of(t) for t in some.to_pylist()], type=kind)
+                        for some in byte_slices(texts)], kind)
 
     return parts(text)
 
 
+def byte_slices(texts: pa.Array, size: int = SLICE_BYTES) -> Iterator[pa.Array]:
+    """Consecutive texts of about ``size`` bytes, at least one, so that a task's strings stay few."""
+    lengths = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False)
+    turn = np.cumsum(lengths, dtype=np.int64) // size
+    starts = np.nonzero(np.diff(turn, prepend=-1))[0].tolist()
+    for start, stop in zip(starts, [*starts[1:], len(texts)]):
+        yield texts.slice(start, stop - start)
+
+
+def _concat(parts: list[pa.Array], kind: pa.DataType) -> pa.Array:
+    return pa.concat_arrays(parts) if parts else pa.array([], kind)
+
+
 def chunk_blocks(blocks: DataFrame, size: int = CHUNK_SIZE, overlap: int = CHUNK_OVERLAP,
                  drop_contained_tail: bool = False) -> DataFrame:
     """One row per chunk; ``chunk_index`` starts over in every block.

@@ -1,5 +1,6 @@
 import random
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -132,3 +133,10 @@ def test_sweep_equals_single_runs(spark):
         single = chunking.chunk_blocks(rows, size, overlap).collect()
         assert sorted((r.doc_id, r.chunk_index, r.content) for r in single) == sorted(
             (r.doc_id, r.chunk_index, r.content) for r in swept if r.chunk_size == size)
+
+
+def test_a_batch_of_texts_is_taken_as_strings_in_slices():
+    texts = pa.array(["a" * 30, None, "", "b" * 90, "ä" * 10, "c"])
+    slices = list(chunking.byte_slices(texts, 40))
+    assert [x for part in slices for x in part.to_pylist()] == texts.to_pylist()
+    assert [len(part) for part in slices] == [3, 3] and list(chunking.byte_slices(texts.slice(0, 0))) == []
