@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from corpusloom.operators import answer_cache as cache
 from corpusloom.plans import bindings as b, sql
 from corpusloom.session import materialize, new_path
+from corpusloom.sources.files import write_texts
 from corpusloom.streaming import ingest, questions
 
 SMALL = 20
@@ -99,11 +100,11 @@ def stream_text_files(spark, sf):
     """Chunks of the documents that a stream of text files brought, one file per document."""
     folder = new_path(spark, "text-files")
     docs = b.table(spark, sf, "documents").filter("source is not null and text is not null")
-    docs.select("source", "text").write.partitionBy("source").option(
-        "maxRecordsPerFile", 1).text(folder)
+    write_texts(docs, folder)
     target = new_path(spark, "text-chunks")
-    ingest.start_ingest(ingest.text_file_stream(spark, folder, files_per_batch=100_000), target,
-                        new_path(spark, "state")).awaitTermination()
+    with ingest.small_files(spark):
+        ingest.start_ingest(ingest.text_file_stream(spark, folder, files_per_batch=100_000), target,
+                            new_path(spark, "state")).awaitTermination()
     return ingest.read_chunks(spark, target).select(
         F.regexp_extract("kb_id", "=(.*)", 1).alias("kb_id"), "chunk_index",
         F.md5("content").alias("content_md5"))

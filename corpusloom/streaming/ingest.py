@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from contextlib import contextmanager
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -52,6 +55,28 @@ def _text_documents(files: DataFrame) -> DataFrame:
         F.length(text).cast("long").alias("n_chars"), "modificationTime")
 
 
+#: For batches of many small files: Spark lists them with a task for each path up to its default of
+#: 10,000, and reads 32 of them in a task.
+SMALL_FILES = {"spark.sql.sources.parallelPartitionDiscovery.parallelism": "64",
+               "spark.sql.files.openCostInBytes": str(64 << 10)}
+
+
+@contextmanager
+def small_files(spark: SparkSession) -> Iterator[None]:
+    """Settings for streams of many small files, as long as they run within; then those from before.
+
+    A file source asks the session it was made in, so a stream that goes on needs them there for good.
+    """
+    before = {key: spark.conf.get(key, None) for key in SMALL_FILES}
+    try:
+        for key, value in SMALL_FILES.items():
+            spark.conf.set(key, value)
+        yield
+    finally:
+        for key, value in before.items():
+            spark.conf.unset(key) if value is None else spark.conf.set(key, value)
+
+
 def _start(documents: DataFrame, write, checkpoint: str, trigger: dict | None) -> StreamingQuery:
     return (
         documents.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)

@@ -335,3 +335,33 @@ def test_the_default_kb_is_created_where_there_is_none(spark):
     made = catalog.with_default_kb(kbs.limit(0), now)
     assert [(r.kb_id, r.name) for r in made.collect()] == [("agent", "agent")] and made.columns == kbs.columns
     assert not catalog.default_kb(made).first().is_new
+
+
+def test_texts_become_a_file_each_made_by_many_tasks(spark, tmp_path):
+    rows = spark.createDataFrame([("a" if i % 3 else "b", f"text {i}\nof two lines") for i in range(60)],
+                                 "source string, text string").coalesce(1)
+    folder = tmp_path / "texts"
+    files.write_texts(rows, str(folder))
+    made = sorted(folder.rglob("*.txt"))
+    assert sorted(f.read_text().strip() for f in made) == sorted(f"text {i}\nof two lines" for i in range(60))
+    assert {f.parent.name for f in made} == {"source=a", "source=b"}
+    assert not list(folder.rglob("*.crc"))
+    assert len({f.name.split("-")[1] for f in made}) > 1
+
+
+def test_many_files_are_listed_by_few_tasks(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    for i in range(150):
+        (tmp_path / "in" / f"{i}.txt").write_text(f"text {i}")
+    name = "spark.sql.sources.parallelPartitionDiscovery.parallelism"
+    before = spark.conf.get(name)
+    with ingest.small_files(spark):
+        query = ingest.start_ingest(ingest.text_file_stream(spark, str(tmp_path / "in")), str(tmp_path / "out"),
+                                    str(tmp_path / "state"))
+        query.awaitTermination()
+    tracker = spark.sparkContext.statusTracker()
+    jobs = [tracker.getJobInfo(j) for j in tracker.getJobIdsForGroup(str(query.runId))]
+    stages = [tracker.getStageInfo(s) for j in jobs for s in j.stageIds]
+    assert stages and max(s.numTasks for s in stages if s) <= 64
+    assert spark.conf.get(name) == before
+    assert ingest.read_chunks(spark, str(tmp_path / "out")).count() == 150
