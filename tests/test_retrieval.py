@@ -313,3 +313,30 @@ def test_common_terms_are_not_added_place_by_place(monkeypatch):
         assert [(c, s) for a, c, s in found if a == q] == [
             (f"c{q:03}", pytest.approx(every + rare, abs=1e-6)), (other, pytest.approx(every, abs=1e-6))]
     assert sum(map(len, added)) < 0.1 * n * asks
+
+
+def test_units_are_full_whatever_the_batches_are(spark):
+    chunks = spark.createDataFrame([("k", f"c{i:04}", "a b " * (300 if i == 7 else 1) + f"w{i}") for i in range(200)]
+                                   + [("k", "empty", " ")], "kb_id string, chunk_id string, content string").coalesce(1)
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "17")
+    try:
+        index = postings.PostingsIndex.build(chunks, unit_chunks=40)
+    finally:
+        spark.conf.set(name, before)
+    sizes = sorted(len(r.chunk_ids) for r in index.units().collect())
+    assert sizes == [1, 40, 40, 40, 40, 40]
+    stored = index.postings(["a", "w3"]).collect()
+    # Numbers take the bytes that a unit's largest one needs.
+    assert {len(r.places) // r.n for r in stored} == {1}
+    assert sorted({len(r.counts) // r.n for r in stored}) == [1, 2]
+    assert sum(r.n for r in stored if r.term == "a") == 200 and max(r.max_tf for r in stored) == 300
+
+
+def test_tokens_that_cannot_travel_as_one_string_are_refused(spark):
+    from corpusloom.operators.keyword import with_tokens
+    chunks = with_tokens(spark.createDataFrame([("k", "c", "a b")], "kb_id string, chunk_id string, content string"))
+    odd = chunks.withColumn("tokens", F.array(F.lit("a\0b"), F.lit("c")))
+    with pytest.raises(Exception, match="holds the character 0"):
+        postings.PostingsIndex.build(odd)
