@@ -76,13 +76,23 @@ def _slot_frequencies(width: int, held_kbs: int = 10_000):
     return run
 
 
-def weighted_slots(kb: Column, tokens: Column, sent: Broadcast, width: int = VECTOR_WIDTH) -> Column:
+def _to_slots(matrix: np.ndarray) -> pa.Array:
+    """(slot, weight) of what is not zero in each row."""
+    row, slot = np.nonzero(matrix)
+    offsets = np.searchsorted(row, np.arange(len(matrix) + 1)).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.StructArray.from_arrays(
+        [pa.array(slot.astype(np.int32)), pa.array(matrix[row, slot])], ["slot", "weight"]))
+
+
+def weighted_slots(kb: Column, tokens: Column, sent: Broadcast, width: int = VECTOR_WIDTH,
+                   sparse: bool = False) -> Column:
     """Token counts per slot times the kb's slot weights, scaled to length one, as float32.
 
-    ``sent`` maps kb_id to its weights. A text of another kb gets null.
+    ``sent`` maps kb_id to its weights. A text of another kb gets null. ``sparse`` gives slots
+    with their weights, only those that are not zero.
     """
 
-    @F.arrow_udf("array<float>")
+    @F.arrow_udf("array<struct<slot:int,weight:float>>" if sparse else "array<float>")
     def vectors(kbs: pa.Array, lists: pa.Array) -> pa.Array:
         held = sent.value
         coded = kbs.dictionary_encode()
@@ -94,7 +104,7 @@ def weighted_slots(kb: Column, tokens: Column, sent: Broadcast, width: int = VEC
         if len(names):
             raw = raw * table[at]
         good = (at >= 0) & (known[at] if len(names) else False)
-        rows = _to_lists(unit_rows(raw).astype(np.float32))
+        rows = (_to_slots if sparse else _to_lists)(unit_rows(raw).astype(np.float32))
         return rows if good.all() else rows.take(pa.array(np.arange(len(at)), mask=~good))
 
     return vectors(kb, tokens)
@@ -123,8 +133,9 @@ def slot_weights(texts: DataFrame, content: str = "content",
 
 
 def vectorize(texts: DataFrame, weights: DataFrame, content: str = "content",
-              width: int = VECTOR_WIDTH, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+              width: int = VECTOR_WIDTH, block_bytes: int = BLOCK_BYTES, sparse: bool = False) -> DataFrame:
     """Add ``embedding``: unit-length hashed TF-IDF, float32. Texts without tokens get zeros.
+    With ``sparse`` it has the slots and weights that are not zero.
 
     Input order and duplicates are kept as rows; texts of a kb without weights are dropped.
     Weights go to the tasks once, not with every row: their size is checked, and more kbs than one
@@ -140,7 +151,7 @@ def vectorize(texts: DataFrame, weights: DataFrame, content: str = "content",
             table.column("slot_idf").combine_chunks(), width) if table.num_rows else []))
         sent = spark.sparkContext.broadcast(held)
         parts.append(texts.filter(block_of == i).withColumn(
-            "embedding", weighted_slots(F.col("kb_id"), _tokens(texts, content), sent, width)))
+            "embedding", weighted_slots(F.col("kb_id"), _tokens(texts, content), sent, width, sparse)))
     whole = parts[0]
     for part in parts[1:]:
         whole = whole.unionByName(part)

@@ -340,3 +340,13 @@ def test_tokens_that_cannot_travel_as_one_string_are_refused(spark):
     odd = chunks.withColumn("tokens", F.array(F.lit("a\0b"), F.lit("c")))
     with pytest.raises(Exception, match="holds the character 0"):
         postings.PostingsIndex.build(odd)
+
+
+def test_sparse_vectors_hold_what_is_not_zero(spark):
+    texts = spark.createDataFrame([("k", "a", "one two two"), ("k", "b", "..."), ("k", "c", "three one"), ("x", "d", "one")],
+                                  "kb_id string, chunk_id string, content string")
+    weights = vectors.slot_weights(texts.filter("kb_id = 'k'"))
+    dense = {r.chunk_id: r.embedding for r in vectors.vectorize(texts, weights).collect()}
+    sparse = {r.chunk_id: [tuple(x) for x in r.embedding] for r in vectors.vectorize(texts, weights, sparse=True).collect()}
+    assert sparse == {c: [(i, w) for i, w in enumerate(v) if w] for c, v in dense.items()}
+    assert set(sparse) == {"a", "b", "c"} and sparse["b"] == []
