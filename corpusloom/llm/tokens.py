@@ -93,12 +93,31 @@ class PieceEncoder:
                 for t, p in zip(texts, pieces)]
 
     def _learn(self, fresh: list[str]) -> None:
-        code = "H" if self.dtype.itemsize == 2 else "I"
         for at in range(0, len(fresh), _BATCH):
             batch = fresh[at:at + _BATCH]
-            made = self.tokenizer.encode_batch_fast(batch, add_special_tokens=False)
-            for piece, one in zip(batch, made):
-                self.known[piece] = array(code, one.ids).tobytes()
+            self.known.update(zip(batch, self._joined(batch) or self._apart(batch)))
+
+    def _apart(self, pieces: list[str]) -> list[bytes]:
+        code = "H" if self.dtype.itemsize == 2 else "I"
+        made = self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)
+        return [array(code, one.ids).tobytes() for one in made]
+
+    def _joined(self, pieces: list[str]) -> list[bytes] | None:
+        """The ids of all pieces from one text of them, which takes two thirds of the time.
+
+        Only where white space is dropped, as between them in their own texts; where a token began
+        tells whose it is. None when places in the text do not rise.
+        """
+        if self.cut is not _DROPPED:
+            return None
+        made = self.tokenizer.encode(" ".join(pieces), add_special_tokens=False)
+        places = np.array(made.offsets, np.int64).reshape(-1, 2)[:, 0]
+        if (np.diff(places) < 0).any():
+            return None
+        starts = np.cumsum([0, *(len(piece) + 1 for piece in pieces)])
+        cut = (np.searchsorted(places, starts) * self.dtype.itemsize).tolist()
+        ids = np.array(made.ids, self.dtype).tobytes()
+        return [ids[i:j] for i, j in zip(cut, cut[1:])]
 
     def _whole(self, text: str) -> bytes:
         ids = self.tokenizer.encode(text, add_special_tokens=False).ids

@@ -7,6 +7,7 @@ import pytest
 from hypothesis import given, settings, strategies as st
 from tokenizers import Tokenizer
 
+from corpusloom.llm import token_files
 from corpusloom.llm.packing import pack
 from corpusloom.llm.token_files import (decode_block, encode_block, read_token_files,
                                         write_token_files)
@@ -108,3 +109,30 @@ def test_packing_covers_every_id_once(docs):
 
 def test_packing_an_empty_table(docs):
     assert pack(docs.limit(0)).count() == 0
+
+
+def test_blocks_of_small_and_of_large_ids_are_coded_alike(monkeypatch):
+    rng = np.random.default_rng(3)
+    small = (rng.zipf(1.3, 5000) % 40_000).astype("<u2")
+    coded = token_files.encode_block(small)
+    monkeypatch.setattr(np, "unique", None)
+    assert token_files.encode_block(small) == coded  # ids are counted, not sorted
+    monkeypatch.undo()
+    monkeypatch.setattr(token_files, "COUNTED_IDS", 0)
+    assert token_files.encode_block(small) == coded
+    monkeypatch.undo()
+    for ids in (small, small[:0], small.astype("<u4") + np.uint32(token_files.COUNTED_IDS)):
+        assert token_files.decode_block(len(ids), *token_files.encode_block(ids)).tolist() == ids.tolist()
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.text(alphabet="aZé̸́가İ中'st<|1 ,.\t\xa0​🙂", min_size=1, max_size=8).map(
+    lambda x: x.replace(" ", "_")), min_size=1, max_size=8, unique=True))
+def test_pieces_learnt_together_are_those_learnt_apart(pieces):
+    codec = encoder(public_path("word_bpe_49k.json")())
+    pieces += ["<|endoftext|>", "a" * 300, "\xa0"]
+    joined = codec._joined(pieces)
+    assert joined is None or joined == codec._apart(pieces)
+    assert codec._joined(["one", "two,", "don't"]) == codec._apart(["one", "two,", "don't"])
+    other = encoder(public_path("byte_bpe_50k.json")())
+    assert other._joined(["one"]) is None
