@@ -76,6 +76,26 @@ def test_postings_match_brute_force(corpus, unit_chunks, first_units, block_byte
     assert as_map(padded) == bm25(rows, questions, 40, pad=True)
 
 
+@pytest.mark.parametrize("unit_chunks, block_bytes", [(4096, 64 << 20), (7, 64 << 20), (7, 700)])
+def test_many_questions_make_no_row_per_question_and_unit(corpus, monkeypatch, unit_chunks, block_bytes):
+    rows, questions, chunks, asked, terms, stats = corpus
+    index = PostingsIndex.build(chunks, unit_chunks=unit_chunks)
+    monkeypatch.setattr(postings, "SELECTIVE_ASKS", 0, raising=False)
+    monkeypatch.setattr(PostingsIndex, "bounds", lambda *_: pytest.fail("a bound for each question and unit"))
+    assert as_map(index.top_k(asked, terms, stats, 7, block_bytes=block_bytes)) == bm25(rows, questions, 7)
+
+
+def test_questions_to_one_kb_share_a_block(spark):
+    rows = [(q, f"k{q % 20}", "term", 1.0, 3.0) for q in range(2000)]
+    weights = spark.createDataFrame(rows, "query_id long, kb_id string, term string, weight double, avg_len double")
+    blocks = [{r.kb_id: r["count"] for r in part.groupBy("kb_id").count().collect()}
+              for part in postings._blocks(weights, 250 * 52)]
+    assert sum(map(len, blocks)) == 20 and max(map(len, blocks)) == 2
+    assert all(n == 100 for part in blocks for n in part.values())
+    blocks = [sorted(r.query_id for r in part.collect()) for part in postings._blocks(weights, 30 * 52)]
+    assert len(blocks) == 80 and sorted(sum(blocks, [])) == list(range(2000))
+
+
 def test_postings_of_appended_chunks_and_of_all_kbs(spark, corpus):
     rows, questions, chunks, asked, _, _ = corpus
     index = PostingsIndex.build(chunks.filter("kb_id = 'hot'"), unit_chunks=20)
