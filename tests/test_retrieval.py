@@ -85,6 +85,20 @@ def test_many_questions_make_no_row_per_question_and_unit(corpus, monkeypatch, u
     assert as_map(index.top_k(asked, terms, stats, 7, block_bytes=block_bytes)) == bm25(rows, questions, 7)
 
 
+def test_units_are_full_where_a_task_has_several_kbs(spark, monkeypatch):
+    rows = [(f"k{i % 10}", f"c{i}", "word") for i in range(2000)]
+    chunks = spark.createDataFrame(rows, "kb_id string, chunk_id string, content string").coalesce(1)
+
+    def sizes():
+        units = PostingsIndex.build(chunks, unit_chunks=100).units()
+        return sorted(r[0] for r in units.select(F.size("chunk_ids")).collect())
+
+    assert sizes() == [100] * 20
+    monkeypatch.setattr(postings, "HELD_UNITS", 1)
+    small = sizes()
+    assert sum(small) == 2000 and max(small) <= 100
+
+
 def test_questions_to_one_kb_share_a_block(spark):
     rows = [(q, f"k{q % 20}", "term", 1.0, 3.0) for q in range(2000)]
     weights = spark.createDataFrame(rows, "query_id long, kb_id string, term string, weight double, avg_len double")
