@@ -19,7 +19,7 @@ INDEXES = {
     "index_chunks": bindings.chunks,
     "index_terms": lambda spark, sf: bindings.corpus_lexicon(spark, sf)[0],
     "index_terms_by_kb": lambda spark, sf: bindings.kb_lexicon(spark, sf)[0],
-    "index_vectors": lambda spark, sf: bindings.corpus_vectors(spark, sf)[0],
+    "index_slots": bindings.corpus_slot_weights,
 }
 HEADLINE = (
     "chunk_windows", "window_sweep", "word_tokens", "store_append", "bulk_import",

@@ -29,9 +29,12 @@ def _slots_of(words: pa.Array, width: int) -> np.ndarray:
     return np.frombuffer(digests, ">u4")[::4].astype(np.int64) % width
 
 
-def _slot_counts(lists: pa.Array, width: int) -> np.ndarray:
-    """Texts x slots token counts. Each distinct token of an Arrow batch is hashed once."""
-    tokens = lists.flatten().dictionary_encode()
+def slot_counts(lists: pa.Array, width: int, tokens: pa.DictionaryArray | None = None) -> np.ndarray:
+    """Texts x slots token counts. Each distinct token of an Arrow batch is hashed once.
+
+    ``tokens``: those of all lists, where they are encoded already.
+    """
+    tokens = lists.flatten().dictionary_encode() if tokens is None else tokens
     row_of = np.repeat(np.arange(len(lists)),
                        lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))
     cell = row_of * width
@@ -61,7 +64,7 @@ def _slot_frequencies(width: int, held_kbs: int = 10_000):
             return out
 
         for batch in batches:
-            present = _slot_counts(batch.column("tokens"), width) > 0
+            present = slot_counts(batch.column("tokens"), width) > 0
             kbs = batch.column("kb_id").dictionary_encode()
             codes = kbs.indices.to_numpy(zero_copy_only=False)
             for code, kb in enumerate(kbs.dictionary.to_pylist()):
@@ -100,7 +103,7 @@ def weighted_slots(kb: Column, tokens: Column, sent: Broadcast, width: int = VEC
         table = np.array([held.get(name, np.zeros(width)) for name in names]).reshape(-1, width)
         known = np.array([name in held for name in names], dtype=bool)
         at = coded.indices.fill_null(-1).to_numpy(zero_copy_only=False)
-        raw = _slot_counts(lists, width)
+        raw = slot_counts(lists, width)
         if len(names):
             raw = raw * table[at]
         good = (at >= 0) & (known[at] if len(names) else False)
@@ -132,6 +135,13 @@ def slot_weights(texts: DataFrame, content: str = "content",
         lambda s: s["idf"]).alias("slot_idf"))
 
 
+def slot_table(weights: DataFrame, width: int = VECTOR_WIDTH) -> dict[str, np.ndarray]:
+    """Slot weights by kb, which the caller knows to be few enough for one block."""
+    table = weights.select("kb_id", "slot_idf").toArrow()
+    return dict(zip(table.column("kb_id").to_pylist(), matrix_of(
+        table.column("slot_idf").combine_chunks(), width) if table.num_rows else []))
+
+
 def vectorize(texts: DataFrame, weights: DataFrame, content: str = "content",
               width: int = VECTOR_WIDTH, block_bytes: int = BLOCK_BYTES, sparse: bool = False) -> DataFrame:
     """Add ``embedding``: unit-length hashed TF-IDF, float32. Texts without tokens get zeros.
@@ -146,10 +156,7 @@ def vectorize(texts: DataFrame, weights: DataFrame, content: str = "content",
     block_of = F.pmod(F.xxhash64("kb_id"), F.lit(n_blocks))
     parts = []
     for i in range(n_blocks):
-        table = weights.filter(block_of == i).select("kb_id", "slot_idf").toArrow()
-        held = dict(zip(table.column("kb_id").to_pylist(), matrix_of(
-            table.column("slot_idf").combine_chunks(), width) if table.num_rows else []))
-        sent = spark.sparkContext.broadcast(held)
+        sent = spark.sparkContext.broadcast(slot_table(weights.filter(block_of == i), width))
         parts.append(texts.filter(block_of == i).withColumn(
             "embedding", weighted_slots(F.col("kb_id"), _tokens(texts, content), sent, width, sparse)))
     whole = parts[0]
@@ -158,7 +165,7 @@ def vectorize(texts: DataFrame, weights: DataFrame, content: str = "content",
     return whole.filter(F.col("embedding").isNotNull())
 
 
-def _pack_vectors(table: pa.Table) -> dict:
+def pack_vectors(table: pa.Table) -> dict:
     out = {}
     kbs = np.array(table.column("kb_id").to_pylist(), dtype=object)
     ids = table.column("query_id").to_pylist()
@@ -197,7 +204,7 @@ def dense_top_k(rows: DataFrame, queries: DataFrame, k: int = 5, row_id: str = "
     slim = rows.select("kb_id", F.col(row_id).cast("string").alias("row_id"), "embedding")
     found = scan_top_k(
         slim, queries.select("query_id", "kb_id", "embedding"),
-        F.size("embedding") * 8 + 64, k, _pack_vectors, _score_vectors, block_bytes)
+        F.size("embedding") * 8 + 64, k, pack_vectors, _score_vectors, block_bytes)
     return found.withColumnRenamed("row_id", row_id)
 
 
@@ -379,7 +386,7 @@ class CellIndex:
         n_cells = len(self.centres)
 
         def pack(table: pa.Table) -> dict:
-            packed = _pack_vectors(table)
+            packed = pack_vectors(table)
             for entry in packed.values():
                 entry["n_cells"] = n_cells
             return packed

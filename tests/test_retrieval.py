@@ -1,4 +1,5 @@
 import math
+import os
 import random
 from collections import Counter
 
@@ -8,8 +9,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from corpusloom.functions.vectors import cosine
-from corpusloom.operators import fusion, keyword, postings, ranking, vectors
+from corpusloom.operators import batch_search, fusion, keyword, postings, ranking, vectors
 from corpusloom.operators.postings import PostingsIndex
+from corpusloom.plans import bindings, retrieval_queries
 
 VOCAB = ["red", "green", "blue", "cat", "dog", "sun", "moon", "tree", "the", "a"]
 
@@ -384,3 +386,49 @@ def test_sparse_vectors_hold_what_is_not_zero(spark):
     sparse = {r.chunk_id: [tuple(x) for x in r.embedding] for r in vectors.vectorize(texts, weights, sparse=True).collect()}
     assert sparse == {c: [(i, w) for i, w in enumerate(v) if w] for c, v in dense.items()}
     assert set(sparse) == {"a", "b", "c"} and sparse["b"] == []
+
+
+@pytest.mark.parametrize("unit_chunks, block_bytes", [(4096, 64 << 20), (7, 64 << 20), (4096, 9000)])
+def test_batch_search_matches_brute_force_and_stored_vectors(corpus, monkeypatch, unit_chunks, block_bytes):
+    rows, questions, chunks, asked, terms, stats = corpus
+    monkeypatch.setattr(batch_search, "UNIT_CHUNKS", unit_chunks)
+    slots = vectors.slot_weights(chunks)
+    found = batch_search.batch_top_k(chunks, asked, batch_search.Statistics(slots, terms, stats), 7, block_bytes)
+    found.cache()
+    assert as_map(found.filter("side = 'k'")) == bm25(rows, questions, 7)
+    near = vectors.dense_top_k(vectors.vectorize(chunks, slots),
+                               vectors.vectorize(asked, slots, "text"), 7)
+    assert as_map(found.filter("side = 'v'")) == as_map(near)
+    found.unpersist()
+    one = batch_search.batch_top_k(chunks, asked, batch_search.Statistics(slots), 7, block_bytes)
+    assert {r.side for r in one.collect()} == {"v"}
+
+
+def test_batch_search_takes_text_ids_unknown_kbs_and_texts_without_tokens(spark):
+    chunks = spark.createDataFrame([("k", "a", "..."), ("k", "b", "red cat"), ("k", "c", "blue dog"), ("k", "d", "sun")],
+                                   "kb_id string, chunk_id string, content string")
+    asked = spark.createDataFrame([("one", "k", "red"), ("two", "void", "red"), ("three", "k", "...")],
+                                  "query_id string, kb_id string, text string")
+    stats = keyword.corpus_statistics(chunks)
+    known = batch_search.Statistics(vectors.slot_weights(chunks), keyword.term_statistics(chunks, stats), stats)
+    found = batch_search.batch_top_k(chunks, asked, known, 2).collect()
+    assert {(r.query_id, r.rank): r.chunk_id for r in found if r.side == "k"} == {("one", 1): "b"}
+    assert {(r.query_id, r.rank): r.chunk_id for r in found if r.side == "v"} == {
+        ("one", 1): "b", ("one", 2): "a", ("three", 1): "a", ("three", 2): "b"}
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="no test tables")
+def test_one_batch_of_questions_builds_no_index_and_stores_no_vectors(spark, monkeypatch):
+    stored = []
+
+    def noted(module):
+        make = module.materialize
+        monkeypatch.setattr(module, "materialize", lambda df, name, *a: stored.append((name, df.columns)) or make(df, name, *a))
+
+    for module in (bindings, batch_search, retrieval_queries):
+        noted(module)
+    monkeypatch.setattr(bindings, "_built", {})
+    monkeypatch.setattr(PostingsIndex, "build", lambda *_: pytest.fail("an index for one batch of questions"))
+    assert retrieval_queries.answer_questions(spark, "/root/testdata/sf0.001").count() > 0
+    assert "chunks" in {name for name, _ in stored}
+    assert not [name for name, columns in stored if {"chunk_id", "embedding"} <= set(columns)]
