@@ -19,7 +19,7 @@ from corpusloom.session import materialize
 VECTOR_WIDTH = 256
 
 
-def _slots_of(words: pa.Array, width: int) -> np.ndarray:
+def slots_of(words: pa.Array, width: int) -> np.ndarray:
     """Slot of every word: the first four bytes of its MD5, modulo ``width``."""
     words = words.cast(pa.binary())
     ends = np.frombuffer(words.buffers()[1], np.int32)[words.offset:words.offset + len(words) + 1]
@@ -39,7 +39,7 @@ def slot_counts(lists: pa.Array, width: int, tokens: pa.DictionaryArray | None =
                        lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))
     cell = row_of * width
     if len(cell):
-        slots = _slots_of(tokens.dictionary, width)
+        slots = slots_of(tokens.dictionary, width)
         cell = cell + slots[tokens.indices.to_numpy(zero_copy_only=False)]
     return np.bincount(cell, minlength=len(lists) * width).reshape(len(lists), width)
 
@@ -129,6 +129,11 @@ def slot_weights(texts: DataFrame, content: str = "content",
     slots = counted.select("kb_id", "n_texts", F.posexplode("dfs").alias("slot", "df"))
     per_slot = slots.groupBy("kb_id", "slot").agg(
         F.sum("df").alias("df"), F.sum("n_texts").alias("n_texts"))
+    return weigh_slots(per_slot)
+
+
+def weigh_slots(per_slot: DataFrame) -> DataFrame:
+    """(kb_id, slot_idf) from (kb_id, slot, df, n_texts), a row for each slot of a kb."""
     idf = F.log((F.col("n_texts") + 1.0) / (F.col("df") + 1.0)) + 1.0
     return per_slot.groupBy("kb_id").agg(F.transform(
         F.array_sort(F.collect_list(F.struct("slot", idf.alias("idf")))),

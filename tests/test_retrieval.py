@@ -432,3 +432,15 @@ def test_one_batch_of_questions_builds_no_index_and_stores_no_vectors(spark, mon
     assert retrieval_queries.answer_questions(spark, "/root/testdata/sf0.001").count() > 0
     assert "chunks" in {name for name, _ in stored}
     assert not [name for name, columns in stored if {"chunk_id", "embedding"} <= set(columns)]
+
+
+def test_one_pass_counts_what_the_single_passes_count(corpus):
+    rows, questions, chunks, asked, terms, stats = corpus
+    known = batch_search.count_all(chunks)
+    assert sorted(known.corpus.collect()) == sorted(stats.collect())
+
+    def weights(df):
+        return {(r.kb_id, r.term): (r.df, pytest.approx(r.idf, abs=1e-12)) for r in df.collect()}
+
+    assert weights(known.terms) == weights(terms)
+    assert sorted(known.slots.collect()) == sorted(vectors.slot_weights(chunks).collect())
