@@ -11,6 +11,8 @@ from corpusloom.sources.files import write_texts
 from corpusloom.streaming import ingest, questions
 
 SMALL = 20
+#: Text files of one folder, about, that a stream takes in: the driver keeps something of each.
+FILES_PER_FOLDER = 25_000
 
 
 def _filled(spark, sf):
@@ -99,12 +101,11 @@ def stream_registry(spark, sf):
 def stream_text_files(spark, sf):
     """Chunks of the documents that a stream of text files brought, one file per document."""
     folder = new_path(spark, "text-files")
-    docs = b.table(spark, sf, "documents").filter("source is not null and text is not null")
-    write_texts(docs, folder)
+    docs = b.table(spark, sf, "documents")
+    parts = -(-docs.count() // FILES_PER_FOLDER)
+    write_texts(docs.filter("source is not null and text is not null"), folder, max(1, parts))
     target = new_path(spark, "text-chunks")
-    with ingest.small_files(spark):
-        ingest.start_ingest(ingest.text_file_stream(spark, folder, files_per_batch=100_000), target,
-                            new_path(spark, "state")).awaitTermination()
+    ingest.ingest_folders(spark, folder, target, new_path(spark, "state"))
     return ingest.read_chunks(spark, target).select(
         F.regexp_extract("kb_id", "=(.*)", 1).alias("kb_id"), "chunk_index",
         F.md5("content").alias("content_md5"))

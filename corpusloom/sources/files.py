@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+import os
+import re
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from corpusloom.functions.text import has_text, strip
-from corpusloom.operators.chunking import chunk_blocks
+from corpusloom.operators.chunking import byte_slices, chunk_blocks
 from corpusloom.operators.path_policy import PathRules, gate
 from corpusloom.session import spread
 
@@ -46,17 +52,59 @@ def read_files(spark: SparkSession, root: str) -> DataFrame:
                         .alias("text"))
 
 
-def write_texts(texts: DataFrame, folder: str) -> None:
-    """A file for each row of ``texts`` (source, text), in a folder for each source.
+def write_texts(texts: DataFrame, folder: str, parts: int = 1) -> None:
+    """A file for each row of ``texts`` (source, text): ``folder``/part=../source=../..
 
-    Files cost far more than their bytes: all cores make them, tasks bring their own ones to their
-    place, so the driver does not rename each, and a local folder gets no checksum file for each.
+    Files cost far more than their bytes, and who reads them as a stream keeps something of each: they are
+    dealt out evenly to ``parts`` folders, and all cores make them. Hadoop starts a process for each file that
+    it makes on a local disk, so there Python makes them; elsewhere Spark's writer does.
     """
-    rows = texts.select("source", "text").repartition(4 * texts.sparkSession.sparkContext.defaultParallelism)
-    (rows.write.partitionBy("source").option("maxRecordsPerFile", 1)
-     .option("mapreduce.fileoutputcommitter.algorithm.version", "2")
-     .option("fs.file.impl", "org.apache.hadoop.fs.RawLocalFileSystem")
-     .option("fs.file.impl.disable.cache", "true").text(folder))
+    spark = texts.sparkSession
+    n = 4 * spark.sparkContext.defaultParallelism
+    rows = texts.select("source", "text", F.monotonically_increasing_id().alias("id"))
+    rows = rows.withColumn("part", F.pmod("id", F.lit(parts))).repartition(n, "id")
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    if path.getFileSystem(spark._jsc.hadoopConfiguration()).getScheme() != "file":
+        # Tasks bring their own files to their place, so the driver does not rename each.
+        (rows.drop("id").write.partitionBy("part", "source").option("maxRecordsPerFile", 1)
+         .option("mapreduce.fileoutputcommitter.algorithm.version", "2").text(folder))
+        return
+    place = path.toUri().getPath()
+    os.makedirs(place)
+    rows.mapInArrow(_local_files(place), "n long").agg(F.sum("n")).collect()
+
+
+#: What Spark writes as %XX in the names of partition folders.
+_ESCAPED = re.compile("[\x01-\x1f\x7f\"#%'*/:=?\\\\{\\[\\]^]")
+
+
+def _local_files(folder: str):
+    """mapInArrow: (source, text, id, part) to how many files it made. Names go by id, so a task that runs again
+    makes the same files, and none is seen before it is whole."""
+
+    def named(source: str | None) -> str:
+        return _ESCAPED.sub(lambda c: f"%{ord(c[0]):02X}", source) if source else "__HIVE_DEFAULT_PARTITION__"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        made: dict[tuple, str] = {}
+        task = TaskContext.get().partitionId()
+        for batch in batches:
+            done = 0
+            for some in byte_slices(batch.column("text")):
+                rows = batch.slice(done, len(some))
+                done += len(some)
+                for part, source, number, text in zip(*(
+                        rows.column(c).to_pylist() for c in ("part", "source", "id", "text"))):
+                    if (part, source) not in made:
+                        made[part, source] = os.path.join(folder, f"part={part}", f"source={named(source)}")
+                        os.makedirs(made[part, source], exist_ok=True)
+                    at = os.path.join(made[part, source], f"part-{task:05d}-{number}.txt")
+                    with open(f"{at}.tmp", "wb") as file:
+                        file.write((text or "").encode() + b"\n")
+                    os.replace(f"{at}.tmp", at)
+            yield pa.RecordBatch.from_pydict({"n": pa.array([len(batch)], pa.int64())})
+
+    return run
 
 
 def admitted(files: DataFrame) -> DataFrame:

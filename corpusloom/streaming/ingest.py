@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import gc
+import hashlib
 from collections.abc import Iterator
 from contextlib import contextmanager
 
@@ -56,9 +58,10 @@ def _text_documents(files: DataFrame) -> DataFrame:
 
 
 #: For batches of many small files: Spark lists them with a task for each path up to its default of
-#: 10,000, and reads 32 of them in a task.
+#: 10,000, reads 32 of them in a task, and keeps what it listed on the driver, up to 250 MB by its own count.
 SMALL_FILES = {"spark.sql.sources.parallelPartitionDiscovery.parallelism": "64",
-               "spark.sql.files.openCostInBytes": str(64 << 10)}
+               "spark.sql.files.openCostInBytes": str(64 << 10),
+               "spark.sql.hive.manageFilesourcePartitions": "false"}
 
 
 @contextmanager
@@ -107,6 +110,39 @@ def start_ingest(documents: DataFrame, target: str, checkpoint: str,
     return _start(documents, write, checkpoint, trigger)
 
 
+def ingest_folders(spark: SparkSession, folder: str, target: str, checkpoint: str, pattern: str = "*.{txt,md,csv}",
+                   files_per_batch: int = 100_000, at_once: int = 3, cache: CacheStore | None = None) -> None:
+    """Take in the text files that are new in the folders of ``folder``, each as a stream of its own.
+
+    A file stream lists all files below its folder each time and keeps the name of each for good, both on the
+    driver. So its memory goes by the largest folders and not by all files: ``at_once`` streams
+    run together, each until it has what there is now. Files that lie beside the folders are not taken.
+    """
+    place = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    found = place.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(place)
+    names = sorted(f.getPath().getName() for f in found if f.isDirectory())
+    running: list[StreamingQuery] = []
+    try:
+        with small_files(spark):
+            for name in names:
+                if name.startswith(("_", ".")):
+                    continue
+                if len(running) == at_once:
+                    running[0].awaitTermination()
+                    running.pop(0)
+                    # Frames of its batches, which name all files, may hang in cycles of Python objects.
+                    gc.collect()
+                # A name of its own for what a folder's stream writes, which is never taken for a number.
+                feed = "f" + hashlib.md5(name.encode()).hexdigest()
+                running.append(start_ingest(text_file_stream(spark, f"{folder}/{name}", pattern, files_per_batch),
+                                            f"{target}/feed={feed}", f"{checkpoint}/{feed}", cache=cache))
+            for query in running:
+                query.awaitTermination()
+    finally:
+        for query in running:
+            query.stop()
+
+
 def read_chunks(spark: SparkSession, target: str) -> DataFrame:
     """The chunks a stream has written so far."""
     return read_or_empty(spark, target, STORE_SCHEMA + ", batch_id long")

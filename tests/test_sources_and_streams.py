@@ -1,5 +1,6 @@
 import os
 import re
+from collections import Counter
 from types import SimpleNamespace
 
 import pytest
@@ -365,3 +366,49 @@ def test_many_files_are_listed_by_few_tasks(spark, tmp_path):
     assert stages and max(s.numTasks for s in stages if s) <= 64
     assert spark.conf.get(name) == before
     assert ingest.read_chunks(spark, str(tmp_path / "out")).count() == 150
+
+
+def test_files_are_dealt_out_to_folders_of_even_size_and_named_as_spark_names_them(spark, tmp_path):
+    sources = ["a", "b/c", "d=e f", "50%", "é{1}", "x\ty", ""]
+    rows = [(sources[i % 7], f"text {i}\nof two lines" if i else "") for i in range(100)]
+    texts = spark.createDataFrame(rows, "source string, text string")
+    files.write_texts(texts, str(tmp_path / "ours"), parts=4)
+    texts.write.partitionBy("source").text(str(tmp_path / "spark"))
+    made = [f for f in (tmp_path / "ours").rglob("*") if f.is_file()]
+    by_part = Counter(f.parent.parent.name for f in made)
+    assert set(by_part) == {f"part={i}" for i in range(4)} and max(by_part.values()) <= 30 and len(made) == 100
+    named = {d.name for d in (tmp_path / "spark").iterdir() if d.is_dir()}
+    assert {f.parent.name for f in made} == named and "source=b%2Fc" in named
+    assert sorted(f.read_text() for f in made) == sorted(text + "\n" for _, text in rows)
+
+
+def test_folders_are_streams_of_their_own_whose_files_the_driver_forgets(spark, tmp_path):
+    for part in range(6):
+        for i in range(40):
+            file = tmp_path / "in" / f"part={part}" / "source=k" / f"{i}.txt"
+            file.parent.mkdir(parents=True, exist_ok=True)
+            file.write_text(f"text {part} {i}")
+    (tmp_path / "in" / "_done").mkdir()
+    seen = []
+    known = ingest.text_file_stream
+    folder, target, state = (str(tmp_path / x) for x in ("in", "out", "state"))
+
+    def told(spark, folder, *more):
+        seen.append((folder, spark.conf.get("spark.sql.hive.manageFilesourcePartitions")))
+        return known(spark, folder, *more)
+
+    before = spark.conf.get("spark.sql.hive.manageFilesourcePartitions")
+    try:
+        ingest.text_file_stream = told
+        ingest.ingest_folders(spark, folder, target, state)
+    finally:
+        ingest.text_file_stream = known
+    # No stream knows of more than one folder, and what it lists is not kept by the session.
+    assert seen == [(f"{folder}/part={i}", "false") for i in range(6)]
+    assert spark.conf.get("spark.sql.hive.manageFilesourcePartitions") == before
+    assert ingest.read_chunks(spark, target).count() == 240
+    # What comes later is taken in once more and alone.
+    (tmp_path / "in" / "part=2" / "source=k" / "new.txt").write_text("text new")
+    ingest.ingest_folders(spark, folder, target, state)
+    assert ingest.read_chunks(spark, target).count() == 241
+    assert ingest.read_chunks(spark, target).select("content").distinct().count() == 241
