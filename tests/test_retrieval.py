@@ -444,3 +444,63 @@ def test_one_pass_counts_what_the_single_passes_count(corpus):
 
     assert weights(known.terms) == weights(terms)
     assert sorted(known.slots.collect()) == sorted(vectors.slot_weights(chunks).collect())
+
+
+@pytest.mark.parametrize("unit_chunks, block_bytes", [(4096, 64 << 20), (7, 700)])
+def test_units_alone_answer_and_count_as_the_whole_index_does(corpus, unit_chunks, block_bytes):
+    rows, questions, chunks, asked, terms, stats = corpus
+    index = PostingsIndex.build(chunks, unit_chunks=unit_chunks, by_term=False)
+    assert index.postings().count() == 0
+    assert as_map(index.top_k(asked, terms, stats, 7, block_bytes=block_bytes)) == bm25(rows, questions, 7)
+    padded = index.padded_top_k(chunks, asked, terms, stats, 40, block_bytes=block_bytes)
+    assert as_map(padded) == bm25(rows, questions, 40, pad=True)
+    counted, known = index.statistics()
+    assert sorted(known.collect()) == sorted(stats.collect())
+    assert {(r.kb_id, r.term): (r.df, r.idf) for r in counted.collect()} == {
+        (r.kb_id, r.term): (r.df, pytest.approx(r.idf, abs=1e-12)) for r in terms.collect()}
+
+
+def test_terms_are_counted_however_few_a_task_holds(corpus, monkeypatch):
+    rows, questions, chunks, asked, terms, stats = corpus
+    index = PostingsIndex.build(chunks, unit_chunks=7, by_term=False)
+    monkeypatch.setattr(postings, "COUNTED_TERMS", 9)
+    kind = postings._lists_schema()
+    out = pa.schema([("kb_id", pa.string()), ("term", pa.string()), ("df", pa.int64())])
+    told = Counter()
+    for part in postings._term_counts(kind, out)(iter(index.units().select("kb_id", "lists").toArrow().to_batches())):
+        for kb, term, df in zip(*(c.to_pylist() for c in part.columns)):
+            told[kb, term] += df
+    assert told == {(r.kb_id, r.term): r.df for r in terms.collect()}
+
+
+@pytest.mark.parametrize("query", ["first_sources", "bm25_padded"])
+def test_user_questions_build_no_lists_by_term(spark, monkeypatch, query):
+    monkeypatch.setattr(bindings, "_built", {})
+    monkeypatch.setattr(postings, "_unpacked", lambda *_: pytest.fail("rows by term for questions that read all units"))
+    assert retrieval_queries.QUERIES[query](spark, "/root/testdata/sf0.001").count() > 0
+
+
+def test_scores_added_up_in_half_the_bytes_are_exact_in_the_end():
+    rng = np.random.default_rng(3)
+    n, asks, terms, k = 600, 70, 40, 5
+    lists = {f"t{t}": np.sort(rng.choice(n, rng.integers(1, n), replace=False)) for t in range(terms)}
+    lists = {t: (places, rng.integers(1, 9, len(places))) for t, places in lists.items()}
+    lengths = rng.integers(5, 90, n)
+    asked = [(q, t, float(w)) for q in range(asks) for t, w in zip(
+        rng.choice(terms, 12, replace=False), rng.random(12) * 10.0 ** rng.integers(-3, 3))]
+    table = pa.table({"query_id": [q for q, _, _ in asked], "kb_id": ["k"] * len(asked), "avg_len": [40.0] * len(asked),
+                      "term": [f"t{t}" for _, t, _ in asked], "weight": [w for _, _, w in asked]})
+    unit = {"chunk_ids": [f"c{i:03}" for i in range(n)], "lengths": lengths.tolist(), "queries": list(range(asks))}
+    got = {q: [] for q in range(asks)}
+    for part in postings.best_of_unit(postings.pack_asks(table)["k"], unit, lists, k, False):
+        for q, c, s in zip(*part):
+            got[q].append((-s, c))
+    for q in range(asks):
+        scores = np.zeros(n)
+        for p, t, w in asked:
+            if p == q:
+                places, counts = lists[f"t{t}"]
+                scores[places] += w * postings.gain(counts, lengths[places], 40.0)
+        best = sorted((-round(s, 6), f"c{i:03}") for i, s in enumerate(scores) if s > 0)[:k]
+        assert [c for _, c in got[q]] == [c for _, c in best]
+        assert [s for s, _ in got[q]] == pytest.approx([s for s, _ in best], abs=2e-6)
