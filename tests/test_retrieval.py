@@ -504,3 +504,17 @@ def test_scores_added_up_in_half_the_bytes_are_exact_in_the_end():
         best = sorted((-round(s, 6), f"c{i:03}") for i, s in enumerate(scores) if s > 0)[:k]
         assert [c for _, c in got[q]] == [c for _, c in best]
         assert [s for s, _ in got[q]] == pytest.approx([s for s, _ in best], abs=2e-6)
+
+
+@pytest.mark.parametrize("by_term", [True, False])
+def test_an_id_that_asks_two_kbs_has_one_list_however_many_blocks_there_are(spark, by_term):
+    chunks = spark.createDataFrame([(kb, f"{kb}{i}", f"red {'cat ' * i}") for kb in ("k1", "k2") for i in range(6)]
+                                   + [(kb, f"{kb}x{i}", "sun") for kb in ("k1", "k2") for i in range(9)],
+                                   "kb_id string, chunk_id string, content string")
+    asked = spark.createDataFrame([(1, "k1", "red cat"), (1, "k2", "cat"), (2, "k2", "red")],
+                                  "query_id long, kb_id string, text string")
+    stats = keyword.corpus_statistics(chunks)
+    terms = keyword.term_statistics(chunks, stats)
+    index = PostingsIndex.build(chunks, by_term=by_term)
+    whole, parts = (as_map(index.top_k(asked, terms, stats, 3, block_bytes=size)) for size in (64 << 20, 110))
+    assert parts == whole and sorted(parts) == [(q, r) for q in (1, 2) for r in (1, 2, 3)]
